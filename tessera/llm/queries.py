@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, toxicity, warc
+from . import exact_dedup, mixing, ngram_join, packing, pii, toxicity, warc
 from .common import table
 
 
@@ -40,11 +40,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_warc_round_trip, op6_personal_data, op7_pack_sequences, op8_toxicity, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_warc_round_trip, op6_personal_data, op7_pack_sequences, op8_toxicity, op9_ngram_jaccard_join, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
