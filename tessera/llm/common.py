@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # nothing reads these shuffles again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
