@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, pii, substring_dedup, suffix_dedup, toxicity, warc
+from . import embedding_dedup, exact_dedup, mixing, ngram_join, packing, pii, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -60,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_substring_dedup, op4_mix_sources, op5_warc_round_trip, op6_personal_data, op7_pack_sequences, op8_toxicity, op9_ngram_jaccard_join, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_substring_dedup, op4_mix_sources, op5_warc_round_trip, op6_personal_data, op7_pack_sequences, op8_toxicity, op9_ngram_jaccard_join, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
