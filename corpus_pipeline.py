@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, packing, toxicity
+from tessera.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from tessera.llm.common import table, written
 
 ORACLE_SQL = None
@@ -21,6 +20,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the least id."""
+    return ngram_join.keep_one(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeat as often as the mix takes them."""
     return mixing.take(docs)
@@ -31,11 +35,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("mixing", mixed), ("packing", packed)]
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mixed), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir).drop("ids")
+    return STAGES[-1][1](spark, docs, sf_dir)
