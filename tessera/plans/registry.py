@@ -1,4 +1,32 @@
-"""Named queries and their SQL."""
+"""Named queries, each with the SQL that states the same result over the same tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+MODULES = ["climatology", "timeseries"]
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    for module in MODULES:
+        import_module(f"tessera.plans.{module}")
