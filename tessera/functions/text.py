@@ -7,11 +7,12 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .kernels import lit
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(values: pd.Series) -> pd.Series:
     """Without combining marks; the one thing here that Spark has no function for."""
     return values.str.normalize("NFD").str.replace(r"[̀-ͯ]", "", regex=True)
