@@ -135,9 +135,9 @@ def tss_from_heart_rate(rate, seconds, threshold) -> Column:
 
 
 def effective_tss(tss, effort) -> Column:
-    """The lower of stress and effort once the effort reaches 50; effort alone if there is no stress."""
+    """Stress, capped by the effort once that reaches 50; the effort alone if there is no stress."""
     tss, effort = F.coalesce(lit(tss), F.lit(0.0)), F.coalesce(lit(effort), F.lit(0.0))
-    return F.when((effort >= 50) & (tss > 0), F.least(tss, effort)).when(effort >= 50, effort).otherwise(tss)
+    return F.when(tss <= 0, effort).when(effort < 50, tss).otherwise(F.least(tss, effort))
 
 
 def duration_text(minutes, signed: bool = False) -> Column:
@@ -159,14 +159,25 @@ def in_band(t, start, end) -> Column:
 
 
 def anchor_percentile(value, anchors: Sequence[tuple[float, Column]]) -> Column:
-    """Piecewise linear percentile between the anchors that are known, flat beyond the outer ones."""
-    value = lit(value)
-    known = F.filter(F.array(*[F.struct(F.lit(p).alias("p"), a.cast("double").alias("v")) for p, a in anchors]), lambda x: x["v"].isNotNull())
-    below = F.element_at(F.filter(known, lambda x: x["v"] <= value), -1)
-    above = F.get(F.filter(known, lambda x: x["v"] > value), F.lit(0))
-    inside = below["p"] + F.coalesce(F.try_divide((value - below["v"]) * (above["p"] - below["p"]), above["v"] - below["v"]), F.lit(0.0))
-    some = (F.size(known) > 0) & value.isNotNull()
-    return F.when(some & (F.size(F.filter(known, lambda x: x["v"] <= value)) == 0), above["p"]).when(some & above.isNull(), below["p"]).when(some, inside)
+    """Percentile between the known anchors by linear interpolation; NULL with fewer than two.
+
+    Below the lowest it falls in proportion to the value (or stays, if that anchor is not
+    positive); above the highest it rises half as fast as the last step would take it to 100.
+    """
+    value = lit(value).cast("double")
+    pairs = F.array(*[F.struct(a.cast("double").alias("v"), F.lit(float(p)).alias("p")) for p, a in anchors])
+    known = F.array_sort(F.filter(pairs, lambda x: x["v"].isNotNull()))
+    first, last, before = F.get(known, F.lit(0)), F.element_at(known, -1), F.get(known, F.size(known) - 2)
+    low = F.element_at(F.filter(known, lambda x: x["v"] <= value), -1)
+    high = F.get(F.filter(known, lambda x: x["v"] > value), F.lit(0))
+    span = F.greatest(last["v"] - before["v"], F.lit(1e-9))
+    percent = (
+        F.when((value <= first["v"]) & (first["v"] <= 0), first["p"])
+        .when(value <= first["v"], F.try_divide(first["p"] * value, first["v"]))
+        .when(value >= last["v"], last["p"] + (100 - last["p"]) * F.least(F.lit(1.0), (value - last["v"]) / span * 0.5))
+        .otherwise(low["p"] + (value - low["v"]) / (high["v"] - low["v"]) * (high["p"] - low["p"]))
+    )
+    return F.when((F.size(known) >= 2) & value.isNotNull(), clamp(percent, 0.0, 100.0))
 
 
 def outlook_trend(recent, forecast, fallback="stable", step: float = 3.0) -> Column:

@@ -80,7 +80,7 @@ def flex_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LD_SQL}, c AS (SELECT flag, month(day) AS m, quantile_cont(q, 0.2) AS a, quantile_cont(q, 0.8) AS b, quantile_cont(q, 0.95) AS d FROM ld GROUP BY 1, 2)
-SELECT ld.flag, ld.day, round(CASE WHEN q < a THEN 20.0 WHEN q >= d THEN 95.0 WHEN q < b THEN 20 + (q - a) * 60 / (b - a) ELSE 80 + (q - b) * 15 / (d - b) END, 4) AS pct FROM ld JOIN c ON ld.flag = c.flag AND month(ld.day) = c.m""")
+SELECT ld.flag, ld.day, round(CASE WHEN q <= a THEN CASE WHEN a <= 0 THEN 20.0 ELSE greatest(0, 20 * q / a) END WHEN q >= d THEN least(100, 95 + 5 * least(1.0, (q - d) / greatest(d - b, 1e-9) * 0.5)) WHEN q < b THEN 20 + (q - a) * 60 / (b - a) ELSE 80 + (q - b) * 15 / (d - b) END, 4) AS pct FROM ld JOIN c ON ld.flag = c.flag AND month(ld.day) = c.m""")
 def anchor_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.stats import climatology
 
