@@ -1 +1,152 @@
-"""Queries."""
+"""Wellness rules over events: users as people, days as days."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import wellness as H
+
+from .registry import query, table
+from .timeseries import UD_SQL, user_days
+
+_BASE = f"""{UD_SQL}, b AS (SELECT user_id, day, v, n, avg(v) OVER w AS base, avg(n) OVER w AS nbase, count(*) OVER w AS k FROM ud WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+d AS (SELECT user_id, day, round(v - base, 6) AS dv, round((n - nbase) * 4, 6) AS dn FROM b WHERE k >= 3)"""
+
+
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(-7, -1)
+    d = user_days(spark, sf_dir).withColumns({"base": F.avg("v").over(w), "nbase": F.avg("n").over(w), "k": F.count("*").over(w)})
+    return d.filter("k >= 3").select("user_id", "day", F.round(F.col("v") - F.col("base"), 6).alias("dv"), F.round((F.col("n") - F.col("nbase")) * 4, 6).alias("dn"))
+
+
+def long_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = deltas(spark, sf_dir).select("user_id", "day", F.col("dv").alias("sleep_minutes"), F.col("dn").alias("rhr_bpm"))
+    return d.unpivot(["user_id", "day"], ["sleep_minutes", "rhr_bpm"], "metric", "delta")
+
+
+_MAG = """CASE WHEN dv <= -90 THEN 'strong' WHEN dv <= -50 THEN 'significant' WHEN dv <= -25 THEN 'mild' ELSE 'noise' END AS ms, CASE WHEN dn >= 8 THEN 'strong' WHEN dn >= 5 THEN 'significant' WHEN dn >= 2 THEN 'mild' ELSE 'noise' END AS mr"""
+
+
+@query(f"""WITH {_BASE}, m AS (SELECT user_id, day, {_MAG} FROM d) SELECT user_id, day, 'sleep_minutes' AS metric, ms AS magnitude FROM m UNION ALL SELECT user_id, day, 'rhr_bpm', mr FROM m""")
+def magnitude_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magnitudes of long-form changes by a table of thresholds."""
+    x = long_deltas(spark, sf_dir)
+    return x.select("user_id", "day", "metric", H.magnitude(F.col("metric"), F.col("delta")).alias("magnitude"))
+
+
+@query(f"""WITH {_BASE}, m AS (SELECT user_id, day, dv, dn, {_MAG} FROM d), c AS (SELECT *, (ms = 'strong')::INT + (mr = 'strong')::INT AS s, (ms = 'significant')::INT + (mr = 'significant')::INT AS g, (ms = 'mild')::INT + (mr = 'mild')::INT AS l FROM m)
+SELECT user_id, day, CASE WHEN s >= 1 OR g >= 2 THEN 'red' WHEN g = 1 OR l >= 2 THEN 'yellow' ELSE 'green' END AS state FROM c""")
+def health_state_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First match of the red, yellow and green rules, from counts of magnitudes."""
+    m = H.magnitude(F.col("metric"), F.col("delta"))
+    n = lambda name: F.count_if(m == name).alias(name)
+    c = long_deltas(spark, sf_dir).groupBy("user_id", "day").agg(n("strong"), n("significant"), n("mild"))
+    no, zero = F.lit(False), F.lit(0.0)
+    facts = {"strong": F.col("strong"), "significant": F.col("significant"), "mild": F.col("mild"), "illness": no, "load_ratio": zero, "ctl": zero, "patterns": F.array().cast("array<string>"), "hrv": F.lit("balanced"), "fatigue": F.lit("none"), "short_sleep": no, "since_rest": F.lit(0)}
+    return c.select("user_id", "day", H.health_state(facts).alias("state"))
+
+
+@query(f"""WITH {UD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn FROM ud), l AS (SELECT user_id, list(v ORDER BY day) AS vs FROM r WHERE rn <= 60 GROUP BY 1),
+w AS (SELECT user_id, avg(v) AS m, stddev_samp(v) AS s, sum(v) AS t FROM r WHERE rn <= 7 GROUP BY 1),
+x AS (SELECT l.user_id, list_reduce(vs, lambda a, x: a + (2.0 / 43) * (x - a)) AS c, list_reduce(list_slice(vs, -14, -1), lambda a, x: a + (2.0 / 8) * (x - a)) AS a, m, s, t FROM l JOIN w ON l.user_id = w.user_id)
+SELECT user_id, round(a, 1) AS atl, round(c, 1) AS ctl, round(a / c, 2) AS load_ratio, round(m / s, 2) AS monotony, round(t * m / s, 1) AS strain FROM x""")
+def load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.load_metrics(user_days(spark, sf_dir), ["user_id"], "day", "v")
+
+
+@query(f"""WITH {UD_SQL}, x AS (SELECT user_id, day, CAST(round(v - 60) AS BIGINT) AS d, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM ud WHERE v > 0 AND day >= DATE '2024-01-24' AND day <= DATE '2024-01-30'),
+s AS (SELECT user_id, CAST(sum(d) AS BIGINT) AS balance, count(*) AS k, CAST(count_if(d < 0) AS BIGINT) AS short, sum(d * list_extract([0.06, 0.09, 0.12, 0.15, 0.18, 0.20, 0.20]::DOUBLE[], i)) / 1.0 AS w, coalesce(max(CASE WHEN day = DATE '2024-01-30' THEN d END), 0) AS last_night FROM x GROUP BY 1),
+j AS (SELECT *, CASE WHEN k = 7 THEN round(w) ELSE balance END AS q FROM s), t AS (SELECT *, CASE WHEN q >= 60 THEN 'surplus' WHEN q > -60 THEN 'on_track' WHEN q > -150 THEN 'mild_deficit' ELSE 'notable_deficit' END AS status FROM j)
+SELECT user_id, balance, short, last_night, status, (last_night <= -90 OR status = 'notable_deficit' OR (status = 'mild_deficit' AND last_night < -30)) AS surfaced FROM t""")
+def sleep_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.sleep_debt(user_days(spark, sf_dir), ["user_id"], F.lit("2024-01-30").cast("date"), F.lit(60.0), "day", "v")
+
+
+_BANDS = {"morning": (6, 9), "work": (9, 17), "night": (22, 6)}
+
+
+@query("""WITH e AS (SELECT user_id, value, hour(ts) AS h FROM events WHERE value >= 0), p AS (SELECT user_id, h, avg(value) AS m FROM e GROUP BY 1, 2), k AS (SELECT user_id, h, m, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, h) AS rn FROM p),
+b AS (SELECT user_id, round(avg(CASE WHEN h >= 6 AND h < 9 THEN value END), 1) AS morning, round(avg(CASE WHEN h >= 9 AND h < 17 THEN value END), 1) AS work, round(avg(CASE WHEN h >= 22 OR h < 6 THEN value END), 1) AS night, CAST(count_if(value >= 50) * 2 AS BIGINT) AS high_minutes, round(avg(CASE WHEN value <= 25 THEN 100.0 ELSE 0 END), 1) AS rest_pct, count(*) AS n FROM e GROUP BY 1)
+SELECT b.user_id, morning, work, night, concat(lpad(CAST(h AS VARCHAR), 2, '0'), ':00–', lpad(CAST((h + 3) % 24 AS VARCHAR), 2, '0'), ':00') AS peak_window, CAST(round(m) AS BIGINT) AS peak_value, high_minutes, rest_pct FROM b JOIN k ON b.user_id = k.user_id AND rn = 1 WHERE n >= 6""")
+def stress_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.stress_day(table(spark, sf_dir, "events"), ["user_id"], "ts", "value", _BANDS)
+
+
+@query("""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT user_id, CASE WHEN count(value) OVER w >= 15 THEN avg(value) OVER w END AS r FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS 29 PRECEDING))
+SELECT user_id, CASE WHEN count(*) >= 30 THEN round(pow(avg(pow(r, 4)), 0.25), 6) END AS np FROM r GROUP BY 1""")
+def normalized_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "value", F.struct("ts", "event_id").alias("t"))
+    return H.normalized_power(e, ["user_id"], "t", "value").select("user_id", F.round("normalized_power", 6).alias("np"))
+
+
+@query("""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), h AS (SELECT user_id, max(n) AS n, avg(value) FILTER (i < n // 2) AS a, avg(value) FILTER (i >= n // 2) AS b FROM s GROUP BY 1)
+SELECT user_id, CASE WHEN n >= 60 THEN round((b - a) / nullif(a, 0), 6) END AS drift FROM h""")
+def half_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "value", F.struct("ts", "event_id").alias("t"))
+    return H.half_drift(e, ["user_id"], "t", "value").select("user_id", F.round("drift", 6).alias("drift"))
+
+
+@query("""SELECT event_id, CASE WHEN t <= 0 AND e > 0 THEN CASE WHEN e >= 130 THEN 'very_hard' WHEN e >= 100 THEN 'hard' WHEN e >= 50 THEN 'moderate' ELSE 'easy' END WHEN x > 130 THEN 'very_hard' WHEN x > 100 THEN 'hard' WHEN x > 65 OR m >= 45 THEN 'moderate' ELSE 'easy' END AS tier
+FROM (SELECT *, CASE WHEN t <= 0 THEN e WHEN e < 50 THEN t ELSE least(t, e) END AS x FROM (SELECT event_id, round(value * 1.6, 4) AS t, CAST(event_id % 140 AS DOUBLE) AS e, CAST(event_id % 60 AS DOUBLE) AS m FROM events))""")
+def intensity_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", H.intensity_label(F.round(F.col("value") * 1.6, 4), (i % 140).cast("double"), (i % 60).cast("double")).alias("tier"))
+
+
+@query(f"""WITH {_BASE}, f AS (SELECT user_id, day, dv < -30 AS a, dn > 4 AS b, dv > 40 AS c FROM d), l AS (SELECT user_id, array_to_string(list_filter([CASE WHEN a THEN 'sleep_short' END, CASE WHEN b THEN 'rhr_elevated_7d' END, CASE WHEN c THEN 'load_ratio_high' END], lambda x: x IS NOT NULL), ',') AS flags, day, a, b, c FROM f)
+SELECT user_id, day, flags, CASE WHEN c AND (b OR a) THEN 'overreaching' WHEN NOT a AND NOT b AND NOT c THEN 'healthy_adaptation' ELSE '' END AS patterns FROM l""")
+def flags_and_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = deltas(spark, sf_dir)
+    flags = T.flags({"sleep_short": F.col("dv") < -30, "rhr_elevated_7d": F.col("dn") > 4, "load_ratio_high": F.col("dv") > 40})
+    found = H.patterns(flags, F.lit(1.0), F.lit(40.0), F.lit("none"), F.lit(True))
+    return d.select("user_id", "day", F.array_join(flags, ",").alias("flags"), F.array_join(found, ",").alias("patterns"))
+
+
+@query()
+def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors united and ranked: up to three of each user."""
+    days, k = user_days(spark, sf_dir), ["user_id"]
+    debt = H.sleep_debt(days, k, F.lit("2024-01-30").cast("date"), F.lit(60.0), "day", "v")
+    minutes = table(spark, sf_dir, "events").select("user_id", (F.hour("ts") * 60 + F.minute("ts")).alias("m"))
+    found = [
+        H.detect_sleep_debt(debt, k), H.detect_drift(days, k, "day", "v", 5.0), H.detect_streak(days, k, "day", "v", 3, 10.0),
+        H.detect_irregular_bedtime(minutes, k, "m"), H.detect_link(days, k, "n", "v", "busy_days_high", 1),
+    ]
+    united = found[0]
+    for f in found[1:]:
+        united = united.unionByName(f)
+    return H.rank_findings(united, k).select("user_id", "id", F.round("rank_score", 4).alias("score"), F.to_json("supporting").alias("supporting"))
+
+
+@query(f"""WITH {UD_SQL}, c AS (SELECT user_id, count(*) AS n, corr(v, n) AS r FROM ud GROUP BY 1), d AS (SELECT user_id, CAST(n AS BIGINT) AS n, round(CASE WHEN isnan(r) THEN NULL ELSE r END, 6) AS r FROM c)
+SELECT user_id, 'busy' AS detector, n, r, CASE WHEN n < 20 THEN 'too_few' WHEN r IS NULL THEN 'undefined' WHEN abs(r) < 0.3 THEN 'weak' ELSE 'passed' END AS reason FROM d""")
+def detector_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = H.diagnostics(user_days(spark, sf_dir), ["user_id"], "v", "n", "busy")
+    return d.select("user_id", "detector", "n", F.round("r", 6).alias("r"), "reason")
+
+
+@query(f"""WITH {UD_SQL}, x AS (SELECT user_id, day, v, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s, count(v) OVER w AS k FROM ud WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 29 PRECEDING)), z AS (SELECT user_id, day, CASE WHEN k >= 5 AND s > 0 THEN (v - m) / s END AS z FROM x)
+SELECT user_id, day, round(CASE WHEN z IS NULL THEN 50.0 ELSE greatest(0, least(100, 50 + 17.5 * z)) * 0.6 + greatest(0, least(100, 50 - 17.5 * z)) * 0.4 END, 4) AS score FROM z""")
+def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.kernels import score_from_z, weighted_mean
+
+    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(-29, 0)
+    d = user_days(spark, sf_dir).withColumn("z", H.z_of(F.col("v"), w))
+    return d.select("user_id", "day", F.round(weighted_mean([(score_from_z(F.col("z")), 0.6), (score_from_z(F.col("z"), True), 0.4)]), 4).alias("score"))
+
+
+@query(f"""WITH {UD_SQL}, p AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) AS top FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), c AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+g AS (SELECT user_id, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT user_id FROM ud))
+SELECT g.user_id, g.day, ud.v, p.top, c.clicks FROM g LEFT JOIN ud ON g.user_id = ud.user_id AND g.day = ud.day LEFT JOIN p ON g.user_id = p.user_id AND g.day = p.day LEFT JOIN c ON g.user_id = c.user_id AND g.day = c.day""")
+def day_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row per calendar day: left joins on one partitioning."""
+    from tessera.operators.joins import left_ladder
+
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    days = user_days(spark, sf_dir).select("user_id", "day", "v")
+    top = e.filter("event_type = 'purchase'").groupBy("user_id", "day").agg(F.max("value").alias("top"))
+    clicks = e.filter("event_type = 'click'").groupBy("user_id", "day").agg(F.count("*").alias("clicks"))
+    spine = days.select("user_id").distinct().withColumn("day", F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-30')")))
+    return left_ladder(spine, [days, top, clicks], ["user_id", "day"])
