@@ -39,7 +39,7 @@ def html_text(html) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
     x = F.regexp_replace(x, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(x, r" ?\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(x, r" ?\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def truncate_sentences(text, sentences: int = 2, chars: int = 320) -> Column:
@@ -80,10 +80,15 @@ def plain_key(x) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(lit(x), F.lit(""))), r"[^a-z0-9]+", " "))
 
 
+def squeeze(x) -> Column:
+    """Lower case, trimmed, white space to single spaces."""
+    return F.regexp_replace(F.trim(F.lower(F.coalesce(lit(x), F.lit("")))), r"\s+", " ")
+
+
 def canonical_key(company, title, location, day) -> Column:
     """Half a SHA-256 of organisation, title, last part of the place and ISO week."""
-    place = F.element_at(F.split(F.coalesce(lit(location), F.lit("")), ","), -1)
-    parts = [plain_key(company), plain_key(title), plain_key(place), F.coalesce(iso_week(day), F.lit(""))]
+    place = F.coalesce(F.element_at(F.filter(F.transform(F.split(squeeze(location), ","), lambda p: F.trim(p)), lambda p: p != ""), -1), F.lit(""))
+    parts = [squeeze(company), squeeze(title), place, F.coalesce(iso_week(day), F.lit(""))]
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 

@@ -1 +1,326 @@
-"""Queries."""
+"""Migration-weather marts: windows, ten-year climatology, flags, condensed scores, feature pivot.
+
+Each mart is a function of DataFrames, driven by lists of metrics, so the whole chain is one
+logical plan. The queries map orders to sightings and line items to weather.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import kernels as K
+from tessera.functions.text import slug
+from tessera.operators import windows as W
+from tessera.operators.joins import full_combine
+
+from .registry import query, table
+
+ENTITY = ["bird", "arrival_year", "location_name"]
+DAILY = ["daily_mean", "rainfall_intensity", "sunshine_duration_minutes", "aligned_wind"]
+COUNTS = {"num_days_aligned_wind_5_plus": "p_aligned_wind_5_plus", "num_days_rain_10mm_plus": "p_rain_10mm_plus", "num_days_moderate_rain": "p_moderate_rain"}
+INSECT = ["tmean", "tmin", "tmax", "precip", "srad"]
+WARM = ["warm10", "warm15", "warm20", "warm_anomaly", "optimal_insect_day"]
+
+
+# --- staging -------------------------------------------------------------------------------------------
+
+
+def locations(seed: DataFrame) -> DataFrame:
+    """Accent-free keys and the first word of the type."""
+    return seed.withColumns({"location_name": slug(F.col("location_name")), "country": F.lower(F.replace("country", F.lit(" "), F.lit("_"))), "location_type": F.get(F.split(F.lower("type"), " "), F.lit(0))}).drop("type")
+
+
+def legs(places: DataFrame) -> DataFrame:
+    """A stop with two headings becomes two legs that share its window; only the first has an insect start."""
+    both = F.col("migration_direction_arrival") != F.col("migration_direction_departure")
+    half = F.ceil((F.col("weather_check_start") - F.col("weather_check_end") + 1) / 2)
+    keep = ["location_name", "bird", "location_type", "order_nr"]
+    first = places.select(*keep, F.col("weather_check_start").cast("long"), F.when(both, F.col("weather_check_start") - half + 1).otherwise(F.col("weather_check_end")).cast("long").alias("weather_check_end"), (F.col("weather_check_start") + 14).cast("long").alias("insect_check_start"), F.col("migration_direction_arrival").alias("migration_direction"))
+    second = places.filter(both).select(*keep, (F.col("weather_check_start") - half).cast("long").alias("weather_check_start"), F.col("weather_check_end").cast("long"), F.lit(None).cast("long").alias("insect_check_start"), F.col("migration_direction_departure").alias("migration_direction"))
+    return first.unionByName(second)
+
+
+def arrival_periods(sightings: DataFrame, stops: DataFrame) -> DataFrame:
+    """One row per day before an arrival at each stop, in chunks of three or four days."""
+    s = sightings.select(F.replace(F.lower("common_name"), F.lit(" "), F.lit("_")).alias("bird"), F.col("year").alias("arrival_year"), F.to_date("observation_date").alias("_d"), F.col("status").alias("arrival_status"))
+    j = s.join(stops, "bird")
+    back = lambda c: F.date_sub("_d", F.col(c).cast("int"))
+    start, end = back("weather_check_start"), back("weather_check_end")
+    first = F.coalesce(back("insect_check_start"), start)
+    days = F.when(first <= end, F.sequence(first, end))  # a window that ends before it starts has no days
+    rows = j.withColumn("_s", start).withColumn("weather_date", F.explode(days)).withColumn("insect_relevant_date", F.col("weather_date") < F.col("_s"))
+    chunk = W.balanced_chunk([*ENTITY, "insect_relevant_date"], "weather_date")
+    kind = F.when(F.col("insect_relevant_date"), "insect").otherwise("weather")
+    rows = rows.withColumn("chunk_id", F.concat_ws("_", "bird", "arrival_year", "location_name", kind, chunk))
+    return rows.select(*ENTITY, "location_type", "migration_direction", "arrival_status", "weather_date", "insect_relevant_date", "chunk_id")
+
+
+def historical_periods(periods: DataFrame, years: int = 10) -> DataFrame:
+    return W.year_shifts(periods, "weather_date", "arrival_year", years)
+
+
+# --- core ----------------------------------------------------------------------------------------------
+
+
+def base_rolling(periods: DataFrame, weather: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Daily metrics of the weather days, their three-row means and counts, and the day's place in its chunk."""
+    keys, order = [*ENTITY, *extra], "weather_date"
+    w = weather.withColumnRenamed("date", "weather_date")
+    j = periods.filter(~F.col("insect_relevant_date")).join(w, ["bird", "weather_date", "location_name"], "left")
+    j = j.select(
+        *keys, "weather_date", "chunk_id", ((F.col("temperature_2m_max") + F.col("temperature_2m_min")) / 2).alias("daily_mean"),
+        K.rain_intensity(F.col("precipitation_sum"), F.col("precipitation_hours")).alias("rainfall_intensity"), (F.col("sunshine_duration") / 60).alias("sunshine_duration_minutes"),
+        K.aligned_wind(F.col("wind_speed_10m_max"), F.col("wind_direction_10m_dominant"), F.col("migration_direction")).alias("aligned_wind"), (F.col("precipitation_sum") >= 10).alias("rain_10mm_plus_day"),
+    )
+    rolled = {f"{m}_rolling": W.rolling(F.col(m), F.avg, keys, order, 3) for m in DAILY}
+    rolled |= {f"{n}_rolling": W.rolling_count_if(c, keys, order, 3) for n, c in zip(COUNTS, _count_tests(), strict=True)}
+    return j.withColumns(rolled).withColumn("day_idx", F.row_number().over(W.ordered([*keys, "chunk_id"], order)))
+
+
+def _count_tests() -> list[Column]:
+    return [F.col("aligned_wind") >= 5, F.col("rain_10mm_plus_day"), F.col("rainfall_intensity") >= 1]
+
+
+def totals(base: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
+    """Means of the daily metrics and counts of days by the keys."""
+    return base.groupBy(*keys).agg(*[F.avg(m).alias(f"{m}{suffix}") for m in DAILY], *[F.count_if(c).alias(f"{n}{suffix}") for n, c in zip(COUNTS, _count_tests(), strict=True)])
+
+
+def over_years(yearly: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean and sample deviation across years: `<metric>_10yr_avg`, `<metric>_10yr_sd`."""
+    return yearly.groupBy(*keys).agg(*[f(m).alias(f"{m}_10yr_{s}") for m in metrics for f, s in ((F.avg, "avg"), (F.stddev_samp, "sd"))])
+
+
+def compare(now: DataFrame, history: DataFrame, keys: Sequence[str], metrics: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """ratio, delta, z and flag of each metric; the deviations ride along, so one join does."""
+    j = now.join(history, list(keys))
+    out: list[Column] = []
+    for m in metrics:
+        x, mean, sd = F.col(m), F.col(f"{m}_10yr_avg"), F.col(f"{m}_10yr_sd")
+        z = K.z_value(x, mean, sd)
+        out += [x.alias(f"{m}_arrival"), mean.alias(f"{m}_hist"), K.ratio(x, mean).alias(f"{m}_ratio"), K.delta(x, mean).alias(f"{m}_delta"), z.alias(f"{m}_z"), K.z_flag(z, sd).alias(f"{m}_flag")]
+    return j.select(*keys, *[c for c in keep if c not in keys], *out)
+
+
+def flags_of(compared: DataFrame) -> DataFrame:
+    return compared.select([c for c in compared.columns if not c.endswith(("_arrival", "_hist", "_ratio", "_delta", "_z"))])
+
+
+def daily_marts(base: DataFrame, history: DataFrame) -> DataFrame:
+    """Daily flags of rolling means and shares of the three-day counts."""
+    metrics = [f"{m}_rolling" for m in DAILY] + list(COUNTS.values())
+    share = {p: F.col(f"{n}_rolling") / 3 for n, p in COUNTS.items()}
+    keys = [*ENTITY, "chunk_id", "day_idx"]
+    return compare(base.withColumns(share), over_years(history.withColumns(share), keys, metrics), keys, metrics, ["weather_date"])
+
+
+# --- scores --------------------------------------------------------------------------------------------
+
+
+def half_peak(flag: str) -> Column:
+    """Half the mean flag and half its peak-emphasis mean."""
+    return 0.5 * F.avg(flag) + 0.5 * K.peak_emphasis_mean(F.col(flag))
+
+
+SCORES = {"temp_score": ("daily_mean", 1, "slow"), "sun_score": ("sunshine_duration_minutes", 1, "slow"), "wind_alignment_score": ("aligned_wind", 1, "fast"), "aligned_wind_5plus_score": ("num_days_aligned_wind_5_plus", 1, "fast"), "rain_intensity_score": ("rainfall_intensity", -1, "fast"), "rain_10mm_plus_score": ("num_days_rain_10mm_plus", -1, "fast"), "moderate_rain_score": ("num_days_moderate_rain", -1, "fast")}
+WEIGHTS = {"slow": (0.50, 0.30, 0.20), "fast": (0.30, 0.35, 0.35)}
+
+
+def condensed(daily: DataFrame, chunk: DataFrame, period: DataFrame) -> DataFrame:
+    """Period, chunk and daily scores in one: chunks weigh by their days, and a missing grain makes a score NULL."""
+    metrics = [*DAILY, *COUNTS]
+    name = {m: f"{m}_rolling_flag" if m in DAILY else f"{COUNTS[m]}_flag" for m in metrics}
+    d = daily.groupBy(*ENTITY).agg(*[half_peak(name[m]).alias(f"d_{m}") for m in metrics])
+    joined = daily.select(*ENTITY, "chunk_id").join(chunk, "chunk_id")
+    c = joined.groupBy(*ENTITY).agg(*[half_peak(f"{m}_flag").alias(f"c_{m}") for m in metrics])
+    p = period.groupBy(*ENTITY).agg(*[F.avg(f"{m}_flag").alias(f"p_{m}") for m in metrics])
+    scores = [K.blend([(w, sign * F.col(f"{g}_{m}")) for w, g in zip(WEIGHTS[kind], "pcd", strict=True)]).alias(s) for s, (m, sign, kind) in SCORES.items()]
+    return full_combine([d, c, p], ENTITY).select(*ENTITY, *scores)
+
+
+def insect_base(periods: DataFrame, weather: DataFrame, extra: Sequence[str] = (), by_bird: bool = True) -> DataFrame:
+    """Warm, anomalous and optimal days. Without `by_bird` the weather of all species at a place joins (a known fan-out)."""
+    keys, on = [*ENTITY, *extra], ["weather_date", "location_name", *(["bird"] if by_bird else [])]
+    w = weather.withColumnRenamed("date", "weather_date")
+    w = w.select(*on, F.col("temperature_2m_mean").alias("tmean"), F.col("temperature_2m_min").alias("tmin"), F.col("temperature_2m_max").alias("tmax"), F.col("precipitation_sum").alias("precip"), F.col("shortwave_radiation_sum").alias("srad"))
+    j = periods.select(*keys, "weather_date", "chunk_id").join(w, on, "left")
+    p75 = j.filter("srad is not null").groupBy(*keys).agg(F.expr("percentile_disc(0.75) within group (order by srad)").alias("p75_srad"))
+    j = j.join(p75, keys, "left")
+    t = F.col("tmean")
+    j = j.withColumns({"warm10": t >= 10, "warm15": t >= 15, "warm20": t >= 20, "warm_anomaly": W.above_mean_plus_sd(t, keys), "optimal_insect_day": K.optimal_insect_day(t, F.col("precip"), F.col("srad"), F.col("p75_srad"))}).drop("p75_srad")
+    chunk = [*keys, "chunk_id"]
+    rolled = {f"{m}_rolling": W.rolling(F.col(m), F.avg, chunk, "weather_date", 3) for m in INSECT}
+    rolled |= {f"{m}_rolling": W.rolling_count_if(F.col(m), chunk, "weather_date", 3) / 3 for m in WARM}
+    return j.withColumns(rolled).withColumn("day_idx", F.row_number().over(W.ordered(chunk, "weather_date")))
+
+
+def insect_totals(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    mean = [F.avg(m).alias(f"{m}_avg") for m in INSECT if m != "precip"]
+    return base.groupBy(*keys).agg(*mean, F.sum("precip").alias("precip_total"), *[F.count_if(F.col(m)).alias(f"{m.replace('_day', '')}_days") for m in WARM])
+
+
+INSECT_CHUNK = {"tmean": "tmean_avg", "tmin": "tmin_avg", "tmax": "tmax_avg", "precip": "precip_total", "srad": "srad_avg", "warm10": "warm10_days", "warm15": "warm15_days", "warm20": "warm20_days", "warm_anomaly": "warm_anomaly_days", "optimal": "optimal_insect_days"}
+#: Weights of chunk and daily scores; rain is inverted.
+INSECT_WEIGHTS = {"tmean": (0.6, 0.4), "tmin": (0.6, 0.4), "tmax": (0.6, 0.4), "precip": (-0.5, -0.5), "srad": (0.5, 0.5), "warm10": (0.5, 0.5), "warm15": (0.5, 0.5), "warm20": (0.5, 0.5), "warm_anomaly": (0.6, 0.4), "optimal": (0.6, 0.4)}
+
+
+def insect_scores(daily: DataFrame, chunk: DataFrame) -> DataFrame:
+    """Ten condensed scores and the presence score in [-2, 2]."""
+    flag = {m: f"{'optimal_insect_day' if m == 'optimal' else m}_rolling_flag" for m in INSECT_CHUNK}
+    d = daily.groupBy(*ENTITY).agg(*[half_peak(flag[m]).alias(f"d_{m}") for m in INSECT_CHUNK])
+    c = daily.select(*ENTITY, "chunk_id").join(chunk, "chunk_id").groupBy(*ENTITY).agg(*[half_peak(f"{c}_flag").alias(f"c_{m}") for m, c in INSECT_CHUNK.items()])
+    j = d.join(c, ENTITY, "full").select(*ENTITY, *[(a * F.col(f"c_{m}") + b * F.col(f"d_{m}")).alias(m) for m, (a, b) in INSECT_WEIGHTS.items()])
+    return j.withColumn("insect_presence_score", K.insect_presence({m: F.col(m) for m in INSECT_CHUNK}))
+
+
+def extended(unified: DataFrame, sightings: DataFrame, places: DataFrame, only_normal: bool = False) -> DataFrame:
+    """Scores with the sighting's day, the species' median day and the arrival z-score."""
+    f = sightings.select(F.replace(F.lower("common_name"), F.lit(" "), F.lit("_")).alias("bird"), F.col("year").alias("arrival_year"), "status", F.to_date("observation_date").alias("first_sighting_date"))
+    if only_normal:
+        f = f.filter("status = 'normal'")
+    f = f.withColumn("actual_day_of_year", F.dayofyear("first_sighting_date"))
+    s = f.groupBy("bird").agg(F.expr("percentile_disc(0.5) within group (order by actual_day_of_year)").alias("median_day_of_year"), F.stddev_samp("actual_day_of_year").alias("_sd"))
+    j = unified.join(f, ["bird", "arrival_year"]).join(s, "bird").join(places.select("bird", "location_name", "location_type", F.col("order_nr").alias("location_order_nr")), ["bird", "location_name"])
+    median = F.date_add(F.make_date(F.year("first_sighting_date"), F.lit(1), F.lit(1)), (F.col("median_day_of_year") - 1).cast("int"))
+    return j.withColumn("median_sighting_date_adjusted", median).withColumn("arrival_z_score", K.arrival_z(F.col("actual_day_of_year"), F.col("median_day_of_year"), F.col("_sd"))).drop("_sd")
+
+
+FEATURES = [*SCORES, "insect_presence_score"]
+SITES = {1: "winter", 2: "stop1", 3: "stop2", 4: "arrival"}
+
+
+def year_features(ext: DataFrame) -> DataFrame:
+    """One row per species and year: eight scores at each of four sites."""
+    wide = [F.max(F.when(F.col("location_order_nr") == n, F.col(f))).alias(f"{s}_{f.replace('presence_', '')}") for n, s in SITES.items() for f in FEATURES]
+    return ext.groupBy("bird", "arrival_year").agg(F.max("arrival_z_score").alias("arrival_z_score"), *wide)
+
+
+def early_arrivals(sightings: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Status of each first sighting: more than thirty days before the species' median day is early, then by earlier sightings.
+
+    earlier: (species_code, submission_id, observation_date); those in the month before count, per sighting.
+    """
+    day = F.dayofyear(F.make_date(F.lit(2000), F.month("observation_date"), F.day("observation_date")))
+    s = sightings.withColumn("_doy", day)
+    median = s.select("common_name", "_doy").distinct().groupBy("common_name").agg(F.percentile("_doy", 0.5).alias("_median"))
+    before = earlier.select(F.col("species_code").alias("_c"), F.col("submission_id").alias("_s"), F.to_date("observation_date").alias("_d"))
+    first = F.to_date("observation_date")
+    near = (F.col("_d") < first) & (F.col("_d") >= F.add_months(first, -1))
+    j = s.join(median, "common_name").join(before, (F.col("species_code") == F.col("_c")) & near, "left")
+    g = j.groupBy(*sightings.columns, "_doy", "_median").agg(F.count("_s").alias("_n"), F.count_if(F.col("_s") == F.col("submission_id")).alias("_own"))
+    enough = F.col("count") >= F.when(F.col("common_name") == "white_stork", 2).otherwise(5)
+    status = (
+        F.when(F.col("_doy") >= F.col("_median") - 30, "normal").when((F.col("_n") == 0) & F.col("is_reviewed") & enough, "confirmed_early").when(F.col("_n") == 0, "possible_early")
+        .when((F.col("_own") > 0) & (F.col("_n") > 1), "probable_overwintering").when(F.col("_own") > 0, "possible_overwintering").otherwise(F.col("status"))
+    )
+    return g.withColumn("status", status).drop("_doy", "_median", "_n", "_own")
+
+
+def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame) -> dict[str, DataFrame]:
+    """Every mart by name, lazily."""
+    places = locations(seed)
+    periods = arrival_periods(sightings, legs(places))
+    past = historical_periods(periods)
+    base, base_past = base_rolling(periods, weather), base_rolling(past, weather, ["effective_year"])
+    metrics = [*DAILY, *COUNTS]
+    grain = {}
+    for name, keys in (("chunk", ["chunk_id"]), ("period", ENTITY)):
+        yearly = totals(base_past, [*keys, "effective_year"], "")
+        grain[name] = compare(totals(base, keys, ""), over_years(yearly, keys, metrics), keys, metrics)
+    daily = daily_marts(base, base_past)
+    condensed_scores = condensed(flags_of(daily), flags_of(grain["chunk"]), flags_of(grain["period"]))
+    insects, insects_past = insect_base(periods, weather, by_bird=False), insect_base(past, weather, ["effective_year"])
+    keys = [*ENTITY, "chunk_id", "day_idx"]
+    rolled = [f"{m}_rolling" for m in [*INSECT, *WARM]]
+    insect_daily = compare(insects, over_years(insects_past, keys, rolled), keys, rolled, ["weather_date"])
+    chunked = list(INSECT_CHUNK.values())
+    insect_chunk = compare(insect_totals(insects, ["chunk_id"]), over_years(insect_totals(insects_past, ["chunk_id", "effective_year"]), ["chunk_id"], chunked), ["chunk_id"], chunked)
+    presence = insect_scores(flags_of(insect_daily), flags_of(insect_chunk))
+    unified = condensed_scores.join(presence.select(*ENTITY, "insect_presence_score"), ENTITY, "left")
+    ext = extended(unified, sightings, places)
+    return {
+        "locations": places, "periods": periods, "historical_periods": past, "base_rolling": base, "comparison_daily": daily, "comparison_chunk": grain["chunk"], "comparison_period": grain["period"],
+        "condensed": condensed_scores, "insect_comparison_daily": insect_daily, "insect_comparison_chunk": insect_chunk, "insect_scores": presence, "unified": unified, "extended_all": ext,
+        "extended_confirmed": extended(unified, sightings, places, True), "features_all": year_features(ext), "features_confirmed": year_features(extended(unified, sightings, places, True)),
+    }
+
+
+# --- over the driver's tables --------------------------------------------------------------------------
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Return flags as species at four sites each, their sightings by year, and weather from ship days."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    day = x.groupBy("flag", "date").agg(F.avg("l_quantity").alias("q"), (F.avg("l_extendedprice") / 1000).alias("p"), (F.avg("l_discount") * 100).alias("d"), (F.avg("l_tax") * 100).alias("t"))
+    sites = spark.range(1, 5).select(F.col("id").cast("int").alias("n"))
+    bird = F.concat(F.lit("Bird "), F.col("flag"))
+    key = F.lower(F.replace(bird, F.lit(" "), F.lit("_")))
+    weather = day.join(F.broadcast(sites)).select(
+        key.alias("bird"), F.concat(F.lit("site_"), F.col("n")).alias("location_name"), "date", (F.col("q") / 2 + F.col("n")).alias("temperature_2m_mean"), (F.col("q") / 2 - 3).alias("temperature_2m_min"),
+        (F.col("q") / 2 + 6).alias("temperature_2m_max"), F.col("d").alias("precipitation_sum"), (F.col("n") * 2.0).alias("precipitation_hours"), (F.col("p") * 60).alias("sunshine_duration"),
+        (F.col("t") + F.col("n") + 0.0003).alias("wind_speed_10m_max"), (F.col("p") * 5).alias("wind_direction_10m_dominant"), (F.col("p") / 4).alias("shortwave_radiation_sum"),
+    )
+    seed = x.select("flag").distinct().join(F.broadcast(sites)).select(
+        key.alias("bird"), F.concat(F.lit("Site "), F.col("n")).alias("location_name"), F.lit("Some Land").alias("country"), F.lit("Stopover site").alias("type"), F.col("n").alias("order_nr"),
+        (F.col("n") * 5 + 20).cast("long").alias("weather_check_start"), (F.col("n") * 5).cast("long").alias("weather_check_end"), (F.col("n") * 40).cast("long").alias("migration_direction_arrival"),
+        F.when(F.col("n") == 2, 10).otherwise(F.col("n") * 40).cast("long").alias("migration_direction_departure"),
+    )
+    years = spark.range(1999, 2002).select(F.col("id").cast("int").alias("year"))
+    sightings = x.select("flag").distinct().join(F.broadcast(years)).select(
+        bird.alias("common_name"), "year", F.date_add(F.make_date(F.col("year"), F.lit(5), F.lit(1)), F.ascii("flag") % 20 + F.col("year") % 7).alias("observation_date"), F.lit("normal").alias("status"),
+    )
+    return sightings, seed, weather
+
+
+def _sql_inputs() -> str:
+    return """day AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS q, avg(l_extendedprice) / 1000 AS p, avg(l_discount) * 100 AS d, avg(l_tax) * 100 AS t FROM lineitem GROUP BY 1, 2),
+sites AS (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS n), weather AS (SELECT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, date, (q / 2 - 3 + q / 2 + 6) / 2 AS daily_mean, coalesce(d / nullif(n * 2.0, 0), 0) AS rain, p AS sun, t + n + 0.0003 AS speed, p * 5 AS direction, d >= 10 AS rain10 FROM day, sites),
+legs AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, n * 5 + 20 AS a, CASE WHEN n = 2 THEN n * 5 + 20 - 11 + 1 ELSE n * 5 END AS b, n * 5 + 34 AS i, n * 40 AS h FROM day, sites UNION ALL SELECT DISTINCT lower(concat('bird_', flag)), 'site_2', 30 - 11, 10, NULL, 10 FROM day),
+seen AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, y AS arrival_year, make_date(y, 5, 1) + CAST(ascii(flag) % 20 + y % 7 AS INTEGER) AS obs FROM day, (SELECT unnest([1999, 2000, 2001]) AS y)),
+al AS (SELECT *, CAST(unnest(generate_series(obs - CAST(coalesce(i, a) AS INTEGER), obs - CAST(b AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS wd, obs - CAST(a AS INTEGER) AS ws FROM seen JOIN legs USING (bird)),
+nm AS (SELECT *, wd < ws AS ins, row_number() OVER (PARTITION BY bird, arrival_year, location_name, wd < ws ORDER BY wd) AS rn, count(*) OVER (PARTITION BY bird, arrival_year, location_name, wd < ws) AS n FROM al),
+per AS (SELECT bird, arrival_year, location_name, h, wd, ins, concat_ws('_', bird, arrival_year, location_name, CASE WHEN ins THEN 'insect' ELSE 'weather' END, CAST(CASE WHEN n <= 4 THEN 1 ELSE ceil(rn / ceil(n / CASE WHEN n % 3 = 1 THEN (n - 1) / 3.0 ELSE ceil(n / 3.0) END)) END AS BIGINT)) AS chunk_id FROM nm),
+hist AS (SELECT bird, arrival_year, location_name, h, CAST(wd - to_years(CAST(k AS INTEGER)) AS DATE) AS wd, ins, chunk_id, arrival_year - k AS ey FROM per, (SELECT unnest(generate_series(1, 10)) AS k)),
+nb AS (SELECT p.bird, p.arrival_year, p.location_name, p.wd, p.chunk_id, daily_mean, coalesce(rain, 0) AS rain, sun, speed * cos((direction - h) * pi() / 180) AS wind, rain10 FROM per p LEFT JOIN weather w ON p.bird = w.bird AND p.wd = w.date AND p.location_name = w.location_name WHERE NOT ins),
+hb AS (SELECT p.bird, p.arrival_year, p.location_name, p.wd, p.chunk_id, ey, daily_mean, coalesce(rain, 0) AS rain, sun, speed * cos((direction - h) * pi() / 180) AS wind, rain10 FROM hist p LEFT JOIN weather w ON p.bird = w.bird AND p.wd = w.date AND p.location_name = w.location_name WHERE NOT ins)"""
+
+
+_PERIOD = """SELECT bird, arrival_year, location_name{ey}, avg(daily_mean) AS m1, avg(rain) AS m2, avg(sun) AS m3, avg(wind) AS m4, CAST(count_if(wind >= 5) AS DOUBLE) AS m5, CAST(count_if(rain10) AS DOUBLE) AS m6, CAST(count_if(rain >= 1) AS DOUBLE) AS m7 FROM {t} GROUP BY ALL"""
+_OUT = list(zip([*DAILY, *COUNTS], [f"m{i}" for i in range(1, 8)], strict=True))
+
+
+@query(
+    f"""WITH {_sql_inputs()}, np AS ({_PERIOD.format(ey='', t='nb')}), hy AS ({_PERIOD.format(ey=', ey', t='hb')}),
+hp AS (SELECT bird, arrival_year, location_name, {', '.join(f'avg({m}) AS {m}_a, stddev_samp({m}) AS {m}_s' for _, m in _OUT)} FROM hy GROUP BY ALL)
+SELECT np.bird, CAST(np.arrival_year AS BIGINT) AS arrival_year, np.location_name, {', '.join(f"round({m} - {m}_a, 5) AS {n}_delta, CASE WHEN {m}_s < 1e-9 THEN 0.0 ELSE round(({m} - {m}_a) / {m}_s, 5) END AS {n}_z" for n, m in _OUT)} FROM np JOIN hp USING (bird, arrival_year, location_name)"""
+)
+def migration_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Period grain: arrival window against the same window of the ten years before."""
+    p = build(*inputs(spark, sf_dir))["comparison_period"]
+    j = []
+    for m in [*DAILY, *COUNTS]:
+        j += [F.round(f"{m}_delta", 5).alias(f"{m}_delta"), F.round(F.coalesce(f"{m}_z", F.when(F.col(f"{m}_flag") == 0, 0.0)), 5).alias(f"{m}_z")]
+    return p.select("bird", F.col("arrival_year").cast("long").alias("arrival_year"), "location_name", *j)
+
+
+@query(f"""WITH {_sql_inputs()} SELECT bird, CAST(arrival_year AS BIGINT) AS arrival_year, location_name, wd AS weather_date, ins AS insect_relevant_date, chunk_id FROM per""")
+def migration_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging: expanded days in balanced chunks, both legs of a two-heading stop."""
+    p = build(*inputs(spark, sf_dir))["periods"]
+    return p.select("bird", F.col("arrival_year").cast("long").alias("arrival_year"), "location_name", "weather_date", "insect_relevant_date", "chunk_id")
+
+
+@query()
+def migration_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: one row per species and year with thirty-two features."""
+    return build(*inputs(spark, sf_dir))["features_all"]
+
+
+@query()
+def migration_daily_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags_of(build(*inputs(spark, sf_dir))["comparison_daily"])
+
+

@@ -1 +1,73 @@
-"""Queries."""
+"""Posting pipeline: normalise, gate, key, score, select."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.kernels import combined_score
+from tessera.operators import placement as P
+from tessera.sources import postings as N
+
+from .registry import query, table
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as postings of every vendor in turn."""
+    p = table(spark, sf_dir, "part")
+    vendors = F.array(*map(F.lit, N.VENDORS))
+    vendor = F.element_at(vendors, (F.col("p_partkey") % len(N.VENDORS) + 1).cast("int"))
+    name, place = F.col("p_name"), F.concat(F.lit("Berlin, Germany"), F.when(F.col("p_size") > 25, " (Remote)").otherwise(""))
+    fields = {
+        "id": F.col("p_partkey"), "title": name, "name": name, "text": name, "position": name, "jobTitle": name, "content": F.concat(F.lit("<p>"), F.col("p_type"), F.lit("</p>")),
+        "description": F.concat(F.lit("<p>"), F.col("p_type"), F.lit("</p>")), "absolute_url": F.concat(F.lit("https://x.example/"), F.col("p_partkey")), "url": F.concat(F.lit("https://x.example/"), F.col("p_partkey")),
+        "company_name": F.col("p_brand"), "company": F.col("p_brand"), "createdAt": F.lit(1785566725000), "updated_at": F.lit("2026-08-01"), "categories": F.struct(place.alias("location")),
+    }
+    located = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], F.struct(place.alias("name"), place.alias("country")).alias("location")))
+    flat = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], place.alias("location")))
+    return p.select(vendor.alias("vendor"), F.when(vendor.isin("greenhouse", "workable"), located).otherwise(flat).alias("payload"), F.col("p_brand").alias("company_name"), F.lit("parts").alias("mission_category"), F.lower(F.col("p_brand")).alias("ats_slug"))
+
+
+@query()
+def posting_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thirty-one vendors to one shape."""
+    return N.normalize_all(payloads(spark, sf_dir))
+
+
+@query("""SELECT 'greenhouse' AS source, CAST(p_partkey AS VARCHAR) AS source_job_id, p_name AS title, concat('https://x.example/', p_partkey) AS url, concat('Berlin, Germany', CASE WHEN p_size > 25 THEN ' (Remote)' ELSE '' END) AS location_text, p_size > 25 AS is_remote, p_type AS description_text, '2026-08-01' AS posted_at_hint FROM part WHERE p_partkey % 31 = 0""")
+def greenhouse_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = N.normalize(payloads(spark, sf_dir).filter("vendor = 'greenhouse'"), "greenhouse")
+    return out.select("source", "source_job_id", "title", "url", "location_text", "is_remote", "description_text", "posted_at_hint")
+
+
+_RULES = """CASE WHEN n_nationkey % 4 = 0 THEN 'Remote (EU)' WHEN n_nationkey % 4 = 1 THEN 'United States (Remote)' WHEN n_nationkey % 4 = 2 THEN n_name ELSE 'Anywhere' END"""
+
+
+@query(f"""WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS n, lower({_RULES}) AS loc FROM nation),
+c AS (SELECT n, loc, regexp_matches(loc, 'united states') AS us, regexp_matches(loc, 'eu|germany|france|united kingdom') AS eu, regexp_matches(loc, 'canada|india') AS other, regexp_matches(loc, 'anywhere') AS anywhere FROM p)
+SELECT n, CASE WHEN anywhere THEN true WHEN eu THEN true WHEN us OR other THEN false ELSE true END AS fit FROM c""")
+def hire_region_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey") % 4
+    place = F.when(k == 0, "Remote (EU)").when(k == 1, "United States (Remote)").when(k == 2, F.col("n_name")).otherwise("Anywhere")
+    c = P.constraints(F.lit("Engineer"), place, F.lit(""))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), P.region_fit(c, ["EU"]).alias("fit"))
+
+
+@query("""WITH p AS (SELECT p_brand AS employer, p_size > 48 AS r, p_container FROM (SELECT p_brand, p_size, CASE p_partkey % 50 WHEN 0 THEN 'Paris, France' ELSE 'Austin, USA' END AS p_container FROM part WHERE p_partkey <= 300))
+SELECT employer, CAST(count(*) AS BIGINT) AS postings, CAST(count_if(r OR p_container LIKE '%France%') AS BIGINT) AS eu_or_remote, CASE WHEN count_if(r OR p_container LIKE '%France%') > 0 THEN 'keep' WHEN count(*) < 3 THEN 'undecided' ELSE 'demote' END AS verdict FROM p GROUP BY 1""")
+def employer_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").filter("p_partkey <= 300").select(F.col("p_brand").alias("employer"), (F.col("p_size") > 48).alias("is_remote"), F.when(F.col("p_partkey") % 50 == 0, "Paris, France").otherwise("Austin, USA").alias("location"))
+    return P.footprint(p, "employer")
+
+
+@query("""WITH j AS (SELECT o_orderkey, concat('K', o_orderkey) AS job_key, CAST(o_custkey AS VARCHAR) AS company_name, o_orderpriority AS title, CAST(round(0.4 * (o_orderkey % 100) + 0.35 * (o_custkey % 100) + 0.25 * (o_orderkey % 37), 6) AS DOUBLE) AS s, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS ok FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY company_name, title ORDER BY s DESC, job_key) AS rn FROM j WHERE s >= 60 AND ok = 1 AND o_orderkey % 7 <> 0)
+SELECT job_key, company_name, title, s AS score FROM f WHERE rn = 1 ORDER BY s DESC, company_name, title LIMIT 30""")
+def posting_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, gates with three-valued logic, sent keys out, one per organisation and title, top n."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    score = F.round(combined_score(k % 100, F.col("o_custkey") % 100, k % 37), 6)
+    ok = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
+    jobs = o.select(F.concat(F.lit("K"), k).alias("job_key"), F.col("o_custkey").cast("string").alias("company_name"), F.col("o_orderpriority").alias("title"), score.alias("combined_score"), ok.alias("remote_ok"), ok.alias("region_ok"))
+    sent = o.filter("o_orderkey % 7 = 0").select(F.concat(F.lit("k"), k).alias("job_key"))
+    return P.digest(jobs, sent, 60.0, 30).select("job_key", "company_name", "title", F.col("combined_score").alias("score"))

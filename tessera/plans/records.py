@@ -19,7 +19,7 @@ def title_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.title_gate(F.col("p_type"), INCLUDE, EXCLUDE, SENIOR)[1].alias("reason"))
 
 
-@query("""SELECT o_orderkey, substr(sha256(concat_ws('|', trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), concat(isoyear(o_orderdate), '-W', lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0')))), 1, 32) AS key
+@query("""SELECT o_orderkey, substr(sha256(concat_ws('|', lower(c_name), lower(o_orderpriority), lower(n_name), concat(isoyear(o_orderdate), '-W', lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0')))), 1, 32) AS key
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 5 = 0""")
 def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
@@ -28,7 +28,7 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("o_orderkey", T.canonical_key(F.col("c_name"), F.col("o_orderpriority"), place, F.to_date("o_orderdate")).alias("key"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'gis'), '<br\\s*/?>|</(p|div|li|tr|h[1-6])\\s*>', chr(10), 'gi'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t]+', ' ', 'g'), ' ?\\n\\s*', chr(10), 'g')) AS text FROM pages""")
+@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'gis'), '<br\\s*/?>|</(p|div|li|tr|h[1-6])\\s*>', chr(10), 'gi'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t]+', ' ', 'g'), ' ?\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
