@@ -288,7 +288,7 @@ nb AS (SELECT p.bird, p.arrival_year, p.location_name, p.wd, p.chunk_id, daily_m
 hb AS (SELECT p.bird, p.arrival_year, p.location_name, p.wd, p.chunk_id, ey, daily_mean, coalesce(rain, 0) AS rain, sun, speed * cos((direction - h) * pi() / 180) AS wind, rain10 FROM hist p LEFT JOIN weather w ON p.bird = w.bird AND p.wd = w.date AND p.location_name = w.location_name WHERE NOT ins)"""
 
 
-_PERIOD = """SELECT bird, arrival_year, location_name{ey}, avg(daily_mean) AS m1, avg(rain) AS m2, avg(sun) AS m3, avg(wind) AS m4, CAST(count_if(wind >= 5) AS DOUBLE) AS m5, CAST(count_if(rain10) AS DOUBLE) AS m6, CAST(count_if(rain >= 1) AS DOUBLE) AS m7 FROM {t} GROUP BY ALL"""
+_PERIOD = """SELECT bird, arrival_year, location_name{ey}, avg(daily_mean) AS m1, avg(rain) AS m2, avg(sun) AS m3, avg(wind) AS m4, CAST(count(CASE WHEN wind >= 5 THEN 1 END) AS DOUBLE) AS m5, CAST(count(CASE WHEN rain10 THEN 1 END) AS DOUBLE) AS m6, CAST(count(CASE WHEN rain >= 1 THEN 1 END) AS DOUBLE) AS m7 FROM {t} GROUP BY ALL"""
 _OUT = list(zip([*DAILY, *COUNTS], [f"m{i}" for i in range(1, 8)], strict=True))
 
 
