@@ -41,7 +41,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     return (
         full.groupBy("_len", "text_sha256")
-        .agg(F.max("_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", "_id").alias("n_keep"))
+        .agg(F.max("_id").alias("keep_id"), F.sum("n").alias("group_size"), F.coalesce(F.max_by("n", "_id"), F.sum("n")).alias("n_keep"))
         .filter("group_size > 1")
     )
 

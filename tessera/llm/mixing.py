@@ -68,7 +68,7 @@ def solve_multipliers(histogram: DataFrame, targets: DataFrame, most: int = MOST
     for step in range(steps):
         rate = _rate(F.col("m"), F.col("size"), F.col("_mean"), most)
         words = F.col("size") * F.col("n")
-        slope = F.when(rate < most, words * rate * F.col("size") / F.col("_mean")).otherwise(0.0)
+        slope = F.when(rate < most, F.coalesce(F.try_divide(words * rate * F.col("size"), F.col("_mean")), F.lit(0.0))).otherwise(0.0)
         keep = [F.first(c).alias(c) for c in ("target", "_mean", "m", "lo", "hi")]
         state = histogram.join(state, "_key").groupBy("_key").agg(F.sum(words * rate).alias("_got"), F.sum(slope).alias("_slope"), *keep)
         state = state.withColumn("_over", F.col("_got") - F.col("target"))
