@@ -167,7 +167,7 @@ def clean_answer(x) -> Column:
     """Leading numbering and quotes off, first sentence."""
     bare = F.regexp_replace(F.trim(lit(x)), r"^(?:\(?\d+[.)]|[-*•])\s*", "")
     bare = F.regexp_replace(bare, r"^[\"'“”]+|[\"'“”]+$", "")
-    return F.regexp_extract(bare, r"^(.*?[.!?])(?:\s|$)|^(.*)$", 0)
+    return F.trim(F.regexp_extract(bare, r"^(.*?[.!?])(?:\s|$)|^(.*)$", 0))
 
 
 def looks_like_posting(first_line, text) -> Column:
