@@ -56,7 +56,8 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 def tercile_contrast(df: DataFrame, keys: Sequence[str], x: str, y: str, low: float = 0.33, high: float = 0.66) -> DataFrame:
     """Mean of y where x is in its lower and in its upper third, and their difference."""
-    cuts = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_c"))
+    cut = F.percentile(x, F.array(F.lit(low), F.lit(high)))
+    cuts = df.groupBy(*keys).agg(F.transform(cut, lambda c: F.round(c, 9)).alias("_c"))  # a cut that falls on a value takes it
     joined = df.join(cuts, list(keys))
     bottom = F.avg(F.when(F.col(x) <= F.col("_c")[0], F.col(y)))
     top = F.avg(F.when(F.col(x) >= F.col("_c")[1], F.col(y)))

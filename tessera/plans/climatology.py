@@ -33,8 +33,8 @@ yearly AS (SELECT nation, bucket, y, avg(r) AS m FROM rolled GROUP BY 1, 2, 3),
 clim AS (SELECT nation, bucket, avg(m) AS mean, stddev_samp(m) AS sd FROM yearly WHERE y < 2001 GROUP BY 1, 2),
 j AS (SELECT x.nation, x.day, x.n, x.r, c.mean, c.sd, (x.r - c.mean) / nullif(c.sd, 0) AS z
       FROM rolled x JOIN clim c ON x.nation = c.nation AND x.bucket = c.bucket WHERE x.y = 2001)
-SELECT CAST(nation AS BIGINT) AS nation, day, CAST(n AS BIGINT) AS n, round(r, 3) AS rolled, round(mean, 3) AS mean, round(sd, 3) AS sd,
-       round(r / nullif(mean, 0), 6) AS ratio, round(r - mean, 3) AS delta, round(z, 6) AS z,
+SELECT CAST(nation AS BIGINT) AS nation, day, CAST(n AS BIGINT) AS n, round(r, 7) AS rolled, round(mean, 7) AS mean, round(sd, 7) AS sd,
+       round(r / nullif(mean, 0), 6) AS ratio, round(r - mean, 7) AS delta, round(z, 6) AS z,
        CAST(CASE WHEN sd IS NULL THEN NULL WHEN sd = 0 THEN 0.0 WHEN abs(z) >= 2 THEN 2.0 * sign(z) WHEN abs(z) >= 1 THEN 1.0 * sign(z) ELSE 0.0 END AS DOUBLE) AS flag
 FROM j"""
 )
@@ -49,6 +49,6 @@ def climatology_zflag_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, mean, sd = F.col("r"), F.col("mean"), F.col("sd")
     z = z_value(r, mean, sd)
     return both.select(
-        F.col("nation").cast("long"), "day", "n", F.round(r, 3).alias("rolled"), F.round(mean, 3).alias("mean"), F.round(sd, 3).alias("sd"),
-        F.round(ratio(r, mean), 6).alias("ratio"), F.round(delta(r, mean), 3).alias("delta"), F.round(z, 6).alias("z"), z_flag(z, sd).alias("flag"),
+        F.col("nation").cast("long"), "day", "n", F.round(r, 7).alias("rolled"), F.round(mean, 7).alias("mean"), F.round(sd, 7).alias("sd"),
+        F.round(ratio(r, mean), 6).alias("ratio"), F.round(delta(r, mean), 7).alias("delta"), F.round(z, 6).alias("z"), z_flag(z, sd).alias("flag"),
     )

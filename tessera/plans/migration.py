@@ -6,7 +6,7 @@ logical plan. The queries map orders to sightings and line items to weather.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,20 +219,20 @@ def early_arrivals(sightings: DataFrame, earlier: DataFrame) -> DataFrame:
     return g.withColumn("status", status).drop("_doy", "_median", "_n", "_own")
 
 
-def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame) -> dict[str, DataFrame]:
-    """Every mart by name, lazily."""
+def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> dict[str, DataFrame]:
+    """Every mart by name, lazily; tables that several marts read go through `keep`."""
     places = locations(seed)
-    periods = arrival_periods(sightings, legs(places))
+    periods = keep(arrival_periods(sightings, legs(places)))
     past = historical_periods(periods)
-    base, base_past = base_rolling(periods, weather), base_rolling(past, weather, ["effective_year"])
+    base, base_past = keep(base_rolling(periods, weather)), keep(base_rolling(past, weather, ["effective_year"]))
     metrics = [*DAILY, *COUNTS]
     grain = {}
     for name, keys in (("chunk", ["chunk_id"]), ("period", ENTITY)):
         yearly = totals(base_past, [*keys, "effective_year"], "")
         grain[name] = compare(totals(base, keys, ""), over_years(yearly, keys, metrics), keys, metrics)
-    daily = daily_marts(base, base_past)
+    daily = keep(daily_marts(base, base_past))
     condensed_scores = condensed(flags_of(daily), flags_of(grain["chunk"]), flags_of(grain["period"]))
-    insects, insects_past = insect_base(periods, weather, by_bird=False), insect_base(past, weather, ["effective_year"])
+    insects, insects_past = keep(insect_base(periods, weather, by_bird=False)), keep(insect_base(past, weather, ["effective_year"]))
     keys = [*ENTITY, "chunk_id", "day_idx"]
     rolled = [f"{m}_rolling" for m in [*INSECT, *WARM]]
     insect_daily = compare(insects, over_years(insects_past, keys, rolled), keys, rolled, ["weather_date"])

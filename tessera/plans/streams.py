@@ -36,10 +36,10 @@ def stream_daily_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through(spark, S.daily_totals(_events(spark, sf_dir), ["user_id"], "ts", "value")).select("user_id", "day", F.round("total", 4).alias("total"), "n")
 
 
-@query("""SELECT event_type, date_trunc('hour', ts) AS hour, round(avg(value), 6) AS mean, round(max(value), 6) AS high FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+@query("""SELECT event_type, date_trunc('hour', ts) AS hour, round(avg(value), 9) AS mean, round(max(value), 6) AS high FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _through(spark, S.hourly_means(_events(spark, sf_dir), ["event_type"], "ts", "value"))
-    return out.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), F.round("mean", 6).alias("mean"), F.round("high", 6).alias("high"))
+    return out.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), F.round("mean", 9).alias("mean"), F.round("high", 6).alias("high"))
 
 
 @query("""SELECT DISTINCT event_id, user_id FROM events""")

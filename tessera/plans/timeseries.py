@@ -231,11 +231,11 @@ def corr_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balances(spark, sf_dir).groupBy("nation").agg(n, r, tier).withColumn("r", F.round("r", 6))
 
 
-@query(f"""WITH {_OC}, q AS (SELECT nation, quantile_cont(x, 0.33) AS a, quantile_cont(x, 0.66) AS b FROM oc GROUP BY 1)
-SELECT CAST(oc.nation AS BIGINT) AS nation, round(avg(CASE WHEN x <= a THEN y END), 3) AS low_mean, round(avg(CASE WHEN x >= b THEN y END), 3) AS high_mean, round(avg(CASE WHEN x >= b THEN y END) - avg(CASE WHEN x <= a THEN y END), 3) AS contrast FROM oc JOIN q ON oc.nation = q.nation GROUP BY 1""")
+@query(f"""WITH {_OC}, q AS (SELECT nation, round(quantile_cont(x, 0.33), 9) AS a, round(quantile_cont(x, 0.66), 9) AS b FROM oc GROUP BY 1)
+SELECT CAST(oc.nation AS BIGINT) AS nation, round(avg(CASE WHEN x <= a THEN y END), 7) AS low_mean, round(avg(CASE WHEN x >= b THEN y END), 7) AS high_mean, round(avg(CASE WHEN x >= b THEN y END) - avg(CASE WHEN x <= a THEN y END), 7) AS contrast FROM oc JOIN q ON oc.nation = q.nation GROUP BY 1""")
 def tercile_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = S.tercile_contrast(balances(spark, sf_dir), ["nation"], "x", "y")
-    return t.select("nation", *[F.round(c, 3).alias(c) for c in ("low_mean", "high_mean", "contrast")])
+    return t.select("nation", *[F.round(c, 7).alias(c) for c in ("low_mean", "high_mean", "contrast")])
 
 
 @query(f"""WITH {_OC}, r AS (SELECT nation, x, y, rank() OVER (PARTITION BY nation ORDER BY x) + (count(*) OVER (PARTITION BY nation, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY nation ORDER BY y) + (count(*) OVER (PARTITION BY nation, y) - 1) / 2.0 AS ry FROM oc)
