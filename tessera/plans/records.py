@@ -173,3 +173,23 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = report(table(spark, sf_dir, "labels").select(F.col("toxic").alias("label"), F.col("quality").alias("predicted")))
     return r.select(F.col("class").cast("long").alias("class"), F.col("support"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query()
+def career_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages by how much they look like careers pages."""
+    from tessera.operators.rules import career_links as links
+
+    return links(table(spark, sf_dir, "pages"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_totalprice % 3 >= 1.5 OR o_orderkey % 7 = 0 OR o_orderstatus = 'P'""")
+def needs_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Never scored, changed since, or with a missing flag."""
+    from tessera.operators.rules import needs_scoring as due
+
+    day = F.col("o_orderdate").cast("timestamp")
+    scored = F.when(F.col("o_totalprice") % 3 < 1.5, day)
+    changed = F.when(F.col("o_orderkey") % 7 == 0, F.timestamp_add("DAY", F.lit(1), day)).otherwise(day)
+    flag = F.when(F.col("o_orderstatus") != "P", 1)
+    return table(spark, sf_dir, "orders").filter(due(scored, changed, [flag], day, day, day, None)).select("o_orderkey")

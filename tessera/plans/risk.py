@@ -132,3 +132,22 @@ def recurrence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = d.agg((F.max("y") - F.min("y") + 1).alias("span"))
     counts = years.groupBy("region").agg(F.count("*").alias("event_years"))
     return counts.join(F.broadcast(span)).select("region", "event_years", F.round(F.col("span") / F.col("event_years"), 6).alias("interval_years"))
+
+
+@query()
+def weather_outlooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of eight-date sums and maxima against scaled monthly anchors, as JSON."""
+    from tessera.operators.rules import outlooks
+
+    d = region_days(spark, sf_dir).withColumn("temperature", F.col("ndvi") * 50)
+    anchors = L.monthly_climatology(d, ["precipitation", "temperature", "discharge"])
+    return outlooks(d, anchors).select("region", "date", F.to_json("outlook").alias("outlook"))
+
+
+@query(f"""WITH {RD_SQL}, s AS (SELECT region, date, precipitation > 100 AS a, discharge > 40000 AS b, hotspots AS c FROM rd) SELECT region, date, CASE WHEN c > 0 AND c >= a::INT AND c >= b::INT THEN CASE WHEN a::INT = c THEN 'flood' ELSE 'fire' END WHEN a THEN 'flood' WHEN b THEN 'drought' ELSE 'flood' END AS focus FROM s""")
+def hazard_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest score with an explicit order of ties."""
+    from tessera.operators.rules import argmax_with_ties
+
+    d = region_days(spark, sf_dir)
+    return d.select("region", "date", argmax_with_ties({"flood": (F.col("precipitation") > 100).cast("int"), "fire": F.col("hotspots"), "drought": (F.col("discharge") > 40000).cast("int")}).alias("focus"))

@@ -150,3 +150,36 @@ def day_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = e.filter("event_type = 'click'").groupBy("user_id", "day").agg(F.count("*").alias("clicks"))
     spine = days.select("user_id").distinct().withColumn("day", F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-30')")))
     return left_ladder(spine, [days, top, clicks], ["user_id", "day"])
+
+
+@query(f"""WITH {_BASE} SELECT user_id, day, CASE WHEN dv > 20 THEN 'positive' WHEN dv < -20 THEN 'negative' ELSE 'neutral' END AS sleep, CASE WHEN dn < -1 THEN 'positive' WHEN dn > 1 THEN 'negative' ELSE 'neutral' END AS heart FROM d""")
+def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.rules import direction
+
+    d = deltas(spark, sf_dir)
+    none = F.lit(None).cast("double")
+    return d.select("user_id", "day", direction(F.lit("sleep_minutes"), F.col("dv"), none).alias("sleep"), direction(F.lit("rhr_bpm"), F.col("dn"), none).alias("heart"))
+
+
+@query("""WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, value AS minutes, value * 1.2 AS tss, CAST(event_id % 130 AS DOUBLE) AS effort, event_type AS sport, CAST(event_id AS VARCHAR) AS name FROM events),
+w AS (SELECT * FROM a WHERE day > DATE '2024-01-23' AND day <= DATE '2024-01-30'), d AS (SELECT user_id, day, sum(tss) AS t, max(effort) AS e FROM w GROUP BY 1, 2), h AS (SELECT user_id, CAST(count_if(CASE WHEN e < 50 THEN t ELSE least(t, e) END > 100) AS BIGINT) AS hard_days FROM d GROUP BY 1),
+r AS (SELECT user_id, DATE '2024-01-30' - day - row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS b FROM (SELECT DISTINCT user_id, day FROM a WHERE day < DATE '2024-01-30' AND day >= DATE '2024-01-16')), s AS (SELECT user_id, CAST(least(count_if(b = 0), 14) AS BIGINT) AS s FROM r GROUP BY 1)
+SELECT w.user_id, round(sum(minutes), 5) AS total_minutes, max(hard_days) AS hard_days, coalesce(max(s), 0) AS days_since_rest, CAST(count(DISTINCT sport) AS BIGINT) AS sports FROM w JOIN h USING (user_id) LEFT JOIN s USING (user_id) GROUP BY 1""")
+def training_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last seven days of each user in one row."""
+    from tessera.operators import rules as R
+
+    i = F.col("event_id")
+    a = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.col("value").alias("minutes"), (F.col("value") * 1.2).alias("tss"), (i % 130).cast("double").alias("effort"), F.col("event_type").alias("sport"), i.cast("string").alias("name"))
+    w = R.training_week(a, ["user_id"], "day", F.lit("2024-01-30").cast("date"), digits=5)
+    return w.select("user_id", "total_minutes", "hard_days", F.col("days_since_rest").cast("long").alias("days_since_rest"), F.size("sport_mix").cast("long").alias("sports"))
+
+
+@query("""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value > 0 AND (hour(ts) >= 22 OR hour(ts) < 6)),
+g AS (SELECT user_id, max(n) AS n, min(value) AS low, avg(CASE WHEN i <= greatest(1, n // 6) THEN value END) AS onset FROM s GROUP BY 1) SELECT user_id, CASE WHEN n >= 3 THEN round(-0.5 * low + 2 * greatest(0, onset - low), 6) END AS nocturnal_index FROM g""")
+def nocturnal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.kernels import in_band
+    from tessera.operators.rules import nocturnal_index as index
+
+    e = table(spark, sf_dir, "events").filter(in_band(F.hour("ts"), 22, 6)).select("user_id", F.struct("ts", "event_id").alias("at"), "value")
+    return index(e, ["user_id"], "at", "value").withColumn("nocturnal_index", F.round("nocturnal_index", 6))
