@@ -22,8 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the scratch tables made so far; only once the results that read them are stored."""
+    done = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -67,6 +67,49 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_substring_dedup, op4_mix_sources, op5_warc_round_trip, op6_personal_data, op7_pack_sequences, op8_toxicity, op9_ngram_jaccard_join, op10_exact_dedup)}
 
 ORACLES = {
+    "op1_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, p, hash(substr(h, 2 * p - 1, 400)) AS k, hash(substr(h, 2 * p - 1, 400) || 'x') AS m
+                   FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 199)) AS p FROM d)),
+             r AS (SELECT doc_id, p FROM w WHERE (k, m) IN (SELECT (k, m) FROM w GROUP BY k, m HAVING count(*) > 1)),
+             b AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM r),
+             i AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p - q > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM b),
+             s AS (SELECT doc_id, g, min(p) AS a, max(p) + 199 AS z FROM i GROUP BY 1, 2),
+             k AS (SELECT d.doc_id, d.h, s.a, s.z, coalesce(lag(s.z) OVER (PARTITION BY d.doc_id ORDER BY s.a), 0) AS before FROM d LEFT JOIN s ON d.doc_id = s.doc_id),
+             t AS (SELECT doc_id, any_value(h) AS h, coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a), '') AS kept, coalesce(max(z), 0) AS z, coalesce(sum(z - a + 1), 0) AS gone, count(a) AS n FROM k GROUP BY 1)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, n AS n_spans, sha256(unhex(kept || substr(h, 2 * z + 1))) AS kept_sha256 FROM t""",
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                             WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+             r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+             c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+        SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component_id AS kept FROM c LEFT JOIN n ON node = a""",
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n, w FROM d),
+             s AS (SELECT doc_id, i, word, CASE WHEN i + 19 <= n THEN array_to_string(list_slice(w, i, i + 19), ' ') END AS k FROM x),
+             f AS (SELECT *, CASE WHEN k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS dup FROM s),
+             g AS (SELECT *, max(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+             t AS (SELECT doc_id, sum(gone) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op5_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+             m AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1),
+             j AS (SELECT p.*, first, list_transform(range(8), lambda i: CAST('0x' || substr(x, 5 * i + 1, 5) AS BIGINT)) AS parts FROM p JOIN m USING (h))
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(parts, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 10) % 32 + 1, 1)
+                 || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM j""",
+    "op9_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS t FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+             r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a)
+        SELECT node AS doc_id, coalesce(max(n), 0) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = node GROUP BY 1""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -262,3 +262,14 @@ def test_pipeline(spark, sf_dir):
 
 def test_query_names():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [q for n in range(1, 11) for q in queries.QUERIES if q.startswith(f"op{n}_")]
+
+
+def test_scratch_tables_go(spark):
+    from tessera.llm.common import drop_scratch, written
+
+    df = written(spark.range(3).toDF("x"), "gone")
+    assert df.count() == 3
+    path = df.inputFiles()[0]
+    assert drop_scratch(spark) >= 1
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(path.rsplit("/", 1)[0]).count()
