@@ -7,6 +7,7 @@ logical plan. The queries map orders to sightings and line items to weather.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,33 +220,102 @@ def early_arrivals(sightings: DataFrame, earlier: DataFrame) -> DataFrame:
     return g.withColumn("status", status).drop("_doy", "_median", "_n", "_own")
 
 
-def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> dict[str, DataFrame]:
-    """Every mart by name, lazily; tables that several marts read go through `keep`."""
-    places = locations(seed)
-    periods = keep(arrival_periods(sightings, legs(places)))
-    past = historical_periods(periods)
-    base, base_past = keep(base_rolling(periods, weather)), keep(base_rolling(past, weather, ["effective_year"]))
-    metrics = [*DAILY, *COUNTS]
-    grain = {}
-    for name, keys in (("chunk", ["chunk_id"]), ("period", ENTITY)):
-        yearly = totals(base_past, [*keys, "effective_year"], "")
-        grain[name] = compare(totals(base, keys, ""), over_years(yearly, keys, metrics), keys, metrics)
-    daily = keep(daily_marts(base, base_past))
-    condensed_scores = condensed(flags_of(daily), flags_of(grain["chunk"]), flags_of(grain["period"]))
-    insects, insects_past = keep(insect_base(periods, weather, by_bird=False)), keep(insect_base(past, weather, ["effective_year"]))
-    keys = [*ENTITY, "chunk_id", "day_idx"]
-    rolled = [f"{m}_rolling" for m in [*INSECT, *WARM]]
-    insect_daily = compare(insects, over_years(insects_past, keys, rolled), keys, rolled, ["weather_date"])
-    chunked = list(INSECT_CHUNK.values())
-    insect_chunk = compare(insect_totals(insects, ["chunk_id"]), over_years(insect_totals(insects_past, ["chunk_id", "effective_year"]), ["chunk_id"], chunked), ["chunk_id"], chunked)
-    presence = insect_scores(flags_of(insect_daily), flags_of(insect_chunk))
-    unified = condensed_scores.join(presence.select(*ENTITY, "insect_presence_score"), ENTITY, "left")
-    ext = extended(unified, sightings, places)
-    return {
-        "locations": places, "periods": periods, "historical_periods": past, "base_rolling": base, "comparison_daily": daily, "comparison_chunk": grain["chunk"], "comparison_period": grain["period"],
-        "condensed": condensed_scores, "insect_comparison_daily": insect_daily, "insect_comparison_chunk": insect_chunk, "insect_scores": presence, "unified": unified, "extended_all": ext,
-        "extended_confirmed": extended(unified, sightings, places, True), "features_all": year_features(ext), "features_confirmed": year_features(extended(unified, sightings, places, True)),
-    }
+class Marts:
+    """Every mart by name, planned when it is first asked for; tables that several marts read go through `keep`."""
+
+    def __init__(self, sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Callable[[DataFrame], DataFrame]):
+        self.sightings, self.seed, self.weather, self.keep = sightings, seed, weather, keep
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        return locations(self.seed)
+
+    @cached_property
+    def periods(self) -> DataFrame:
+        return self.keep(arrival_periods(self.sightings, legs(self.locations)))
+
+    @cached_property
+    def historical_periods(self) -> DataFrame:
+        return historical_periods(self.periods)
+
+    @cached_property
+    def base_rolling(self) -> DataFrame:
+        return self.keep(base_rolling(self.periods, self.weather))
+
+    @cached_property
+    def historical_base_rolling(self) -> DataFrame:
+        return self.keep(base_rolling(self.historical_periods, self.weather, ["effective_year"]))
+
+    def _grain(self, keys: list[str]) -> DataFrame:
+        metrics = [*DAILY, *COUNTS]
+        yearly = totals(self.historical_base_rolling, [*keys, "effective_year"], "")
+        return compare(totals(self.base_rolling, keys, ""), over_years(yearly, keys, metrics), keys, metrics)
+
+    @cached_property
+    def comparison_chunk(self) -> DataFrame:
+        return self._grain(["chunk_id"])
+
+    @cached_property
+    def comparison_period(self) -> DataFrame:
+        return self._grain(ENTITY)
+
+    @cached_property
+    def comparison_daily(self) -> DataFrame:
+        return self.keep(daily_marts(self.base_rolling, self.historical_base_rolling))
+
+    @cached_property
+    def condensed(self) -> DataFrame:
+        return condensed(flags_of(self.comparison_daily), flags_of(self.comparison_chunk), flags_of(self.comparison_period))
+
+    @cached_property
+    def insect_rolling(self) -> DataFrame:
+        return self.keep(insect_base(self.periods, self.weather, by_bird=False))
+
+    @cached_property
+    def historical_insect_rolling(self) -> DataFrame:
+        return self.keep(insect_base(self.historical_periods, self.weather, ["effective_year"]))
+
+    @cached_property
+    def insect_comparison_daily(self) -> DataFrame:
+        keys, rolled = [*ENTITY, "chunk_id", "day_idx"], [f"{m}_rolling" for m in [*INSECT, *WARM]]
+        return compare(self.insect_rolling, over_years(self.historical_insect_rolling, keys, rolled), keys, rolled, ["weather_date"])
+
+    @cached_property
+    def insect_comparison_chunk(self) -> DataFrame:
+        metrics = list(INSECT_CHUNK.values())
+        past = over_years(insect_totals(self.historical_insect_rolling, ["chunk_id", "effective_year"]), ["chunk_id"], metrics)
+        return compare(insect_totals(self.insect_rolling, ["chunk_id"]), past, ["chunk_id"], metrics)
+
+    @cached_property
+    def insect_scores(self) -> DataFrame:
+        return insect_scores(flags_of(self.insect_comparison_daily), flags_of(self.insect_comparison_chunk))
+
+    @cached_property
+    def unified(self) -> DataFrame:
+        return self.condensed.join(self.insect_scores.select(*ENTITY, "insect_presence_score"), ENTITY, "left")
+
+    @cached_property
+    def extended_all(self) -> DataFrame:
+        return extended(self.unified, self.sightings, self.locations)
+
+    @cached_property
+    def extended_confirmed(self) -> DataFrame:
+        return extended(self.unified, self.sightings, self.locations, True)
+
+    @cached_property
+    def features_all(self) -> DataFrame:
+        return year_features(self.extended_all)
+
+    @cached_property
+    def features_confirmed(self) -> DataFrame:
+        return year_features(self.extended_confirmed)
+
+
+def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> Marts:
+    return Marts(sightings, seed, weather, keep)
 
 
 # --- over the driver's tables --------------------------------------------------------------------------
