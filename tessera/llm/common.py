@@ -19,7 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    # With its scheme, so that Python tasks open the same store as Spark.
+    return (f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
 
 
 _made: list[str] = []

@@ -39,7 +39,7 @@ _RECORD = "file string, offset long, size long, surt string, page_id long, recor
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 class _Sink:
