@@ -88,9 +88,15 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, tag, _text): the tag tells apart rows that share an id, or have none."""
+    text = text_of(text_col)
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.hash(text).alias("tag"), text.alias("_text"))
+
+
 def sketches(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n, fp, low, need, prefix) per row; fp identifies the set, the prefix is in hash order."""
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    """(_id, tag, n, fp, low, need, prefix) per row; fp and low identify the set, the prefix is in hash order."""
+    rows = keyed(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,11 +112,11 @@ def sketches(df: DataFrame, words: int, percent: int, id_col: str, text_col: str
                 low = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(value ^ np.uint64(0x5BD1E995)))])
                 need = np.array([least_shared(int(x), percent) if x else 0 for x in n], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_id").slice(first, last - first), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array((low[at[1:]] - low[at[:-1]]).view(np.int64)), pa.array(need), _lists(prefix, cut)],
-                    names=["_id", "n", "fp", "low", "need", "prefix"],
+                    [b.column("_id").slice(first, last - first), b.column("tag").slice(first, last - first), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array((low[at[1:]] - low[at[:-1]]).view(np.int64)), pa.array(need), _lists(prefix, cut)],
+                    names=["_id", "tag", "n", "fp", "low", "need", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "_id long, n int, fp long, low long, need int, prefix array<long>")
+    return rows.mapInArrow(run, "_id long, tag int, n int, fp long, low long, need int, prefix array<long>")
 
 
 class _Union:
@@ -227,9 +233,12 @@ def _group_links(rows: DataFrame, keys: list[str], value: str, enough_of) -> Dat
 def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, labels): rows (_id, n, fp, low, node), and (node, component) of the nodes that link."""
     sets = written(sketches(df, words, percent, id_col, text_col), "sets")
-    nodes = written(sets.filter("n > 0").groupBy("fp", "low").agg(F.min("_id").alias("_id"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    reps = sets.filter("n > 0").select("_id", "fp", "low", "need", "prefix").join(nodes.select("fp", "low", "node", "n", F.col("_id").alias("_rep")), ["fp", "low"])
-    reps = written(reps.filter(F.col("_id").eqNullSafe(F.col("_rep"))).dropDuplicates(["node"]).select("node", "n", "need", "prefix"), "prefixes")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "tag")).alias("r")
+    nodes = sets.filter("n > 0").groupBy("fp", "low").agg(first, F.first("n").alias("n")).select("fp", "low", "n", F.col("r._id").alias("_rid"), F.col("r.tag").alias("_rtag"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    reps = sets.filter("n > 0").select("_id", "tag", "fp", "low", "need", "prefix").join(nodes, ["fp", "low"])
+    reps = reps.filter(F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("tag") == F.col("_rtag")))
+    reps = written(reps.dropDuplicates(["node"]).select("node", "n", "need", "prefix"), "prefixes")
 
     tokens = reps.select("node", "need", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
@@ -253,9 +262,10 @@ def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: i
     near = _group_links(members.select("token", "_x", "_y", "_side", "node", "n", "prefix"), ["token", "_x", "_y"], "prefix", prefix_enough)
     families = written(connected_components(near), "families")
     sized = families.join(families.groupBy("component").agg(F.count("*").alias("held")), "component")
-    chosen = written(sized.join(nodes, "node").select(F.col("_id").alias("_fid"), "node", "component", "held", "fp", "low"), "members")
+    chosen = written(sized.join(nodes, "node").select("_rid", "_rtag", "node", "component", "held", "fp"), "members")
 
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).join(small_side(chosen), F.col("_id").eqNullSafe(F.col("_fid")))
+    own = (F.col("_id").eqNullSafe(F.col("_rid"))) & (F.col("tag") == F.col("_rtag"))
+    texts = keyed(df, id_col, text_col).join(small_side(chosen), own)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

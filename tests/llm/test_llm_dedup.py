@@ -121,6 +121,15 @@ def test_ngram_join_keeps_one(edge, edge_rows, nothing):
     assert ngram_join.keep_one(nothing).count() == 0
 
 
+def test_ngram_join_without_ids(spark):
+    """Texts without ids link like others: alone they have no component, with an id they take it."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, near), (None, near + " x"), (None, "quite another text of more than five words"), (9, near + " y"), (9, "other text under the same id, of ten words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.near_duplicates(df).collect())
+    assert got == [("9", 5, "9"), ("9", 57, "9"), ("None", 4, "None"), ("None", 56, "9"), ("None", 57, "9")]
+
+
 def test_least_shared_is_a_lower_tail():
     for n in (1, 5, 40, 300, 5000):
         assert 1 <= ngram_join.least_shared(n) <= ngram_join.prefix_length(n)
