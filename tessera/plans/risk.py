@@ -151,3 +151,14 @@ def hazard_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = region_days(spark, sf_dir)
     return d.select("region", "date", argmax_with_ties({"flood": (F.col("precipitation") > 100).cast("int"), "fire": F.col("hotspots"), "drought": (F.col("discharge") > 40000).cast("int")}).alias("focus"))
+
+
+@query(f"""WITH {RD_SQL}, d AS (SELECT region, year(date) AS y, month(date) AS m, precipitation AS p, ndvi * 50 - 12 AS t FROM rd), ys AS (SELECT region, y, sum(p) AS p, avg(t) AS t, count(CASE WHEN t < 0 THEN 1 END) AS f FROM d GROUP BY 1, 2),
+ms AS (SELECT region, m, sum(p) AS p, avg(t) AS t FROM d GROUP BY 1, 2), a AS (SELECT region, avg(p) AS p, avg(t) AS t, coalesce(avg(CASE WHEN f > 0 THEN f END), 0) AS f FROM ys GROUP BY 1), b AS (SELECT region, stddev_samp(t) AS s, sum(p) AS w FROM ms GROUP BY 1),
+c AS (SELECT ms.region, sum(abs(ms.p - w / 12)) / max(w) AS x FROM ms JOIN b USING (region) GROUP BY 1)
+SELECT region, round(p, 4) AS mean_annual_precip, round(t, 6) AS mean_annual_temp, round(f, 6) AS frost_days_per_year, round(s, 6) AS temperature_seasonality, round(x, 6) AS precip_seasonality FROM a JOIN b USING (region) JOIN c USING (region)""")
+def climate_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.activities import climate_descriptors as describe
+
+    d = describe(region_days(spark, sf_dir).withColumn("temperature", F.col("ndvi") * 50 - 12), "region")
+    return d.select("region", F.round("mean_annual_precip", 4).alias("mean_annual_precip"), *[F.round(c, 6).alias(c) for c in ("mean_annual_temp", "frost_days_per_year", "temperature_seasonality", "precip_seasonality")])
