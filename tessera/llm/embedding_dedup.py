@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -45,11 +45,16 @@ def _vectors(column: pa.ListArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _vector_of(df: DataFrame, column: str) -> Column:
+    """Floats stay floats, which halves what is shuffled; arithmetic is in double precision."""
+    return F.col(column) if dict(df.dtypes)[column] == "array<float>" else F.col(column).cast("array<double>")
+
+
 def points(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(label, vector, point, copies): distinct usable vectors of each label."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = df.select(F.col(id_col).cast("long").alias("point"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = df.select(F.col(id_col).cast("long").alias("point"), F.col(label_col).cast("string").alias("label"), _vector_of(df, vector_col).alias("vector"))
     usable = F.col("point").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
     return rows.filter(usable).groupBy("label", "vector").agg(F.min("point").alias("point"), F.count("*").alias("copies"))
 
@@ -71,7 +76,7 @@ def _keys(rows: DataFrame, passes: int, bits: int) -> DataFrame:
                 own = part.take(take)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(passes, dtype=np.int32), part.num_rows)), pa.array(keys.ravel()), *own.columns], names=["pass", "key", *own.schema.names])
 
-    return rows.mapInArrow(run, "pass int, key long, label string, dim int, point long, vector array<double>")
+    return rows.mapInArrow(run, f"pass int, key long, label string, dim int, point long, vector {dict(rows.dtypes)['vector']}")
 
 
 def _ordered_blocks(rows: DataFrame, window: int, block: int) -> DataFrame:
@@ -135,7 +140,7 @@ def _centres(members: DataFrame) -> DataFrame:
             width = int(np.diff(lists.offsets.to_numpy()).max())
             x = np.zeros((b.num_rows, width))
             for i, v in enumerate(lists):
-                v = np.array(v.values)
+                v = np.array(v.values, np.float64)
                 x[i, : len(v)] = v / np.linalg.norm(v)
             total = np.zeros((len(comp), width))
             np.add.at(total, inv, x)
@@ -151,7 +156,7 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     half = float(np.arccos(threshold) / 2 - 1e-7)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     # Blocks of equal size per component; small components share a block by their hash.
-    near = members.join(_centres(members), "component")
+    near = members.withColumn("vector", F.col("vector").cast("array<double>")).join(_centres(members), "component")
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("vector"), F.col("centre")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("centre"), F.col("centre"))))))
     near = written(near.withColumn("core", angle <= half).drop("centre"), "cores")
     sizes = near.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("in_core"), F.count("*").alias("held"))
@@ -198,7 +203,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = THRESHOLD, passes: int
     told = distinct.join(classes.withColumnRenamed("node", "point"), "point", "left").join(counted, "point", "left").select(
         "label", "vector", F.coalesce("component", "point").alias("_component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links")
     )
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("string").alias("label"), _vector_of(df, vector_col).alias("vector"))
     joined = rows.join(told, (rows.label == told.label) & (rows.vector == told.vector) & rows._id.isNotNull(), "left")
     component = F.coalesce("_component", "_id")
     return joined.select(F.col("_id").alias(id_col), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
