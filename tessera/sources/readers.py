@@ -25,15 +25,15 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_after(spark: SparkSession, path: str, header_starts: str, schema: str) -> DataFrame:
-    """A CSV whose header comes after some lines: what precedes it in the file is dropped.
+    """CSV files whose header comes after some lines: what precedes it is dropped.
 
-    The position of lines is the row index that the text source gives per file.
+    Files are read whole, one row each, since only then lines have an order; such exports are small.
     """
-    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_name")).withColumn("_at", F.col("_metadata.file_block_start"))
-    lines = lines.withColumn("_n", F.monotonically_increasing_id())
-    heads = lines.filter(F.col("value").startswith(header_starts)).groupBy("_file").agg(F.min("_n").alias("_head"))
-    body = lines.join(heads, "_file").filter((F.col("_n") > F.col("_head")) & (F.trim("value") != ""))
-    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
+    lines = F.split("value", r"\r?\n")
+    files = spark.read.text(path, wholetext=True).withColumn("_l", lines)
+    head = F.array_position(F.transform("_l", lambda x: x.startswith(header_starts)), True)
+    body = files.filter(head > 0).withColumn("line", F.explode(F.slice("_l", head + 1, F.size("_l")))).filter(F.trim("line") != "")
+    return body.select(F.from_csv("line", schema).alias("r")).select("r.*")
 
 
 def companies(spark: SparkSession, path: str) -> DataFrame:
