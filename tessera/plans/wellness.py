@@ -40,9 +40,9 @@ def magnitude_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, day, CASE WHEN s >= 1 OR g >= 2 THEN 'red' WHEN g = 1 OR l >= 2 THEN 'yellow' ELSE 'green' END AS state FROM c""")
 def health_state_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First match of the red, yellow and green rules, from counts of magnitudes."""
-    m = H.magnitude(F.col("metric"), F.col("delta"))
-    n = lambda name: F.count_if(m == name).alias(name)
-    c = long_deltas(spark, sf_dir).groupBy("user_id", "day").agg(n("strong"), n("significant"), n("mild"))
+    n = lambda name: F.count_if(F.col("m") == name).alias(name)
+    m = long_deltas(spark, sf_dir).select("user_id", "day", H.magnitude(F.col("metric"), F.col("delta")).alias("m"))
+    c = m.groupBy("user_id", "day").agg(n("strong"), n("significant"), n("mild"))
     no, zero = F.lit(False), F.lit(0.0)
     facts = {"strong": F.col("strong"), "significant": F.col("significant"), "mild": F.col("mild"), "illness": no, "load_ratio": zero, "ctl": zero, "patterns": F.array().cast("array<string>"), "hrv": F.lit("balanced"), "fatigue": F.lit("none"), "short_sleep": no, "since_rest": F.lit(0)}
     return c.select("user_id", "day", H.health_state(facts).alias("state"))
