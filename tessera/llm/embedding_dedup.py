@@ -36,6 +36,8 @@ PASSES = 8
 WINDOW = 32
 BLOCK = 2000
 BITS = 63
+#: Least number of blocks that small components share.
+LEAST_SHARED = 256
 
 
 def _vectors(column: pa.ListArray) -> np.ndarray:
@@ -167,7 +169,8 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     asking = sized.filter("not core").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("asks", F.lit(True))
     needed = sized.filter("not core").select("component").distinct()
     rows = held.join(needed, "component", "left_semi").unionByName(asking)
-    shared = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(256)).cast("long")).otherwise(F.col("component") + 256)
+    few = max(LEAST_SHARED, near.count() // block)  # grows with the members, so that what small components share stays about a block
+    shared = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(few)).cast("long")).otherwise(F.col("component") + few)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         point, links = [], []
