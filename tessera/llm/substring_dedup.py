@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .repeats import HOT, Unit, cover, keyed, repeated_spans, with_spans
+from .repeats import Unit, cover, keyed, repeated_spans, with_spans
 
 WORDS = 20
 K_GRAM = 5
+#: Occurrences of a k-gram up to which one automaton takes its contexts: about 17 KB each, so 340 MB at most.
+HOT = 20_000
 
 
 class SuffixAutomaton:
