@@ -13,7 +13,7 @@ sets are one node. Filters, each under another global order of the tokens:
    what passes the exact prefix bound joins one family.
 
 Whole sets are read for families only, and verified there. Groups and families beyond
-GROUP members are split into blocks that meet pairwise. Inside a task members already
+GROUP members or TOKENS tokens are split into blocks that meet pairwise. Inside a task members already
 connected are not compared again, and tasks emit spanning links only, so a group of m
 copies costs m rows, not m * m.
 
@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -41,6 +41,8 @@ from .graph import connected_components
 WORDS = 5
 PERCENT = 80
 GROUP = 4096
+#: Tokens of a block: about 50 bytes of working memory each, two blocks in a task.
+TOKENS = 4_000_000
 
 
 def overlap_bound(a, b, percent: int = PERCENT):
@@ -173,12 +175,17 @@ def spanning_links(tokens: np.ndarray, at: np.ndarray, sizes: np.ndarray, side:
     return links
 
 
-def in_blocks(rows: DataFrame, group: str, count: str, node: str, limit: int) -> DataFrame:
-    """Rows with a block pair: groups of at most `limit` are one; larger ones meet block by block.
+def blocks_of(held: str, tokens: str, limit: int, most: int) -> Column:
+    """Number of blocks of a group with so many members and tokens."""
+    return F.ceil(F.greatest(F.col(held) / limit, F.col(tokens) / most)).cast("int").alias("blocks")
+
+
+def in_blocks(rows: DataFrame, node: str) -> DataFrame:
+    """Rows with a block pair: groups of one block stay whole; larger ones meet block by block.
 
     Adds _x, _y (the pair of blocks) and _side (-1 if all members are to be compared, else the own block).
     """
-    blocks = F.ceil(F.col(count) / limit).cast("int")
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64(node), blocks).cast("int")
     meets = F.explode(F.sequence(F.lit(0), blocks - 1))
     rows = rows.withColumn("_own", own).withColumn("_other", meets)
@@ -230,7 +237,7 @@ def _group_links(rows: DataFrame, keys: list[str], value: str, enough_of) -> Dat
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: int = GROUP, block_tokens: int = TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, labels): rows (_id, n, fp, low, node), and (node, component) of the nodes that link."""
     sets = written(sketches(df, words, percent, id_col, text_col), "sets")
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "tag")).alias("r")
@@ -244,12 +251,13 @@ def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: i
     shared = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
     # Second order: rarest first, as far as partners must have met.
     per_node = tokens.join(shared, "token").groupBy("node", "need").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("t"))
-    kept = per_node.filter(F.size("t") >= F.col("need")).select("node", F.explode(F.expr("slice(t, 1, size(t) - need + 1)")).alias("t"))
-    kept = written(kept.select("node", F.col("t.token").alias("token")), "kept")
+    kept = per_node.filter(F.size("t") >= F.col("need")).select("node", "need", F.explode(F.expr("slice(t, 1, size(t) - need + 1)")).alias("t"))
+    kept = written(kept.select("node", "need", F.col("t.token").alias("token")), "kept")
     mark = F.xxhash64("node")
-    groups = kept.groupBy("token").agg(F.count("*").alias("held"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y")).filter("held > 1")
-    groups = groups.groupBy("held", "x", "y").agg(F.min("token").alias("token")).select("token", "held")  # equal groups once
-    members = in_blocks(kept.join(groups, "token"), "token", "held", "node", group).join(reps.select("node", "n", "prefix"), "node")
+    most = F.sum(2 * F.col("need") + 12).alias("tokens")  # no prefix is longer
+    groups = kept.groupBy("token").agg(F.count("*").alias("held"), most, F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y")).filter("held > 1")
+    groups = groups.groupBy("held", "tokens", "x", "y").agg(F.min("token").alias("token")).select("token", blocks_of("held", "tokens", group, block_tokens))  # equal groups once
+    members = in_blocks(kept.join(groups, "token"), "node").join(reps.select("node", "n", "prefix"), "node")
 
     def prefix_enough(n: np.ndarray, p: np.ndarray):
         def enough(i: int, j: np.ndarray, overlap: np.ndarray) -> np.ndarray:
@@ -260,9 +268,9 @@ def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: i
         return enough
 
     near = _group_links(members.select("token", "_x", "_y", "_side", "node", "n", "prefix"), ["token", "_x", "_y"], "prefix", prefix_enough)
-    families = written(connected_components(near), "families")
-    sized = families.join(families.groupBy("component").agg(F.count("*").alias("held")), "component")
-    chosen = written(sized.join(nodes, "node").select("_rid", "_rtag", "node", "component", "held", "fp"), "members")
+    families = written(connected_components(near).join(nodes, "node").select("component", "node", "n", "_rid", "_rtag", "fp"), "families")
+    sizes = families.groupBy("component").agg(F.count("*").alias("held"), F.sum("n").alias("tokens")).select("component", blocks_of("held", "tokens", group, block_tokens))
+    chosen = written(families.join(sizes, "component").select("_rid", "_rtag", "node", "component", "blocks", "fp"), "members")
 
     own = (F.col("_id").eqNullSafe(F.col("_rid"))) & (F.col("tag") == F.col("_rtag"))
     texts = keyed(df, id_col, text_col).join(small_side(chosen), own)
@@ -272,17 +280,17 @@ def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: i
             for first, last, data, offsets in K.text_slices(b.column("_text")):
                 value, at = slice_sets(data, offsets, words)
                 fp = K.range_hash(K.prefix_hash(value), at[:-1], at[1:]).view(np.int64)
-                own = [b.column(c).slice(first, last - first) for c in ("node", "component", "held", "fp")]
+                own = [b.column(c).slice(first, last - first) for c in ("node", "component", "blocks", "fp")]
                 same = pa.array(fp == own[3].to_numpy())  # an id that repeats with another text
-                out = pa.RecordBatch.from_arrays([*own[:3], pa.array(np.diff(at).astype(np.int32)), _lists(value, at)], names=["node", "component", "held", "n", "tokens"])
+                out = pa.RecordBatch.from_arrays([*own[:3], pa.array(np.diff(at).astype(np.int32)), _lists(value, at)], names=["node", "component", "blocks", "n", "tokens"])
                 yield out.filter(same)
 
-    full = texts.select("node", "component", "held", "fp", "_text").mapInArrow(whole, "node long, component long, held long, n int, tokens array<long>")
+    full = texts.select("node", "component", "blocks", "fp", "_text").mapInArrow(whole, "node long, component long, blocks int, n int, tokens array<long>")
 
     def full_enough(n: np.ndarray, _):
         return lambda i, j, overlap: 100 * overlap >= percent * (n[i] + n[j] - overlap)
 
-    blocked = in_blocks(full, "component", "held", "node", group).select("component", "_x", "_y", "_side", "node", "n", "tokens")
+    blocked = in_blocks(full, "node").select("component", "_x", "_y", "_side", "node", "n", "tokens")
     verified = _group_links(blocked, ["component", "_x", "_y"], "tokens", full_enough)
     return sets.select("_id", "n", "fp", "low").join(nodes.select("fp", "low", "node"), ["fp", "low"], "left"), connected_components(verified)
 

@@ -61,7 +61,7 @@ def test_suffix_tree_against_pairs():
             assert got.get(i, (0, 0)) == (lo, hi)
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 2])
 def test_substring(documents, hot):
     assert words_of(documents, hot=hot) == R.repeated_words(pairs(documents), 20)
 
@@ -94,10 +94,10 @@ def test_ngram_join(documents):
     assert near_of(documents) == R.near_documents(pairs(documents))
 
 
-@pytest.mark.parametrize("group", [4096, 2])
-def test_ngram_join_edges(edge, edge_rows, group):
-    """Also with groups cut into blocks of two."""
-    assert near_of(edge, group=group) == R.near_documents(edge_rows)
+@pytest.mark.parametrize("options", [{}, {"group": 2}, {"block_tokens": 100}])
+def test_ngram_join_edges(edge, edge_rows, options):
+    """Also with groups cut into blocks of two members, or of a hundred tokens."""
+    assert near_of(edge, **options) == R.near_documents(edge_rows)
 
 
 def test_ngram_join_random_families(spark):
