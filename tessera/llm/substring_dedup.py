@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .repeats import Unit, cover, keyed, repeated_spans, with_spans
+from .repeats import HOT, Unit, cover, keyed, repeated_spans, with_spans
 
 WORDS = 20
 K_GRAM = 5
-#: Occurrences of a k-gram up to which one automaton takes its contexts: about 17 KB each, so 340 MB at most.
-HOT = 20_000
+#: Contexts of one automaton: about 17 KB each, so 340 MB at most.
+SHARD = 20_000
 
 
 class SuffixAutomaton:
@@ -94,20 +94,26 @@ class SuffixAutomaton:
         return out
 
 
-def automaton_matcher(length: int):
-    """A matcher: for every context after the first, the words around the anchor that occurred before."""
+def automaton_matcher(length: int, shard: int = SHARD):
+    """A matcher: for every context after the first, the words around the anchor that occurred before.
+
+    Contexts beyond `shard` are further reference shards: one automaton is held at a time, and all
+    later contexts stream through it.
+    """
 
     def match(contexts: list[bytes], leads: list[int]) -> list[tuple[int, int, int]]:
-        automaton, found = SuffixAutomaton(), []
-        for i, (context, lead) in enumerate(zip(contexts, leads, strict=True)):
-            symbols = list(enumerate(context.split(), -lead))
-            if i:
-                ends = [e for e, size in enumerate(automaton.matching(symbols)) if size >= length]
+        m, found = len(contexts), {}
+        for begin in range(0, m - 1, shard):
+            automaton = SuffixAutomaton()
+            for i in range(begin, m):
+                symbols = list(enumerate(contexts[i].split(), -leads[i]))
+                ends = [e for e, size in enumerate(automaton.matching(symbols)) if size >= length] if i > begin else []
                 if ends:
-                    found.append((i, lead - ends[0] + length - 1, ends[-1] + 1 - lead))
-            if i + 1 < len(contexts):
-                automaton.add(symbols)
-        return found
+                    least, most = found.get(i, (ends[0], ends[-1]))
+                    found[i] = (min(least, ends[0]), max(most, ends[-1]))
+                if i < begin + shard and i + 1 < m:
+                    automaton.add(symbols)
+        return [(i, leads[i] - least + length - 1, most + 1 - leads[i]) for i, (least, most) in sorted(found.items())]
 
     return match
 

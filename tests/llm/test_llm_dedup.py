@@ -61,7 +61,7 @@ def test_suffix_tree_against_pairs():
             assert got.get(i, (0, 0)) == (lo, hi)
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT, 2])
+@pytest.mark.parametrize("hot", [100_000, 2])
 def test_substring(documents, hot):
     assert words_of(documents, hot=hot) == R.repeated_words(pairs(documents), 20)
 
@@ -90,6 +90,16 @@ def test_automaton():
         assert a.matching(list(q)) == [max((n for n in range(e + 2) if q[e + 1 - n : e + 1] in known), default=0) for e in range(len(q))]
 
 
+def test_automaton_shards():
+    """Small shards find what one automaton finds."""
+    rng = random.Random(4)
+    for _ in range(200):
+        words = lambda n: [rng.choice("abc") for _ in range(n)]
+        contexts = [" ".join([*words(5), "x", *words(5)]).encode() for _ in range(rng.randint(2, 12))]
+        leads = [5] * len(contexts)
+        assert substring_dedup.automaton_matcher(5, 2)(contexts, leads) == substring_dedup.automaton_matcher(5)(contexts, leads)
+
+
 def test_ngram_join(documents):
     assert near_of(documents) == R.near_documents(pairs(documents))
 
