@@ -6,6 +6,12 @@ point is compared with the next `window`. Order positions are global (range part
 their sizes), so windows run over partition borders. Pairs that reach the threshold, in
 double precision, are united across passes.
 
+What no pass brings together is found exactly. Points of a label are cut into blocks by
+their first hash bits; blocks meet pairwise, but for pairs that the triangle inequality of
+angles excludes (centres further apart than both radii and the threshold's angle) and pairs
+that lie in one component already. In a pair of blocks all cosines are taken, and points of
+different components that reach the threshold unite them.
+
 Links inside a component are then completed exactly. Around the component's mean direction,
 points within half the threshold's angle are linked to each other by the triangle inequality
 of angles, so they are counted and not compared; each point outside is compared with the
@@ -30,11 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import connected_components
+from .ngram_join import _Union
 
 THRESHOLD = 0.93
 PASSES = 8
 WINDOW = 32
 BLOCK = 2000
+#: Points of a block of the exact search.
+EXACT_BLOCK = 8192
 BITS = 63
 #: Least number of blocks that small components share.
 LEAST_SHARED = 256
@@ -130,6 +139,73 @@ def candidate_links(rows: DataFrame, threshold: float, passes: int, window: int,
     return blocks.select("pass", "label", "dim", "point", "vector", "at", "block").groupBy("block").applyInPandas(compare, "a long, b long")
 
 
+def _compare_components(threshold: float):
+    """Of a pair of blocks: spanning links (a, b) between components that hold points at the threshold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x = _vectors(table.column("vector").chunk(0))
+        comp, own = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        right = table.column("right").to_numpy()
+        p, q = (np.nonzero(~right)[0], np.nonzero(right)[0]) if right.any() else (np.arange(len(x)),) * 2
+        low = np.float32(threshold - 1.2e-7 * (x.shape[1] + 8))  # single precision proposes, double decides
+        small, union = x.astype(np.float32), _Union(len(comp))
+        others, links = small[q].T.copy(), []
+        for s in range(0, len(p), 256):
+            i, j = np.nonzero(small[p[s : s + 256]] @ others >= low)
+            i, j = p[s + i], q[j]
+            for c in range(0, len(i), 20_000):
+                up = union.roots()[own]
+                a, b = i[c : c + 20_000], j[c : c + 20_000]
+                apart = up[a] != up[b]
+                a, b = a[apart], b[apart]
+                near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                for r, t in np.unique(np.stack([own[a[near]], own[b[near]]], 1), axis=0):
+                    m, n = union.root(int(r)), union.root(int(t))
+                    if m != n:
+                        union.up[max(m, n)] = min(m, n)
+                        links.append((comp[r], comp[t]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def missed_links(distinct: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) of components (or single points) of one label that hold points at the threshold: exact."""
+    cells = ["label", "dim", "cell", "part"]
+    keyed = _keys(distinct.select("label", F.size("vector").alias("dim"), "point", "vector"), 1, BITS).drop("pass")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / block))).cast("int")
+    keyed = keyed.join(keyed.groupBy("label", "dim").agg(bits.alias("bits")), ["label", "dim"]).withColumn("cell", F.expr(f"shiftright(key, {BITS} - bits)")).drop("key", "bits")
+    keyed = written(keyed.join(classes.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point")), "cells")
+    parts = keyed.groupBy(*cells[:3]).agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = written(keyed.join(parts, cells[:3]).withColumn("part", F.pmod(F.xxhash64("point"), "parts")).drop("parts"), "placed")
+
+    def describe(table: pa.Table) -> pa.Table:
+        x = _vectors(table.combine_chunks().column("vector").chunk(0))
+        centre = x.sum(0)
+        long = np.linalg.norm(centre)
+        radius = float(np.arccos(np.clip(x @ (centre / long), -1, 1)).max()) if long > 0 else float(np.pi)
+        comp = table.column("component").to_numpy()
+        row = {"centre": [(centre / (long or 1.0)).tolist()], "radius": [radius], "least": [int(comp.min())], "most": [int(comp.max())]}
+        return pa.table(table.select(cells).slice(0, 1).to_pydict() | row, schema=pa.schema([*(table.schema.field(c) for c in cells), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("least", pa.int64()), ("most", pa.int64())]))
+
+    described = placed.select(*cells, "component", "vector").groupBy(*cells).applyInArrow(describe, "label string, dim int, cell long, part long, centre array<double>, radius double, least long, most long")
+    blocks = written(described, "blocks")
+    a, b = blocks.alias("a"), blocks.alias("b")
+    dot = F.aggregate(F.zip_with("a.centre", "b.centre", lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t)
+    meets = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot))) <= F.col("a.radius") + F.col("b.radius") + float(np.arccos(threshold)) + 1e-6
+    joined = (F.least("a.least", "b.least") != F.greatest("a.most", "b.most")) & ((F.struct("a.cell", "a.part") == F.struct("b.cell", "b.part")) | meets)
+    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.struct("a.cell", "a.part") <= F.struct("b.cell", "b.part")) & joined)
+    pairs = written(pairs.select("a.label", "a.dim", "a.cell", "a.part", F.col("b.cell").alias("cell2"), F.col("b.part").alias("part2")), "pairs")
+    keys = [*cells, "cell2", "part2"]
+    own = placed.select(*cells, "component", "vector")
+    left = own.join(pairs, cells).select(*keys, "component", "vector", F.lit(False).alias("right"))
+    apart = pairs.filter("cell != cell2 or part != part2")
+    other = own.withColumnsRenamed({"cell": "cell2", "part": "part2"}).join(apart, ["label", "dim", "cell2", "part2"]).select(*keys, "component", "vector", F.lit(True).alias("right"))
+    return left.unionByName(other).groupBy(*keys).applyInArrow(_compare_components(threshold), "a long, b long")
+
+
 def _centres(members: DataFrame) -> DataFrame:
     """(component, centre): mean direction, summed per batch before the shuffle."""
 
@@ -196,11 +272,15 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return core.unionByName(found).groupBy("point").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(df: DataFrame, *, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(df: DataFrame, *, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, exact_block: int = EXACT_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id and kept of every row."""
     distinct = written(points(df, id_col, vector_col, label_col), "points")
     links = candidate_links(distinct, threshold, passes, window, block)
     classes = written(connected_components(links), "components")
+    missed = written(missed_links(distinct, classes, threshold, exact_block), "missed")
+    if not missed.isEmpty():
+        edges = classes.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes = written(connected_components(edges.unionByName(missed)), "components")
     members = written(distinct.join(classes.withColumnRenamed("node", "point"), "point"), "members")
     counted = written(count_links(members, threshold, block), "links")
     told = distinct.join(classes.withColumnRenamed("node", "point"), "point", "left").join(counted, "point", "left").select(
