@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels as K
 from tessera.functions import text as T
 
-from .registry import query, table
+from .registry import query, table, whole_sql
 from .timeseries import LD_SQL, UD_SQL, flag_days, user_days
 
 INCLUDE, EXCLUDE, SENIOR = ["copper", "steel"], ["promo"], ["large", "economy"]
@@ -22,8 +22,18 @@ def title_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, substr(sha256(concat_ws('|', lower(c_name), lower(o_orderpriority), lower(n_name), concat(isoyear(o_orderdate), '-W', lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0')))), 1, 32) AS key
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 5 = 0""")
 def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    j = o.filter("o_orderkey % 5 = 0").join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return _canonical_keys(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"))
+
+
+@query(whole_sql("canonical_key", " WHERE o_orderkey % 5 = 0"))
+def canonical_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of every order."""
+    return _canonical_keys(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _canonical_keys(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
+    c, n = (table(spark, sf_dir, x) for x in ("customer", "nation"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     place = F.concat(F.lit("Anywhere, "), F.col("n_name"))
     return j.select("o_orderkey", T.canonical_key(F.col("c_name"), F.col("o_orderpriority"), place, F.to_date("o_orderdate")).alias("key"))
 
@@ -104,7 +114,16 @@ def outlook_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, rtrim(CASE WHEN length(s) > 320 THEN concat(rtrim(substr(s, 1, 319)), '…') ELSE s END) AS summary FROM (SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g')), chr(1)), 1, 2), ' ') AS s FROM documents WHERE doc_id % 3 = 0)""")
 def truncate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
+    return _summaries(table(spark, sf_dir, "documents").filter("doc_id % 3 = 0"))
+
+
+@query(whole_sql("truncate_sentences", " WHERE doc_id % 3 = 0"))
+def truncate_sentences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of every document."""
+    return _summaries(table(spark, sf_dir, "documents"))
+
+
+def _summaries(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.rtrim(T.truncate_sentences(F.regexp_replace("text", "[.!?]\\s+$", "$0"))).alias("summary"))
 
 
