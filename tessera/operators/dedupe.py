@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .windows import latest_per_key
@@ -86,6 +86,6 @@ def merge_fields(df: DataFrame, keys: Sequence[str], first: Sequence[str], joine
 
 def merge_duplicates(df: DataFrame, key: str, priority: Column, url: str, order: str) -> DataFrame:
     """The row of best priority of each key, with the other rows' urls in `other_urls`."""
-    w = Window.partitionBy(key).orderBy(priority, order)
-    ranked = df.withColumn("_rn", F.row_number().over(w)).withColumn("_urls", F.collect_set(url).over(Window.partitionBy(key)))
-    return ranked.filter("_rn = 1").withColumn("other_urls", F.array_sort(F.array_except("_urls", F.array(url)))).drop("_rn", "_urls")
+    urls = df.groupBy(F.col(key).alias("_key")).agg(F.collect_set(url).alias("_urls"))
+    best = keep_best(df, [key], priority, order).join(urls, F.col(key).eqNullSafe(F.col("_key")))
+    return best.withColumn("other_urls", F.array_sort(F.array_except("_urls", F.array(url)))).drop("_key", "_urls")

@@ -9,7 +9,7 @@ from tessera.functions.kernels import combined_score
 from tessera.operators import placement as P
 from tessera.sources import postings as N
 
-from .registry import query, table
+from .registry import query, table, whole_sql
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,17 @@ def hire_region_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT p_brand AS employer, p_size > 48 AS r, p_container FROM (SELECT p_brand, p_size, CASE p_partkey % 50 WHEN 0 THEN 'Paris, France' ELSE 'Austin, USA' END AS p_container FROM part WHERE p_partkey <= 300))
 SELECT employer, CAST(count(*) AS BIGINT) AS postings, CAST(count_if(r OR p_container LIKE '%France%') AS BIGINT) AS eu_or_remote, CASE WHEN count_if(r OR p_container LIKE '%France%') > 0 THEN 'keep' WHEN count(*) < 3 THEN 'undecided' ELSE 'demote' END AS verdict FROM p GROUP BY 1""")
 def employer_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 300").select(F.col("p_brand").alias("employer"), (F.col("p_size") > 48).alias("is_remote"), F.when(F.col("p_partkey") % 50 == 0, "Paris, France").otherwise("Austin, USA").alias("location"))
+    return _footprints(table(spark, sf_dir, "part").filter("p_partkey <= 300"))
+
+
+@query(whole_sql("employer_footprint", " WHERE p_partkey <= 300"))
+def employer_footprint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a posting."""
+    return _footprints(table(spark, sf_dir, "part"))
+
+
+def _footprints(p: DataFrame) -> DataFrame:
+    p = p.select(F.col("p_brand").alias("employer"), (F.col("p_size") > 48).alias("is_remote"), F.when(F.col("p_partkey") % 50 == 0, "Paris, France").otherwise("Austin, USA").alias("location"))
     return P.footprint(p, "employer")
 
 

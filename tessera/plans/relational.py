@@ -9,7 +9,7 @@ from tessera.operators import dedupe as D
 from tessera.operators import joins as J
 from tessera.operators import windows as W
 
-from .registry import query, table
+from .registry import query, table, whole_sql
 from .timeseries import UD_SQL, user_days
 
 long = lambda c: F.col(c).cast("long").alias(c)
@@ -140,7 +140,17 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - to_years(CAST(k AS INTEGER)) AS DATE) AS day, CAST(year(o_orderdate) - k AS BIGINT) AS effective_year, CAST(k AS BIGINT) AS "offset" FROM orders, (SELECT unnest(generate_series(1, 10)) AS k) WHERE o_orderkey % 10 = 0""")
 def year_shift_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten year-shifted copies from one scan."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("day")).withColumn("y", F.year("day"))
+    return _shifted(table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"))
+
+
+@query(whole_sql("year_shift_union", " WHERE o_orderkey % 10 = 0"))
+def year_shift_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten year-shifted copies of every order."""
+    return _shifted(table(spark, sf_dir, "orders"))
+
+
+def _shifted(o: DataFrame) -> DataFrame:
+    o = o.select("o_orderkey", F.to_date("o_orderdate").alias("day")).withColumn("y", F.year("day"))
     return W.year_shifts(o, "day", "y", 10).select("o_orderkey", "day", long("effective_year"), long("offset"))
 
 
@@ -272,6 +282,15 @@ def merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w.p_brand, w.p_partkey, (SELECT string_agg(DISTINCT r.p_name, '|' ORDER BY r.p_name) FROM r WHERE r.p_brand = w.p_brand AND r.p_name <> w.p_name) AS others FROM w""")
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best source wins, the losers' addresses stay."""
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 60")
+    return _merged(table(spark, sf_dir, "part").filter("p_partkey <= 60"))
+
+
+@query(whole_sql("merge_duplicates", " WHERE p_partkey <= 60"))
+def merge_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best source of every brand over all parts."""
+    return _merged(table(spark, sf_dir, "part"))
+
+
+def _merged(p: DataFrame) -> DataFrame:
     m = D.merge_duplicates(p, "p_brand", F.col("p_size") % 3, "p_name", "p_partkey")
     return m.select("p_brand", "p_partkey", F.nullif(F.array_join("other_urls", "|"), F.lit("")).alias("others"))
