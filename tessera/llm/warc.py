@@ -20,18 +20,19 @@ from __future__ import annotations
 import base64
 import bisect
 import gzip
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, written
 
 BLOCK_LINES = 300
-#: Directory entries up to which it is held in each task; beyond, look-ups join by range.
+#: Directory entries up to which it is held in each task; beyond, look-ups merge all keys with it in order.
 DIRECTORY_ROWS = 500_000
 _RECORD = "file string, offset long, size long, surt string, page_id long, record_type string, digest string"
 
@@ -118,6 +119,16 @@ def write_archive(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> Dat
     return pages.sparkSession.read.schema(_RECORD).parquet(manifest)
 
 
+def _escaped(field: object) -> str:
+    """A field of an index line, without tabs and line ends; `_unescaped` gives it back."""
+    text = "" if field is None else str(field)
+    return text.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n")
+
+
+def _unescaped(field: str) -> str:
+    return re.sub(r"\\(.)", lambda m: {"t": "\t", "n": "\n"}.get(m[1], m[1]), field) if "\\" in field else field
+
+
 def write_index(records: DataFrame, folder: str, *, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Sorted blocks of capture lines; the sparse directory (first_key, block_file, block_offset, block_size, lines)."""
 
@@ -136,7 +147,7 @@ def write_index(records: DataFrame, folder: str, *, block_lines: int = BLOCK_LIN
             sink = sink or _Sink(folder, name)
             for row in zip(*(b.column(c).to_pylist() for c in ("surt", "page_id", "record_type", "digest", "file", "offset", "size")), strict=True):
                 first = row[0] if first is None else first
-                lines.append("\t".join(["" if x is None else str(x).replace("\t", "%09").replace("\n", "%0A") for x in row]))
+                lines.append("\t".join(map(_escaped, row)))
                 if len(lines) == block_lines:
                     close_block()
         if sink:
@@ -169,17 +180,40 @@ def _captures(blocks: DataFrame, folder: str) -> DataFrame:
             for name, offset, size in zip(*(b.column(c).to_pylist() for c in ("block_file", "block_offset", "block_size")), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     text = gzip.decompress(f.read_at(size, offset)).decode()
-                rows = [x.split("\t") for x in text.split("\n")]
+                rows = [[_unescaped(v) for v in x.split("\t")] for x in text.split("\n")]
                 cols = [[(int(v) if v else None) if pa.types.is_int64(t) else v for v in c] for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return blocks.select("block_file", "block_offset", "block_size").mapInArrow(run, _capture_schema())
 
 
+def _merged_blocks(directory: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The blocks that may hold a wanted key: those that start with it, and the last that starts before it.
+
+    Keys and block starts are sorted together; the last start is carried forward, from
+    partition to partition by the partitions' own last starts, of which there is one each.
+    """
+    place = F.struct("block_file", "block_offset", "block_size")
+    starts = directory.groupBy(F.col("first_key").alias("key")).agg(F.max(place).alias("block")).withColumn("turn", F.lit(1))
+    asked = wanted.select(F.col("surt").alias("key"), F.lit(None).cast(dict(starts.dtypes)["block"]).alias("block"), F.lit(0).alias("turn"))
+    rows = starts.unionByName(asked).repartitionByRange("key", "turn").sortWithinPartitions("key", "turn")
+    placed = written(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33).cast("int")), "merged")
+    ends = sorted(placed.groupBy("_part").agg(F.max(F.when(F.col("block").isNotNull(), F.struct("_row", "block"))).alias("end")).collect(), key=lambda r: r["_part"])  # one row per partition
+    carried, last = [], None
+    for part, end in ends:
+        carried.append((part, last))
+        last = tuple(end["block"]) if end else last
+    carry = directory.sparkSession.createDataFrame(carried, "_part int, carried struct<block_file:string,block_offset:bigint,block_size:bigint>")
+    w = Window.partitionBy("_part").orderBy("_row")
+    before = placed.withColumn("last", F.last("block", ignorenulls=True).over(w)).filter("turn = 0").join(carry, "_part").select(F.coalesce("last", "carried").alias("b"))
+    same = directory.join(wanted, directory.first_key == wanted.surt, "left_semi").select("block_file", "block_offset", "block_size")
+    return before.filter("b is not null").select("b.*").union(same).distinct()
+
+
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """Captures whose surt is among keys.surt: binary search of the directory, then only the blocks it names."""
     directory = spark.read.parquet(f"{folder}/directory").select("first_key", "block_file", "block_offset", "block_size")
-    wanted = keys.select("surt").distinct()
+    wanted = keys.select("surt").filter("surt is not null").distinct()
     if directory.limit(DIRECTORY_ROWS + 1).count() <= DIRECTORY_ROWS:
         held = sorted(tuple(r) for r in directory.collect())
         sent = spark.sparkContext.broadcast(held)
@@ -195,9 +229,7 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 
         blocks = wanted.mapInArrow(search, "block_file string, block_offset long, block_size long").distinct()
     else:
-        ends = directory.withColumn("last_key", F.expr("lead(first_key) over (partition by block_file order by block_offset)"))
-        inside = (F.col("surt") >= F.col("first_key")) & (F.col("last_key").isNull() | (F.col("surt") <= F.col("last_key")))
-        blocks = ends.join(F.broadcast(wanted.limit(DIRECTORY_ROWS)), inside, "left_semi")
+        blocks = _merged_blocks(directory, wanted)
     return _captures(blocks, folder).join(wanted, "surt", "left_semi")
 
 
