@@ -262,9 +262,9 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
-    """Archive and index the pages, then read every record back through the index."""
+    """Archive and index the pages, then look every page's key up in the index and read the records that it names."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     records = write_archive(pages, folder, least_bytes=least_bytes)
-    directory = write_index(records, folder)
-    return read_records(_captures(directory, folder), folder)
+    write_index(records, folder)
+    return read_records(lookup(spark, folder, records.select("surt")), folder)

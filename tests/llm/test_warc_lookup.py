@@ -21,3 +21,13 @@ def test_lookup_finds_every_key(spark, monkeypatch, most):
     want = records.join(keys.distinct(), "surt", "left_semi").select("surt", "page_id", "file", "offset", "size")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert found.filter("page_id >= 150").count() == 46
+
+
+def test_round_trip_looks_keys_up(spark, monkeypatch):
+    asked = []
+    lookup = warc.lookup
+    monkeypatch.setattr(warc, "lookup", lambda s, folder, keys: asked.append(keys.count()) or lookup(s, folder, keys))
+    pages = spark.createDataFrame([(1, "http://a.example/", "x"), (2, "http://a.example/", "x"), (3, None, "y"), (3, "http://b.example/\t", None)], "page_id long, url string, html string")
+    read = warc.round_trip(pages)
+    assert sorted((r.page_id, r.record_type, bytes(r.payload)) for r in read.collect()) == [(1, "response", b"x"), (2, "revisit", b""), (3, "response", b""), (3, "response", b"y")]
+    assert asked == [4]
