@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, component): each node of an edge, and the least node that it reaches."""
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
+    """(node, component): each node of an edge, and the least node that it reaches. Steps go on until nothing changes; beyond `rounds` it fails."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     state = written(pairs, "edges")
     before = None
@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     nodes = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)
