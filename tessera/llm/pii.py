@@ -2,13 +2,15 @@
 
 DataFrame functions only. A pattern's matches and the pieces between them alternate
 (`regexp_extract_all` and `split` walk the text alike), so positions are running sums of
-their lengths in code points. Patterns are possessive and anchored so that long runs of
-one class take linear time; a cheap test skips texts that cannot match.
+their lengths in code points, taken chunk by chunk so that no array is copied per match.
+Patterns are possessive and anchored so that long runs of one class take linear time; a
+cheap test skips texts that cannot match.
 
-Kinds: email, ip, card (Luhn), phone, and iban (mod 97). A span's score starts at the
-kind's prior, a passed checksum adds to it, and a context word within 40 characters
-before the span adds or subtracts. All spans of the four base kinds stay; of the
-others, those that reach `min_score`.
+Kinds: email, ip, card (Luhn), phone, iban (mod 97), ssn and secret. A span's score starts
+at the kind's prior, a passed checksum adds to it, and context words within 40 characters
+on either side add or subtract. All spans of the four base kinds stay, with their score; of
+the others, those that reach `min_score`: an iban goes where the words near it speak
+against it, an ssn or a secret stays only where they speak for it.
 
 Defined results: null or empty text has no spans (empty strings, the hash of the empty
 string); null ids and repeated rows give a row each; other columns are ignored.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -46,6 +48,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": _iban_pattern(),
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,256}+(?![A-Za-z0-9_/+-])",
 }
 #: Texts without a match of this have none of the kind.
 HINTS = {
@@ -54,23 +58,33 @@ HINTS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11}",
     "phone": r"\+[0-9][\x20().0-9-]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"(?i)token|secret|key|passw|credential",
 }
-PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.4}
-CHECKED = {"card": 0.3, "iban": 0.4}
+#: Scores in hundredths: the prior of a kind, what a passed checksum adds, what a context word adds or takes.
+PRIOR = {"email": 70, "ip": 50, "card": 40, "phone": 50, "iban": 30, "ssn": 40, "secret": 40}
+CHECKED = {"card": 30, "iban": 40}
+CONTEXT = 20
 CONTEXT_CHARS = 40
+#: Matches whose positions are summed in one array.
+CHUNK = 128
 CONTEXT_PLUS = {
     "email": r"(?i)mail|contact|write|kontakt|correo|courriel",
     "ip": r"(?i)\bip\b|address|host|server|login|client",
     "card": r"(?i)card|credit|debit|visa|payment|karte|carte|tarjeta",
     "phone": r"(?i)phone|call|tel|mobile|fax|handy|num",
     "iban": r"(?i)iban|account|bank|transfer|konto|compte|cuenta",
+    "ssn": r"(?i)\bssn\b|social security|tax(?:payer)? id",
+    "secret": r"(?i)token|secret|\b(?:api|access|private)[ _-]?key|passw|credential",
 }
 CONTEXT_MINUS = {
     "email": r"(?i)example|noreply",
     "ip": r"(?i)version|release|section|chapter",
     "card": r"(?i)isbn|order|serial|invoice|tracking",
     "phone": r"(?i)serial|part|model",
-    "iban": r"(?i)serial|part|model",
+    "iban": r"(?i)serial|\bpart\b|model|invalid",
+    "ssn": r"(?i)serial|\bpart\b|model|order",
+    "secret": r"(?i)example|placeholder|checksum|sha-?1|sha-?256|md5",
 }
 
 
@@ -102,33 +116,67 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "iban":
         compact = F.replace(match, F.lit(" "), F.lit(""))
         return F.length(compact).between(15, 34) & _mod97(compact)
+    if kind == "secret":
+        return (n > 0) & match.rlike("[A-Za-z]")
     return F.lit(True)
 
 
-def kind_spans(text: Column, kind: str) -> Column:
-    """array<struct<start, end, match, before>> of the matches of one kind that its validator confirms."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pieces = F.split(text, PATTERNS[kind], -1)
-    pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before"), m.alias("match")))
-    pairs = F.filter(pairs, lambda x: x["match"].isNotNull())
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+def _let(value: Column, body) -> Column:
+    """body(value), with the value taken once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(steps: Column) -> Column:
+    """Sums of an int array up to each element: within chunks, then over the chunks' totals."""
+
+    def sums(a: Column) -> Column:
+        start = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("l"))
+        add = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["l"], F.array(s["t"] + x)).alias("l"))
+        return F.aggregate(a, start, add, lambda s: s["l"])
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.coalesce(F.element_at(acc, -1)["end"], F.lit(0)) + x["gap"]
-        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["match"].alias("match"), x["before"].alias("before"))))
+    def chunked(a: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(CHUNK)), lambda c: sums(F.slice(a, c, CHUNK)))
+        return _let(own, lambda o: _let(sums(F.transform(o, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))), lambda t: raised(o, t)))
 
-    walked = F.aggregate(pairs, empty, lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["gap"].alias("start"), (x["gap"] + x["len"]).alias("end"), x["match"].alias("match"), x["before"].alias("before")))).otherwise(step(acc, x)))
-    found = F.filter(walked, lambda x: _valid(kind, x["match"]))
+    def raised(chunks: Column, totals: Column) -> Column:
+        return F.flatten(F.transform(chunks, lambda x, i: F.transform(x, lambda v: v + F.coalesce(F.get(totals, i - 1), F.lit(0)))))
+
+    return _let(steps, chunked)
+
+
+def kind_spans(text: Column, kind: str) -> Column:
+    """array<struct<start, end, match, near>> of the matches of one kind that its validator confirms."""
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    both = F.struct(F.split(text, PATTERNS[kind], -1).alias("p"), matches.alias("m"))
+    last = lambda x: F.right(F.coalesce(x, F.lit("")), F.lit(CONTEXT_CHARS))
+    first = lambda x: F.left(F.coalesce(x, F.lit("")), F.lit(CONTEXT_CHARS))
+
+    def placed(s: Column) -> Column:
+        p, m = s["p"], s["m"]
+        # Neighbouring matches are part of the context; a line end keeps the two sides apart.
+        before = lambda i: last(F.concat(last(F.get(p, i - 1)), last(F.get(m, i - 1)), last(F.get(p, i))))
+        after = lambda i: first(F.concat(first(F.get(p, i + 1)), first(F.get(m, i + 1)), first(F.get(p, i + 2))))
+        steps = F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
+        ended = lambda e: F.transform(
+            m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), x.alias("match"), F.concat(before(i), F.lit("\n"), after(i)).alias("near"))
+        )
+        return _let(running_sums(steps), ended)
+
+    found = F.filter(_let(both, placed), lambda x: _valid(kind, x["match"]))
+    empty = F.array().cast("array<struct<start:int,end:int,match:string,near:string>>")
     return F.when(text.rlike(HINTS[kind]), found).otherwise(empty)
 
 
 def _scored(kind: str, spans: Column) -> Column:
-    def score(before: Column) -> Column:
-        near = F.when(before.rlike(CONTEXT_PLUS[kind]), 0.2).otherwise(0.0) - F.when(before.rlike(CONTEXT_MINUS[kind]), 0.2).otherwise(0.0)
-        return F.lit(PRIOR[kind] + CHECKED.get(kind, 0.0)) + near
+    def score(near: Column) -> Column:
+        words = F.when(near.rlike(CONTEXT_PLUS[kind]), CONTEXT).otherwise(0) - F.when(near.rlike(CONTEXT_MINUS[kind]), CONTEXT).otherwise(0)
+        return (F.lit(PRIOR[kind] + CHECKED.get(kind, 0)) + words).cast("double") / 100
 
     order = KINDS.index(kind)
-    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["end"].alias("end"), score(x["before"]).alias("score"), x["match"].alias("match")))
+    return F.transform(
+        spans,
+        lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["end"].alias("end"), score(x["near"]).alias("score"), x["match"].alias("match")),
+    )
 
 
 def find_pii(df: DataFrame, *, min_score: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

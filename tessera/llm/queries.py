@@ -44,7 +44,9 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["kind"].isin(*pii.BASE_KINDS))
     counts = [F.size(F.filter("found", _is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+    added = F.size("found").cast("long").alias("n_spans")
+    scores = F.array_join(F.transform("found", lambda x: F.format_number(x["score"], 2)), ",").alias("scores")
+    return found.select("doc_id", *counts, added, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"), scores)
 
 
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
