@@ -29,10 +29,10 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per text that occurs more than once: _len, text_sha256, keep_id, group_size, n_keep."""
     rows = _keyed(df, id_col, text_col)
-    lengths = rows.groupBy("_len").count().filter("count > 1").select("_len")
+    lengths = written(rows.groupBy("_len").count().filter("count > 1").select("_len"), "lengths")
     head = F.xxhash64(F.substring("_text", 1, prefix_chars))
-    heads = rows.select("_len", head.alias("_head")).groupBy("_len", "_head").count()
-    surviving = written(heads.join(lengths, "_len", "left_semi").filter("count > 1").select("_len", "_head"), "heads")
+    of_length = rows.join(small_side(lengths), "_len", "left_semi")
+    surviving = written(of_length.groupBy("_len", head.alias("_head")).count().filter("count > 1").select("_len", "_head"), "heads")
     full = (
         rows.withColumn("_head", head)
         .join(small_side(surviving), ["_len", "_head"], "left_semi")
@@ -48,10 +48,10 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def label_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id, group_size, kept and text_sha256 of every row."""
-    groups = duplicate_groups(df, id_col, text_col).select("_len", "text_sha256", "keep_id", "group_size")
+    groups = written(duplicate_groups(df, id_col, text_col).select("_len", "text_sha256", "keep_id", "group_size"), "copies")
     rows = _keyed(df, id_col, text_col).select("_id", "_len", F.sha2("_text", 256).alias("text_sha256"))
     alone = F.col("group_size").isNull()
-    return rows.join(groups, ["_len", "text_sha256"], "left").select(
+    return rows.join(small_side(groups), ["_len", "text_sha256"], "left").select(
         F.col("_id").alias(id_col),
         F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -5,6 +5,7 @@ source, sum(size r) = target, and r <= 3. The dual is convex in one multiplier p
 source, r = min(3, exp(m size / mean)), and is solved by Newton steps kept inside a
 bracket. Each step aggregates a table that was pre-aggregated once to (source, size,
 documents), so a hot source is never in one task and steps don't read the corpus.
+Orders over all sources are range-partitioned running sums, so sources may be many.
 Rates are rounded to whole copies: floor(r), and one more for the documents with the
 least u / fraction, u a hash of the row, up to the token target. The cut is found by
 histograms of that value, refined twice.
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, word_count, written
+from .common import BROADCAST_BYTES, bytes_of, running, text_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -35,23 +36,20 @@ def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: in
 
     A source whose weighted share exceeds `most` times its size stops there. By the
     water-filling rule the stopped ones are a prefix in order of size / weight, so one
-    pass of running sums finds the level; its windows hold one row per source.
+    pass of running sums finds the level.
     """
-    order = Window.orderBy(F.col("_source").isNull(), "_source")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = totals.withColumn("_w", weight.cast("double"))
-    by_cap = Window.orderBy((F.col("source_size") * most / F.col("_w")), F.col("_source").isNull(), "_source")
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    rows = rows.withColumn("_level", F.try_divide(F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)), F.sum("_w").over(rest)))
+    place = [F.col("_source").isNull(), "_source"]
+    ranked = running(totals.select("_source", "source_size"), "sources", place, {"_rank": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("_rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = ranked.withColumn("_w", weight.cast("double")).withColumn("_cap", F.col("source_size") * most / F.col("_w")).drop("_rank")
+    rows = running(rows, "caps", ["_cap", *place], {"_size_before": F.col("source_size"), "_w_before": F.col("_w")})
+    size, w = rows.agg(F.sum("source_size"), F.sum("_w")).first()
+    rows = rows.withColumn("_level", F.try_divide(F.lit(size) - most * F.col("_size_before"), F.lit(w) - F.col("_w_before")))
     # Running up, the first source that its level does not fill sets the level of all that follow.
-    free = F.col("source_size") * most >= F.col("_level") * F.col("_w")
-    level = F.min(F.when(free, F.struct(F.col("source_size") * most / F.col("_w"), "_level"))).over(whole)["_level"]
+    free = rows.filter(F.col("source_size") * most >= F.col("_level") * F.col("_w"))
+    level = free.agg(F.min(F.struct("_cap", "_level"))["_level"]).first()[0]
     capped = (F.col("source_size") * most).cast("double")
-    return rows.withColumn("_final", level).select(
-        "_source", "source_size", F.least(capped, F.coalesce(F.col("_final") * F.col("_w"), capped)).alias("target")
-    )
+    return rows.select("_source", "source_size", F.least(capped, F.coalesce(F.lit(level).cast("double") * F.col("_w"), capped)).alias("target"))
 
 
 def _rate(multiplier: Column, size: Column, mean: Column, most: int) -> Column:
@@ -62,15 +60,17 @@ def solve_multipliers(histogram: DataFrame, targets: DataFrame, most: int = MOST
     """_multiplier per source, by safeguarded Newton steps on the dual.
 
     histogram: (_key, size, n). The residual grows with the multiplier, so each step also
-    shrinks the bracket; a Newton step that leaves it is replaced by its middle.
+    shrinks the bracket; a Newton step that leaves it is replaced by its middle. The state
+    has a row per source and is broadcast while it is small.
     """
+    few = bytes_of(targets) <= BROADCAST_BYTES
     state = targets.select("_key", "target", "_mean", F.lit(0.0).alias("m"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"))
     for step in range(steps):
         rate = _rate(F.col("m"), F.col("size"), F.col("_mean"), most)
         words = F.col("size") * F.col("n")
         slope = F.when(rate < most, F.coalesce(F.try_divide(words * rate * F.col("size"), F.col("_mean")), F.lit(0.0))).otherwise(0.0)
         keep = [F.first(c).alias(c) for c in ("target", "_mean", "m", "lo", "hi")]
-        state = histogram.join(state, "_key").groupBy("_key").agg(F.sum(words * rate).alias("_got"), F.sum(slope).alias("_slope"), *keep)
+        state = histogram.join(F.broadcast(state) if few else state, "_key").groupBy("_key").agg(F.sum(words * rate).alias("_got"), F.sum(slope).alias("_slope"), *keep)
         state = state.withColumn("_over", F.col("_got") - F.col("target"))
         state = state.withColumns({"hi": F.when(F.col("_over") > 0, F.col("m")).otherwise(F.col("hi")), "lo": F.when(F.col("_over") <= 0, F.col("m")).otherwise(F.col("lo"))})
         newton = F.col("m") - F.try_divide(F.col("_over"), F.col("_slope"))
@@ -95,7 +95,8 @@ def mix(df: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, id
     targets = source_targets(totals, weights, most).select("source_size", "target", key.alias("_key"))
     targets = written(targets.join(totals.select("_key", F.try_divide(F.col("source_size"), F.col("_docs")).alias("_mean")), "_key"), "targets")
     tilt = written(solve_multipliers(histogram.select("_key", "size", "n"), targets, most), "tilt")
-    sources = targets.drop("_mean").join(tilt, "_key")
+    sources = written(targets.drop("_mean").join(tilt, "_key"), "tilted")
+    hint = F.broadcast if bytes_of(sources) <= BROADCAST_BYTES else lambda side: side
 
     full = F.col("target") >= F.col("source_size") * most
     rate = F.when(full, F.lit(float(most))).otherwise(_rate(F.col("_multiplier"), F.col("size"), F.col("_mean"), most))
@@ -103,25 +104,25 @@ def mix(df: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, id
     u = (F.pmod(F.col("_hash"), F.lit(1 << 40)) + F.lit(0.5)) / float(1 << 40)
     # The order in which rows get one more copy; rows at `most` copies, or without words, get none.
     turn = F.when((F.col("rate") < most) & (F.col("size") > 0), F.try_divide(u, F.col("rate") - base))
-    rated = rows.join(sources, "_key").withColumn("rate", rate).withColumn("base", base).withColumn("_turn", F.log2(F.lit(1.0) + turn))
+    rated = rows.join(hint(sources), "_key").withColumn("rate", rate).withColumn("base", base).withColumn("_turn", F.log2(F.lit(1.0) + turn))
     rated = written(rated.select("_id", "_source", "_key", "_hash", "size", "source_size", "target", "rate", "base", "_turn"), "rates")
     missing = rated.groupBy("_key").agg((F.first("target") - F.sum(F.col("base") * F.col("size"))).alias("_left"))
-    cut = _cut(rated.filter(F.col("_turn").isNotNull()).select("_key", "_turn", "size"), missing)
+    cut = _cut(rated.filter(F.col("_turn").isNotNull()).select("_key", "_turn", "size"), written(missing, "missing"), hint)
     more = F.col("_turn").isNotNull() & (F.col("_turn") < F.coalesce("_cut", F.lit(0.0)))
-    return rated.join(cut, "_key", "left").withColumn("copies", F.col("base") + F.when(more, 1).otherwise(0)).select(
+    return rated.join(hint(cut), "_key", "left").withColumn("copies", F.col("base") + F.when(more, 1).otherwise(0)).select(
         F.col("_id"), "_source", "_hash", "size", "source_size", "target", "rate", "copies"
     )
 
 
-def _cut(rows: DataFrame, missing: DataFrame, bins: int = BINS, levels: int = 3) -> DataFrame:
+def _cut(rows: DataFrame, missing: DataFrame, hint, bins: int = BINS, levels: int = 3) -> DataFrame:
     """(_key, _cut): rows below _cut hold the words that a source still misses, to within the row nearest to it."""
     state = missing.select("_key", F.col("_left"), F.lit(0.0).alias("_from"), F.lit(64.0).alias("_width"))
     for _ in range(levels):
         place = F.floor((F.col("_turn") - F.col("_from")) / F.col("_width") * bins)
-        inside = rows.join(state, "_key").filter((F.col("_turn") >= F.col("_from")) & (F.col("_turn") < F.col("_from") + F.col("_width")))
+        inside = rows.join(hint(state), "_key").filter((F.col("_turn") >= F.col("_from")) & (F.col("_turn") < F.col("_from") + F.col("_width")))
         counts = inside.groupBy("_key", place.alias("_bin")).agg(F.sum("size").alias("_words"))
         run = Window.partitionBy("_key").orderBy("_bin")
-        sums = counts.withColumn("_up_to", F.sum("_words").over(run)).join(state, "_key")
+        sums = counts.withColumn("_up_to", F.sum("_words").over(run)).join(hint(state), "_key")
         crossing = sums.filter((F.col("_up_to") > F.col("_left"))).groupBy("_key").agg(F.min(F.struct("_bin", "_up_to", "_words")).alias("c"))
         state = state.join(crossing, "_key", "left").select(
             "_key",
