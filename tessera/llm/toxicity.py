@@ -1,30 +1,33 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Feature extraction and scoring are Arrow stages over every whole text; the model is
-fitted on a bounded sample of labelled rows (`sample_rows`), one pass order that
-depends on ids only. L1 leaves few non-zero weights, which are what is broadcast
+fitted on a bounded sample of labelled rows (at most `sample_rows` documents of together
+at most `sample_bytes` of text), in an order that depends on ids only. L1 leaves few non-zero weights, which are what is broadcast
 (at most 2**bits of them).
 
 Defined results: null or empty text scores by the bias alone; no labelled row, or
 labels of one class, still give a model (its bias); repeated labels of a document
-count as toxic if any is; null labels are not used; null ids are scored and never
+count as toxic if any is; rows that repeat an id are each learnt from; null labels are not used; null ids are scored and never
 learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import text_of
+from .common import text_of, written
 
 BITS = 20
 SAMPLE_ROWS = 16_384
+#: Text of the sample: about three bytes of features each in the task that fits.
+SAMPLE_BYTES = 128 << 20
 THRESHOLD = 0.3
 _PAIR = np.uint64(0x9DDFEA08EB382D69)
 _KINDS = [np.uint64(x) for x in (0x1F123BB5, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)]
@@ -69,18 +72,22 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, sample_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most sample_rows labelled documents outside the held-out quarter, in order of a hash of the id."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Labelled documents outside the held-out quarter, in order of a hash of the id, as far as both bounds go."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     chosen = (
         usable.groupBy("doc_id").agg(F.max("toxic").alias("_label")).withColumn("_order", F.xxhash64(F.col("doc_id").cast("string")))
         .orderBy("_order", "doc_id").limit(sample_rows).select(F.col("doc_id").alias("_lid"), "_label", "_order")
     )
     rows = documents.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return rows.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_order", "_id", F.col("_label").cast("int").alias("_label"), "_text")
+    size = F.sum(F.octet_length("_text")).alias("_size")
+    sizes = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).groupBy("_lid", "_label", "_order").agg(size)  # at most sample_rows rows
+    so_far = F.sum("_size").over(Window.orderBy("_order", "_lid"))
+    fitting = written(sizes.withColumn("_so_far", so_far).filter(F.col("_so_far") <= sample_bytes).select("_lid", "_label", "_order"), "sample")
+    return rows.join(F.broadcast(fitting), F.col("_id") == F.col("_lid")).select("_order", "_id", F.col("_label").cast("int").alias("_label"), "_text")
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, epochs: int = 5, l1_per_row: float = 1 / 600, l1_most: float = 16.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, epochs: int = 5, l1_per_row: float = 1 / 600, l1_most: float = 16.0) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights) that are not zero; the bias is feature 2**bits."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,23 +98,24 @@ def fit(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, sample_row
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, last - first) for i in range(3)), lists], names=["o", "id", "y", "f"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict = {}
+        rows: list[tuple] = []
         for b in batches:
             flat, cut = b.column("f").values.to_numpy(), b.column("f").offsets.to_numpy()
             for i, (o, key, y) in enumerate(zip(b.column("o").to_pylist(), b.column("id").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                rows[o, key] = (y, flat[cut[i] : cut[i + 1]].copy())
-        order = sorted(rows)
-        model = Ftrl((1 << bits) + 1, l1=min(max(len(order) * l1_per_row, 1.0), l1_most))
+                at = flat[cut[i] : cut[i + 1]].copy()
+                rows.append((o, key, len(at), zlib.crc32(at), y, at))
+        rows.sort(key=lambda r: r[:4])  # whatever order they came in
+        model = Ftrl((1 << bits) + 1, l1=min(max(len(rows) * l1_per_row, 1.0), l1_most))
         rng = np.random.default_rng(7)
         for _ in range(epochs):
-            for i in rng.permutation(len(order)):
-                y, at = rows[order[i]]
+            for i in rng.permutation(len(rows)):
+                *_, y, at = rows[i]
                 model.learn(np.append(at, 1 << bits), float(y))
         w = model.weights(slice(None))
         at = np.nonzero(w)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["feature", "weight"])
 
-    sample = labelled_sample(documents, labels, sample_rows)
+    sample = labelled_sample(documents, labels, sample_rows, sample_bytes)
     features = sample.mapInArrow(extract, "o long, id long, y int, f array<int>")
     got = features.repartition(1).mapInArrow(train, "feature long, weight double").toArrow()
     at, w = got.column("feature").to_numpy(), got.column("weight").to_numpy()

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,5 +95,24 @@ def personal(text):
     return sorted(out)
 
 
+def ftrl(rows, bias, l1, orders, alpha=0.5, beta=1.0, l2=1.0):
+    """(weights that are not zero, bias) of FTRL-proximal on (features, label) rows; each order is a generator of permutations."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= l1 else (math.copysign(l1, z[f]) - z[f]) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for rng in orders:
+        for i in rng.permutation(len(rows)):
+            features, label = rows[i]
+            own = {f: weight(f) for f in [*features, bias]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(own.values()))))) - label
+            for f, w in own.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w
+                n[f] += g * g
+    found = {f: weight(f) for f in list(z)}
+    return {f: w for f, w in found.items() if f != bias and w}, found.get(bias, 0.0)
+
+
 def sha1_32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
