@@ -29,8 +29,9 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     own = read.select("page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("_bytes"))
-    full = own.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("_bytes").alias("_full")).distinct()
-    return own.join(full, "refers_to", "left").select(
+    # An id may repeat with other payloads, so the length is that of the response with the same digest.
+    full = own.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("_bytes").alias("_full")).distinct()
+    return own.join(full, ["refers_to", "payload_digest"], "left").select(
         "page_id", F.when(F.col("record_type") == "revisit", F.col("_full")).otherwise(F.col("_bytes")).alias("payload_bytes"),
         "payload_digest", "record_type", "refers_to",
     )

@@ -6,13 +6,14 @@ archive file of gzip members, one per record, straight into the shared folder, a
 returns a row per record. Index: rows sorted by reversed-host URL key go into blocks of
 lines, one gzip member each; the sparse directory keeps the first key and place of every
 block. A look-up binary-searches the directory, reads and scans the blocks it names, and
-range-reads the records. Files are written under a temporary name and moved, so a task
-that runs again replaces the same file with the same bytes.
+range-reads the records. Files are written under a temporary name and moved, and each task
+writes in order of digest and page, so a task that runs again replaces the same file with
+the same bytes. Tasks that read are as many as the bytes of the archive ask for.
 
 Defined results: a null payload is empty; empty payloads are deduplicated like others
 unless `least_bytes` is above 0; a null url is an empty key; rows that repeat a page id
-each become a record, all of them responses where that id is the least; an empty
-table gives an empty archive; other columns are ignored.
+each become a record, all of them responses where that id is the least of its payload; a
+null key finds nothing; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import BROADCAST_BYTES, bytes_of, new_folder, written
 
 BLOCK_LINES = 300
-#: Directory entries up to which it is held in each task; beyond, look-ups merge all keys with it in order.
-DIRECTORY_ROWS = 500_000
+#: Bytes of a directory up to which it is held in each task; beyond, look-ups merge all keys with it in order.
+DIRECTORY_BYTES = BROADCAST_BYTES
+#: Bytes that one task reads of an archive or index, and the least that is worth a task of its own.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 _RECORD = "file string, offset long, size long, surt string, page_id long, record_type string, digest string"
 
 
@@ -43,6 +46,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _tasks(spark: SparkSession, size: int) -> int:
+    return max(1, -(-size // TASK_BYTES), min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+
+
 class _Sink:
     """A file that appears under its name only when it is complete."""
 
@@ -115,7 +122,8 @@ def write_archive(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> Dat
             sink.close()
 
     manifest = f"{folder}/records"
-    marked.select("page_id", "url", "html", "_digest", "_first", "surt").mapInArrow(run, _RECORD).write.parquet(manifest)
+    ordered = marked.select("page_id", "url", "html", "_digest", "_first", "surt").sortWithinPartitions("_digest", "page_id", "url")
+    ordered.mapInArrow(run, _RECORD).write.parquet(manifest)
     return pages.sparkSession.read.schema(_RECORD).parquet(manifest)
 
 
@@ -159,7 +167,8 @@ def write_index(records: DataFrame, folder: str, *, block_lines: int = BLOCK_LIN
 
     schema = "first_key string, block_file string, block_offset long, block_size long, lines long"
     rows = records.select("surt", "page_id", "record_type", "digest", "file", "offset", "size")
-    ordered = rows.repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id", "file", "offset")
+    tasks = _tasks(records.sparkSession, bytes_of(records))
+    ordered = rows.repartitionByRange(tasks, "surt", "page_id", "file", "offset").sortWithinPartitions("surt", "page_id", "file", "offset")
     path = f"{folder}/directory"
     ordered.mapInArrow(run, schema).write.parquet(path)
     return records.sparkSession.read.schema(schema).parquet(path)
@@ -212,9 +221,11 @@ def _merged_blocks(directory: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """Captures whose surt is among keys.surt: binary search of the directory, then only the blocks it names."""
-    directory = spark.read.parquet(f"{folder}/directory").select("first_key", "block_file", "block_offset", "block_size")
+    directory = spark.read.parquet(f"{folder}/directory")
+    index = directory.agg(F.sum("block_size")).first()[0] or 0
+    directory = directory.select("first_key", "block_file", "block_offset", "block_size")
     wanted = keys.select("surt").filter("surt is not null").distinct()
-    if directory.limit(DIRECTORY_ROWS + 1).count() <= DIRECTORY_ROWS:
+    if bytes_of(directory) <= DIRECTORY_BYTES:
         held = sorted(tuple(r) for r in directory.collect())
         sent = spark.sparkContext.broadcast(held)
 
@@ -230,7 +241,8 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
         blocks = wanted.mapInArrow(search, "block_file string, block_offset long, block_size long").distinct()
     else:
         blocks = _merged_blocks(directory, wanted)
-    return _captures(blocks, folder).join(wanted, "surt", "left_semi")
+    spread = blocks.repartition(_tasks(spark, 8 * index), "block_file", "block_offset")  # lines are about eight times their packed size
+    return _captures(spread, folder).join(wanted, "surt", "left_semi")
 
 
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
@@ -257,7 +269,12 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "record_type", "refers_to", "url", "digest", "payload"])
 
     schema = "page_id long, record_type string, refers_to long, url string, digest string, payload binary"
-    ordered = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spark = captures.sparkSession
+    size = spark.read.schema(_RECORD).parquet(f"{folder}/records").agg(F.sum("size")).first()[0] or 0
+    tasks = _tasks(spark, size)
+    # Stretches of a file stay together, so that a task reads onwards.
+    stretch = F.floor(F.col("offset") / F.lit(max(LEAST_BYTES, size // (4 * tasks))))
+    ordered = captures.repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return ordered.select("file", "offset", "size").mapInArrow(run, schema)
 
 
