@@ -2,11 +2,16 @@
 
 Everything works on one slice of documents at a time: a flat ``uint8`` buffer
 plus offsets, so memory is bounded by the slice and not by the Arrow batch.
+
+`range_hash` is a polynomial modulo 2**64: quick, and only ever a proposal (a group whose
+text is compared later, a feature). Where equal hashes decide, words and contexts are
+digested by BLAKE2b.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -128,10 +133,39 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class _Digests(dict):
+    """Digests of words as 64-bit numbers, kept while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_digests = _Digests()
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each range of bytes."""
+    return np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64)
+
+
+def sequences(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of few values, mixed value by value."""
+    out = mix(counts.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for i in range(int(counts.max()) if len(counts) else 0):
+        inside = counts > i
+        step = mix(out * np.uint64(0xA24BAED4963EE407) + values[np.minimum(starts + i, len(values) - 1)])
+        out = step if inside.all() else np.where(inside, step, out)
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash, start byte, end byte of each word, and the offset of each document's first word).
 
-    Words are runs without 0x20 and 0x09-0x0D; none crosses a document's border.
+    Words are runs without 0x20 and 0x09-0x0D; none crosses a document's border. `exact`
+    hashes are digests, which different words don't share.
     """
     n = len(data)
     if lower:
@@ -148,5 +182,10 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     e = np.nonzero(ends)[0]
     if len(split):
         e = np.sort(np.concatenate([e, np.unique(split)]))
+    at = np.searchsorted(s, offsets)
+    if exact:
+        raw = data.tobytes()
+        found = map(_digests.__getitem__, [raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)])
+        return np.fromiter(found, np.uint64, len(s)), s, e, at
     prefix = prefix_hash(_BYTE[data])
-    return range_hash(prefix, s, e), s, e, np.searchsorted(s, offsets)
+    return range_hash(prefix, s, e), s, e, at

@@ -6,12 +6,17 @@ k-grams, so it depends on the window alone. Everything that can match around an
 within its context, length - k units to the left and length to the right.
 
 1. Anchors are counted by the hash of their k-gram (map-side combined); single ones go.
-2. Equal contexts are one representative with a count.
+2. Equal contexts (by a digest) are one representative with a count.
 3. Representatives that share a k-gram with other contexts meet in one group, which
    bring their text; a matcher (an interval tree of a suffix array, or a suffix automaton)
-   says how far each context is repeated. Groups of more than `hot` occurrences are instead
-   resolved by counting the hashes of their single windows, which needs no group in one place.
-4. Spans return to their documents.
+   says how far each context is repeated.
+4. A k-gram with more than `hot` different contexts is lengthened: a window that holds it
+   reaches at least half of what is missing to one side, so its contexts are grouped anew
+   by the k-gram and the next units to the right, and by the k-gram and those to the left.
+   Groups that are still hot are lengthened again, until keys are whole windows, which are
+   compared as text and counted. No group grows beyond `hot` members, and a context is sent
+   twice as often at each level, at most.
+5. Spans return to their documents.
 
 A document is (id, tag): the tag is 32 bits of a hash of the text, so ids that repeat with
 other texts stay apart.
@@ -21,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import text_of, written
+from .common import small_side, text_of, written
 
-HOT = 100_000
+#: Contexts of a group: about 400 bytes each in the task that matches them, and in its data structure a few times more.
+HOT = 20_000
+_CONTEXT = "h long, id long, tag int, pos int, lead int, context binary"
 
 
 @dataclass(frozen=True)
@@ -46,10 +55,10 @@ class Unit:
     def left(self) -> int:
         return self.length - self.k
 
-    def sequence(self, data: np.ndarray, offsets: np.ndarray):
+    def sequence(self, data: np.ndarray, offsets: np.ndarray, exact: bool = False):
         """(hashes of the units, offsets of documents in units, start and end byte of each unit)."""
         if self.words:
-            h, start, end, at = K.words(data, offsets)
+            h, start, end, at = K.words(data, offsets, exact=exact)
             return h, at, start, end
         return K.byte_units(data), offsets, None, None
 
@@ -59,6 +68,25 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
+def _anchors_of(data: np.ndarray, offsets: np.ndarray, unit: Unit, exact: bool):
+    values, at, _, _ = unit.sequence(data, offsets, exact)
+    prefix = K.prefix_hash(values)
+    a = K.anchors(prefix, at[:-1], at[1:], unit.k, unit.left + 1)
+    return values, at, a, K.range_hash(prefix, a, a + unit.k)
+
+
+def _anchor_counts(rows: DataFrame, unit: Unit) -> DataFrame:
+    """(h, c): k-grams that are anchors more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in K.text_slices(b.column("text")):
+                h, n = np.unique(_anchors_of(data, offsets, unit, True)[3].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    return rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1")
+
+
 def _anchor_rows(rows: DataFrame, unit: Unit) -> DataFrame:
     """(h, hc, id, tag, pos, n, more): each context of a document once; more has the later positions."""
 
@@ -66,13 +94,11 @@ def _anchor_rows(rows: DataFrame, unit: Unit) -> DataFrame:
         for b in batches:
             ids, tags = b.column("id"), b.column("tag")
             for first, last, data, offsets in K.text_slices(b.column("text")):
-                values, at, _, _ = unit.sequence(data, offsets)
-                prefix = K.prefix_hash(values)
-                a = K.anchors(prefix, at[:-1], at[1:], unit.k, unit.left + 1)
+                values, at, a, h = _anchors_of(data, offsets, unit, True)
                 doc = np.searchsorted(at, a, "right") - 1
                 start, end = np.maximum(a - unit.left, at[doc]), np.minimum(a + unit.length, at[doc + 1])
-                h = K.range_hash(prefix, a, a + unit.k)
-                hc = K.mix(K.range_hash(prefix, start, end) + (a - start).astype(np.uint64))
+                raw, width = (values.tobytes(), 8) if unit.words else (data.tobytes(), 1)
+                hc = K.mix(K.digests(raw, start * width, end * width) + (a - start).astype(np.uint64))
                 order = np.lexsort((a, hc, h, doc))
                 a, doc, h, hc = a[order], doc[order], h[order], hc[order]
                 new = np.ones(len(a), bool)
@@ -80,10 +106,15 @@ def _anchor_rows(rows: DataFrame, unit: Unit) -> DataFrame:
                 head = np.nonzero(new)[0]
                 n = np.diff(np.append(head, len(a)))
                 pos = (a - at[doc]).astype(np.int32)
-                more = [None if c == 1 else pos[i + 1 : i + c].tobytes() for i, c in zip(head.tolist(), n.tolist(), strict=True)] if len(head) < len(a) else [None] * len(head)
+                more = [None] * len(head)
+                for i in np.nonzero(n > 1)[0].tolist():
+                    more[i] = pos[head[i] + 1 : head[i] + n[i]].tobytes()
                 take = pa.array(first + doc[head])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[head].view(np.int64)), pa.array(hc[head].view(np.int64)), ids.take(take), tags.take(take), pa.array(pos[head]), pa.array(n.astype(np.int32)), pa.array(more, pa.binary())],
+                    [
+                        pa.array(h[head].view(np.int64)), pa.array(hc[head].view(np.int64)), ids.take(take), tags.take(take),
+                        pa.array(pos[head]), pa.array(n.astype(np.int32)), pa.array(more, pa.binary()),
+                    ],
                     names=["h", "hc", "id", "tag", "pos", "n", "more"],
                 )
 
@@ -91,8 +122,8 @@ def _anchor_rows(rows: DataFrame, unit: Unit) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, reps: DataFrame, unit: Unit) -> DataFrame:
-    """reps (h, id, tag, pos, m, hot) with the text around: lead units to the left, `cut` where units end."""
-    per_doc = reps.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "h", "m", "hot")).alias("at"))
+    """reps (h, id, tag, pos, hot) with the text around: lead units to the left, `cut` where units end."""
+    per_doc = reps.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("at"))
     joined = rows.join(per_doc, rows.id.eqNullSafe(per_doc.id) & (rows.tag == per_doc.tag)).select(rows.id, rows.tag, "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +144,16 @@ def _contexts(rows: DataFrame, reps: DataFrame, unit: Unit) -> DataFrame:
                 context = pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
                 take = pa.array(first + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [wanted.field("h"), b.column("id").take(take), b.column("tag").take(take), wanted.field("pos"), wanted.field("m"), wanted.field("hot"), pa.array(lead), context],
-                    names=["h", "id", "tag", "pos", "m", "hot", "lead", "context"],
+                    [wanted.field("h"), b.column("id").take(take), b.column("tag").take(take), wanted.field("pos"), pa.array(lead), context, wanted.field("hot")],
+                    names=["h", "id", "tag", "pos", "lead", "context", "hot"],
                 )
 
-    return joined.mapInArrow(run, "h long, id long, tag int, pos int, m long, hot boolean, lead int, context binary")
+    return joined.mapInArrow(run, f"{_CONTEXT}, hot boolean")
 
 
-#: (contexts of one k-gram, in order of document and position) -> (index, units to the left, to the right) that repeat.
-Matcher = Callable[[list[bytes], list[int]], list[tuple[int, int, int]]]
+#: (contexts of one key, in order of document and position; units left of their anchors; (id, tag, position) of these)
+#: -> (index, units to the left, to the right) that repeat.
+Matcher = Callable[[list[bytes], list[int], list[tuple]], list[tuple[int, int, int]]]
 _SPAN = "id long, tag int, pos int, lo int, hi int, more binary"
 
 
@@ -136,11 +168,12 @@ def _matched(contexts: DataFrame, matcher: Matcher) -> DataFrame:
             h, pos = part.column("h").to_numpy(), part.column("pos").to_pylist()
             ids, tags = part.column("id").to_pylist(), part.column("tag").to_pylist()
             lead, context = part.column("lead").to_pylist(), part.column("context").to_pylist()
+            places = list(zip(ids, tags, pos, strict=True))
             cut = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1, [len(h)]]).tolist()
             out = []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1:
-                    out += [(ids[s + i], tags[s + i], pos[s + i], lo, hi) for i, lo, hi in matcher(context[s:e], lead[s:e])]
+                    out += [(ids[s + i], tags[s + i], pos[s + i], lo, hi) for i, lo, hi in matcher(context[s:e], lead[s:e], places[s:e])]
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), *[pa.int32()] * 4]
             arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
@@ -161,54 +194,94 @@ def _matched(contexts: DataFrame, matcher: Matcher) -> DataFrame:
         if held:
             yield spans(pa.Table.from_batches(held))
 
-    ordered = contexts.drop("hot", "m").repartition("h").sortWithinPartitions("h", "id", "tag", "pos")
+    ordered = contexts.select("h", "id", "tag", "pos", "lead", "context").repartition("h").sortWithinPartitions("h", "id", "tag", "pos")
     return ordered.mapInArrow(run, _SPAN)
 
 
-def _hot_windows(contexts: DataFrame, unit: Unit) -> DataFrame:
-    """Spans of contexts in hot groups: every window by its hash, counted, first occurrences known."""
+def _longer_keys(contexts: DataFrame, unit: Unit) -> DataFrame:
+    """Contexts (with known_left, known_right: what all of a group share around the anchor) under keys that reach further.
+
+    Of the `missing` units a window has at least `right` on the right, or else `left` on the
+    left. Where nothing is missing any more, `window` is the text of the whole window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags, pos, lead, m = (b.column(c) for c in ("id", "tag", "pos", "lead", "m"))
-            for first, last, data, offsets in K.text_slices(b.column("context")):
-                values, at, _, _ = unit.sequence(data, offsets)
-                prefix = K.prefix_hash(values)
-                room = np.maximum(np.diff(at) - unit.length + 1, 0)
-                doc = np.repeat(np.arange(len(room)), room)
-                o = np.arange(len(doc)) - np.repeat(np.cumsum(room) - room, room)
-                s = at[:-1][doc] + o
-                take = pa.array(first + doc)
-                start = pos.take(take).to_numpy() - lead.take(take).to_numpy() + o
-                w = K.range_hash(prefix, s, s + unit.length)
-                v = K.range_hash(K.prefix_hash(K.mix(values + np.uint64(0x9E3779B9))), s, s + unit.length)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), ids.take(take), tags.take(take), pa.array(start.astype(np.int32)), m.take(take)], names=["w", "v", "id", "tag", "pos", "m"])
-
-    rows = contexts.mapInArrow(run, "w long, v long, id long, tag int, pos int, m long").groupBy("w", "v", "id", "tag", "pos").agg(F.max("m").alias("m"))
+            take, keys, lefts, rights, windows = [], [], [], [], []
+            columns = (b.column(c).to_pylist() for c in ("h", "lead", "context", "known_left", "known_right"))
+            for i, (h, lead, context, known_left, known_right) in enumerate(zip(*columns, strict=True)):
+                units = context.split() if unit.words else context
+                text = b" ".join if unit.words else bytes
+                missing = unit.left - known_left - known_right
+                right = (missing + 1) // 2
+                left = missing - right + 1
+                a, z = lead - known_left, lead + unit.k + known_right
+                for side, start, end, more_left, more_right in ((b"r", z, z + right, 0, right), (b"l", a - left, a, left, 0)):
+                    if start < 0 or end > len(units):
+                        continue
+                    key = blake2b(h.to_bytes(8, "little", signed=True) + side + text(units[start:end]), digest_size=8).digest()
+                    take.append(i)
+                    keys.append(int.from_bytes(key, "little", signed=True))
+                    lefts.append(known_left + more_left)
+                    rights.append(known_right + more_right)
+                    whole = missing == more_left + more_right
+                    windows.append(text(units[a - more_left : z + more_right]) if whole else None)
+            own = b.take(pa.array(take, pa.int64()))
+            cols = [pa.array(keys, pa.int64()), *(own.column(c) for c in ("id", "tag", "pos", "lead", "context"))]
+            yield pa.RecordBatch.from_arrays(
+                [*cols, pa.array(lefts, pa.int32()), pa.array(rights, pa.int32()), pa.array(windows, pa.binary())],
+                names=["h", "id", "tag", "pos", "lead", "context", "known_left", "known_right", "window"],
+            )
+
+    return contexts.mapInArrow(run, f"{_CONTEXT}, known_left int, known_right int, window binary")
+
+
+def _equal_windows(rows: DataFrame, unit: Unit) -> DataFrame:
+    """Spans of whole windows that occur at several places."""
+    start = (F.col("pos") - F.col("known_left")).alias("pos")
+    windows = written(rows.select("window", "id", "tag", start).distinct(), "windows")  # a window may hold several anchors
     place = F.struct("id", "tag", "pos")
-    known = rows.groupBy("w", "v").agg(F.sum("m").alias("c"), F.min(place).alias("first")).filter("c > 1")
-    again = rows.join(known, ["w", "v"])
+    known = windows.groupBy("window").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1")
+    again = windows.join(known, "window")
     if unit.earlier:
         again = again.filter(place != F.col("first"))
     return again.select("id", "tag", "pos", F.lit(0).alias("lo"), F.lit(unit.length).alias("hi"), F.lit(None).cast("binary").alias("more"))
 
 
+def _hot_spans(contexts: DataFrame, unit: Unit, matcher: Matcher, hot: int) -> list[DataFrame]:
+    """Spans of the contexts of hot groups, level by level: as many levels as the binary logarithm of what a k-gram lacks."""
+    found = []
+    wide = contexts.withColumns({"known_left": F.lit(0), "known_right": F.lit(0)})
+    while not wide.isEmpty():
+        longer = written(_longer_keys(wide, unit), "longer")
+        whole = longer.filter("window is not null")
+        if not whole.isEmpty():
+            found.append(_equal_windows(whole, unit))
+        longer = longer.filter("window is null").drop("window")
+        sizes = written(longer.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
+        sized = longer.join(sizes, "h")
+        found.append(_matched(sized.filter(F.col("c") <= hot), matcher))
+        wide = sized.filter(F.col("c") > hot).drop("c")
+    return found
+
+
 def repeated_spans(rows: DataFrame, unit: Unit, matcher: Matcher, hot: int = HOT) -> DataFrame:
     """(id, tag, pos, lo, hi, more) of keyed rows: units pos - lo to pos + hi repeat, at pos and at each position in more."""
-    found = _anchor_rows(rows, unit)
-    counts = found.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1")
-    repeated = written(found.join(counts, "h"), "anchors")
+    repeated = written(_anchor_rows(rows, unit).join(_anchor_counts(rows, unit), "h"), "anchors")
     place = F.struct("id", "tag", "pos")
-    groups = repeated.groupBy("h", "hc").agg(F.sum("n").alias("m"), F.min(place).alias("rep"), F.first("c").alias("c"))
-    reps = groups.filter("c > m").select("h", "rep.*", "m", (F.col("c") > hot).alias("hot"))
+    groups = written(repeated.groupBy("h", "hc").agg(F.sum("n").alias("m"), F.min(place).alias("rep"), F.first("c").alias("c")), "groups")
+    several = groups.filter("c > m")
+    wide = written(several.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h", F.lit(True).alias("hot")), "hot")
+    reps = several.join(small_side(wide), "h", "left").select("h", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
     contexts = _contexts(rows, reps, unit)
-    if repeated.filter(F.col("c") > hot).isEmpty():
-        partial = _matched(contexts, matcher)
+    if wide.isEmpty():
+        parts = [_matched(contexts, matcher)]
     else:
         contexts = written(contexts, "contexts")
-        partial = _matched(contexts.filter("not hot"), matcher).union(_hot_windows(contexts.filter("hot"), unit))
-    partial = written(partial, "spans")
-    copies = repeated.join(groups.filter("m > 1").select(F.col("h").alias("gh"), F.col("hc").alias("ghc"), "rep"), (F.col("h") == F.col("gh")) & (F.col("hc") == F.col("ghc")))
+        parts = [_matched(contexts.filter("not hot"), matcher), *_hot_spans(contexts.filter("hot").drop("hot"), unit, matcher, hot)]
+    partial = written(reduce(DataFrame.union, parts), "spans")
+    copied = groups.filter("m > 1").select(F.col("h").alias("gh"), F.col("hc").alias("ghc"), "rep")
+    copies = repeated.join(copied, (F.col("h") == F.col("gh")) & (F.col("hc") == F.col("ghc")))
     lo, hi = F.lit(unit.left).alias("lo"), F.lit(unit.length).alias("hi")
     if not unit.earlier:
         return partial.union(copies.select("id", "tag", "pos", lo, hi, "more"))

@@ -1,11 +1,13 @@
 """Substring dedup: suffix automata of reference shards, matching statistics of documents.
 
-A reference shard is what can match one k-gram of words: the contexts of its occurrences,
-in order of document and position. The corpus is its own reference, so instead of sending
-every automaton to every document (which would be quadratic), shards and documents meet by
-the k-gram. Each context is streamed through the automaton of the contexts before it; where
-the matching length reaches the threshold, the window occurred earlier. Symbols carry their
-distance from the anchor, so a context never matches itself at another shift.
+A reference shard holds passages of documents: what can match one k-gram of words, the
+contexts of its occurrences, with those of a document that touch each other merged. The
+corpus is its own reference, and sending the automaton of every shard to every document
+would be quadratic, so the k-grams say which documents meet which shard, and both are sent
+to the same task. There passages stream through the shard's automaton in order of document
+and position: each word moves the match on, over all passages before it and all words
+before it in its own, and is then added. Where the match is as long as the threshold, the
+words of the match go, so what goes are maximal spans above the threshold.
 
 Defined results: null text has no words; fewer words than the threshold lose nothing; rows
 that repeat an id and text are one document listed twice, and share its answer; null ids
@@ -26,8 +28,8 @@ from .repeats import HOT, Unit, cover, keyed, repeated_spans, with_spans
 
 WORDS = 20
 K_GRAM = 5
-#: Contexts of one automaton: about 17 KB each, so 340 MB at most.
-SHARD = 20_000
+#: Contexts of one automaton: some 40 words with about 700 bytes each where all are new, so 170 MB at most.
+SHARD = 6_000
 
 
 class SuffixAutomaton:
@@ -38,50 +40,41 @@ class SuffixAutomaton:
         self.link = [-1]
         self.length = [0]
 
-    def add(self, symbols: list) -> None:
+    def _clone(self, p: int, c, q: int) -> int:
+        nexts, link = self.next, self.link
+        clone = len(nexts)
+        nexts.append(nexts[q].copy())
+        self.length.append(self.length[p] + 1)
+        link.append(link[q])
+        while p >= 0 and nexts[p].get(c) == q:
+            nexts[p][c] = clone
+            p = link[p]
+        link[q] = clone
+        return clone
+
+    def extend(self, last: int, c) -> int:
+        """Adds c after the string whose state is `last`; the state of the longer string."""
         nexts, link, length = self.next, self.link, self.length
-        last = 0
-        for c in symbols:
-            p, q = last, nexts[last].get(c)
-            if q is not None and length[q] == length[p] + 1:
-                last = q
-                continue
-            if q is None:
-                new = len(nexts)
-                nexts.append({})
-                length.append(length[last] + 1)
-                link.append(0)
-                while p >= 0 and c not in nexts[p]:
-                    nexts[p][c] = new
-                    p = link[p]
-                if p < 0:
-                    last = new
-                    continue
-                q = nexts[p][c]
-                if length[q] == length[p] + 1:
-                    link[new] = q
-                    last = new
-                    continue
-            else:
-                new = -1
-            clone = len(nexts)
-            nexts.append(nexts[q].copy())
-            length.append(length[p] + 1)
-            link.append(link[q])
-            while p >= 0 and nexts[p].get(c) == q:
-                nexts[p][c] = clone
-                p = link[p]
-            link[q] = clone
-            if new >= 0:
-                link[new] = clone
-                last = new
-            else:
-                last = clone
-
-    def matching(self, symbols: list) -> list[int]:
-        """Length of the longest known string that ends at each symbol."""
+        q = nexts[last].get(c)
+        if q is not None:
+            return q if length[q] == length[last] + 1 else self._clone(last, c, q)
+        new = len(nexts)
+        nexts.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in nexts[p]:
+            nexts[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = nexts[p][c]
+            link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
+        return new
+
+    def stream(self, symbols: list, grow: bool = True) -> list[int]:
+        """Length of the longest known string that ends at each symbol; if it grows, each symbol is known from the next on."""
         nexts, link, length = self.next, self.link, self.length
-        state = size = 0
+        state = size = last = 0
         out = []
         for c in symbols:
             while state and c not in nexts[state]:
@@ -91,29 +84,43 @@ class SuffixAutomaton:
                 state = nexts[state][c]
                 size += 1
             out.append(size)
+            if grow:
+                last = self.extend(last, c)
+                while state and length[link[state]] >= size:  # a state was split below the match
+                    state = link[state]
         return out
 
 
 def automaton_matcher(length: int, shard: int = SHARD):
-    """A matcher: for every context after the first, the words around the anchor that occurred before.
+    """A matcher: spans of words that occurred before, in passages merged from the contexts of a document.
 
     Contexts beyond `shard` are further reference shards: one automaton is held at a time, and all
     later contexts stream through it.
     """
 
-    def match(contexts: list[bytes], leads: list[int]) -> list[tuple[int, int, int]]:
-        m, found = len(contexts), {}
-        for begin in range(0, m - 1, shard):
+    def match(contexts: list[bytes], leads: list[int], places: list[tuple]) -> list[tuple[int, int, int]]:
+        m, found = len(contexts), []
+        texts = [c.split() for c in contexts]
+        begins = [place[2] - lead for place, lead in zip(places, leads, strict=True)]
+        for first in range(0, m, shard):
             automaton = SuffixAutomaton()
-            for i in range(begin, m):
-                symbols = list(enumerate(contexts[i].split(), -leads[i]))
-                ends = [e for e, size in enumerate(automaton.matching(symbols)) if size >= length] if i > begin else []
-                if ends:
-                    least, most = found.get(i, (ends[0], ends[-1]))
-                    found[i] = (min(least, ends[0]), max(most, ends[-1]))
-                if i < begin + shard and i + 1 < m:
-                    automaton.add(symbols)
-        return [(i, leads[i] - least + length - 1, most + 1 - leads[i]) for i, (least, most) in sorted(found.items())]
+            i = first
+            while i < m:
+                words, j = list(texts[i]), i + 1
+                while j < m and places[j][:2] == places[i][:2] and begins[j] <= begins[i] + len(words):
+                    words += texts[j][begins[i] + len(words) - begins[j] :]
+                    j += 1
+                ends = automaton.stream(words, i < first + shard)
+                spans: list[list[int]] = []  # of the passage, merged where they overlap
+                for at, size in enumerate(ends):
+                    if size >= length:
+                        if spans and at - size + 1 <= spans[-1][1]:
+                            spans[-1] = [min(spans[-1][0], at - size + 1), at + 1]
+                        else:
+                            spans.append([at - size + 1, at + 1])
+                found += [(i, leads[i] - s, e - leads[i]) for s, e in spans]
+                i = j
+        return found
 
     return match
 

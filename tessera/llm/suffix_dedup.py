@@ -37,7 +37,7 @@ def interval_tree(length: int, k: int):
     def common(a: int, b: int, size: int) -> int:
         return size - ((a ^ b).bit_length() + 7) // 8
 
-    def match(contexts: list[bytes], leads: list[int]) -> list[tuple[int, int, int]]:
+    def match(contexts: list[bytes], leads: list[int], places: list[tuple] | None = None) -> list[tuple[int, int, int]]:
         m = len(contexts)
         rights = [int.from_bytes(c[p:].ljust(length, b"\xff"), "big") for c, p in zip(contexts, leads, strict=True)]
         lefts = [int.from_bytes(c[:p][::-1].ljust(left_most, b"\xff"), "big") for c, p in zip(contexts, leads, strict=True)]
