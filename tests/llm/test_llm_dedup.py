@@ -49,7 +49,7 @@ def test_suffix_tree_against_pairs():
     for _ in range(200):
         contexts = [bytes(rng.choice(b"ab") for _ in range(8)) + b"abab" + bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(rng.randint(2, 9))]
         contexts = list(dict.fromkeys(contexts))
-        got = {i: (lo, hi) for i, lo, hi in match(contexts, [8] * len(contexts))}
+        got = {i: (lo, hi) for i, lo, hi in match(contexts, [8] * len(contexts), [(i, 0, 8) for i in range(len(contexts))])}
         for i, c in enumerate(contexts):
             lo = hi = 0
             for j, d in enumerate(contexts):
@@ -83,11 +83,13 @@ def test_automaton():
     for _ in range(100):
         texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(4)]
         a = substring_dedup.SuffixAutomaton()
-        for t in texts[:-1]:
-            a.add(list(t))
-        q = texts[-1]
-        known = {t[i:j] for t in texts[:-1] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
-        assert a.matching(list(q)) == [max((n for n in range(e + 2) if q[e + 1 - n : e + 1] in known), default=0) for e in range(len(q))]
+        known: set[str] = set()
+        for t in texts:
+            # Known from texts before, and from the text itself where it starts earlier.
+            want = [max(n for n in range(e + 2) if t[e + 1 - n : e + 1] in known | {""} or t[e + 1 - n : e + 1] in t[:e]) for e in range(len(t))]
+            assert a.stream(list(t)) == want
+            known |= {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        assert a.stream(list(texts[0]), grow=False) == list(range(1, len(texts[0]) + 1))
 
 
 def test_automaton_shards():
@@ -96,17 +98,30 @@ def test_automaton_shards():
     for _ in range(200):
         words = lambda n: [rng.choice("abc") for _ in range(n)]
         contexts = [" ".join([*words(5), "x", *words(5)]).encode() for _ in range(rng.randint(2, 12))]
-        leads = [5] * len(contexts)
-        assert substring_dedup.automaton_matcher(5, 2)(contexts, leads) == substring_dedup.automaton_matcher(5)(contexts, leads)
+        leads, places = [5] * len(contexts), [(i, 0, 5) for i in range(len(contexts))]
+
+        def covered(shard):
+            return {(i, p) for i, lo, hi in substring_dedup.automaton_matcher(5, shard)(contexts, leads, places) for p in range(5 - lo, 5 + hi)}
+
+        assert covered(2) == covered(6000)
+
+
+def test_automaton_passages():
+    """Contexts of a document that touch are one passage, in which a window is no copy of itself."""
+    words = [b"x", *(b"w%d" % i for i in range(9)), b"x", *(b"w%d" % i for i in range(9))]
+    contexts, leads = [b" ".join(words[:15]), b" ".join(words[5:])], [0, 5]
+    match = substring_dedup.automaton_matcher(5)
+    assert match(contexts, leads, [(1, 7, 0), (1, 7, 10)]) == [(0, -10, 20)]
+    assert match(contexts[:1] * 2, [0, 0], [(1, 7, 0), (2, 7, 0)]) == [(0, -10, 15), (1, 0, 15)]
 
 
 def test_ngram_join(documents):
     assert near_of(documents) == R.near_documents(pairs(documents))
 
 
-@pytest.mark.parametrize("options", [{}, {"group": 2}, {"block_tokens": 100}])
+@pytest.mark.parametrize("options", [{}, {"group": 2, "block_tokens": 100}, {"chance": 0.0}])
 def test_ngram_join_edges(edge, edge_rows, options):
-    """Also with groups cut into blocks of two members, or of a hundred tokens."""
+    """Also with groups cut into blocks of two members or a hundred tokens, and without the filter by chance."""
     assert near_of(edge, **options) == R.near_documents(edge_rows)
 
 
