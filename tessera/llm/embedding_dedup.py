@@ -12,11 +12,13 @@ angles excludes (centres further apart than both radii and the threshold's angle
 that lie in one component already. In a pair of blocks all cosines are taken, and points of
 different components that reach the threshold unite them.
 
-Links inside a component are then completed exactly. Around the component's mean direction,
+The verified pairs give components; the passes of a window do not see every pair of a
+large component, so links inside a component are then completed exactly. Around the component's mean direction,
 points within half the threshold's angle are linked to each other by the triangle inequality
-of angles, so they are counted and not compared; each point outside is compared with the
-whole component, in blocks. Large groups of near copies thus cost their size, not its square,
-unless many of their points lie far from the mean.
+of angles, so they are counted and not compared. The rest is compared in blocks of the
+component, cut along its hash bits: a point outside meets only blocks whose centre and
+radius leave room for a link. Large groups of near copies thus cost their size, not its
+square, and chains the blocks that are near each other.
 
 Defined results: null labels, null or zero vectors, and vectors with null or non-finite
 components link with nothing; so do null ids; vectors of different dimension never link;
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_side, written
 from .graph import connected_components
 from .ngram_join import _Union
 
@@ -49,11 +51,16 @@ BITS = 63
 LEAST_SHARED = 256
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _vectors(column: pa.ListArray) -> np.ndarray:
     """Unit vectors in double precision; all lists have one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _unit(flat.reshape(len(column), -1))
 
 
 def _vector_of(df: DataFrame, column: str) -> Column:
@@ -115,10 +122,10 @@ def candidate_links(rows: DataFrame, threshold: float, passes: int, window: int,
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
-        x = np.zeros((len(pdf), int(pdf["dim"].max())))
-        for i, v in enumerate(pdf["vector"]):
-            x[i, : len(v)] = v
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x, dims = np.zeros((len(pdf), int(pdf["dim"].max()))), pdf["dim"].to_numpy()
+        for dim in np.unique(dims):
+            own = np.nonzero(dims == dim)[0]
+            x[own, :dim] = _unit(np.stack(pdf["vector"].iloc[own].to_list()).astype(np.float64))
         group = pd.factorize(pd.MultiIndex.from_frame(pdf[["pass", "label", "dim"]]))[0]
         point, up = pdf["point"].to_numpy(), np.arange(len(pdf))
         a, b = [], []
@@ -206,60 +213,81 @@ def missed_links(distinct: DataFrame, classes: DataFrame, threshold: float, bloc
     return left.unionByName(other).groupBy(*keys).applyInArrow(_compare_components(threshold), "a long, b long")
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """(component, centre): mean direction, summed per batch before the shuffle."""
+def _sums(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, centre): sum of the unit vectors of each group, added up per batch before the shuffle and by position after it."""
+    kinds = dict(members.dtypes)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            comp, inv = np.unique(b.column("component").to_numpy(), return_inverse=True)
-            lists = b.column("vector")
-            width = int(np.diff(lists.offsets.to_numpy()).max())
-            x = np.zeros((b.num_rows, width))
-            for i, v in enumerate(lists):
-                v = np.array(v.values, np.float64)
-                x[i, : len(v)] = v / np.linalg.norm(v)
-            total = np.zeros((len(comp), width))
-            np.add.at(total, inv, x)
-            yield pa.RecordBatch.from_arrays([pa.array(comp), pa.array(list(total), pa.list_(pa.float64()))], names=["component", "total"])
-
-    sums = members.select("component", "vector").mapInArrow(partial, "component long, total array<double>")
-    add = F.aggregate(F.collect_list("total"), F.lit(None).cast("array<double>"), lambda a, t: F.when(a.isNull(), t).otherwise(F.zip_with(a, t, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))))
-    return sums.groupBy("component").agg(add.alias("centre"))
+            rows = b.select([*keys, "vector"]).to_pandas()
+            groups = rows.groupby([*keys, rows["vector"].str.len()], sort=False).indices
+            first = [int(i[0]) for i in groups.values()]
+            total = [_unit(np.stack(rows["vector"].iloc[i].to_list()).astype(np.float64)).sum(0) for i in groups.values()]
+            own = b.take(pa.array(first, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), pa.array(total, pa.list_(pa.float64()))], names=[*keys, "total"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    sums = members.select(*keys, "vector").mapInArrow(partial, f"{schema}, total array<double>")
+    parts = sums.select(*keys, F.posexplode("total").alias("_at", "_x")).groupBy(*keys, "_at").agg(F.sum("_x").alias("_x"))
+    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_l")).select(*keys, F.col("_l._x").alias("centre"))  # one entry per dimension
+
+
+def _angle(x: Column, y: Column) -> Column:
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    return F.coalesce(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))))), F.lit(float(np.pi)))
+
+
+def _scaled(vector: Column) -> Column:
+    """The vector over its largest component, in double precision."""
+    values = vector.cast("array<double>")
+    most = F.array_max(F.transform(values, lambda x: F.abs(x)))
+    return F.transform(F.arrays_zip(values.alias("v"), F.array_repeat(most, F.size(values)).alias("m")), lambda x: x["v"] / x["m"])
 
 
 def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(point, links): linked points of the same component, copies counted, exact."""
-    half = float(np.arccos(threshold) / 2 - 1e-7)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    # Blocks of equal size per component; small components share a block by their hash.
-    near = members.withColumn("vector", F.col("vector").cast("array<double>")).join(_centres(members), "component")
-    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("vector"), F.col("centre")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("centre"), F.col("centre"))))))
-    near = written(near.withColumn("core", angle <= half).drop("centre"), "cores")
-    sizes = near.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("in_core"), F.count("*").alias("held"))
+    """(point, links): linked points of the same component, copies counted, exact. Members: (component, label, point, vector, copies)."""
+    reach = float(np.arccos(threshold))
+    half, slack = reach / 2 - 1e-7, 1e-6
+    near = members.select("component", "point", "copies", _scaled(F.col("vector")).alias("vector"))
+    centred = near.join(small_side(written(_sums(near, ["component"]), "centres")), "component")
+    near = written(centred.withColumn("core", _angle(F.col("vector"), F.col("centre")) <= half).drop("centre"), "cores")
+    sizes = near.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("in_core"), F.count("*").alias("held"), F.count_if(~F.col("core")).alias("outside"))
+    sizes = written(sizes, "component_sizes")
     core = near.filter("core").join(sizes, "component").select("point", (F.col("in_core") - F.col("copies")).alias("links"))
-    blocks = F.ceil(F.col("held") / block).cast("int")
-    sized = near.join(sizes.filter("held > 1").select("component", "held"), "component").withColumn("_blocks", blocks)
-    held = sized.withColumn("_block", F.pmod(F.xxhash64("point"), F.col("_blocks")).cast("int")).withColumn("asks", F.lit(False))
-    asking = sized.filter("not core").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("asks", F.lit(True))
-    needed = sized.filter("not core").select("component").distinct()
-    rows = held.join(needed, "component", "left_semi").unionByName(asking)
-    few = max(LEAST_SHARED, near.count() // block)  # grows with the members, so that what small components share stays about a block
-    shared = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(few)).cast("long")).otherwise(F.col("component") + few)
+
+    # Components with points outside are cut into blocks: all of a small one, those of like hash bits in a large one.
+    asked = near.join(sizes.filter("outside > 0").select("component", F.ceil(F.col("held") / block).cast("int").alias("_cells")), "component")
+    bits = F.ceil(F.log2(F.col("_cells"))).cast("int")
+    keyed = _keys(asked.select(F.col("component").cast("string").alias("label"), F.size("vector").alias("dim"), "point", "vector"), 1, BITS).select("point", "key")
+    cell = F.when(F.col("_cells") == 1, F.lit(0)).otherwise(F.expr(f"shiftright(key, {BITS} - least(16, _bits + 4))"))
+    celled = written(asked.withColumn("_bits", bits).join(keyed, "point").withColumn("cell", cell.cast("long")).drop("key", "_bits", "_cells"), "cells")
+    parts = celled.groupBy("component", "cell").agg(F.ceil(F.count("*") / block).alias("_parts"))
+    celled = written(celled.join(parts, ["component", "cell"]).withColumn("part", F.pmod(F.xxhash64("point"), "_parts").cast("long")).drop("_parts"), "parts")
+    cells = ["component", "cell", "part"]
+    centres = celled.join(_sums(celled, cells), cells)
+    blocks = centres.groupBy(*cells).agg(F.first("centre").alias("centre"), F.max(_angle(F.col("vector"), F.col("centre"))).alias("radius"), F.sum("copies").alias("_held"))
+    blocks = written(blocks.withColumnsRenamed({"cell": "_cell", "part": "_part"}), "blocks")
+    outside = celled.filter("not core")
+    meets = outside.join(small_side(blocks.select("component", "_cell", "_part", "centre", "radius")), "component").withColumn("_angle", _angle(F.col("vector"), F.col("centre")))
+    meets = meets.filter(F.col("_angle") <= F.col("radius") + reach + slack)
+    asking = meets.select("component", F.col("_cell").alias("cell"), F.col("_part").alias("part"), "point", "copies", "vector", "core", F.lit(True).alias("asks"))
+    held = celled.select(*cells, "point", "copies", "vector", "core", F.lit(False).alias("asks"))
+    few = max(LEAST_SHARED, celled.count() // block)  # grows with the members, so that what small components share stays about a block
+    shared = F.pmod(F.xxhash64("component"), F.lit(few))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         point, links = [], []
-        for _, part in pdf.groupby("component"):
+        for _, part in pdf.groupby(["component", "cell", "part"]):
             q, h = part[part["asks"]], part[~part["asks"]]
-            unit = lambda s: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.array(list(s), float))
             if not len(q) or not len(h):
                 continue
-            y, copies, own, core = unit(h["vector"]), h["copies"].to_numpy(), h["point"].to_numpy(), h["core"].to_numpy()
+            y, copies, own, core = _unit(np.stack(h["vector"].to_list())), h["copies"].to_numpy(), h["point"].to_numpy(), h["core"].to_numpy()
             gain = np.zeros(len(h), np.int64)
             for s in range(0, len(q), 500):
                 ask = q.iloc[s : s + 500]
-                near_to = unit(ask["vector"]) @ y.T >= threshold
+                near_to = _unit(np.stack(ask["vector"].to_list())) @ y.T >= threshold
                 near_to &= ask["point"].to_numpy()[:, None] != own[None, :]
                 point += ask["point"].tolist()
                 links += (near_to @ copies).tolist()
@@ -268,7 +296,8 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
             links += gain[gain > 0].tolist()
         return pd.DataFrame({"point": np.array(point, np.int64), "links": np.array(links, np.int64)})
 
-    found = rows.withColumn("_shared", shared).select("component", "point", "copies", "vector", "core", "asks", "_shared", "_block").groupBy("_shared", "_block").applyInPandas(compare, "point long, links long")
+    rows = held.unionByName(asking).withColumn("_shared", shared)
+    found = rows.groupBy("_shared", "cell", "part").applyInPandas(compare, "point long, links long")
     return core.unionByName(found).groupBy("point").agg(F.sum("links").alias("links"))
 
 

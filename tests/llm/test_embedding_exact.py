@@ -34,3 +34,21 @@ def test_clusters_are_pruned(spark):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, passes=1, window=1, exact_block=100).collect()}
     assert got == {i: (299, i // 300 * 300) for i in range(len(x))}
+
+
+def test_extreme_magnitudes(spark):
+    """Squares that underflow or overflow are scaled first."""
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1e190]), (4, [3e300, 0.0]), (5, [0.0, 1e-320]), (6, [0.0, -1e300])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_chained_component(spark):
+    """Points along an arc link to their neighbours only: most lie outside the core, and blocks that are far are left out."""
+    angles = np.linspace(0, np.pi * 1.5, 700)
+    x = np.stack([np.cos(angles), np.sin(angles), np.zeros(len(angles))], 1)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    linked = x @ x.T >= embedding_dedup.THRESHOLD
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, block=40).collect()}
+    assert got == {i: (int(linked[i].sum()) - 1, 0) for i in range(len(x))}
