@@ -42,6 +42,16 @@ def html_text(html) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r" ?\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
+def strip_html(html) -> Column:
+    """Entities decoded, tags off, the texts between tags on lines of their own; at most one blank line in a row."""
+    x = lit(html)
+    for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(char))
+    x = F.regexp_replace(x, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?:<[^>]*>)+", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def truncate_sentences(text, sentences: int = 2, chars: int = 320) -> Column:
     """At most so many sentences and characters."""
     parts = F.split(F.trim(lit(text)), r"(?<=[.!?])\s+")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,33 +11,29 @@ from tessera.functions.kernels import combined_score
 from tessera.operators import placement as P
 from tessera.sources import postings as N
 
+from . import vendors as V
 from .registry import query, table, whole_sql
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as postings of every vendor in turn."""
-    p = table(spark, sf_dir, "part")
-    vendors = F.array(*map(F.lit, N.VENDORS))
-    vendor = F.element_at(vendors, (F.col("p_partkey") % len(N.VENDORS) + 1).cast("int"))
-    name, place = F.col("p_name"), F.concat(F.lit("Berlin, Germany"), F.when(F.col("p_size") > 25, " (Remote)").otherwise(""))
-    fields = {
-        "id": F.col("p_partkey"), "title": name, "name": name, "text": name, "position": name, "jobTitle": name, "content": F.concat(F.lit("<p>"), F.col("p_type"), F.lit("</p>")),
-        "description": F.concat(F.lit("<p>"), F.col("p_type"), F.lit("</p>")), "absolute_url": F.concat(F.lit("https://x.example/"), F.col("p_partkey")), "url": F.concat(F.lit("https://x.example/"), F.col("p_partkey")),
-        "company_name": F.col("p_brand"), "company": F.col("p_brand"), "createdAt": F.lit(1785566725000), "updated_at": F.lit("2026-08-01"), "categories": F.struct(place.alias("location")),
-    }
-    located = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], F.struct(place.alias("name"), place.alias("country")).alias("location")))
-    flat = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], place.alias("location")))
-    return p.select(vendor.alias("vendor"), F.when(vendor.isin("greenhouse", "workable"), located).otherwise(flat).alias("payload"), F.col("p_brand").alias("company_name"), F.lit("parts").alias("mission_category"), F.lower(F.col("p_brand")).alias("ats_slug"))
-
-
-@query()
+    vendors = list(V.VENDORS)
+    p = table(spark, sf_dir, "part").selectExpr(*V.BASE_COLUMNS)
+    payload = reduce(lambda found, i: found.when(F.col("number") % len(vendors) == i, F.expr(V.payload_sql(vendors[i]))), range(len(vendors)), F)
+    vendor = F.get(F.array(*map(F.lit, vendors)), (F.col("number") % len(vendors)).cast("int"))
+    return p.select(vendor.alias("vendor"), payload.alias("payload"), F.col("brand").alias("company_name"), F.lit("parts").alias("mission_category"), F.col("slug").alias("ats_slug"))
+
+
+@query(V.expected_sql())
 def posting_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All thirty-one vendors to one shape."""
     return N.normalize_all(payloads(spark, sf_dir))
 
 
-@query("""SELECT 'greenhouse' AS source, CAST(p_partkey AS VARCHAR) AS source_job_id, p_name AS title, concat('https://x.example/', p_partkey) AS url, concat('Berlin, Germany', CASE WHEN p_size > 25 THEN ' (Remote)' ELSE '' END) AS location_text, p_size > 25 AS is_remote, p_type AS description_text, '2026-08-01' AS posted_at_hint FROM part WHERE p_partkey % 31 = 0""")
+@query(f"""WITH p AS (SELECT {V.BASE} FROM part) SELECT 'greenhouse' AS source, k AS source_job_id, name AS title, page AS url, place AS location_text, size % 5 = 0 AS is_remote, kind AS description_text,
+CASE WHEN size % 2 = 0 THEN '2026-08-01' ELSE '2026-07-01' END AS posted_at_hint FROM p WHERE number % 31 = 0""")
 def greenhouse_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vendor alone."""
     out = N.normalize(payloads(spark, sf_dir).filter("vendor = 'greenhouse'"), "greenhouse")
     return out.select("source", "source_job_id", "title", "url", "location_text", "is_remote", "description_text", "posted_at_hint")
 

@@ -1,17 +1,19 @@
 """Posting payloads of job boards to one row shape: `from_json` per vendor, then a projection.
 
 Every vendor is a schema and a mapping; the shared shape has thirteen columns. All of it is
-column expressions, so payloads stay in the JVM and only the fields a query uses are parsed.
+column expressions, so payloads stay in the JVM. All vendors together are one scan: each row
+is parsed once, by the schema of its own vendor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import html_text
+from tessera.functions.text import strip_html
 
 COLUMNS = (
     "source", "source_job_id", "company_name", "mission_category", "ats_type", "ats_slug", "title", "url",
@@ -28,8 +30,13 @@ def or_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def says_remote(*parts: Column) -> Column:
-    return F.lower(F.concat_ws(" ", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])).rlike("remote|work from home|distributed")
+def says_remote(*parts: Column, marks: str = "remote|work from home|distributed") -> Column:
+    return F.lower(F.concat_ws(" ", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])).rlike(marks)
+
+
+def board_remote(*parts: Column) -> Column:
+    """Job boards know one mark more."""
+    return says_remote(*parts, marks="remote|work from home|distributed|wfh")
 
 
 def joined(values: Column, by: str = ", ") -> Column:
@@ -39,7 +46,7 @@ def joined(values: Column, by: str = ", ") -> Column:
 def lines(first: Column, extras: list[tuple[str, Column]]) -> Column:
     """The text, then `label: value` lines of the values that are there."""
     tail = F.filter(F.array(*[F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in extras]), lambda x: x.isNotNull())
-    return F.trim(F.concat_ws("\n", first, F.array_join(tail, "\n")))
+    return F.regexp_replace(F.array_join(F.array_prepend(tail, first), "\n"), r"^\s+|\s+$", "")
 
 
 def span(low: Column, high: Column, tail: Column | None = None) -> Column:
@@ -49,6 +56,12 @@ def span(low: Column, high: Column, tail: Column | None = None) -> Column:
     return F.when(known, F.trim(body))
 
 
+def utc_text(millis: Column) -> Column:
+    """Milliseconds since the epoch as a time in UTC, whatever the zone of the session."""
+    local = F.timestamp_millis(millis).cast("timestamp_ntz")
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def _ats(name: str, **fields: Column) -> dict[str, Column]:
     title, text = fields["title"], fields["text"]
     remote = says_remote(title, text, fields.get("location", F.lit("")))
@@ -76,7 +89,7 @@ def _listed(name: str, title: tuple[str, ...] = ("title", "name")) -> tuple[str,
 
     def build(j: Column) -> dict[str, Column]:
         t = some(*[j[c] for c in title])
-        return _ats(name, id=some(j["id"], t), title=t, text=html_text(some(j["description"], j["summary"])), url=some(j["url"], j["link"]), location=some(j["location"], j["city"]), posted=some(j["posted"], j["date"]))
+        return _ats(name, id=some(j["id"], t), title=t, text=strip_html(some(j["description"], j["summary"])), url=some(j["url"], j["link"]), location=some(j["location"], j["city"]), posted=some(j["posted"], j["date"]))
 
     return schema, build
 
@@ -85,36 +98,36 @@ def _html_board(name: str) -> tuple[str, Callable]:
     schema = "id string, title string, company_name string, url string, description string, location string, mission_category string"
 
     def build(j: Column) -> dict[str, Column]:
-        return _board(name, some(j["mission_category"], F.lit(name)), id=j["id"], title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=some(j["description"]), location=some(j["location"]), remote=says_remote(j["location"], j["title"]))
+        return _board(name, some(j["mission_category"], F.lit(name)), id=j["id"], title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=some(j["description"]), location=some(j["location"]), remote=board_remote(j["location"], j["title"]))
 
     return schema, build
 
 
 def _greenhouse(j: Column) -> dict[str, Column]:
-    return _ats("greenhouse", id=j["id"], title=some(j["title"]), text=html_text(some(j["content"])), plain=True, url=some(j["absolute_url"]), location=some(j["location"]["name"]), posted=some(j["updated_at"], j["first_published"]))
+    return _ats("greenhouse", id=j["id"], title=some(j["title"]), text=strip_html(some(j["content"])), plain=True, url=some(j["absolute_url"]), location=some(j["location"]["name"]), posted=some(j["updated_at"], j["first_published"]))
 
 
 def _ashby(j: Column) -> dict[str, Column]:
     t = some(j["title"])
-    return _ats("ashby", id=some(j["id"], j["jobUrl"], t), title=t, text=html_text(some(j["descriptionHtml"], j["description"])), url=some(j["jobUrl"], j["applyUrl"]), location=some(j["location"], j["locationName"]), remote=j["isRemote"], salary=some(j["compensationTierSummary"]), posted=some(j["publishedAt"]))
+    return _ats("ashby", id=some(j["id"], j["jobUrl"], t), title=t, text=strip_html(some(j["descriptionHtml"], j["description"])), url=some(j["jobUrl"], j["applyUrl"]), location=some(j["location"], j["locationName"]), remote=j["isRemote"], salary=some(j["compensationTierSummary"]), posted=some(j["publishedAt"]))
 
 
 def _workable(j: Column) -> dict[str, Column]:
     t = some(j["title"])
     place = some(j["location"]["country"], j["location"]["city"], j["location"]["location_str"])
-    return _ats("workable", id=some(j["shortcode"], j["id"], t), title=t, text=html_text(some(j["description"], j["full_description"])), url=some(j["url"], j["application_url"]), location=place, remote=j["remote"], posted=some(j["published"]))
+    return _ats("workable", id=some(j["shortcode"], j["id"], t), title=t, text=strip_html(some(j["description"], j["full_description"])), url=some(j["url"], j["application_url"]), location=place, remote=j["remote"], posted=some(j["published"]))
 
 
 def _recruitee(j: Column) -> dict[str, Column]:
     t = some(j["title"])
-    return _ats("recruitee", id=some(j["id"], j["slug"], t), title=t, text=html_text(some(j["description"], j["requirements"])), url=some(j["careers_url"], j["url"]), location=some(j["location"], j["city"]), remote=j["remote"], salary=some(j["salary"]), posted=some(j["published_at"]))
+    return _ats("recruitee", id=some(j["id"], j["slug"], t), title=t, text=strip_html(some(j["description"], j["requirements"])), url=some(j["careers_url"], j["url"]), location=some(j["location"], j["city"]), remote=j["remote"], salary=some(j["salary"]), posted=some(j["published_at"]))
 
 
 def _personio(j: Column) -> dict[str, Column]:
     t = some(j["name"], j["title"])
     jid = some(j["id"], t)
     url = F.concat(F.lit("https://"), F.col("ats_slug"), F.lit(".jobs.personio."), some(j["tld"], F.lit("de")), F.lit("/job/"), jid)
-    return _ats("personio", id=jid, title=t, text=html_text(some(j["jobDescriptions"], j["description"])), url=url, location=some(j["office"], j["subcompany"]), posted=some(j["createdAt"]))
+    return _ats("personio", id=jid, title=t, text=strip_html(some(j["jobDescriptions"], j["description"])), url=url, location=some(j["office"], j["subcompany"]), posted=some(j["createdAt"]))
 
 
 def _workday(j: Column) -> dict[str, Column]:
@@ -123,15 +136,15 @@ def _workday(j: Column) -> dict[str, Column]:
     path = some(j["externalPath"])
     whole = F.concat_ws("/", host, some(j["_tenant"], F.get(parts, F.lit(0))), some(j["_site"], F.get(parts, F.lit(1)), F.lit("External")))
     url = F.when(path.startswith("/"), F.concat(host, path)).when(path != "", path).otherwise(whole)
-    return _ats("workday", id=some(F.get(j["bulletFields"], F.lit(0)), t), title=t, text=html_text(some(j["jobDescription"], j["description"])), url=url, location=some(j["locationsText"], j["location"]), posted=some(j["postedOn"]))
+    return _ats("workday", id=some(F.get(j["bulletFields"], F.lit(0)), t), title=t, text=strip_html(some(j["jobDescription"], j["description"])), url=url, location=some(j["locationsText"], j["location"]), posted=some(j["postedOn"]))
 
 
 def _lever(j: Column) -> dict[str, Column]:
     t = some(j["text"], j["title"])
-    text = some(F.trim(some(j["descriptionPlain"], j["descriptionBodyPlain"])), html_text(some(j["description"])))
+    text = some(F.trim(some(j["descriptionPlain"], j["descriptionBodyPlain"])), strip_html(some(j["description"])))
     c = j["categories"]
     place = F.array_join(F.filter(F.array(*[or_null(some(x)) for x in (j["country"], j["workplaceType"], c["location"], c["team"], c["department"])]), lambda x: x.isNotNull()), ", ")
-    out = _ats("lever", id=j["id"], title=t, text=text, plain=True, url=some(j["hostedUrl"], j["applyUrl"]), location=place, salary=some(j["salaryRange"]), posted=F.date_format(F.timestamp_millis(j["createdAt"].try_cast("long")), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    out = _ats("lever", id=j["id"], title=t, text=text, plain=True, url=some(j["hostedUrl"], j["applyUrl"]), location=place, salary=some(j["salaryRange"]), posted=utc_text(j["createdAt"].try_cast("long")))
     return out | {"is_remote": (F.lower(some(j["workplaceType"])) == "remote") | says_remote(t, text, j["country"])}
 
 
@@ -140,7 +153,7 @@ def _smartrecruiters(j: Column) -> dict[str, Column]:
     place = F.array_join(F.filter(F.array(*[or_null(some(item["location"][k])) for k in ("fullLocation", "city", "country")]), lambda x: x.isNotNull()), ", ")
     texts = F.filter(F.transform(F.map_values(detail["jobAd"]["sections"]), lambda s: s["text"]), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
     url = some(detail["postingUrl"], detail["applyUrl"], F.concat(F.lit("https://careers.smartrecruiters.com/"), F.col("ats_slug"), F.lit("/"), some(item["id"])))
-    out = _ats("smartrecruiters", id=item["id"], title=some(item["name"]), text=html_text(joined(texts, "\n\n")), url=url, location=place, posted=some(item["releasedDate"], detail["releasedDate"]))
+    out = _ats("smartrecruiters", id=item["id"], title=some(item["name"]), text=strip_html(joined(texts, "\n\n")), url=url, location=place, posted=some(item["releasedDate"], detail["releasedDate"]))
     return out | {"is_remote": F.coalesce(item["location"]["remote"], F.lit(False)) | says_remote(item["name"], place)}
 
 
@@ -148,64 +161,64 @@ def _climatebase(j: Column) -> dict[str, Column]:
     place = joined(j["locations"], "; ")
     pay = F.array_join(F.filter(F.array(*[or_null(some(j[k])) for k in ("salary_from", "salary_to", "salary_period")]), lambda x: x.isNotNull()), " – ")
     d = j["detail"]
-    text = some(html_text(some(d["sanitized_description"], d["description"])), j["employer_short_description"])
-    return _board("climatebase", F.coalesce(F.get(j["sectors"], F.lit(0)), F.lit("climate")), id=j["id"], title=some(j["title"]), company=some(d["employer_name"], j["employer_name"], j["name_of_employer"]), url=some(j["url"], F.concat(F.lit("https://climatebase.org/job/"), some(j["id"]))), text=text, location=place, remote=says_remote(place, j["title"], joined(j["remote_preferences"], " ")), salary=pay, posted=some(j["activation_date"]))
+    text = some(strip_html(some(d["sanitized_description"], d["description"])), j["employer_short_description"])
+    return _board("climatebase", F.coalesce(F.get(j["sectors"], F.lit(0)), F.lit("climate")), id=j["id"], title=some(j["title"]), company=some(d["employer_name"], j["employer_name"], j["name_of_employer"]), url=some(j["url"], F.concat(F.lit("https://climatebase.org/job/"), some(j["id"]))), text=text, location=place, remote=board_remote(place, j["title"], joined(j["remote_preferences"], " ")), salary=pay, posted=some(j["activation_date"]))
 
 
 def _hours(j: Column) -> dict[str, Column]:
-    place, text = joined(j["locations"], "; "), html_text(some(j["description"], j["description_short"]))
-    return _board("80000hours", "effective_altruism", id=j["id"], title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=place, remote=says_remote(place, j["title"], text, j["remote"]), salary=some(j["salary"]), posted=some(j["posted_at"]))
+    place, text = joined(j["locations"], "; "), strip_html(some(j["description"], j["description_short"]))
+    return _board("80000hours", "effective_altruism", id=j["id"], title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=place, remote=board_remote(place, j["title"], text, j["remote"]), salary=some(j["salary"]), posted=some(j["posted_at"]))
 
 
 def _escape(j: Column) -> dict[str, Column]:
-    text = html_text(some(j["description"], j["headline"]))
+    text = strip_html(some(j["description"], j["headline"]))
     known = (some(j["salary_low"]) != "") | (some(j["salary_max"]) != "")
     pay = F.when(known, F.regexp_replace(F.concat(some(j["salary_low"]), F.lit(" – "), some(j["salary_max"])), r"^[ –]+|[ –]+$", ""))
-    return _board("escapethecity", "impact", id=some(j["id"], j["slug"]), title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=some(j["location"]), remote=says_remote(j["location"], j["title"], text, j["remote"]), salary=F.coalesce(pay, F.lit("")), posted=some(j["posted_date"], j["updated_at"]))
+    return _board("escapethecity", "impact", id=some(j["id"], j["slug"]), title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=some(j["location"]), remote=board_remote(j["location"], j["title"], text, j["remote"]), salary=F.coalesce(pay, F.lit("")), posted=some(j["posted_date"], j["updated_at"]))
 
 
 def _techjobs(j: Column) -> dict[str, Column]:
     text = some(j["detail"]["text"], j["detail"]["meta_description"], joined(j["card_text"], "\n"))
-    return _board("techjobsforgood", "tech_for_good", id=j["id"], title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"], F.concat(F.lit("https://techjobsforgood.com/jobs/"), some(j["id"]), F.lit("/"))), text=text, location=some(j["location"]), remote=says_remote(j["location"], j["title"], text))
+    return _board("techjobsforgood", "tech_for_good", id=j["id"], title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"], F.concat(F.lit("https://techjobsforgood.com/jobs/"), some(j["id"]), F.lit("/"))), text=text, location=some(j["location"]), remote=board_remote(j["location"], j["title"], text))
 
 
 def _reliefweb(j: Column) -> dict[str, Column]:
     f = j["fields"]
     names = lambda c: joined(F.filter(F.transform(c, lambda x: x["name"]), lambda x: F.coalesce(x, F.lit("")) != ""))
-    org, body = F.get(f["source"], F.lit(0)), html_text(some(f["body-html"], f["body"]))
+    org, body = F.get(f["source"], F.lit(0)), strip_html(some(f["body-html"], f["body"]))
     text = lines(body, [("Themes", names(f["theme"])), ("Career categories", names(f["career-category"])), ("Org type", some(org["type"]))])
-    return _board("reliefweb", "humanitarian", id=some(j["id"], f["id"]), title=some(f["title"]), company=some(org["name"], org["shortname"], F.lit("ReliefWeb")), url=some(f["url"]), text=text, location=names(f["country"]), remote=says_remote(body, f["title"]), posted=some(f["date"]["created"]))
+    return _board("reliefweb", "humanitarian", id=some(j["id"], f["id"]), title=some(f["title"]), company=some(org["name"], org["shortname"], F.lit("ReliefWeb")), url=some(f["url"]), text=text, location=names(f["country"]), remote=board_remote(body, f["title"]), posted=some(f["date"]["created"]))
 
 
 def _remotive(j: Column) -> dict[str, Column]:
     need = F.trim(some(j["candidate_required_location"]))
     place = F.array_join(F.filter(F.array(or_null(need), or_null(some(j["category"]))), lambda x: x.isNotNull()), "; ")
-    text = lines(html_text(some(j["description"])), [("candidate_required_location", need), ("tags", joined(j["tags"])), ("job_type", some(j["job_type"]))])
+    text = lines(strip_html(some(j["description"])), [("candidate_required_location", need), ("tags", joined(j["tags"])), ("job_type", some(j["job_type"]))])
     return _board("remotive", "remote", id=j["id"], title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=place, remote=F.lit(True), salary=some(j["salary"]), posted=some(j["publication_date"]))
 
 
 def _arbeitnow(j: Column) -> dict[str, Column]:
     flag = F.when(j["remote"].isNotNull(), F.initcap(j["remote"].cast("string")))
-    text = lines(html_text(some(j["description"])), [("tags", joined(j["tags"])), ("job_types", joined(j["job_types"])), ("remote_flag", flag)])
-    return _board("arbeitnow", "eu_jobs", id=some(j["slug"], j["url"]), title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=some(j["location"]), remote=F.coalesce(j["remote"], F.lit(False)) | says_remote(j["location"], j["title"]), posted=some(j["created_at"]))
+    text = lines(strip_html(some(j["description"])), [("tags", joined(j["tags"])), ("job_types", joined(j["job_types"])), ("remote_flag", flag)])
+    return _board("arbeitnow", "eu_jobs", id=some(j["slug"], j["url"]), title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=some(j["location"]), remote=F.coalesce(j["remote"], F.lit(False)) | board_remote(j["location"], j["title"]), posted=some(j["created_at"]))
 
 
 def _jobicy(j: Column) -> dict[str, Column]:
-    text = lines(html_text(some(j["jobDescription"], j["jobExcerpt"], j["description"])), [("jobGeo", some(j["jobGeo"])), ("jobLevel", some(j["jobLevel"])), ("industry", joined(j["jobIndustry"]))])
+    text = lines(strip_html(some(j["jobDescription"], j["jobExcerpt"], j["description"])), [("jobGeo", some(j["jobGeo"])), ("jobLevel", some(j["jobLevel"])), ("industry", joined(j["jobIndustry"]))])
     return _board("jobicy", "remote_emea", id=some(j["id"], j["jobSlug"]), title=some(j["jobTitle"], j["title"]), company=some(j["companyName"], j["company_name"]), url=some(j["url"]), text=text, location=some(j["jobGeo"]), remote=F.lit(True), posted=some(j["pubDate"]))
 
 
 def _himalayas(j: Column) -> dict[str, Column]:
     place = joined(j["locationRestrictions"], "; ")
-    text = lines(html_text(some(j["description"], j["excerpt"])), [("locationRestrictions", place), ("timezoneRestrictions", joined(j["timezoneRestrictions"])), ("employmentType", some(j["employmentType"])), ("seniority", joined(j["seniority"]))])
+    text = lines(strip_html(some(j["description"], j["excerpt"])), [("locationRestrictions", place), ("timezoneRestrictions", joined(j["timezoneRestrictions"])), ("employmentType", some(j["employmentType"])), ("seniority", joined(j["seniority"]))])
     made = F.concat(some(j["companySlug"]), F.lit("-"), some(j["title"]))
     return _board("himalayas", "remote", id=some(j["guid"], j["id"], made), title=some(j["title"]), company=some(j["companyName"]), url=some(j["applicationLink"], j["url"]), text=text, location=place, remote=F.lit(True), salary=F.coalesce(span(j["minSalary"], j["maxSalary"], some(j["currency"])), F.lit("")), posted=some(j["pubDate"]))
 
 
 def _remoteok(j: Column) -> dict[str, Column]:
     place = F.regexp_replace(some(j["location"]), r"^[ ,]+|[ ,]+$", "")
-    text = lines(html_text(some(j["description"])), [("location", place), ("tags", joined(j["tags"]))])
-    return _board("remoteok", "remote", id=some(j["id"], j["slug"]), title=some(j["position"]), company=some(j["company"]), url=some(j["url"], j["apply_url"]), text=text, location=place, remote=F.lit(True), salary=F.coalesce(span(j["salary_min"], j["salary_max"]), F.lit("")), posted=some(j["date"], j["epoch"]))
+    text = lines(strip_html(some(j["description"])), [("location", place), ("tags", joined(j["tags"]))])
+    return _board("remoteok", "remote", id=some(j["id"], j["slug"]), title=some(j["position"]), company=some(j["company"]), url=some(j["url"], j["apply_url"]), text=text, location=place, remote=F.lit(True), salary=F.coalesce(span(F.coalesce(j["salary_min"], F.lit("0")), F.coalesce(j["salary_max"], F.lit("0"))), F.lit("")), posted=some(j["date"], j["epoch"]))
 
 
 def _weworkremotely(j: Column) -> dict[str, Column]:
@@ -213,23 +226,23 @@ def _weworkremotely(j: Column) -> dict[str, Column]:
     two = F.regexp_extract(raw, r"^([^:]*):\s*(\S.*)$", 2) != ""
     company, title = F.when(two, F.trim(F.regexp_extract(raw, r"^([^:]*):", 1))), F.when(two, F.regexp_extract(raw, r"^[^:]*:\s*(\S.*)$", 1)).otherwise(raw)
     place = F.array_join(F.filter(F.array(*[or_null(some(j[k])) for k in ("region", "state", "country")]), lambda x: x.isNotNull()), "; ")
-    text = lines(html_text(some(j["description"])), [("region", some(j["region"])), ("hireable countries", some(j["country"])), ("state", some(j["state"])), ("skills", some(j["skills"])), ("type", some(j["type"]))])
+    text = lines(strip_html(some(j["description"])), [("region", some(j["region"])), ("hireable countries", some(j["country"])), ("state", some(j["state"])), ("skills", some(j["skills"])), ("type", some(j["type"]))])
     return _board("weworkremotely", "remote", id=link, title=title, company=F.coalesce(company, F.lit("")), url=link, text=text, location=place, remote=F.lit(True), posted=some(j["pubDate"]))
 
 
 def _workingnomads(j: Column) -> dict[str, Column]:
-    text = lines(html_text(some(j["description"])), [("location", some(j["location"])), ("tags", some(j["tags"])), ("category", some(j["category_name"]))])
+    text = lines(strip_html(some(j["description"])), [("location", some(j["location"])), ("tags", some(j["tags"])), ("category", some(j["category_name"]))])
     return _board("workingnomads", "remote", id=some(j["url"]), title=some(j["title"]), company=some(j["company_name"]), url=some(j["url"]), text=text, location=some(j["location"]), remote=F.lit(True), posted=some(j["pub_date"]))
 
 
 def _forum(j: Column) -> dict[str, Column]:
     p = j["parts"]
-    return _board("hn_whoishiring", "hn", id=j["id"], title=F.coalesce(F.get(p, F.lit(1)), some(j["first_line"])), company=some(F.get(p, F.lit(0))), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), some(j["id"])), text=some(j["text"]), location=F.coalesce(F.array_join(F.slice(p, 3, 3), " | "), F.lit("")), remote=says_remote(j["first_line"], F.substring(some(j["text"]), 1, 500)), posted=some(j["created_at"]))
+    return _board("hn_whoishiring", "hn", id=j["id"], title=F.coalesce(F.get(p, F.lit(1)), some(j["first_line"])), company=some(F.get(p, F.lit(0))), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), some(j["id"])), text=some(j["text"]), location=F.coalesce(F.array_join(F.slice(p, 3, 3), " | "), F.lit("")), remote=board_remote(j["first_line"], F.substring(some(j["text"]), 1, 500)), posted=some(j["created_at"]))
 
 
 def _indeed(j: Column) -> dict[str, Column]:
-    text = lines(html_text(some(j["description"])), [("location", some(j["location"])), ("is_remote", F.initcap(j["is_remote"].cast("string"))), ("job_type", some(j["job_type"])), ("searched in", some(j["search_country"]))])
-    pay = span(j["min_amount"], j["max_amount"], F.concat_ws(" ", or_null(some(j["currency"])), or_null(some(j["interval"]))))
+    text = lines(strip_html(some(j["description"])), [("location", some(j["location"])), ("is_remote", F.initcap(j["is_remote"].cast("string"))), ("job_type", some(j["job_type"])), ("searched in", some(j["search_country"]))])
+    pay = span(j["min_amount"], j["max_amount"], F.concat_ws(" ", some(j["currency"]), some(j["interval"])))
     return _board("indeed", "jobboard", id=some(j["id"], j["job_url"]), title=some(j["title"]), company=some(j["company"]), url=some(j["job_url_direct"], j["job_url"]), text=text, location=some(j["location"]), remote=F.coalesce(j["is_remote"], F.lit(False)), salary=F.coalesce(pay, F.lit("")), posted=some(j["date_posted"]))
 
 
@@ -270,19 +283,32 @@ VENDORS: dict[str, tuple[str, Callable]] = {
 }
 
 
-def normalize(payloads: DataFrame, vendor: str) -> DataFrame:
-    """payloads (payload, company_name, mission_category, ats_slug) of one vendor to the thirteen columns."""
+def _row(vendor: str, payload: str) -> Column:
+    """struct of the thirteen columns of one payload, which is parsed once."""
     schema, build = VENDORS[vendor]
-    parsed = payloads.withColumn("_j", F.from_json("payload", schema))
-    out = build(F.col("_j"))
-    kept = {c: F.col(c) for c in ("company_name", "mission_category", "ats_slug")}
-    return parsed.select(*[(out | {k: v for k, v in kept.items() if k not in out})[c].alias(c) for c in COLUMNS])
-
-
-def normalize_all(payloads: DataFrame, vendor_col: str = "vendor") -> DataFrame:
-    """All vendors in one frame: each branch filters its own rows, so the scan is shared by pushdown."""
-    parts = [normalize(payloads.filter(F.col(vendor_col) == v), v) for v in VENDORS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def shaped(j: Column) -> Column:
+        given = {c: F.col(c) for c in ("company_name", "mission_category", "ats_slug")} | build(j)
+        return F.struct(*[given[c].alias(c) for c in COLUMNS])
+
+    return F.transform(F.array(F.from_json(payload, schema)), shaped)[0]
+
+
+@lru_cache(maxsize=None)
+def _rows(vendors: tuple[str, ...], vendor_col: str | None, payload: str, application: str) -> Column:
+    """The row by vendor. An expression of thousands of nodes, so an application builds it once."""
+    if vendor_col is None:
+        return _row(vendors[0], payload)
+    return reduce(lambda rows, v: rows.when(F.col(vendor_col) == v, _row(v, payload)), vendors, F)
+
+
+def normalize(payloads: DataFrame, vendor: str, payload: str = "payload") -> DataFrame:
+    """payloads (payload, company_name, mission_category, ats_slug) of one vendor to the thirteen columns."""
+    row = _rows((vendor,), None, payload, payloads.sparkSession.sparkContext.applicationId)
+    return payloads.select(F.inline(F.array(row)))
+
+
+def normalize_all(payloads: DataFrame, vendor_col: str = "vendor", payload: str = "payload") -> DataFrame:
+    """The rows of all known vendors in one pass."""
+    chosen = _rows(tuple(VENDORS), vendor_col, payload, payloads.sparkSession.sparkContext.applicationId)
+    return payloads.filter(F.col(vendor_col).isin(*VENDORS)).select(F.inline(F.array(chosen)))

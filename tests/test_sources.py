@@ -21,7 +21,7 @@ def test_vendors(spark):
     rows = [("lever", json.dumps(lever)), ("greenhouse", json.dumps(green)), ("greenhouse", "{broken")]
     df = spark.createDataFrame(rows, "vendor string, payload string").withColumns({"company_name": F.lit("Acme"), "mission_category": F.lit("climate"), "ats_slug": F.lit("acme")})
     out = {r.source_job_id: r for r in postings.normalize_all(df).collect()}
-    assert (out["1"].location_text, out["1"].is_remote, out["1"].posted_at_hint) == ("remote, Berlin, Data", True, "2026-08-01T06:45:25Z")
+    assert (out["1"].location_text, out["1"].is_remote, out["1"].posted_at_hint) == ("remote, Berlin, Data", True, "2026-08-01T06:45:25+00:00")
     assert (out["7"].description_text, out["7"].is_remote, out["7"].url) == ("Hi & bye", True, "https://x/7")
     assert len(postings.VENDORS) == 31
 
