@@ -55,10 +55,10 @@ class Unit:
     def left(self) -> int:
         return self.length - self.k
 
-    def sequence(self, data: np.ndarray, offsets: np.ndarray, exact: bool = False):
+    def sequence(self, data: np.ndarray, offsets: np.ndarray):
         """(hashes of the units, offsets of documents in units, start and end byte of each unit)."""
         if self.words:
-            h, start, end, at = K.words(data, offsets, exact=exact)
+            h, start, end, at = K.words(data, offsets)
             return h, at, start, end
         return K.byte_units(data), offsets, None, None
 
@@ -68,11 +68,12 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
-def _anchors_of(data: np.ndarray, offsets: np.ndarray, unit: Unit, exact: bool):
-    values, at, _, _ = unit.sequence(data, offsets, exact)
+def _anchors_of(data: np.ndarray, offsets: np.ndarray, unit: Unit):
+    """(offsets of documents in units, start and end byte of each unit, anchors, hashes of their k-grams)."""
+    values, at, ws, we = unit.sequence(data, offsets)
     prefix = K.prefix_hash(values)
     a = K.anchors(prefix, at[:-1], at[1:], unit.k, unit.left + 1)
-    return values, at, a, K.range_hash(prefix, a, a + unit.k)
+    return at, ws, we, a, K.range_hash(prefix, a, a + unit.k)
 
 
 def _anchor_counts(rows: DataFrame, unit: Unit) -> DataFrame:
@@ -81,7 +82,7 @@ def _anchor_counts(rows: DataFrame, unit: Unit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in K.text_slices(b.column("text")):
-                h, n = np.unique(_anchors_of(data, offsets, unit, True)[3].view(np.int64), return_counts=True)
+                h, n = np.unique(_anchors_of(data, offsets, unit)[4].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
 
     return rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1")
@@ -94,11 +95,11 @@ def _anchor_rows(rows: DataFrame, unit: Unit) -> DataFrame:
         for b in batches:
             ids, tags = b.column("id"), b.column("tag")
             for first, last, data, offsets in K.text_slices(b.column("text")):
-                values, at, a, h = _anchors_of(data, offsets, unit, True)
+                at, ws, we, a, h = _anchors_of(data, offsets, unit)
                 doc = np.searchsorted(at, a, "right") - 1
                 start, end = np.maximum(a - unit.left, at[doc]), np.minimum(a + unit.length, at[doc + 1])
-                raw, width = (values.tobytes(), 8) if unit.words else (data.tobytes(), 1)
-                hc = K.mix(K.digests(raw, start * width, end * width) + (a - start).astype(np.uint64))
+                s, e = (ws[start], we[end - 1]) if unit.words else (start, end)
+                hc = K.mix(K.digests(data.tobytes(), s, e) + (a - start).astype(np.uint64))
                 order = np.lexsort((a, hc, h, doc))
                 a, doc, h, hc = a[order], doc[order], h[order], hc[order]
                 new = np.ones(len(a), bool)
