@@ -166,6 +166,11 @@ def us_date(x) -> Column:
     return F.to_date(F.try_to_timestamp(F.get(F.split(F.trim(lit(x)), " "), F.lit(0)), F.lit("M/d/yyyy")))
 
 
+def within_last(day, target, days: int) -> Column:
+    """The day is in so many days before the target, or on it; the target is given, so that runs agree."""
+    return (lit(day) >= F.date_sub(lit(target), days)) & (lit(day) <= lit(target))
+
+
 def time_window(x) -> tuple[Column, Column]:
     """Minutes of `HH:MM-HH:MM`, any dash."""
     parts = F.split(lit(x), r"\s*[–-]\s*")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +90,31 @@ def merge_duplicates(df: DataFrame, key: str, priority: Column, url: str, order:
     urls = df.groupBy(F.col(key).alias("_key")).agg(F.collect_set(url).alias("_urls"))
     best = keep_best(df, [key], priority, order).join(urls, F.col(key).eqNullSafe(F.col("_key")))
     return best.withColumn("other_urls", F.array_sort(F.array_except("_urls", F.array(url)))).drop("_key", "_urls")
+
+
+def mine_employers(pool: DataFrame, postings: DataFrame, source: str, order: str) -> DataFrame:
+    """The pool (company_name, discovery_source, ats_type, ats_slug, probed) and the employers of postings that it lacks.
+
+    Names are equal without case and outer blanks; of postings of one employer the first in order
+    counts. Empty names and "unknown" are none. The board is looked for in the posting's address and text.
+    """
+    from tessera.functions.text import parse_board_url
+
+    name = F.trim("company_name")
+    kind, slug = parse_board_url(F.concat_ws(" ", "url", "description_text"))
+    named = postings.filter(name.isNotNull() & ~F.lower(name).isin("", "unknown")).withColumn("_key", F.lower(name))
+    fresh = named.join(pool.select(F.lower(name).alias("_key")).distinct(), "_key", "left_anti")
+    fresh = latest_per_key(fresh.withColumns({"_kind": kind, "_slug": slug}), ["_key"], F.asc(order))
+    found = fresh.select(name.alias("company_name"), F.lit(source).alias("discovery_source"), F.col("_kind").alias("ats_type"), F.col("_slug").alias("ats_slug"), F.lit(False).alias("probed"))
+    return pool.unionByName(found)
+
+
+def collect_sources(sources: dict[str, Callable[[], DataFrame]], enabled: Sequence[str]) -> DataFrame:
+    """(company_name, discovery_source) of the enabled sources, in their given order; one row per employer names all of its sources."""
+    wanted = {e.strip().lower() for e in enabled}
+    parts = [make().select("company_name", F.lit(name).alias("discovery_source"), F.lit(i).alias("_i")) for i, (name, make) in enumerate(sources.items()) if name in wanted]
+    if not parts:
+        raise ValueError(f"none of {sorted(wanted)} is a source")
+    found = reduce(DataFrame.unionByName, parts).filter(F.trim("company_name") != "")
+    grouped = found.groupBy(F.lower(F.trim("company_name")).alias("_key")).agg(F.min_by("company_name", "_i").alias("company_name"), F.array_sort(F.collect_set("discovery_source")).alias("_s"))
+    return grouped.select("company_name", F.array_join("_s", "+").alias("discovery_source"))

@@ -81,3 +81,13 @@ def sparkline(values: Column, width: float, height: float) -> Column:
     y = lambda v: height - F.coalesce(F.try_divide(v - low, high - low), F.lit(0.5)) * height
     points = F.transform(values, lambda v, i: F.when(v.isNotNull(), F.concat_ws(",", F.round(i * step, 1), F.round(y(v), 1))))
     return F.array_join(points, " ")
+
+
+def repeated_within(df: DataFrame, parent: str, name: str) -> DataFrame:
+    """(parent, name, n) of names that a parent has more than once."""
+    return df.groupBy(parent, name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def years_of(df: DataFrame, key: str, day: str) -> DataFrame:
+    """(key, years): the years that are there, in order."""
+    return df.select(key, F.year(F.to_date(day)).alias("_y")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("_y")).alias("years"))

@@ -154,6 +154,14 @@ def approve(df: DataFrame, score: str, least: float) -> DataFrame:
     return df.withColumn("approved", F.coalesce(F.col(score).try_cast("double"), F.lit(0.0)) >= least)
 
 
+def score_summary(df: DataFrame, score: str, least: float, key: str, most: int = 20) -> DataFrame:
+    """total, approved, rejected and mean of the scores, beside the lowest rejected (place, key, score), `most` rows at most."""
+    s = approve(df, score, least).withColumn("score", F.coalesce(F.col(score).try_cast("double"), F.lit(0.0)))
+    whole = s.agg(F.count(F.lit(1)).alias("total"), F.count_if("approved").alias("approved"), F.count_if(~F.col("approved")).alias("rejected"), F.round(F.avg("score"), 1).alias("mean"))
+    lowest = s.filter("not approved").orderBy("score", key).limit(most).select(F.row_number().over(Window.orderBy("score", key)).cast("long").alias("place"), key, "score")
+    return whole.join(F.broadcast(lowest), F.lit(True), "left")  # one row against a few
+
+
 def career_links(pages: DataFrame, most: int = 12) -> DataFrame:
     """Links of a page that look like careers pages, the most promising first: (page_id, url, score)."""
     from tessera.functions.text import parse_board_url

@@ -16,7 +16,11 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # only tests and single machines go without
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
