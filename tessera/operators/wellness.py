@@ -281,6 +281,15 @@ def detect_link(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str, s
     return _finding(hit, keys, name, 50 + 40 * F.abs("r"), r=F.round("r", 6), contrast=F.round("contrast", 6), n=F.col("n"))
 
 
+def recovery_lag(df: DataFrame, keys: Sequence[str], day: str, hard: Column, value: str, lags: Sequence[int] = (1, 2)) -> DataFrame:
+    """(keys, lag, bump): of the lags after a hard day, the one with the largest mean value over the usual one; the shorter of ties."""
+    usual = df.groupBy(*keys).agg(F.avg(value).alias("_usual"))
+    shifted = df.filter(hard).select(*keys, F.explode(F.array(*map(F.lit, lags))).alias("lag"), F.col(day).alias("_d")).withColumn(day, F.date_add("_d", F.col("lag")))
+    bumps = shifted.join(df.select(*keys, day, value), [*keys, day]).groupBy(*keys, "lag").agg(F.avg(value).alias("_v"))
+    bumps = bumps.join(usual, list(keys)).withColumn("bump", F.col("_v") - F.col("_usual"))
+    return latest_per_key(bumps, keys, F.desc("bump"), F.asc("lag")).select(*keys, "lag", "bump")
+
+
 def diagnostics(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str, least: int = 20) -> DataFrame:
     """One row per detector and key, whether it fired or not."""
     r = df.groupBy(*keys).agg(*correlation_tier(F.col(x), F.col(y)))
