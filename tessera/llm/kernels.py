@@ -137,7 +137,7 @@ class _Digests(dict):
     """Digests of words as 64-bit numbers, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return value

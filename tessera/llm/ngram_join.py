@@ -36,7 +36,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +46,8 @@ from .graph import connected_components
 WORDS = 5
 PERCENT = 80
 GROUP = 4096
-#: Tokens of a block: about 50 bytes of working memory each, two blocks in a task.
-TOKENS = 4_000_000
+#: Tokens of a block: about 60 bytes of working memory each, two blocks in a task.
+TOKENS = 2_000_000
 #: Chance that partners share fewer prefix tokens than the filters ask for.
 CHANCE = 1e-12
 _SECOND = np.uint64(0x5BD1E9955BD1E995)
@@ -86,14 +85,19 @@ def slice_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nd
     first = np.concatenate([[0], np.cumsum(shingles)])
     start = at[:-1][doc] + np.arange(len(doc)) - first[:-1][doc]
     value = K.sequences(h, start, np.minimum(words, count[doc]))
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
+    _sort_each(value, first)
     new = np.ones(len(doc), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     doc, value = doc[new], value[new]
     return value, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
+def _sort_each(value: np.ndarray, at: np.ndarray) -> None:
+    """Each document's values in order, in place."""
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        value[s:e].sort()
+
+
 def set_digests(value: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Two 64-bit halves of a digest of each set."""
     raw = value.tobytes()
@@ -123,7 +127,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, tag, _text): the tag tells apart rows that share an id, or have none."""
     text = text_of(text_col)
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.hash(text).alias("tag"), text.alias("_text"))
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("tag"), text.alias("_text"))
 
 
 def sketches(df: DataFrame, words: int, percent: int, chance: float, id_col: str, text_col: str) -> DataFrame:
@@ -136,7 +140,7 @@ def sketches(df: DataFrame, words: int, percent: int, chance: float, id_col: str
                 value, at = slice_sets(data, offsets, words)
                 n = np.diff(at)
                 other = K.mix(value ^ _SECOND)
-                other = other[np.lexsort((other, np.repeat(np.arange(len(n)), n)))]
+                _sort_each(other, at)
                 need = np.array([least_shared(int(x), percent, chance) if x else 0 for x in n], np.int32)
                 own = [b.column(c).slice(first, last - first) for c in ("_id", "tag")]
                 yield pa.RecordBatch.from_arrays(
@@ -144,7 +148,7 @@ def sketches(df: DataFrame, words: int, percent: int, chance: float, id_col: str
                     names=["_id", "tag", "n", "fp", "low", "need", "prefix", "second"],
                 )
 
-    return rows.mapInArrow(run, "_id long, tag int, n int, fp long, low long, need int, prefix array<long>, second array<long>")
+    return rows.mapInArrow(run, "_id long, tag long, n int, fp long, low long, need int, prefix array<long>, second array<long>")
 
 
 class _Union:
@@ -311,23 +315,13 @@ def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: i
         return spanning_links(flat, at, part.column("_side").to_numpy(), prefix_enough(n, np.diff(at)), both_orders)
 
     near = _group_links(members.select("token", "_x", "_y", "_side", "node", "n", "prefix", "second"), ["token", "_x", "_y"], by_prefixes)
-    families = written(connected_components(near).join(nodes, "node").select("component", "node", "n", "_rid", "_rtag", "fp", "low"), "families")
+    families = written(connected_components(near).join(nodes, "node").select("component", "node", "n", "_rid", "_rtag"), "families")
     sizes = families.groupBy("component").agg(F.count("*").alias("held"), F.sum("n").alias("tokens")).select("component", blocks_of("held", "tokens", group, block_tokens))
-    chosen = written(families.join(sizes, "component").select("_rid", "_rtag", "node", "component", "blocks", "n", "fp", "low"), "members")
+    chosen = written(families.join(sizes, "component").select("_rid", "_rtag", "node", "component", "blocks", "n"), "members")
 
     own = (F.col("_id").eqNullSafe(F.col("_rid"))) & (F.col("tag") == F.col("_rtag"))
     texts = keyed(df, id_col, text_col).join(small_side(chosen), own)
 
-    def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, last, data, offsets in K.text_slices(b.column("_text")):
-                fp, low = set_digests(*slice_sets(data, offsets, words))
-                rows = b.slice(first, last - first)
-                yield rows.filter(pc.and_(pc.equal(fp, rows.column("fp")), pc.equal(low, rows.column("low"))))  # not an id that repeats with another text
-
-    full = texts.select("node", "component", "blocks", "n", "fp", "low", F.col("_text").cast("binary").alias("_text"))
-    full = full.mapInArrow(same_set, full.schema)
-
     def by_texts(part: pa.Table) -> list[tuple[int, int]]:
         texts = part.column("_text").combine_chunks()
         values, n = [], []
@@ -350,6 +344,7 @@ def links(df: DataFrame, *, words: int = WORDS, percent: int = PERCENT, group: i
 
         return spanning_links(np.concatenate(values), np.concatenate([[0], np.cumsum(n)]), part.column("_side").to_numpy(), enough, same_words)
 
+    full = texts.select("node", "component", "blocks", "n", F.col("_text").cast("binary").alias("_text"))
     blocked = in_blocks(full, "node").select("component", "_x", "_y", "_side", "node", "n", "_text")
     verified = _group_links(blocked, ["component", "_x", "_y"], by_texts)
     return sets.select("_id", "tag", "n", "fp", "low").join(nodes.select("fp", "low", "node"), ["fp", "low"], "left").drop("fp", "low"), connected_components(verified)
@@ -378,7 +373,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     judged = placed.join(placed.groupBy("_class").agg(F.min(place).alias("keeper")), "_class").withColumn("stays", place.eqNullSafe(F.col("keeper")))
     told = judged.filter("not stays or held > 1").select(F.col("_id").alias("_kid"), F.col("tag").alias("_ktag"), F.col("stays").alias("_kstays"))
     told = written(told, "gone")
-    joined = df.join(small_side(told), F.col(id_col).cast("long").eqNullSafe(F.col("_kid")) & (F.hash(text_of(text_col)) == F.col("_ktag")), "left")
+    joined = df.join(small_side(told), F.col(id_col).cast("long").eqNullSafe(F.col("_kid")) & (F.xxhash64(text_of(text_col)) == F.col("_ktag")), "left")
     single = joined.filter("_ktag is null").select(*df.columns)
     if told.filter("_kstays").isEmpty():
         return single
