@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import event_within
@@ -206,16 +206,14 @@ def calibrate_thresholds(scored: DataFrame, grid: Sequence[float], probabilities
 
 
 def ordered_split(df: DataFrame, share: float = 0.8, order: Sequence[str] = ("region", "date")) -> DataFrame:
-    """`train` for the first share of rows in the order. Positions come from ranges and their sizes, no single window."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
-    placed = placed.persist()
-    sizes = {r[0]: r[1] for r in placed.groupBy(F.shiftright("_i", 33).cast("int")).count().collect()}
-    total, before, starts = sum(sizes.values()), 0, {}
-    for p in sorted(sizes):
-        starts[p] = before
-        before += sizes[p]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.shiftright("_i", 33).cast("int")) if starts else F.lit(0)
-    return placed.withColumn("train", offset + F.col("_i").bitwiseAND((1 << 33) - 1) < share * total).drop("_i")
+    """`train` for the first share of rows in the order: places within the first column, after the rows of those before it."""
+    first, *rest = order
+    counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))  # a row per region
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(first).alias("_first"), before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    place = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
+    placed = df.withColumn("_place", place).join(starts, F.col(first).eqNullSafe(F.col("_first")))
+    return placed.withColumn("train", F.col("_before") + F.col("_place") < share * F.col("_total")).drop("_place", "_first", "_before", "_total")
 
 
 def train_forest(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, trees: int = 200, depth: int = 20, seed: int = 42):
