@@ -153,8 +153,12 @@ def test_personal_data(spark, documents, edge, edge_rows, nothing):
 
 
 def check_packing(rows, texts, window=2048):
-    encode = packing.make_encoder()
-    ids = [np.array([*encode(t or ""), 1], np.uint32) for t in texts]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # not the operator's own encoder
+    slow.encode_special_tokens = True
+    ids = [np.array([*slow.encode(t or "", add_special_tokens=False).ids, 1], np.uint32) for t in texts]
     parts, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
         parts[r.doc_id].append(r)
