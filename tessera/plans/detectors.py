@@ -246,7 +246,7 @@ def small_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, value AS p, CAST(event_id % 5000 AS DOUBLE) AS s, CAST(event_id % 90 AS DOUBLE) AS c, CAST(event_id % 100 AS DOUBLE) AS w, CASE WHEN event_id % 3 = 0 THEN 'power' ELSE 'hr' END AS k, CASE WHEN event_id % 4 > 0 THEN event_id % 40 / 10.0 - 2 END AS z FROM events)
-SELECT event_id, round(s * p * (p / 250) / (250 * 3600) * 100, 6) AS tss, k = 'power' AND s >= 1800 AND ((w + 60 >= 120 AND c < 25) OR (w >= 80 AND c < 40)) AS untrusted,
+SELECT event_id, round(s * p * (p / 250) / (250 * 3600) * 100, 3) AS tss, k = 'power' AND s >= 1800 AND ((w + 60 >= 120 AND c < 25) OR (w >= 80 AND c < 40)) AS untrusted,
 round(coalesce(z, 0) * 0 + CASE WHEN z IS NULL THEN NULL ELSE greatest(0, least(100, 50 + 17.5 * z)) END, 6) AS score,
 round((coalesce(z * 0.4, 0) + 0.35 * 0.5 + 0.25 * -1.0) / (CASE WHEN z IS NULL THEN 0 ELSE 0.4 END + 0.35 + 0.25), 3) AS quality, CASE WHEN event_id % 10 = 0 THEN NULL ELSE round((s - 100) / (event_id % 10), 6) END AS arrival FROM e""")
 def stress_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,7 @@ def stress_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.when(ID % 4 > 0, F.round((ID % 40) / 10.0 - 2, 1))
     kind = F.when(ID % 3 == 0, "power").otherwise("hr")
     return numbers(spark, sf_dir).select(
-        "event_id", F.round(K.tss_from_power(F.col("value"), mod(5000), F.lit(250.0)), 6).alias("tss"), H.cached_untrusted(mod(5000), mod(100, 1, 60), mod(100), mod(90), kind).alias("untrusted"),
+        "event_id", F.round(K.tss_from_power(F.col("value"), mod(5000), F.lit(250.0)), 3).alias("tss"), H.cached_untrusted(mod(5000), mod(100, 1, 60), mod(100), mod(90), kind).alias("untrusted"),
         F.round(K.score_from_z(z), 6).alias("score"), H.sleep_quality(z, F.lit(0.5), F.lit(-1.0)).alias("quality"), F.round(K.arrival_z(mod(5000), F.lit(100), mod(10)), 6).alias("arrival"),
     )
 

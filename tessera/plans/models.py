@@ -54,14 +54,14 @@ _PERCENT = """CASE WHEN v <= a AND a <= 0 THEN 20 WHEN v <= a THEN 20 * v / a WH
 q AS (SELECT region, m, {', '.join(f"quantile_cont({c}, {p / 100}) AS {c}_{p}" for _, c, _, _ in _METRICS for p in (20, 80, 95))} FROM d GROUP BY 1, 2),
 w AS (SELECT d.*, sum(precipitation) OVER w AS rain, max(temperature) OVER w AS heat, sum(discharge) OVER w AS flow FROM d WINDOW w AS (PARTITION BY region ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)),
 l AS ({' UNION ALL '.join(f"SELECT region, date, '{n}' AS metric, {v} AS v, {c}_20 * {s} AS a, {c}_80 * {s} AS b, {c}_95 * {s} AS c FROM w JOIN q USING (region, m)" for v, c, s, n in _METRICS)})
-SELECT region, date, metric, round(v / 977, 2) AS value, round(greatest(0, least(100, {_PERCENT})), 1) AS percentile FROM l"""
+SELECT region, date, metric, round(v / 977, 1) AS value, round(greatest(0, least(100, {_PERCENT})), 1) AS percentile FROM l"""
 )
 def outlook_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlook metrics of eight dates against scaled monthly anchors, one row per metric."""
     d = region_days(spark, sf_dir).withColumn("temperature", F.col("ndvi") * 50)
     out = R.outlooks(d, L.monthly_climatology(d, ["precipitation", "temperature", "discharge"]))
     long = out.select("region", "date", F.explode("outlook").alias("metric", "o"))
-    return long.select("region", "date", "metric", F.round(F.col("o.value") / 977, 2).alias("value"), F.col("o.percentile_approx").alias("percentile"))
+    return long.select("region", "date", "metric", F.round(F.col("o.value") / 977, 1).alias("value"), F.col("o.percentile_approx").alias("percentile"))
 
 
 @query("""WITH e AS (SELECT event_id, event_id % 30 / 10.0 - 1 AS a, event_id % 20 / 10.0 - 1 AS b, event_id % 25 / 10.0 - 1 AS c, event_id % 7 / 4.0 AS w FROM events), t AS (SELECT *, 0.40 * -ln(exp(-a) + exp(-b)) + 0.15 * least(c, 1.5) + 0.10 * greatest(w, 0) + 0.15 * greatest(a, 0) + 0.10 * greatest(b, 0) + 0.10 * c AS th FROM e),
