@@ -394,3 +394,37 @@ def migration_daily_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags_of(build(*inputs(spark, sf_dir))["comparison_daily"])
 
 
+
+
+@query(
+    f"""WITH {_sql_inputs()}, np AS ({_PERIOD.format(ey=', chunk_id', t='nb')}), hy AS ({_PERIOD.format(ey=', chunk_id, ey', t='hb')}),
+hp AS (SELECT chunk_id, {', '.join(f'avg({m}) AS {m}_a, stddev_samp({m}) AS {m}_s' for _, m in _OUT)} FROM hy GROUP BY ALL)
+SELECT np.chunk_id, {', '.join(f"round({m} - {m}_a, 5) AS {n}_delta, CASE WHEN {m}_s IS NULL THEN NULL WHEN {m}_s < 1e-9 THEN 0.0 ELSE coalesce(round(({m} - {m}_a) / {m}_s, 5), 0.0) END AS {n}_z" for n, m in _OUT)} FROM np JOIN hp USING (chunk_id)"""
+)
+def migration_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk grain: three or four days against the same days of the ten years before."""
+    c = build(*inputs(spark, sf_dir))["comparison_chunk"]
+    return c.select("chunk_id", *_deltas([*DAILY, *COUNTS]))
+
+
+def _deltas(metrics: Sequence[str], digits: int = 5, parts: int = 1) -> list[Column]:
+    out = []
+    for m in metrics:
+        out += [F.round(F.col(f"{m}_delta") / parts, digits).alias(f"{m}_delta"), F.round(F.coalesce(f"{m}_z", F.when(F.col(f"{m}_flag") == 0, 0.0)), digits).alias(f"{m}_z")]
+    return out
+
+
+_ROLLED = list(zip([*(f"{m}_rolling" for m in DAILY), *COUNTS.values()], [f"m{i}" for i in range(1, 8)], strict=True))
+_DAY = """SELECT bird, arrival_year, location_name, chunk_id{ey}, wd, row_number() OVER (PARTITION BY bird, arrival_year, location_name, chunk_id{ey} ORDER BY wd) AS di, avg(daily_mean) OVER w AS m1, avg(rain) OVER w AS m2, avg(sun) OVER w AS m3, avg(wind) OVER w AS m4,
+count(CASE WHEN wind >= 5 THEN 1 END) OVER w / 3.0::DOUBLE AS m5, count(CASE WHEN rain10 THEN 1 END) OVER w / 3.0::DOUBLE AS m6, count(CASE WHEN rain >= 1 THEN 1 END) OVER w / 3.0::DOUBLE AS m7 FROM {t} WINDOW w AS (PARTITION BY bird, arrival_year, location_name{ey} ORDER BY wd ROWS 2 PRECEDING)"""
+
+
+@query(
+    f"""WITH {_sql_inputs()}, np AS ({_DAY.format(ey='', t='nb')}), hy AS ({_DAY.format(ey=', ey', t='hb')}),
+hp AS (SELECT bird, arrival_year, location_name, chunk_id, di, {', '.join(f'avg({m}) AS {m}_a, stddev_samp({m}) AS {m}_s' for _, m in _ROLLED)} FROM hy GROUP BY ALL)
+SELECT chunk_id, di AS day_idx, np.wd AS weather_date, {', '.join(f"round(({m} - {m}_a) / 7, 6) AS {n}_delta, CASE WHEN {m}_s IS NULL THEN NULL WHEN {m}_s < 1e-9 THEN 0.0 ELSE coalesce(round(({m} - {m}_a) / {m}_s, 6), 0.0) END AS {n}_z" for n, m in _ROLLED)} FROM np JOIN hp USING (bird, arrival_year, location_name, chunk_id, di)"""
+)
+def migration_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily grain: three-day means and shares against the same place in the window of the ten years before; a week's share of the deltas, so that none lies on the edge of rounding."""
+    d = build(*inputs(spark, sf_dir))["comparison_daily"]
+    return d.select("chunk_id", F.col("day_idx").cast("long").alias("day_idx"), "weather_date", *_deltas([n for n, _ in _ROLLED], 6, 7))
