@@ -12,7 +12,7 @@ from tessera.operators import placement as P
 from tessera.sources import postings as N
 
 from . import vendors as V
-from .registry import query, table, whole_sql
+from .registry import ORACLES, query, table
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +51,13 @@ def hire_region_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), P.region_fit(c, ["EU"]).alias("fit"))
 
 
-@query("""WITH p AS (SELECT p_brand AS employer, p_size > 48 AS r, p_container FROM (SELECT p_brand, p_size, CASE p_partkey % 50 WHEN 0 THEN 'Paris, France' ELSE 'Austin, USA' END AS p_container FROM part WHERE p_partkey <= 300))
+@query("""WITH p AS (SELECT p_brand AS employer, p_size > 48 AS r, p_container FROM (SELECT p_brand, p_size, CASE p_partkey % 50 WHEN 0 THEN 'Paris, France' ELSE 'Austin, USA' END AS p_container FROM part))
 SELECT employer, CAST(count(*) AS BIGINT) AS postings, CAST(count_if(r OR p_container LIKE '%France%') AS BIGINT) AS eu_or_remote, CASE WHEN count_if(r OR p_container LIKE '%France%') > 0 THEN 'keep' WHEN count(*) < 3 THEN 'undecided' ELSE 'demote' END AS verdict FROM p GROUP BY 1""")
 def employer_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _footprints(table(spark, sf_dir, "part").filter("p_partkey <= 300"))
+    return _footprints(table(spark, sf_dir, "part"))
 
 
-@query(whole_sql("employer_footprint", " WHERE p_partkey <= 300"))
-def employer_footprint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part as a posting."""
-    return _footprints(table(spark, sf_dir, "part"))
+query(ORACLES["employer_footprint"], "employer_footprint_all")(employer_footprint)  # its name while employer_footprint read a part
 
 
 def _footprints(p: DataFrame) -> DataFrame:

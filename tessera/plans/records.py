@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels as K
 from tessera.functions import text as T
 
-from .registry import query, table, whole_sql
+from .registry import ORACLES, query, table
 from .timeseries import LD_SQL, UD_SQL, flag_days, user_days
 
 INCLUDE, EXCLUDE, SENIOR = ["copper", "steel"], ["promo"], ["large", "economy"]
@@ -20,15 +20,12 @@ def title_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, substr(sha256(concat_ws('|', lower(c_name), lower(o_orderpriority), lower(n_name), concat(isoyear(o_orderdate), '-W', lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0')))), 1, 32) AS key
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 5 = 0""")
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _canonical_keys(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"))
+    return _canonical_keys(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
-@query(whole_sql("canonical_key", " WHERE o_orderkey % 5 = 0"))
-def canonical_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key of every order."""
-    return _canonical_keys(spark, sf_dir, table(spark, sf_dir, "orders"))
+query(ORACLES["canonical_key"], "canonical_key_all")(canonical_key)  # its name while canonical_key read a part
 
 
 def _canonical_keys(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
@@ -112,15 +109,12 @@ def outlook_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return halves.select("user_id", K.outlook_trend(named("a", "c"), named("b", "d")).alias("outlook"), F.round(F.element_at(deltas, "v"), 6).alias("delta_v"), F.element_at(deltas, "n").alias("delta_n"))
 
 
-@query("""SELECT doc_id, rtrim(CASE WHEN length(s) > 320 THEN concat(rtrim(substr(s, 1, 319)), '…') ELSE s END) AS summary FROM (SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g')), chr(1)), 1, 2), ' ') AS s FROM documents WHERE doc_id % 3 = 0)""")
+@query("""SELECT doc_id, rtrim(CASE WHEN length(s) > 320 THEN concat(rtrim(substr(s, 1, 319)), '…') ELSE s END) AS summary FROM (SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g')), chr(1)), 1, 2), ' ') AS s FROM documents)""")
 def truncate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summaries(table(spark, sf_dir, "documents").filter("doc_id % 3 = 0"))
+    return _summaries(table(spark, sf_dir, "documents"))
 
 
-@query(whole_sql("truncate_sentences", " WHERE doc_id % 3 = 0"))
-def truncate_sentences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary of every document."""
-    return _summaries(table(spark, sf_dir, "documents"))
+query(ORACLES["truncate_sentences"], "truncate_sentences_all")(truncate_sentences)  # its name while truncate_sentences read a part
 
 
 def _summaries(d: DataFrame) -> DataFrame:

@@ -23,13 +23,6 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-def whole_sql(name: str, cut: str) -> str:
-    """The SQL of a query that reads a part, without the condition that cuts it down."""
-    if ORACLES[name].count(cut) != 1:
-        raise ValueError(f"{name} has no single {cut!r}")
-    return ORACLES[name].replace(cut, "")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from tessera.operators import dedupe as D
 from tessera.operators import joins as J
 from tessera.operators import windows as W
 
-from .registry import query, table, whole_sql
+from .registry import ORACLES, query, table
 from .timeseries import UD_SQL, user_days
 
 long = lambda c: F.col(c).cast("long").alias(c)
@@ -137,16 +137,13 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.nearest_site(p, sites, "x", "y", "site", "sx", "sy").select("vec_id", "nearest")
 
 
-@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - to_years(CAST(k AS INTEGER)) AS DATE) AS day, CAST(year(o_orderdate) - k AS BIGINT) AS effective_year, CAST(k AS BIGINT) AS "offset" FROM orders, (SELECT unnest(generate_series(1, 10)) AS k) WHERE o_orderkey % 10 = 0""")
+@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - to_years(CAST(k AS INTEGER)) AS DATE) AS day, CAST(year(o_orderdate) - k AS BIGINT) AS effective_year, CAST(k AS BIGINT) AS "offset" FROM orders, (SELECT unnest(generate_series(1, 10)) AS k)""")
 def year_shift_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten year-shifted copies from one scan."""
-    return _shifted(table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"))
+    return _shifted(table(spark, sf_dir, "orders"))
 
 
-@query(whole_sql("year_shift_union", " WHERE o_orderkey % 10 = 0"))
-def year_shift_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten year-shifted copies of every order."""
-    return _shifted(table(spark, sf_dir, "orders"))
+query(ORACLES["year_shift_union"], "year_shift_union_all")(year_shift_union)  # its name while year_shift_union read a part
 
 
 def _shifted(o: DataFrame) -> DataFrame:
@@ -278,17 +275,14 @@ def merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.merge_fields(d, ["lang"], ["first_source"], ["sources"], "doc_id")
 
 
-@query("""WITH r AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, p_partkey) AS rn FROM part WHERE p_partkey <= 60), w AS (SELECT p_brand, p_partkey, p_name FROM r WHERE rn = 1)
+@query("""WITH r AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, p_partkey) AS rn FROM part), w AS (SELECT p_brand, p_partkey, p_name FROM r WHERE rn = 1)
 SELECT w.p_brand, w.p_partkey, (SELECT string_agg(DISTINCT r.p_name, '|' ORDER BY r.p_name) FROM r WHERE r.p_brand = w.p_brand AND r.p_name <> w.p_name) AS others FROM w""")
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best source wins, the losers' addresses stay."""
-    return _merged(table(spark, sf_dir, "part").filter("p_partkey <= 60"))
+    return _merged(table(spark, sf_dir, "part"))
 
 
-@query(whole_sql("merge_duplicates", " WHERE p_partkey <= 60"))
-def merge_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best source of every brand over all parts."""
-    return _merged(table(spark, sf_dir, "part"))
+query(ORACLES["merge_duplicates"], "merge_duplicates_all")(merge_duplicates)  # its name while merge_duplicates read a part
 
 
 def _merged(p: DataFrame) -> DataFrame:

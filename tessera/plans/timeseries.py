@@ -10,7 +10,7 @@ from tessera.operators import stats as S
 from tessera.operators import windows as W
 
 from .climatology import DAILY_SQL, nation_days
-from .registry import query, table, whole_sql
+from .registry import ORACLES, query, table
 
 UD_SQL = """ud AS (SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value), 4) AS v, count(*) AS n FROM events GROUP BY 1, 2)"""
 LD_SQL = """ld AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day, round(sum(l_quantity), 2) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2)"""
@@ -36,18 +36,15 @@ def rolling3_mean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH d AS (SELECT DISTINCT c.c_nationkey AS nation, CAST(o.o_orderdate AS DATE) AS day FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE CAST(o.o_orderdate AS DATE) < DATE '1995-02-01'),
+@query("""WITH d AS (SELECT DISTINCT c.c_nationkey AS nation, CAST(o.o_orderdate AS DATE) AS day FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY day) AS rn, count(*) OVER (PARTITION BY nation) AS n FROM d),
 c AS (SELECT *, CASE WHEN n <= 4 THEN 1 WHEN n % 3 = 1 THEN (n - 1) / 3.0 ELSE ceil(n / 3.0) END AS chunks FROM r)
 SELECT CAST(nation AS BIGINT) AS nation, day, CAST(CASE WHEN n <= 4 THEN 1 ELSE ceil(rn / ceil(n / chunks)) END AS BIGINT) AS chunk FROM c""")
 def balanced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunked(nation_days(spark, sf_dir).filter("day < date'1995-02-01'"))
+    return _chunked(nation_days(spark, sf_dir))
 
 
-@query(whole_sql("balanced_chunks", " WHERE CAST(o.o_orderdate AS DATE) < DATE '1995-02-01'"))
-def balanced_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all days of a nation."""
-    return _chunked(nation_days(spark, sf_dir))
+query(ORACLES["balanced_chunks"], "balanced_chunks_all")(balanced_chunks)  # its name while balanced_chunks read a part
 
 
 def _chunked(d: DataFrame) -> DataFrame:
