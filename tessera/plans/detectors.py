@@ -21,7 +21,6 @@ from .streams import _events, _through
 from .timeseries import UD_SQL, user_days
 from .wellness import _BASE, deltas
 
-ID = F.col("event_id")
 LAST = f"{UD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn FROM ud)"
 
 
@@ -29,6 +28,22 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")
 
 
+class _Id:
+    """event_id as a column, made when it is used: there may be no session yet when this is imported."""
+
+    def __mod__(self, n: int) -> Column:
+        return F.col("event_id") % n
+
+    def cast(self, kind: str) -> Column:
+        return F.col("event_id").cast(kind)
+
+    def alias(self, name: str) -> Column:
+        return F.col("event_id").alias(name)
+
+
+ID = _Id()
+
+
 def mod(n: int, scale: float = 1.0, shift: float = 0.0) -> Column:
     return (ID % n).cast("double") * scale + shift
 
