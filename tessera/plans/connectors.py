@@ -382,8 +382,8 @@ def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.repeated_within(n, "parent", "name")
 
 
-@query("""SELECT n_name AS region, list_filter([CASE WHEN n_nationkey % 6 = 0 THEN 'no_name' END, CASE WHEN n_nationkey % 5 = 0 THEN 'lon_order' END, CASE WHEN n_nationkey % 7 = 0 THEN 'out_of_range' END,
-CASE WHEN n_nationkey % 4 = 0 OR n_nationkey % 5 = 0 THEN 'centre_outside' END], lambda x: x IS NOT NULL) AS issues FROM nation""")
+@query("""SELECT n_name AS region, array_to_string(list_filter([CASE WHEN n_nationkey % 6 = 0 THEN 'no_name' END, CASE WHEN n_nationkey % 5 = 0 THEN 'lon_order' END, CASE WHEN n_nationkey % 7 = 0 THEN 'out_of_range' END,
+CASE WHEN n_nationkey % 4 = 0 OR n_nationkey % 5 = 0 THEN 'centre_outside' END], lambda x: x IS NOT NULL), ', ') AS issues FROM nation""")
 def region_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that a region's row breaks."""
     k = F.col("n_nationkey")
@@ -392,7 +392,7 @@ def region_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_name", F.when(k % 6 == 0, " ").otherwise(F.col("n_name")).alias("region"), west.alias("lon_min"), east.alias("lon_max"), F.lit(40.0).alias("lat_min"), north.alias("lat_max"),
         F.lit(12.0).alias("centroid_lon"), F.when(k % 4 == 0, 30.0).otherwise(45.0).alias("centroid_lat"),
     )
-    return places.region_issues(n).select(F.col("n_name").alias("region"), "issues")
+    return places.region_issues(n).select(F.col("n_name").alias("region"), F.array_join("issues", ", ").alias("issues"))
 
 
 @query("""SELECT c_nationkey AS nation, CAST(count(*) AS BIGINT) AS expected, CAST(count_if(c_custkey % 3 = 0 AND c_nationkey <> 4) AS BIGINT) AS stored, round(count_if(c_custkey % 3 = 0 AND c_nationkey <> 4) / count(*), 6) AS share FROM customer GROUP BY 1""")
@@ -402,12 +402,12 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.coverage(c, c.filter("c_custkey % 3 = 0 and nation <> 4"), "nation").withColumn("share", F.round("share", 6))
 
 
-@query("""SELECT c_nationkey AS region, list_sort(list(DISTINCT year(CAST(o_orderdate AS DATE)))) AS years FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT c_nationkey AS region, array_to_string(list_sort(list(DISTINCT year(CAST(o_orderdate AS DATE)))), ', ') AS years FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def stored_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years that are stored for each region."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     years = places.years_of(o.withColumn("region", F.col("c_nationkey")), "region", "o_orderdate")
-    return years.select("region", F.transform("years", lambda y: y.cast("long")).alias("years"))
+    return years.select("region", F.array_join(F.transform("years", lambda y: y.cast("string")), ", ").alias("years"))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, translate(n_name, '_0123456789', 'XABCDEFGHI') AS name FROM nation) SELECT k, lower(name) AS plain, replace(name, ' ', '_') || CASE WHEN k % 2 = 0 THEN '_County' ELSE '' END AS bare, name AS parent FROM n""")

@@ -314,11 +314,11 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT k, ['acmeenergy' || k, 'acme-energy-' || k, 'acmeenergy' || k || 'gmbh', 'acme-energy-' || k || '-gmbh', 'acme'] AS slugs FROM s""")
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT k, concat_ws(', ', 'acmeenergy' || k, 'acme-energy-' || k, 'acmeenergy' || k || 'gmbh', 'acme-energy-' || k || '-gmbh', 'acme') AS slugs FROM s""")
 def board_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that a company's board may have, best first."""
     name = F.concat(F.lit("Acme Energy "), F.col("s_suppkey").cast("string"), F.lit(" GmbH"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), T.slug_candidates(name).alias("slugs"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.array_join(T.slug_candidates(name), ", ").alias("slugs"))
 
 
 _PLACES = ("Remote (EU)", "United States (Remote)", "Lisbon (Remote)", "London, UK", "UK", "Berlin, Germany", "", "Remote - Canada")
