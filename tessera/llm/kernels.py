@@ -10,6 +10,7 @@ digested by BLAKE2b.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call handles, unless a single document is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,6 +101,15 @@ def anchors(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, wi
     return np.nonzero((most == h) & ~out_of)[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a stage, and so would what they once needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
 def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of a string column; null is empty."""
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -121,6 +131,8 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int
         own = offsets[first : last + 1]
         yield first, last, flat[own[0] : own[-1]], own - own[0]
         first = last
+    if len(flat) > SLICE_BYTES:
+        give_back()
 
 
 def byte_units(data: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import text_of
 
 WINDOW = 2048
@@ -42,9 +43,14 @@ def make_encoder(path: str | None = None):
     from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    plain = lambda text: slow.encode(text, add_special_tokens=False).ids
+    slow: list = []
+
+    def plain(text: str) -> list[int]:
+        if not slow:  # loaded when it is needed
+            slow.append(Tokenizer.from_file(path))
+            slow[0].encode_special_tokens = True
+        return slow[0].encode(text, add_special_tokens=False).ids
+
     ranks_path = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks_path):
         return plain
@@ -150,6 +156,8 @@ def pack(df: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, e
         emit(packer.finish())
         if out:
             yield flush()
+        del encode, packer
+        K.give_back()
 
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     packed = rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)

@@ -114,6 +114,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, sample_row
         w = model.weights(slice(None))
         at = np.nonzero(w)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["feature", "weight"])
+        del rows, model, w
+        K.give_back()
 
     sample = labelled_sample(documents, labels, sample_rows, sample_bytes)
     features = sample.mapInArrow(extract, "o long, id long, y int, f array<int>")
