@@ -116,3 +116,70 @@ def ftrl(rows, bias, l1, orders, alpha=0.5, beta=1.0, l2=1.0):
 
 def sha1_32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def all_runs(words, least=12):
+    """(start, length, smallest period) of every run, sorted."""
+    n, found = len(words), {}
+    for p in range(1, n // 2 + 1):
+        i = 0
+        while i + p < n:
+            s = i
+            while i + p < n and words[i] == words[i + p]:
+                i += 1
+            if i > s and i - s + p >= max(least, 2 * p):
+                found.setdefault((s, i - s + p), p)
+            i += i == s
+    return sorted((s, length, p) for (s, length), p in found.items())
+
+
+def periodic(doc_id, text):
+    """The row of op11, without the id."""
+    words, h = WORD.findall(text or ""), zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = all_runs(words)
+    gone = {i for s, length, p in runs for i in range(s + p, s + length)}
+    s, length, p = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (
+        len(runs), s, length, p, runs and 1000 * length // p or None, sha("".join(f"{a},{b},{c}\n" for a, b, c in runs)),
+        sha(" ".join(w for i, w in enumerate(words) if i not in gone)),
+    )
+
+
+def codes(rows, entries=256, rounds=4, parts=4):
+    """rows: (id, vector, label), ids unique. id -> (code, error, label_error), and the sha of the codebooks."""
+    kept = sorted((i, [math.floor(1024 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v))
+    wide = len(kept[0][1]) // parts if kept else 0
+    cut = lambda v: [v[p * wide : (p + 1) * wide] for p in range(parts)]
+    books = [list(b) for b in zip(*(cut(v) for _, v, _ in kept[:entries]), strict=True)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), e) for e, y in enumerate(book))
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            own = defaultdict(list)
+            for _, v, _ in kept:
+                own[near(cut(v)[p], book)[1]].append(cut(v)[p])
+            books[p] = [[sum(c) // len(own[e]) for c in zip(*own[e], strict=True)] if e in own else y for e, y in enumerate(book)]
+    out, sums = {}, Counter()
+    for i, v, label in kept:
+        best = [near(x, book) for x, book in zip(cut(v), books, strict=True)]
+        out[i] = ("".join(f"{e:02x}" for _, e in best), sum(d for d, _ in best), label)
+        sums[label] += out[i][1]
+    text = ",".join(str(c) for book in books for y in book for c in y)
+    return {i: (c, e, sums[label]) for i, (c, e, label) in out.items()}, hashlib.sha256(text.encode()).hexdigest()
+
+
+SECRETS = (
+    ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+    ("access", r"(AKIA[A-Z0-9]+)", 16),
+    ("hex", r"([0-9a-f]+)", 32),
+)
+
+
+def secrets(text):
+    """Base spans: (start, order, kind, end), sorted."""
+    return sorted((m.start(), order, kind, m.end()) for order, (kind, pattern, least) in enumerate(SECRETS) for m in re.finditer(pattern, text or "") if len(m[1]) >= least)
