@@ -86,7 +86,7 @@ def test_edges(spark, tmp_path, edge, edge_rows, nothing):
     got = op13_secret_scan(spark, str(tmp_path)).collect()
     key = lambda r: str(r)
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted((_plain(i, t) for i, t in rows), key=key)
-    assert {r.spans for r in got if r.doc_id == 30} == {"assign:2:20,access:24:44", ""}
+    assert {r.spans for r in got if r.doc_id == 30} == {"assign:3:20,access:24:44", ""}
     assert secret_scan.find_secrets(edge).count() == len(edge_rows) and secret_scan.find_secrets(nothing).collect() == []
     found = secret_scan.find_secrets(spark.createDataFrame([(1, "é token=abcdefgh")], "doc_id long, text string")).first().found[0]
     assert (found.start, found.end, found.kind, found.checked, found.match) == (2, 16, "assign", False, "token=abcdefgh")
