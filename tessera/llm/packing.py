@@ -8,11 +8,14 @@ into full ones, and the last tokens into power-of-two sequences, which need no p
 Sequence ids carry the task in their high bits, so they are unique and reruns agree.
 
 Defined results: null or empty text is the end token alone; rows that repeat an id
-are packed each for itself; null ids are kept; an empty table gives no rows.
+are packed each for itself; null ids are kept; other columns are ignored; an empty table gives no rows.
+A text of any length is tokenised whole, about 40 bytes for each of its bytes; one with a long run of white
+space goes through the slower encoder, which gives the same ids.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +31,9 @@ from .common import text_of
 WINDOW = 2048
 END_TOKEN = 1
 Piece = tuple  # (document, start, ids, tokens of the document)
+#: The fast encoder's regex engine keeps a state for each blank of a run, and panics at a million.
+BLANKS = 50_000
+_BLANK_RUN = re.compile(rf"\s{{{BLANKS}}}")
 
 
 def make_encoder(path: str | None = None):
@@ -61,6 +67,8 @@ def make_encoder(path: str | None = None):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if len(text) >= BLANKS and _BLANK_RUN.search(text):
+            return plain(text)
         try:
             return fast.encode_ordinary(text)
         except (ValueError, OverflowError, RuntimeError):  # a run that its regex engine gives up on

@@ -2,17 +2,18 @@
 
 Feature extraction and scoring are Arrow stages over every whole text; the model is
 fitted on a bounded sample of labelled rows (at most `sample_rows` documents of together
-at most `sample_bytes` of text), in an order that depends on ids only. L1 leaves few non-zero weights, which are what is broadcast
+at most `sample_bytes` of text, none above a sixteenth of that), in an order that depends on ids only. L1 leaves few non-zero weights, which are what is broadcast
 (at most 2**bits of them).
 
-Defined results: null or empty text scores by the bias alone; no labelled row, or
-labels of one class, still give a model (its bias); repeated labels of a document
+Defined results: null or empty text scores by the bias alone; without a labelled row, or
+with labels of one class, nothing tells documents apart: every score is PRIOR and none is rejected; repeated labels of a document
 count as toxic if any is; rows that repeat an id are each learnt from; null labels are not used; null ids are scored and never
 learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,11 @@ BITS = 20
 SAMPLE_ROWS = 16_384
 #: Text of the sample: about three bytes of features each in the task that fits.
 SAMPLE_BYTES = 128 << 20
+#: Largest share of it that one document may take; a larger document is not sampled.
+ROW_SHARE = 1 / 16
 THRESHOLD = 0.3
+#: The score where there is no evidence; below the threshold.
+PRIOR = 0.05
 _PAIR = np.uint64(0x9DDFEA08EB382D69)
 _KINDS = [np.uint64(x) for x in (0x1F123BB5, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)]
 
@@ -73,7 +78,10 @@ class Ftrl:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labelled documents outside the held-out quarter, in order of a hash of the id, as far as both bounds go."""
+    """Labelled documents outside the held-out quarter, in order of a hash of the id, as far as both bounds go.
+
+    One that is too large is passed over; what is read is at most one such size short of `sample_bytes`.
+    """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     chosen = (
         usable.groupBy("doc_id").agg(F.max("toxic").alias("_label")).withColumn("_order", F.xxhash64(F.col("doc_id").cast("string")))
@@ -83,7 +91,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, sample_rows: int, s
     size = F.sum(F.octet_length("_text")).alias("_size")
     sizes = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).groupBy("_lid", "_label", "_order").agg(size)  # at most sample_rows rows
     so_far = F.sum("_size").over(Window.orderBy("_order", "_lid"))
-    fitting = written(sizes.withColumn("_so_far", so_far).filter(F.col("_so_far") <= sample_bytes).select("_lid", "_label", "_order"), "sample")
+    fits = sizes.filter(F.col("_size") <= int(sample_bytes * ROW_SHARE))
+    fitting = written(fits.withColumn("_so_far", so_far).filter(F.col("_so_far") <= sample_bytes).select("_lid", "_label", "_order"), "sample")
     return rows.join(F.broadcast(fitting), F.col("_id") == F.col("_lid")).select("_order", "_id", F.col("_label").cast("int").alias("_label"), "_text")
 
 
@@ -104,6 +113,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, sample_row
             for i, (o, key, y) in enumerate(zip(b.column("o").to_pylist(), b.column("id").to_pylist(), b.column("y").to_pylist(), strict=True)):
                 at = flat[cut[i] : cut[i + 1]].copy()
                 rows.append((o, key, len(at), zlib.crc32(at), y, at))
+        if len({r[4] for r in rows}) < 2:
+            yield pa.RecordBatch.from_arrays([pa.array([1 << bits], pa.int64()), pa.array([math.log(PRIOR / (1 - PRIOR))])], names=["feature", "weight"])
+            return
         rows.sort(key=lambda r: r[:4])  # whatever order they came in
         model = Ftrl((1 << bits) + 1, l1=min(max(len(rows) * l1_per_row, 1.0), l1_most))
         rng = np.random.default_rng(7)

@@ -236,7 +236,7 @@ def test_toxicity_edges(spark, edge, nothing):
     assert len(out) == edge.count() and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score(nothing, model).count() == 0
     empty = toxicity.fit(nothing, labels.limit(0))
-    assert {r.score for r in toxicity.score(edge, empty).collect()} == {0.5}
+    assert {round(r.score, 9) for r in toxicity.score(edge, empty).collect()} == {toxicity.PRIOR} and toxicity.PRIOR < toxicity.THRESHOLD
     assert toxicity.keep_clean(edge, labels).columns == edge.columns
 
 
@@ -265,7 +265,7 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_query_names():
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [q for n in range(1, 11) for q in queries.QUERIES if q.startswith(f"op{n}_")]
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [q for n in range(1, 14) for q in queries.QUERIES if q.startswith(f"op{n}_")]
 
 
 def test_scratch_tables_go(spark):
@@ -277,3 +277,45 @@ def test_scratch_tables_go(spark):
     assert drop_scratch(spark) >= 1
     with pytest.raises(Exception, match="(?i)path|exist"):
         spark.read.parquet(path.rsplit("/", 1)[0]).count()
+
+
+@pytest.mark.parametrize(("blank", "n"), [*((b, n) for b in (" ", "\t", "\n", " \n", "\u3000") for n in (49_999, 60_000)), (" ", 1_000_000), ("\n", 1_000_000), ("\t", 5_000_000)])
+def test_long_runs_of_blanks(blank, n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "x" + (blank * n)[:n] + "y z"
+    assert packing.make_encoder()(text) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_a_million_blanks(spark):
+    df = spark.createDataFrame([(1, "x" + " " * 1_000_000 + "y"), (2, "word")], "doc_id long, text string")
+    total = {r.doc_id: r.n for r in packing.pack(df, with_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert total == {1: 1_000_001 + 1, 2: 2}
+
+
+def _foul(n):
+    return [(i, f"w{i % 7} w{i % 11} foul vile {i}" if i % 3 == 0 else f"w{i % 7} w{i % 11} fair {i}") for i in range(n)]
+
+
+def test_one_huge_text_leaves_the_sample(spark):
+    """A labelled document above the bound is passed over, and the rest is learnt from."""
+    rows = _foul(300)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    plain = toxicity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, 16_384, 1 << 20)
+    first = plain.orderBy("_order").first()._id
+    huge = spark.createDataFrame([(i, "fair " * 400_000 if i == first else t) for i, t in rows], "doc_id long, text string")
+    sample = {r._id for r in toxicity.labelled_sample(huge, labels, 16_384, 1 << 20).select("_id").collect()}
+    assert sample == {r._id for r in plain.select("_id").collect()} - {first}
+    model = toxicity.fit(huge, labels, sample_bytes=1 << 20)
+    hit = [r.predicted == int(r.doc_id % 3 == 0) for r in toxicity.score(huge, model).collect()]
+    assert sum(hit) > 280
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 1) for i in range(300)], [(0, None)], [(1, 0)]])
+def test_without_evidence_nothing_is_rejected(spark, labels):
+    docs = spark.createDataFrame(_foul(300), "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs, known).count() == 300
+    assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()} == {0}

@@ -73,3 +73,25 @@ def test_stages(spark, corpus):
     for r in corpus_pipeline.run(spark, corpus).collect():
         again[r.doc_id] += r.length
     assert again == tokens
+
+
+LABELS = "doc_id long, quality int, toxic int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _run(spark, folder, rows, labels):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
+    return {r.doc_id for r in corpus_pipeline.run(spark, str(folder)).collect()}
+
+
+def test_without_labels_the_corpus_stays(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 30)), "en", "a", 1) for i in range(40)]
+    assert len(_run(spark, tmp_path / "none", rows, [])) >= 38  # the mix rounds single documents
+    huge = [(99, "w1 " * 300_000 + " " * 1_000_000 + "end", "en", "a", 1)]
+    assert len(_run(spark, tmp_path / "huge", rows + huge, [(99, 1, 0)])) >= 38
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    assert _run(spark, tmp_path, [], []) == set()
