@@ -11,8 +11,7 @@ from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 from tessera.operators import dedupe, places, rules
-from tessera.sources import readers, schemas, sinks
-from tessera.streaming.jobs import Snapshots
+from tessera.sources import buckets, committed, readers, schemas, sinks
 
 from .registry import query, table
 from .streams import _folder
@@ -53,22 +52,21 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
 def sink_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upserts into a table of versions: the newer row of a key wins."""
+    """Upserts into a bucketed table: the newer row of a key wins."""
     out, c = _folder(spark), table(spark, sf_dir, "customer").select("c_custkey")
-    sinks.merge_into(c.filter("c_custkey % 2 = 0").withColumn("state", F.lit("old")), out, ["c_custkey"])
-    sinks.merge_into(c.filter("c_custkey % 3 = 0").withColumn("state", F.lit("new")), out, ["c_custkey"])
-    return Snapshots(spark, out).read()
+    buckets.upsert(c.filter("c_custkey % 2 = 0").withColumn("state", F.lit("old")), out, ["c_custkey"])
+    buckets.upsert(c.filter("c_custkey % 3 = 0").withColumn("state", F.lit("new")), out, ["c_custkey"])
+    return buckets.read(spark, out)
 
 
 @query("""SELECT c_custkey, round(c_acctbal * 2, 2) AS worked FROM customer""")
 def sink_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A restarted batch: keys that the sink has are not worked on again, the rest come chunk by chunk."""
+    """A restarted batch: keys that the sink has are not worked on again."""
     out, c = _folder(spark), table(spark, sf_dir, "customer")
     work = lambda keys: keys.join(c, "c_custkey").select("c_custkey", F.round(F.col("c_acctbal") * 2, 2).alias("worked"))
-    each = max(1, c.count() // 4)
-    sinks.process_missing(c.filter("c_custkey % 3 = 0"), out, ["c_custkey"], work, each)
-    sinks.process_missing(c, out, ["c_custkey"], work, each)
-    return readers.parquet(spark, out)
+    committed.process_missing(c.filter("c_custkey % 3 = 0"), out, ["c_custkey"], work)
+    committed.process_missing(c, out, ["c_custkey"], work)
+    return committed.read(spark, out).drop("_flush")
 
 
 @query("""SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events""")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import buckets
 from tessera.streaming import jobs as S
 
 from .registry import query
@@ -59,8 +60,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest event of each user by an upsert sink."""
     out = _folder(spark)
     e = _events(spark, sf_dir).select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
-    S.run_batches(e, S.upsert_sink(f"{out}/table", ["user_id"], "at"), f"{out}/checkpoint")
-    return S.Snapshots(spark, f"{out}/table").read().select("user_id", "event_id", "value")
+    S.run_batches(e, S.upsert_sink(f"{out}/table", ["user_id"], "at", 16), f"{out}/checkpoint")
+    return buckets.read(spark, f"{out}/table").select("user_id", "event_id", "value")
 
 
 @query("""SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: a + (2.0 / 8) * (x - a)), 6) AS ewma FROM events GROUP BY 1""")
@@ -70,8 +71,8 @@ def stream_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("o", F.date_format("ts", "yyyyMMddHHmmss.SSSSSS").cast("string"))
     e = e.withColumn("o", F.concat("o", F.lpad(F.col("event_id").cast("string"), 12, "0")))
     state = S.ewma(e, "user_id", "o", "value", 7)
-    S.run_batches(state, S.upsert_sink(f"{out}/table", ["user_id"], "ewma"), f"{out}/checkpoint", "update")
-    return S.Snapshots(spark, f"{out}/table").read().select("user_id", F.round("ewma", 6).alias("ewma"))
+    S.run_batches(state, S.upsert_sink(f"{out}/table", ["user_id"], n=16), f"{out}/checkpoint", "update")
+    return buckets.read(spark, f"{out}/table").select("user_id", F.round("ewma", 6).alias("ewma"))
 
 
 @query("""SELECT event_id, event_type FROM events""")
@@ -80,5 +81,5 @@ def stream_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark)
     e = _events(spark, sf_dir).select("event_id", "event_type")
     for run in ("a", "b"):
-        S.run_batches(e, S.once_sink(f"{out}/table", ["event_id"]), f"{out}/checkpoint-{run}")
-    return spark.read.parquet(f"{out}/table")
+        S.run_batches(e, S.once_sink(f"{out}/table", ["event_id"], 16), f"{out}/checkpoint-{run}")
+    return buckets.read(spark, f"{out}/table")

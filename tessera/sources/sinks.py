@@ -1,4 +1,4 @@
-"""Sinks: append, truncate, partitioned and clustered tables, upserts, restartable batches, line JSON, CSV, digests."""
+"""Sinks: append, truncate, partitioned and clustered tables, line JSON, CSV, digests. Upserts are in `buckets`, restartable batches in `committed`."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.dedupe import upsert
-from tessera.operators.windows import latest_per_key
-from tessera.streaming.jobs import Snapshots, _exists
-
 from .schemas import conform
 
 
@@ -40,29 +36,6 @@ def replace_days(df: DataFrame, path: str, day: str) -> None:
     df.withColumn("_day", F.to_date(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(path)
 
 
-def merge_into(df: DataFrame, path: str, keys: Sequence[str], order: str | None = None) -> int:
-    """Upsert into a table of versions: the next version is written whole, then it is the newest. Returns its number."""
-    spark = df.sparkSession
-    table = Snapshots(spark, path)
-    fresh = latest_per_key(df, keys, F.desc(order)) if order else df.dropDuplicates(list(keys))
-    old, number = table.read(), (table._versions() or [0])[-1] + 1
-    table.write(fresh if old is None else upsert(old, fresh, keys), number)
-    return number
-
-
-def process_missing(keys: DataFrame, path: str, key_cols: Sequence[str], work: Callable[[DataFrame], DataFrame], chunk: int = 50) -> int:
-    """Restartable: works on keys that the sink lacks, chunk by chunk, and appends after each. Returns chunks done."""
-    spark = keys.sparkSession
-    todo = keys.select(*key_cols).distinct()
-    if _exists(spark, path):
-        todo = todo.join(spark.read.parquet(path).select(*key_cols).distinct(), list(key_cols), "left_anti")
-    todo = todo.withColumn("_chunk", F.pmod(F.xxhash64(*key_cols), F.greatest(F.lit(1), F.ceil(F.lit(todo.count()) / chunk)).cast("long")))
-    chunks = sorted(r[0] for r in todo.select("_chunk").distinct().collect())  # as many as chunks
-    for c in chunks:
-        work(todo.filter(F.col("_chunk") == c).drop("_chunk")).write.mode("append").parquet(path)
-    return len(chunks)
-
-
 def with_retry(write: Callable[[], None], tries: int = 5, first_wait: float = 1.0, quota_wait: float = 60.0, sleep=time.sleep) -> int:
     """For sinks outside Spark: exponential waits, longer on quota errors. Returns the attempts it took."""
     for n in range(1, tries + 1):

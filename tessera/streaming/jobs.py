@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources import buckets
+
 LATE = "2 days"
 
 
@@ -68,57 +70,20 @@ def ewma(df: DataFrame, key: str, order: str, value: str, tau_days: float) -> Da
 # --- sinks ---------------------------------------------------------------------------------------------
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-class Snapshots:
-    """A table as numbered parquet versions: a batch writes the next one, readers take the newest complete one."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        if not _exists(self.spark, self.path):
-            return []
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and _exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
-
-    def read(self) -> DataFrame | None:
-        found = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-
-
-def upsert_sink(path: str, keys: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: the newest row of each key wins; a batch that runs again writes the same version."""
-    from tessera.operators.dedupe import upsert
-    from tessera.operators.windows import latest_per_key
+def upsert_sink(path: str, keys: Sequence[str], order: str | None = None, n: int = buckets.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: the newest row of each key wins; only buckets that the batch touches are rewritten, and a batch that runs again changes nothing."""
 
     def run(batch: DataFrame, number: int) -> None:
-        table = Snapshots(batch.sparkSession, path)
-        before = [v for v in table._versions() if v < number + 1]
-        fresh = latest_per_key(batch, keys, F.desc(order))
-        old = batch.sparkSession.read.parquet(f"{path}/v{before[-1]}") if before else None
-        table.write(fresh if old is None else upsert(old, fresh, keys), number + 1)
+        buckets.upsert(batch, path, keys, order, n)
 
     return run
 
 
-def once_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: appends only keys that are not there yet."""
+def once_sink(path: str, keys: Sequence[str], n: int = buckets.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: appends only keys that are not there yet; only the keys of touched buckets are read."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
-        if _exists(spark, path):
-            fresh = fresh.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-        fresh.write.mode("append").parquet(path)
+        buckets.insert_new(batch, path, keys, n)
 
     return run
 

@@ -4,8 +4,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tessera.plans import migration
-from tessera.sources import postings, readers, schemas, sinks
-from tessera.streaming.jobs import Snapshots
+from tessera.sources import buckets, committed, postings, readers, schemas, sinks
 
 
 def test_conform(spark):
@@ -55,15 +54,15 @@ def test_ranges():
 def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([(1, date(2024, 1, 1), "a"), (2, date(2024, 1, 2), "b")], "k int, day date, v string")
     path = f"file://{tmp_path}/t"
-    sinks.merge_into(a, path, ["k"])
-    sinks.merge_into(spark.createDataFrame([(2, date(2024, 1, 2), "B")], a.schema), path, ["k"])
-    assert sorted(r.v for r in Snapshots(spark, path).read().collect()) == ["B", "a"]
+    buckets.upsert(a, path, ["k"])
+    buckets.upsert(spark.createDataFrame([(2, date(2024, 1, 2), "B")], a.schema), path, ["k"])
+    assert sorted(r.v for r in buckets.read(spark, path).collect()) == ["B", "a"]
     sinks.replace_days(a, f"{path}-d", "day")
     sinks.replace_days(a.filter("k = 2").withColumn("v", F.lit("new")), f"{path}-d", "day")
     assert sorted(r.v for r in spark.read.parquet(f"{path}-d").collect()) == ["a", "new"]
     work = lambda keys: keys.withColumn("done", F.lit(True))
-    assert sinks.process_missing(a, f"{path}-m", ["k"], work, 1) >= 1
-    assert sinks.process_missing(a, f"{path}-m", ["k"], work, 1) == 0
+    assert committed.process_missing(a, f"{path}-m", ["k"], work) == 2
+    assert committed.process_missing(a, f"{path}-m", ["k"], work) == 0
     waits, calls = [], []
 
     def flaky():
