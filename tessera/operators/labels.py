@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from statistics import NormalDist
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.special import gamma_cdf, normal_quantile
+
 from .joins import event_within
 from .stats import climatology
 from .windows import days_since, rolling, streak, within_days
@@ -66,76 +66,28 @@ def monthly_climatology(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return climatology(df.withColumn("month", F.month("date")), ["region", "month"], metrics)
 
 
-def _gamma_cdf(x: np.ndarray, shape: float) -> np.ndarray:
-    """Regularised lower incomplete gamma: series below shape + 1, continued fraction above."""
-    x = np.asarray(x, float)
-    out, log_gamma = np.zeros_like(x), math.lgamma(shape)
-    low = (x > 0) & (x < shape + 1)
-    if low.any():
-        v = x[low]
-        term = np.full_like(v, 1.0 / shape)
-        total, n = term.copy(), shape
-        for _ in range(500):
-            n += 1
-            term = term * v / n
-            total += term
-            if (term < total * 1e-15).all():
-                break
-        out[low] = total * np.exp(-v + shape * np.log(v) - log_gamma)
-    high = x >= shape + 1
-    if high.any():
-        v = x[high]
-        b = v + 1 - shape
-        c, d = np.full_like(v, 1e300), 1 / b
-        h = d.copy()
-        for i in range(1, 500):
-            a = -i * (i - shape)
-            b = b + 2
-            d = 1 / np.where(np.abs(a * d + b) < 1e-300, 1e-300, a * d + b)
-            c = np.where(np.abs(b + a / c) < 1e-300, 1e-300, b + a / c)
-            h *= d * c
-            if (np.abs(d * c - 1) < 1e-15).all():
-                break
-        out[high] = 1 - h * np.exp(-v + shape * np.log(v) - log_gamma)
-    return out
-
+def spi30(df: DataFrame, history: DataFrame | None = None, scale: int = 30) -> DataFrame:
+    """Adds spi30: rolling sums of a region, a gamma distribution by moments with a mass at zero, the normal quantile.
 
-def spi_of(values: pd.Series, scale: int = 30) -> pd.Series:
-    """Standardised precipitation index: rolling sums, gamma by moments with a mass at zero, normal quantile."""
-    sums = values.rolling(scale, min_periods=scale // 2).sum()
-    valid = sums.dropna()
-    out = pd.Series(np.nan, index=values.index)
-    positive = valid[valid > 0]
-    if positive.empty:
-        return out
-    mean, var = positive.mean(), positive.var()
-    if not var > 0:
-        out.loc[valid.index] = (valid - valid.mean()) / (valid.std() + 1e-6)
-        return out
-    zero = float((valid == 0).mean())
-    p = np.where(valid > 0, zero + (1 - zero) * _gamma_cdf(valid.clip(lower=0).to_numpy() * mean / var, mean**2 / var), zero)
-    quantile = NormalDist().inv_cdf
-    out.loc[valid.index] = [quantile(float(x)) for x in np.clip(p, 1e-6, 1 - 1e-6)]
-    return out
-
-
-def spi30(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Adds spi30 per region; a history (region, date, precipitation) calibrates it and is dropped again.
-
-    The one grouped Python stage here: a region's daily series is bounded by the calendar.
+    A history (region, date, precipitation) calibrates it: it fills dates that df lacks or
+    has no value for, and is dropped again. Sums need half their rows. Where the positive sums
+    do not vary, the value is the plain standard score. Built-in functions only.
     """
-    rows = df.select("region", "date", "precipitation", F.lit(True).alias("_own"))
+    own = df.select("region", "date", "precipitation", F.lit(True).alias("_own"))
+    rows = own
     if history is not None:
-        rows = history.join(rows, ["region", "date"], "left_anti").select("region", "date", "precipitation", F.lit(False).alias("_own")).unionByName(rows)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        pdf["spi30"] = spi_of(pdf["precipitation"])
-        return pdf.loc[pdf["_own"], ["region", "date", "spi30"]]
-
-    kind = dict(df.dtypes)["region"]
-    spi = rows.groupBy("region").applyInPandas(run, f"region {kind}, date date, spi30 double")
-    return df.join(spi.withColumn("spi30", F.when(~F.isnan("spi30"), F.col("spi30"))), ["region", "date"], "left")
+        past = history.select("region", "date", F.col("precipitation").alias("_past"))
+        rows = own.join(past, ["region", "date"], "full").select("region", "date", F.coalesce("precipitation", "_past").alias("precipitation"), F.coalesce("_own", F.lit(False)).alias("_own"))
+    rows = rows.select("region", "date", "_own", rolling(F.col("precipitation"), F.sum, KEYS, "date", scale, scale // 2).cast("double").alias("_x"))
+    rows = rows.withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
+    x = F.col("_x")
+    moments = rows.groupBy("region").agg(
+        F.avg(F.when(x > 0, x)).alias("_mean"), F.var_samp(F.when(x > 0, x)).alias("_var"), F.avg((x == 0).cast("double")).alias("_zero"), F.avg(x).alias("_all"), F.stddev_samp(x).alias("_sd")
+    )
+    j = rows.filter("_own").join(moments, "region").withColumn("_p", F.when(x > 0, F.col("_zero") + (1 - F.col("_zero")) * gamma_cdf(x * F.col("_mean") / F.col("_var"), F.col("_mean") ** 2 / F.col("_var"))).otherwise(F.col("_zero")))
+    plain = (x - F.col("_all")) / (F.col("_sd") + 1e-6)
+    value = F.when(x.isNull() | F.col("_mean").isNull(), None).when(F.col("_var") > 0, normal_quantile(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("_p"))))).otherwise(plain)
+    return df.join(j.select("region", "date", value.alias("spi30")), ["region", "date"], "left")
 
 
 def fire_label(hotspots: Column) -> Column:
@@ -232,42 +184,84 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str, weight: str
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), forest]).fit(rows)
 
 
-def lasso_per_group(df: DataFrame, group: str, features: Sequence[str], target: str, folds: int = 5, steps: int = 30) -> DataFrame:
-    """Cross-validated lasso of each group on standardised features: (group, feature, coefficient).
+def fold_sums(df: DataFrame, group: str, features: Sequence[str], target: str, order: Sequence[str], folds: int = 5, block: Column | None = None) -> DataFrame:
+    """(group, fold, n, xx, xy, yy): sums of products of the features and the target, less their means in the group; xx row by row.
 
-    Groups are species-sized (one row a year and site); cyclic descent over the normal equations.
+    Folds are consecutive in the order. A row's place is its place in its block plus the rows of
+    earlier blocks, so a group with a third of all rows is sorted in as many tasks as it has blocks
+    (`block` must not fall in the order). Rows with a NULL or NaN are left out.
     """
-    kind = dict(df.dtypes)[group]
-
-    def descend(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-        n, w = len(y), np.zeros(x.shape[1])
-        gram, xy = x.T @ x / n, x.T @ y / n
+    whole = F.lit(True)
+    for c in [*features, target]:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = df.filter(whole).select(F.col(group).alias("_g"), (F.lit(0) if block is None else block).alias("_b"), *order, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate([*features, target])])
+    n = len(features)
+    values = [f"_x{i}" for i in range(n + 1)]
+    blocks = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_g")
+    blocks = blocks.select("_g", "_b", F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    means = rows.groupBy("_g").agg(*[F.avg(v).alias(f"_m{v}") for v in values])
+    place = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order)) - 1
+    j = rows.withColumn("_p", place).join(blocks, ["_g", "_b"]).join(means, "_g").withColumns({v: F.col(v) - F.col(f"_m{v}") for v in values})
+    fold = F.floor((F.col("_before") + F.col("_p")) * folds / F.col("_all")).cast("long").alias("fold")
+    times = lambda a, b: F.sum(F.col(f"_x{a}") * F.col(f"_x{b}"))
+    xx = F.array(*[times(min(a, b), max(a, b)) for a in range(n) for b in range(n)]).alias("xx")
+    sums = [F.count(F.lit(1)).alias("n"), xx, F.array(*[times(a, n) for a in range(n)]).alias("xy"), times(n, n).alias("yy")]
+    return j.groupBy(F.col("_g").alias(group), fold).agg(*sums)
+
+
+def lasso_path(n: np.ndarray, xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, steps: int) -> np.ndarray:
+    """Coefficients on standardised features with the penalty of least error over the folds, from the sums of each fold."""
+
+    def descend(count: float, products: np.ndarray, with_y: np.ndarray, penalty: float) -> np.ndarray:
+        w, gram, target = np.zeros(len(with_y)), products / count, with_y / count
         for _ in range(200):
             old = w.copy()
             for j in range(len(w)):
                 if gram[j, j] > 0:
-                    r = xy[j] - gram[j] @ w + gram[j, j] * w[j]
+                    r = target[j] - gram[j] @ w + gram[j, j] * w[j]
                     w[j] = np.sign(r) * max(abs(r) - penalty, 0) / gram[j, j]
             if np.abs(w - old).max() < 1e-8:
                 break
         return w
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf[[*features, target]].dropna()
-        if len(data) < 2 * folds:
-            return pd.DataFrame({group: [], "feature": [], "coefficient": []})
-        x = data[list(features)].to_numpy(float)
-        sd = x.std(0)
-        x, y = (x - x.mean(0)) / np.where(sd > 0, sd, 1), data[target].to_numpy(float)
-        y = y - y.mean()
-        most = max(np.abs(x.T @ y).max() / len(y), 1e-12)
-        part = np.arange(len(y)) * folds // len(y)
-        grid = most * np.logspace(0, -3, steps)
-        errors = [np.mean([np.mean((y[part == k] - x[part == k] @ descend(x[part != k], y[part != k], a)) ** 2) for k in range(folds)]) for a in grid]
-        w = descend(x, y, grid[int(np.argmin(errors))])
-        return pd.DataFrame({group: pdf[group].iloc[0], "feature": list(features), "coefficient": w})
-
-    return df.select(group, *features, target).groupBy(group).applyInPandas(run, f"{group} {kind}, feature string, coefficient double")
+    total = n.sum()
+    sd = np.sqrt(np.diagonal(xx.sum(0)) / total)
+    sd = np.where(sd > 0, sd, 1)
+    xx, xy = xx / np.outer(sd, sd), xy / sd
+    all_xx, all_xy = xx.sum(0), xy.sum(0)
+    most = max(np.abs(all_xy).max() / total, 1e-12)
+
+    def error(penalty: float) -> float:
+        lost = []
+        for k in range(len(n)):
+            w = descend(total - n[k], all_xx - xx[k], all_xy - xy[k], penalty)
+            lost.append((yy[k] - 2 * w @ xy[k] + w @ xx[k] @ w) / n[k])
+        return float(np.mean(lost))
+
+    grid = most * np.logspace(0, -3, steps)
+    return descend(total, all_xx, all_xy, grid[int(np.argmin([error(a) for a in grid]))])
+
+
+def lasso_per_group(df: DataFrame, group: str, features: Sequence[str], target: str, order: Sequence[str], folds: int = 5, steps: int = 30, block: Column | None = None) -> DataFrame:
+    """Cross-validated lasso of each group on standardised features: (group, feature, coefficient).
+
+    Spark sums products per group and fold; what a task descends on is `folds` small matrices of a
+    group, whatever its rows. Groups with fewer than two rows a fold have none.
+    """
+    size = len(features)
+    sums = fold_sums(df, group, features, target, order, folds, block)
+    held = sums.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("fold", "n", "xx", "xy", "yy"))).alias("folds")).filter(F.aggregate("folds", F.lit(0).cast("long"), lambda a, f: a + f["n"]) >= 2 * folds)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, parts in zip(pdf[group], pdf["folds"], strict=True):
+                n, yy = (np.array([p[c] for p in parts], float) for c in ("n", "yy"))
+                xx = np.array([np.array(p["xx"], float) for p in parts]).reshape(-1, size, size)
+                xy = np.array([np.array(p["xy"], float) for p in parts])
+                yield pd.DataFrame({group: [name] * size, "feature": list(features), "coefficient": lasso_path(n, xx, xy, yy, steps)})
+
+    return held.mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, feature string, coefficient double")
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:

@@ -100,12 +100,32 @@ def ewma_fold(pairs: Column, tau_days: float) -> Column:
 
 
 def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, tau_days: float, rows: int | None = None) -> DataFrame:
-    """One value per key: the recursion over its rows, or over its last `rows`."""
-    if rows:
-        df = latest_per_key(df, keys, F.desc(order), n=rows)
+    """One value per key: the recursion over all its rows (`ewma_scan`), or over its last `rows`."""
+    if not rows:
+        return ewma_scan(df, keys, order, value, tau_days)
+    df = latest_per_key(df, keys, F.desc(order), n=rows)
     return df.groupBy(*keys).agg(ewma_fold(F.collect_list(F.struct(F.col(order).alias("d"), F.col(value).alias("x"))), tau_days).alias("ewma"))
 
 
+def ewma_scan(df: DataFrame, keys: Sequence[str], order: str, value: str, tau_days: float, partitions: int | None = None) -> DataFrame:
+    """The recursion over all rows of each key as a parallel scan: (keys, ewma). Rows without a value are left out.
+
+    Rows are range-partitioned by key and order, so a key with all rows runs in every task. A
+    step is the map acc -> (1 - alpha) * acc + alpha * x; the rows of a key in a partition
+    compose to one map (a, b), which is a weighted sum, and the maps of a key, one for each
+    partition it reaches, are applied in order to its first value. Equal orders must not repeat within a key.
+    """
+    keep = 1 - 2.0 / (tau_days + 1)
+    rows = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_x")).filter("_x is not null")
+    ends = [*[F.col(k) for k in keys], F.col("_o")]
+    placed = (rows.repartitionByRange(partitions, *ends) if partitions else rows.repartitionByRange(*ends)).withColumn("_part", F.spark_partition_id())
+    block = Window.partitionBy("_part", *keys).orderBy(F.desc("_o"))
+    weighed = placed.withColumn("_w", F.lit(1 - keep) * F.pow(F.lit(keep), F.row_number().over(block) - 1))
+    maps = weighed.groupBy("_part", *keys).agg(F.min("_o").alias("_o"), F.min_by("_x", "_o").alias("_first"), F.pow(F.lit(keep), F.count(F.lit(1))).alias("a"), F.sum(F.col("_w") * F.col("_x")).alias("b"))
+    chain = F.array_sort(F.collect_list(F.struct("_o", "_first", "a", "b")))  # at most a map for each partition
+    return maps.groupBy(*keys).agg(F.aggregate(chain, F.get(chain, F.lit(0))["_first"], lambda acc, m: m["a"] * acc + m["b"]).alias("ewma"))
+
+
 def year_shifts(df: DataFrame, day: str, year: str, years: int) -> DataFrame:
     """Copies of the rows moved 1..years back; 29 February becomes the 28th. One scan."""
     moved = df.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(years))))

@@ -385,11 +385,11 @@ def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("region", "date", "month", "day_of_year", F.col("days_since_precip").cast("long").alias("dry"))
 
 
-@query(f"""WITH {RD_SQL} SELECT region, date, round(sum(precipitation) OVER w, 4) AS rain, round(sum(discharge) OVER w / 1000, 1) AS flow, round(avg((sm1 + sm2) / 2) OVER (PARTITION BY region ORDER BY date ROWS 20 PRECEDING), 9) AS soil FROM rd WINDOW w AS (PARTITION BY region ORDER BY date ROWS 29 PRECEDING)""")
+@query(f"""WITH {RD_SQL} SELECT region, date, round(sum(precipitation) OVER w, 4) AS rain, round(sum(discharge) OVER w, 4) AS flow, round(avg((sm1 + sm2) / 2) OVER (PARTITION BY region ORDER BY date ROWS 20 PRECEDING), 9) AS soil FROM rd WINDOW w AS (PARTITION BY region ORDER BY date ROWS 29 PRECEDING)""")
 def landslide_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling sums and means that landslide rules read."""
     d = L.landslide_features(region_days(spark, sf_dir).withColumn("discharge_p95", F.lit(1e9)))
-    return d.select("region", "date", F.round("precip_30", 4).alias("rain"), F.round(F.col("discharge_30") / 1000, 1).alias("flow"), F.round("soil_21", 9).alias("soil"))
+    return d.select("region", "date", F.round("precip_30", 4).alias("rain"), F.round("discharge_30", 4).alias("flow"), F.round("soil_21", 9).alias("soil"))
 
 
 _DAYS, _MIDDLES = "[31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]", "[15, 45, 74, 105, 135, 162, 198, 228, 258, 288, 318, 344]"

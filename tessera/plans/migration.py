@@ -324,7 +324,9 @@ def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Calla
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Return flags as species at four sites each, their sightings by year, and weather from ship days."""
     x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    day = x.groupBy("flag", "date").agg(F.avg("l_quantity").alias("q"), (F.avg("l_extendedprice") / 1000).alias("p"), (F.avg("l_discount") * 100).alias("d"), (F.avg("l_tax") * 100).alias("t"))
+    # Whole numbers, so that means of means end on the same digits in any order of adding.
+    whole = lambda c, scale, unit: F.floor(F.sum(F.round(F.col(c) * scale).cast("long")) / F.count(F.lit(1)) / unit).cast("double")
+    day = x.groupBy("flag", "date").agg(whole("l_quantity", 1, 1).alias("q"), whole("l_extendedprice", 100, 10_000).alias("p"), whole("l_discount", 100, 1).alias("d"), whole("l_tax", 100, 1).alias("t"))
     sites = spark.range(1, 5).select(F.col("id").cast("int").alias("n"))
     bird = F.concat(F.lit("Bird "), F.col("flag"))
     key = F.lower(F.replace(bird, F.lit(" "), F.lit("_")))
@@ -346,7 +348,8 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def _sql_inputs() -> str:
-    return """day AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS q, avg(l_extendedprice) / 1000 AS p, avg(l_discount) * 100 AS d, avg(l_tax) * 100 AS t FROM lineitem GROUP BY 1, 2),
+    return """day AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS date, floor(CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) / 1) AS q,
+floor(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10000) AS p, floor(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS d, floor(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS t FROM lineitem GROUP BY 1, 2),
 sites AS (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS n), weather AS (SELECT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, date, (q / 2 - 3 + q / 2 + 6) / 2 AS daily_mean, coalesce(d / nullif(n * 2.0, 0), 0) AS rain, p AS sun, t + n + 0.0003 AS speed, p * 5 AS direction, d >= 10 AS rain10 FROM day, sites),
 legs AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, n * 5 + 20 AS a, CASE WHEN n = 2 THEN n * 5 + 20 - 11 + 1 ELSE n * 5 END AS b, n * 5 + 34 AS i, n * 40 AS h FROM day, sites UNION ALL SELECT DISTINCT lower(concat('bird_', flag)), 'site_2', 30 - 11, 10, NULL, 10 FROM day),
 seen AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, y AS arrival_year, make_date(y, 5, 1) + CAST(ascii(flag) % 20 + y % 7 AS INTEGER) AS obs FROM day, (SELECT unnest([1999, 2000, 2001]) AS y)),
@@ -407,10 +410,10 @@ def migration_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("chunk_id", *_deltas([*DAILY, *COUNTS]))
 
 
-def _deltas(metrics: Sequence[str], digits: int = 5, parts: int = 1) -> list[Column]:
+def _deltas(metrics: Sequence[str], digits: int = 5) -> list[Column]:
     out = []
     for m in metrics:
-        out += [F.round(F.col(f"{m}_delta") / parts, digits).alias(f"{m}_delta"), F.round(F.coalesce(f"{m}_z", F.when(F.col(f"{m}_flag") == 0, 0.0)), digits).alias(f"{m}_z")]
+        out += [F.round(f"{m}_delta", digits).alias(f"{m}_delta"), F.round(F.coalesce(f"{m}_z", F.when(F.col(f"{m}_flag") == 0, 0.0)), digits).alias(f"{m}_z")]
     return out
 
 
@@ -422,9 +425,9 @@ count(CASE WHEN wind >= 5 THEN 1 END) OVER w / 3.0::DOUBLE AS m5, count(CASE WHE
 @query(
     f"""WITH {_sql_inputs()}, np AS ({_DAY.format(ey='', t='nb')}), hy AS ({_DAY.format(ey=', ey', t='hb')}),
 hp AS (SELECT bird, arrival_year, location_name, chunk_id, di, {', '.join(f'avg({m}) AS {m}_a, stddev_samp({m}) AS {m}_s' for _, m in _ROLLED)} FROM hy GROUP BY ALL)
-SELECT chunk_id, di AS day_idx, np.wd AS weather_date, {', '.join(f"round(({m} - {m}_a) / 7, 6) AS {n}_delta, CASE WHEN {m}_s IS NULL THEN NULL WHEN {m}_s < 1e-9 THEN 0.0 ELSE coalesce(round(({m} - {m}_a) / {m}_s, 6), 0.0) END AS {n}_z" for n, m in _ROLLED)} FROM np JOIN hp USING (bird, arrival_year, location_name, chunk_id, di)"""
+SELECT chunk_id, di AS day_idx, np.wd AS weather_date, {', '.join(f"round({m} - {m}_a, 6) AS {n}_delta, CASE WHEN {m}_s IS NULL THEN NULL WHEN {m}_s < 1e-9 THEN 0.0 ELSE coalesce(round(({m} - {m}_a) / {m}_s, 6), 0.0) END AS {n}_z" for n, m in _ROLLED)} FROM np JOIN hp USING (bird, arrival_year, location_name, chunk_id, di)"""
 )
 def migration_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily grain: three-day means and shares against the same place in the window of the ten years before; a week's share of the deltas, so that none lies on the edge of rounding."""
+    """Daily grain: three-day means and shares against the same place in the window of the ten years before."""
     d = build(*inputs(spark, sf_dir))["comparison_daily"]
-    return d.select("chunk_id", F.col("day_idx").cast("long").alias("day_idx"), "weather_date", *_deltas([n for n, _ in _ROLLED], 6, 7))
+    return d.select("chunk_id", F.col("day_idx").cast("long").alias("day_idx"), "weather_date", *_deltas([n for n, _ in _ROLLED], 6))

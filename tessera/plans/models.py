@@ -54,14 +54,14 @@ _PERCENT = """CASE WHEN v <= a AND a <= 0 THEN 20 WHEN v <= a THEN 20 * v / a WH
 q AS (SELECT region, m, {', '.join(f"quantile_cont({c}, {p / 100}) AS {c}_{p}" for _, c, _, _ in _METRICS for p in (20, 80, 95))} FROM d GROUP BY 1, 2),
 w AS (SELECT d.*, sum(precipitation) OVER w AS rain, max(temperature) OVER w AS heat, sum(discharge) OVER w AS flow FROM d WINDOW w AS (PARTITION BY region ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)),
 l AS ({' UNION ALL '.join(f"SELECT region, date, '{n}' AS metric, {v} AS v, {c}_20 * {s} AS a, {c}_80 * {s} AS b, {c}_95 * {s} AS c FROM w JOIN q USING (region, m)" for v, c, s, n in _METRICS)})
-SELECT region, date, metric, round(v / 977, 1) AS value, round(greatest(0, least(100, {_PERCENT})), 1) AS percentile FROM l"""
+SELECT region, date, metric, round(v, 4) AS value, round(greatest(0, least(100, {_PERCENT})), 1) AS percentile FROM l"""
 )
 def outlook_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlook metrics of eight dates against scaled monthly anchors, one row per metric."""
     d = region_days(spark, sf_dir).withColumn("temperature", F.col("ndvi") * 50)
     out = R.outlooks(d, L.monthly_climatology(d, ["precipitation", "temperature", "discharge"]))
     long = out.select("region", "date", F.explode("outlook").alias("metric", "o"))
-    return long.select("region", "date", "metric", F.round(F.col("o.value") / 977, 1).alias("value"), F.col("o.percentile_approx").alias("percentile"))
+    return long.select("region", "date", "metric", F.round(F.col("o.value"), 4).alias("value"), F.col("o.percentile_approx").alias("percentile"))
 
 
 @query("""WITH e AS (SELECT event_id, event_id % 30 / 10.0 - 1 AS a, event_id % 20 / 10.0 - 1 AS b, event_id % 25 / 10.0 - 1 AS c, event_id % 7 / 4.0 AS w FROM events), t AS (SELECT *, 0.40 * -ln(exp(-a) + exp(-b)) + 0.15 * least(c, 1.5) + 0.10 * greatest(w, 0) + 0.15 * greatest(a, 0) + 0.10 * greatest(b, 0) + 0.10 * c AS th FROM e),
@@ -116,8 +116,23 @@ def spi_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("region", "date", F.round("s", 5).alias("spi"), dry.cast("long").alias("dry"))
 
 
+_HISTORY = SPI_SQL.replace("w AS (SELECT region, date, CASE", "w AS (SELECT region, date, own, CASE", 1).replace("g AS (SELECT region, date, x,", "g AS (SELECT region, date, own, x,", 1).replace("c AS (SELECT region, date, CASE WHEN x > 0", "c AS (SELECT region, date, own, CASE WHEN x > 0", 1)
+_HISTORY = _HISTORY.replace("k AS (SELECT region, date, CASE", "k AS (SELECT region, date, own, CASE", 1).replace("spi AS (SELECT region, date, z", "spi AS (SELECT region, date, own, z", 1).replace(
+    "w AS (SELECT region, date, own,", "both_ AS (SELECT region, date, CASE WHEN date >= DATE '1997-01-01' AND day(date) % 4 = 0 THEN NULL WHEN date >= DATE '1997-01-01' THEN precipitation END AS recent, CASE WHEN date < DATE '1997-03-01' THEN precipitation * 2 END AS past, date >= DATE '1997-01-01' AS own FROM rd), hd AS (SELECT region, date, own, coalesce(recent, past) AS precipitation FROM both_), w AS (SELECT region, date, own,", 1
+).replace("CASE WHEN count(*) OVER w >= 15 THEN sum(precipitation) OVER w END AS x FROM rd", "CASE WHEN count(precipitation) OVER w >= 15 THEN sum(precipitation) OVER w END AS x FROM hd", 1)
+
+
+@query(f"WITH {_HISTORY} SELECT region, date, round(spi, 5) AS spi30 FROM spi WHERE own")
+def spi_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent days, some of them empty, against a series of their own and the years before, which also fills what they lack."""
+    d = region_days(spark, sf_dir)
+    recent = d.filter("date >= '1997-01-01'").withColumn("precipitation", F.when(F.dayofmonth("date") % 4 != 0, F.col("precipitation")))
+    past = d.filter("date < '1997-03-01'").select("region", "date", (F.col("precipitation") * 2).alias("precipitation"))
+    return L.spi30(recent, past).select("region", "date", F.round("spi30", 5).alias("spi30"))
+
+
 _SIGHT = """s AS (SELECT c_custkey AS k, 'bird_' || c_nationkey AS common_name, DATE '2001-04-01' + CAST(c_custkey % 97 - 20 AS INTEGER) AS first, 'S' || c_custkey AS sub, c_custkey % 3 = 0 AS reviewed, c_custkey % 9 AS count FROM customer),
-o AS (SELECT 'bird_' || (o_custkey % 25) AS common_name, 'S' || o_custkey AS sub, DATE '2001-02-01' + CAST(o_orderkey % 60 AS INTEGER) AS d FROM orders WHERE o_orderkey % 50 = 3)"""
+o AS (SELECT 'bird_' || (o_custkey % 25) AS common_name, 'S' || o_custkey AS sub, DATE '2001-02-01' + CAST(o_orderkey % 60 AS INTEGER) AS d FROM orders)"""
 
 
 @query(f"""WITH {_SIGHT}, y AS (SELECT *, dayofyear(make_date(2000, month(first), day(first))) AS doy FROM s), m AS (SELECT common_name, quantile_cont(doy, 0.5) AS med FROM (SELECT DISTINCT common_name, doy FROM y) GROUP BY 1),
@@ -134,5 +149,5 @@ def early_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("k"), bird(F.col("c_nationkey")).alias("common_name"), bird(F.col("c_nationkey")).alias("species_code"), F.date_add(F.lit("2001-04-01").cast("date"), (k % 97 - 20).cast("int")).alias("observation_date"),
         F.concat(F.lit("S"), k.cast("string")).alias("submission_id"), (k % 3 == 0).alias("is_reviewed"), (k % 9).alias("count"), F.lit("unknown").alias("status"),
     )
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 3").select(bird(F.col("o_custkey") % 25).alias("species_code"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("submission_id"), F.date_add(F.lit("2001-02-01").cast("date"), (F.col("o_orderkey") % 60).cast("int")).alias("observation_date"))
+    o = table(spark, sf_dir, "orders").select(bird(F.col("o_custkey") % 25).alias("species_code"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("submission_id"), F.date_add(F.lit("2001-02-01").cast("date"), (F.col("o_orderkey") % 60).cast("int")).alias("observation_date"))
     return judge(s, o).select("k", "status")

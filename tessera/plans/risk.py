@@ -10,16 +10,21 @@ from tessera.operators.stats import climatology
 
 from .registry import query, table
 
-RD_SQL = """rd AS (SELECT l_returnflag AS region, CAST(l_shipdate AS DATE) AS date, round(sum(l_quantity), 2) AS precipitation, round(avg(l_extendedprice), 2) AS discharge, round(avg(l_discount), 6) AS sm1, round(avg(l_tax), 6) AS sm2,
-round(avg(l_quantity) / 50, 6) AS ndvi, CAST(count_if(l_discount > 0.095 AND l_quantity > 48) AS BIGINT) AS hotspots FROM lineitem GROUP BY 1, 2)"""
+# Whole cents and pieces, so that sums are exact in any order and both engines hold the same doubles.
+RD_SQL = """rd AS (SELECT l_returnflag AS region, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS precipitation,
+CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS discharge, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS sm1,
+CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS sm2, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) / 50 AS ndvi,
+CAST(count_if(l_discount > 0.095 AND l_quantity > 48) AS BIGINT) AS hotspots FROM lineitem GROUP BY 1, 2)"""
 CL_SQL = """cl AS (SELECT region, month(date) AS m, quantile_cont(ndvi, 0.2) AS n20, quantile_cont(sm1, 0.2) AS a20, quantile_cont(sm2, 0.2) AS b20, quantile_cont(discharge, 0.8) AS d80, quantile_cont(discharge, 0.95) AS d95, quantile_cont(precipitation, 0.8) AS p80 FROM rd GROUP BY 1, 2)"""
 
 
 def region_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "lineitem")
+    x, n = table(spark, sf_dir, "lineitem"), F.count(F.lit(1))
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")).cast("double")
+    whole = F.sum(F.col("l_quantity").cast("long")).cast("double")
     return x.groupBy(F.col("l_returnflag").alias("region"), F.to_date("l_shipdate").alias("date")).agg(
-        F.round(F.sum("l_quantity"), 2).alias("precipitation"), F.round(F.avg("l_extendedprice"), 2).alias("discharge"), F.round(F.avg("l_discount"), 6).alias("sm1"),
-        F.round(F.avg("l_tax"), 6).alias("sm2"), F.round(F.avg("l_quantity") / 50, 6).alias("ndvi"), F.count_if((F.col("l_discount") > 0.095) & (F.col("l_quantity") > 48)).alias("hotspots"),
+        whole.alias("precipitation"), cents("l_extendedprice").alias("discharge"), cents("l_discount").alias("sm1"), cents("l_tax").alias("sm2"), (whole / n / 50).alias("ndvi"),
+        F.count_if((F.col("l_discount") > 0.095) & (F.col("l_quantity") > 48)).alias("hotspots"),
     )
 
 
@@ -102,10 +107,33 @@ def rf_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("region", "date", "label", L.threshold_class(F.col("p"), two, three).cast("long").alias("predicted"))
 
 
+LASSO = ["precip_7d_sum", "precip_30d_sum", "sm1_14d_mean", "discharge_7d_mean"]
+
+
 @query()
 def lasso_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of each region's vegetation index, cross-validated over five consecutive folds."""
+    d = L.temporal_features(region_days(spark, sf_dir))
+    return L.lasso_per_group(d, "region", LASSO, "ndvi", ["date"], block=F.year("date"))
+
+
+_N = len(LASSO)
+
+
+@query(
+    f"""WITH {RD_SQL}, f AS (SELECT region, date, ndvi AS x{_N}, sum(precipitation) OVER (PARTITION BY region ORDER BY date ROWS 6 PRECEDING) AS x0, sum(precipitation) OVER (PARTITION BY region ORDER BY date ROWS 29 PRECEDING) AS x1,
+avg(sm1) OVER (PARTITION BY region ORDER BY date ROWS 13 PRECEDING) AS x2, avg(discharge) OVER (PARTITION BY region ORDER BY date ROWS 6 PRECEDING) AS x3 FROM rd),
+c AS (SELECT region, {', '.join(f'x{i} - avg(x{i}) OVER (PARTITION BY region) AS x{i}' for i in range(_N + 1))}, (row_number() OVER (PARTITION BY region ORDER BY date) - 1) * 5 // count(*) OVER (PARTITION BY region) AS fold FROM f),
+s AS (SELECT region, fold, count(*) AS n, {', '.join(f'sum(x{a} * x{b}) AS s{a}{b}' for a in range(_N + 1) for b in range(a, _N + 1))} FROM c GROUP BY 1, 2)
+"""
+    + " UNION ALL ".join(f"SELECT region, CAST(fold AS BIGINT) AS fold, n, '{a}{b}' AS product, printf('%.5e', s{a}{b}) AS total FROM s" for a in range(_N + 1) for b in range(a, _N + 1))
+)
+def lasso_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lasso needs of each region and fold: sums of products, to six digits."""
     d = L.temporal_features(region_days(spark, sf_dir))
-    return L.lasso_per_group(d, "region", ["precip_7d_sum", "precip_30d_sum", "sm1_14d_mean", "discharge_7d_mean"], "ndvi")
+    s = L.fold_sums(d, "region", LASSO, "ndvi", ["date"], block=F.year("date"))
+    cells = [F.struct(F.lit(f"{a}{b}").alias("product"), (F.get("xx", F.lit(a * _N + b)) if b < _N else F.get("xy", F.lit(a)) if a < _N else F.col("yy")).alias("v")) for a in range(_N + 1) for b in range(a, _N + 1)]
+    return s.select("region", "fold", "n", F.explode(F.array(*cells)).alias("c")).select("region", "fold", "n", "c.product", F.format_string("%.5e", "c.v").alias("total"))
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS n, CAST(n_regionkey = 0 AS TINYINT) AS region_0, CAST(n_regionkey = 1 AS TINYINT) AS region_1, CAST(n_regionkey = 9 AS TINYINT) AS region_9 FROM nation""")

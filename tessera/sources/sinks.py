@@ -33,7 +33,8 @@ def save_clustered(df: DataFrame, path: str, day: str, cluster: Sequence[str], m
 
 def replace_days(df: DataFrame, path: str, day: str) -> None:
     """The days in df replace those of the table, by dynamic partition overwrite; running it again changes nothing."""
-    df.withColumn("_day", F.to_date(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(path)
+    ready = df.withColumn("_day", F.to_date(day)).hint("rebalance", "_day")  # one file a day, more for a large one
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(path)
 
 
 def with_retry(write: Callable[[], None], tries: int = 5, first_wait: float = 1.0, quota_wait: float = 60.0, sleep=time.sleep) -> int:

@@ -100,14 +100,46 @@ def test_climate_indices(one):
     assert 300 < one(K.thornthwaite(F.array(*map(F.lit, (1.0, 2.0, 5.0, 9.0, 13.0, 17.0, 19.0, 19.0, 15.0, 10.0, 5.0, 2.0))), 50.0)) < 900
 
 
-def test_gamma_and_index():
+def test_gamma_and_quantile(spark, one):
+    import math
+    from statistics import NormalDist
+
+    from tessera.functions import special
+
+    cdf = lambda x, a: one(special.gamma_cdf(F.lit(x), F.lit(a)))
+    assert [cdf(1.0, 1.0), cdf(2.0, 1.0)] == pytest.approx([0.6321205588, 0.8646647168])
+    assert [cdf(0.5, 2.5), cdf(5.0, 2.5), cdf(0.0, 2.0)] == pytest.approx([0.0374342268, 0.9247647539, 0.0], abs=1e-8)
+    for n in (1, 3, 40, 400):  # whole shapes: one less the Poisson sum
+        for x in (0.3 * n, 0.9 * n, float(n), n + 1.0, 1.3 * n):
+            want = 1 - math.fsum(math.exp(-x + k * math.log(x) - math.lgamma(k + 1)) for k in range(n))
+            assert cdf(x, float(n)) == pytest.approx(want, rel=1e-10, abs=1e-12)
+    assert one(special.log_gamma(F.lit(123.4))) == pytest.approx(math.lgamma(123.4), rel=1e-13)
+    for p in (1e-12, 1e-6, 0.01, 0.07, 0.3, 0.5, 0.77, 0.93, 1 - 1e-6):
+        assert one(special.normal_quantile(F.lit(p))) == pytest.approx(NormalDist().inv_cdf(p), rel=1e-12, abs=1e-14)
+
+
+def test_index_of_a_series(spark):
+    """Against a plain version: moments of the positive sums, a mass at zero, an early part without enough rows."""
+    from datetime import date, timedelta
+    from statistics import NormalDist, fmean, variance
+
     import numpy as np
-    import pandas as pd
 
-    assert L._gamma_cdf(np.array([1.0, 2.0]), 1.0) == pytest.approx([0.6321205588, 0.8646647168])
-    assert L._gamma_cdf(np.array([0.5, 5.0]), 2.5) == pytest.approx([0.0374342268, 0.9247647539], abs=1e-8)
-    spi = L.spi_of(pd.Series(np.random.default_rng(1).gamma(2, 3, 400)))
-    assert spi[:14].isna().all() and abs(spi.mean()) < 0.1 and 0.8 < spi.std() < 1.2
+    from tessera.functions import special
+
+    v = np.where(np.arange(400) % 90 < 40, 0.0, np.random.default_rng(1).gamma(2, 3, 400))
+    rows = [("a", date(2020, 1, 1) + timedelta(i), float(x)) for i, x in enumerate(v)] + [("flat", date(2020, 1, 1) + timedelta(i), 1.0 if i < 60 else None) for i in range(70)] + [("dry", date(2020, 1, 1) + timedelta(i), 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "region string, date date, precipitation double")
+    got = {r: [x.spi30 for x in L.spi30(df).filter(F.col("region") == r).orderBy("date").collect()] for r in ("a", "flat", "dry")}
+    sums = [sum(v[max(0, i - 29) : i + 1]) if i >= 14 else None for i in range(400)]
+    pos = [x for x in sums if x]
+    zero = sum(x == 0 for x in sums) / sum(x is not None for x in sums)
+    mean, var = fmean(pos), variance(pos)
+    known = [x for x in sums if x is not None]
+    cdf = spark.createDataFrame([(float(x),) for x in known], "x double").select(special.gamma_cdf(F.col("x") * mean / var, F.lit(mean**2 / var))).collect()
+    want = [NormalDist().inv_cdf(min(max(zero + (1 - zero) * c[0] if x > 0 else zero, 1e-6), 1 - 1e-6)) for x, c in zip(known, cdf, strict=True)]
+    assert got["a"][:14] == [None] * 14 and got["a"][14:] == pytest.approx(want, abs=1e-9)
+    assert got["dry"] == [None] * 40 and got["flat"][:14] == [None] * 14
 
 
 def test_region_type_and_thresholds(one):

@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -34,6 +35,23 @@ def test_streaks_and_fill(spark):
     assert [r.f for r in f.orderBy("day").collect()] == [1.0, 1.0, 1.0, None]
 
 
+def test_ewma_scan_equals_the_fold(spark):
+    """One key with all rows runs in many tasks, and gives what the fold over its array gives."""
+    rng = random.Random(6)
+    rows = [(1, i, rng.uniform(-5, 50) if i % 17 else None) for i in range(5000)] + [(2, 3, 7.0), (3, 1, None), (None, 1, 4.0), (None, 2, 8.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, t long, v double").repartition(6)
+    want = {}
+    for k, _, v in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        if v is not None:
+            want[k] = v if k not in want else want[k] + 2 / 8 * (v - want[k])
+    for n in (1, 3, 16):
+        got = {r.k: r.ewma for r in W.ewma_scan(df, ["k"], "t", "v", 7, n).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    spread = df.filter("k = 1").repartitionByRange(16, "k", "t").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread >= 12
+
+
 def test_ewma(spark):
     d = W.ewma(days(spark, [10.0, 20.0, 30.0]), ["k"], "day", "v", 7)
     a = 2 / 8

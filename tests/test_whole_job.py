@@ -15,12 +15,12 @@ from tools.compare import rows_of
 @pytest.mark.parametrize(
     ("name", "count"),
     [
-        ("canonical_key_all", "SELECT count(*) FROM orders"),
-        ("truncate_sentences_all", "SELECT count(*) FROM documents"),
-        ("year_shift_union_all", "SELECT 10 * count(*) FROM orders"),
-        ("merge_duplicates_all", "SELECT count(DISTINCT p_brand) FROM part"),
-        ("employer_footprint_all", "SELECT count(DISTINCT p_brand) FROM part"),
-        ("balanced_chunks_all", "SELECT count(*) FROM (SELECT DISTINCT c_nationkey, CAST(o_orderdate AS DATE) FROM orders JOIN customer ON o_custkey = c_custkey)"),
+        ("canonical_key", "SELECT count(*) FROM orders"),
+        ("truncate_sentences", "SELECT count(*) FROM documents"),
+        ("year_shift_union", "SELECT 10 * count(*) FROM orders"),
+        ("merge_duplicates", "SELECT count(DISTINCT p_brand) FROM part"),
+        ("employer_footprint", "SELECT count(DISTINCT p_brand) FROM part"),
+        ("balanced_chunks", "SELECT count(*) FROM (SELECT DISTINCT c_nationkey, CAST(o_orderdate AS DATE) FROM orders JOIN customer ON o_custkey = c_custkey)"),
     ],
 )
 def test_whole_table(spark, sf_dir, name, count):
