@@ -1,4 +1,4 @@
-"""Join shapes beyond the plain equi-join. All reduce to equi-joins on derived keys."""
+"""Join shapes beyond the plain equi-join. All reduce to equi-joins on derived keys. Boxes and nearest sites are in `spatial`."""
 
 from __future__ import annotations
 
@@ -60,47 +60,6 @@ def interval_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], a_span: tu
     return joined.withColumn("overlap_minutes", minutes).filter("overlap_minutes > 0")
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
-
-
-def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str, bounds: tuple[str, str, str, str], cell: float, strict: bool = True) -> DataFrame:
-    """Points in boxes (x_min, y_min, x_max, y_max): grid cells make it an equi-join, then the exact test.
-
-    `cell` should be about the size of a box, so that a box covers few cells.
-    """
-    x0, y0, x1, y1 = (F.col(c) for c in bounds)
-    grid = boxes.withColumn("_cx", F.explode(_cells(x0, x1, cell))).withColumn("_cy", F.explode(_cells(y0, y1, cell)))
-    placed = points.withColumn("_cx", F.floor(F.col(x) / cell).cast("long")).withColumn("_cy", F.floor(F.col(y) / cell).cast("long"))
-    inside = (F.col(x) > x0) & (F.col(x) < x1) & (F.col(y) > y0) & (F.col(y) < y1) if strict else F.col(x).between(x0, x1) & F.col(y).between(y0, y1)
-    return placed.join(grid, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy")
-
-
-def first_box(points: DataFrame, boxes: DataFrame, point_id: str, x: str, y: str, bounds, cell: float, box_id: str) -> DataFrame:
-    """Each point with the least box id that holds it, or NULL."""
-    hit = box_join(points, boxes, x, y, bounds, cell).groupBy(point_id).agg(F.min(box_id).alias(box_id))
-    return points.join(hit, point_id, "left")
-
-
-#: Sites that a nearest-site search may broadcast.
-MOST_SITES = 10_000
-
-
-def nearest_site(points: DataFrame, sites: DataFrame, x: str, y: str, site_id: str, site_x: str, site_y: str) -> DataFrame:
-    """Adds the nearest site by squared distance (ties: least id).
-
-    The sites become one array literal row, checked to be at most MOST_SITES, so that a
-    point is compared in place and no pair is ever shuffled.
-    """
-    held = sites.select(F.struct(F.col(site_x).cast("double").alias("x"), F.col(site_y).cast("double").alias("y"), F.col(site_id).alias("id")).alias("s")).limit(MOST_SITES + 1)
-    one = held.agg(F.sort_array(F.collect_list("s")).alias("_sites"))
-    if one.select(F.size("_sites")).first()[0] > MOST_SITES:
-        raise ValueError(f"more than {MOST_SITES} sites: use box_join with a grid")
-    far = lambda s: F.pow(s["x"] - F.col(x), F.lit(2.0)) + F.pow(s["y"] - F.col(y), F.lit(2.0))
-    best = F.array_min(F.transform("_sites", lambda s: F.struct(far(s).alias("d2"), s["id"].alias("id"))))
-    return points.join(F.broadcast(one)).withColumn("_b", best).withColumn("nearest", F.col("_b.id")).withColumn("distance2", F.col("_b.d2")).drop("_b", "_sites")
-
-
 def as_of(df: DataFrame, history: DataFrame, keys: Sequence[str], day: str, value: str, name: str) -> DataFrame:
     """The last known value at or before each row: one union and one window, no range join."""
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_accents
 
-from .joins import box_join, nearest_site
+from .spatial import box_join, nearest_site
 
 #: Administrative suffixes.
 SUFFIXES = ("regency", "county", "department", "cercle", "municipality", "ward")
@@ -46,10 +46,10 @@ def split_area(df: DataFrame, area: str, target: float, least: float, depth: int
     return d.select("region", x0.alias("lon_min"), y0.alias("lat_min"), (x0 + F.col("_c.w")).alias("lon_max"), (y0 + F.col("_c.h")).alias("lat_max"), (F.col("_x") * F.col("_ny") + F.col("_y") + 1).alias("part"))
 
 
-def grid_means(cells: DataFrame, regions: DataFrame, value: str, cell_size: float) -> DataFrame:
+def grid_means(cells: DataFrame, regions: DataFrame, value: str) -> DataFrame:
     """Mean of the grid cells in each region's box, per date; a box without a cell takes the cell nearest its centre."""
     bounds = ("lon_min", "lat_min", "lon_max", "lat_max")
-    inside = box_join(cells, regions, "lon", "lat", bounds, cell_size, strict=False).groupBy("region", "date").agg(F.avg(value).alias(value))
+    inside = box_join(cells, regions, "lon", "lat", bounds, strict=False).groupBy("region", "date").agg(F.avg(value).alias(value))
     empty = regions.join(inside.select("region").distinct(), "region", "left_anti")
     sites = cells.select("lon", "lat").distinct().withColumn("site", F.concat_ws(",", "lon", "lat"))
     near = nearest_site(empty, sites, "centroid_lon", "centroid_lat", "site", "lon", "lat")

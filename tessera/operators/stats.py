@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,31 @@ def climatology(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], quan
     return grouped.select(*keys, *[F.col(f"_{m}")[i].alias(f"{m}_p{round(q * 100):02d}") for m in metrics for i, q in enumerate(quantiles)])
 
 
+#: Items that a sketch keeps at the lowest level; its rank error is then below SKETCH_ERROR.
+SKETCH_K, SKETCH_ERROR = 400, 0.01
+
+
+def sketches(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """A mergeable quantile sketch of each metric per key (`<metric>_sketch`): bounded, whatever a key's rows. Combined before the shuffle."""
+    return df.groupBy(*keys).agg(*[F.kll_sketch_agg_double(F.col(m).cast("double"), F.lit(k)).alias(f"{m}_sketch") for m in metrics])
+
+
+def merge_sketches(tables: Sequence[DataFrame], keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Stored sketches and those of new days as one per key, without the rows they were made of."""
+    both = reduce(DataFrame.unionByName, tables)
+    return both.groupBy(*keys).agg(*[F.kll_merge_agg_double(f"{m}_sketch").alias(f"{m}_sketch") for m in metrics])
+
+
+def sketched_climatology(table: DataFrame, keys: Sequence[str], metrics: Sequence[str], quantiles=(0.2, 0.8, 0.95)) -> DataFrame:
+    """`<metric>_p20` and so on from sketches: a value of the data whose rank is at most SKETCH_ERROR off; and `<metric>_n`."""
+    out = []
+    for m in metrics:
+        s = F.col(f"{m}_sketch")
+        out.append(F.kll_sketch_get_n_double(s).alias(f"{m}_n"))
+        out += [F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, F.lit(q))).alias(f"{m}_p{round(q * 100):02d}") for q in quantiles]
+    return table.select(*keys, *out)
+
+
 def circular_mean(minutes: Column, period: float = 1440.0) -> Column:
     """Aggregate: mean time of day in minutes."""
     angle = lit(minutes) * (2 * math.pi / period)

@@ -95,14 +95,14 @@ def sink_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_merged(spark, out).select("r_regionkey", "r_name", "added")
 
 
-@query("""SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1995-03-01' THEN 'b' ELSE 'a' END AS version FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' THEN 'b' ELSE 'a' END AS version FROM orders""")
 def sink_replace_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch replaces its days, twice with the same result."""
     out, day = _folder(spark), F.to_date("o_orderdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
     sinks.replace_days(o.withColumn("version", F.lit("a")), out, "day")
     for _ in range(2):
-        sinks.replace_days(o.filter("day >= '1995-03-01'").withColumn("version", F.lit("b")), out, "day")
+        sinks.replace_days(o.filter("day between '1995-03-01' and '1995-03-31'").withColumn("version", F.lit("b")), out, "day")
     return readers.parquet(spark, out).select("o_orderkey", "version")
 
 
@@ -248,7 +248,7 @@ def raster_means(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_regionkey") + 0.75).alias("lat_min"), (F.col("n_regionkey") + F.when(thin, 0.8).otherwise(2.1)).alias("lat_max"),
     )
     boxes = boxes.withColumns({"centroid_lon": (F.col("lon_min") + F.col("lon_max")) / 2, "centroid_lat": (F.col("lat_min") + F.col("lat_max")) / 2})
-    return places.grid_means(cells, boxes, "v", 1.0).select("region", "date", F.round("v", 4).alias("v"))
+    return places.grid_means(cells, boxes, "v").select("region", "date", F.round("v", 4).alias("v"))
 
 
 # --- exports and registries --------------------------------------------------------------------------

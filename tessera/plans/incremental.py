@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import stats
 from tessera.sources import buckets, committed
 from tessera.streaming import epochs, lifetimes
 from tessera.streaming import jobs as S
@@ -76,6 +77,22 @@ def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.read(spark, out).drop("at")
 
 
+@query("""SELECT user_id % 3 AS grp, CAST(month(ts) AS BIGINT) AS month, q, count(*) AS n, true AS within FROM events, (SELECT unnest([20, 80, 95]) AS q) GROUP BY ALL""")
+def sketched_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of two stored and merged sketch tables, each held against the ranks of the rows themselves."""
+    out, keys = _folder(spark), ["grp", "month"]
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("grp"), F.month("ts").cast("long").alias("month"), F.col("event_id") % 5 < 4, "value")
+    e = e.toDF("grp", "month", "old", "value")
+    for name, part in (("old", e.filter("old")), ("new", e.filter("not old"))):
+        stats.sketches(part, keys, ["value"]).write.parquet(f"{out}/{name}")
+    merged = stats.merge_sketches([spark.read.parquet(f"{out}/old"), spark.read.parquet(f"{out}/new")], keys, ["value"])
+    found = stats.sketched_climatology(merged, keys, ["value"])
+    long = found.select(*keys, F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"value_p{q:02d}").alias("v")) for q in (20, 80, 95)])).alias("s"), "value_n").select(*keys, "s.q", "s.v", F.col("value_n").alias("n"))
+    ranks = long.join(e, keys).groupBy(*keys, "q", "n").agg((F.count_if(F.col("value") < F.col("v")) / F.col("n")).alias("low"), (F.count_if(F.col("value") <= F.col("v")) / F.col("n")).alias("high"))
+    share, room = F.col("q") / 100, stats.SKETCH_ERROR
+    return ranks.select(*keys, "q", "n", ((F.col("low") <= share + room) & (F.col("high") >= share - room)).alias("within"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.source(spark, f"{sf_dir}/[e]vents.parquet", EVENTS)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import dedupe as D
 from tessera.operators import joins as J
+from tessera.operators import spatial as SP
 from tessera.operators import windows as W
 
 from .registry import query, table
@@ -126,15 +127,33 @@ def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = lambda e: (e.cast("decimal(10,1)") * F.lit("0.1").cast("decimal(3,1)") - F.lit("0.25").cast("decimal(4,2)")).cast("double")
     b = table(spark, sf_dir, "nation").select(k.cast("long").alias("box"), low(k % 5).alias("x0"), low(F.floor(k / 5)).alias("y0"))
     b = b.withColumns({"x1": F.col("x0") + 0.15, "y1": F.col("y0") + 0.15})
-    return J.first_box(p, b, "vec_id", "x", "y", ("x0", "y0", "x1", "y1"), 0.15, "box").select("vec_id", "box")
+    return SP.first_box(p, b, "vec_id", "x", "y", ("x0", "y0", "x1", "y1"), "box").select("vec_id", "box")
 
 
-@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), c AS (SELECT vec_id AS site, x AS sx, y AS sy FROM p WHERE vec_id < 25)
-SELECT vec_id, site AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pow(sx - x, 2) + pow(sy - y, 2), site) AS rn FROM p, c) WHERE rn = 1""")
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), c AS (SELECT vec_id AS site, x AS sx, y AS sy FROM p WHERE vec_id % 2 = 0)
+SELECT vec_id, site AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY (x - sx) * (x - sx) + (y - sy) * (y - sy), site) AS rn FROM (SELECT * FROM p WHERE vec_id % 2 = 1), c) WHERE rn = 1""")
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vector with an even id to each with an odd one, in the plane of the first two components."""
     p = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    sites = p.filter("vec_id < 25").select(F.col("vec_id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    return J.nearest_site(p, sites, "x", "y", "site", "sx", "sy").select("vec_id", "nearest")
+    sites = p.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    return SP.nearest_site(p.filter("vec_id % 2 = 1"), sites, "x", "y", "site", "sx", "sy").select("vec_id", "nearest")
+
+
+# Boxes of orders: most are small, some are wide, a few cover everything; from 0.01 to 180 degrees.
+_SIDES = "CASE WHEN o_orderkey % 1000 = 0 THEN 180.0 WHEN o_orderkey % 50 = 1 THEN 7.3 WHEN o_orderkey % 3 = 0 THEN 0.4 ELSE 0.01 END"
+
+
+@query(f"""WITH b AS (SELECT o_orderkey AS box, CAST(o_custkey * 37 % 360 AS DOUBLE) AS x0, CAST(o_orderkey * 11 % 180 AS DOUBLE) AS y0, CAST({_SIDES} AS DOUBLE) AS s FROM orders),
+p AS (SELECT c_custkey AS point, c_acctbal / 30.0::DOUBLE AS x, CAST(c_custkey * 7 % 180 AS DOUBLE) + 0.005 AS y FROM customer)
+SELECT point, count(*) AS boxes, min(box) AS first FROM p JOIN b ON x >= x0 AND x <= x0 + s AND y >= y0 AND y <= y0 + s GROUP BY 1""")
+def boxes_of_every_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many boxes of orders hold the point of a customer."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    side = F.when(k % 1000 == 0, 180.0).when(k % 50 == 1, 7.3).when(k % 3 == 0, 0.4).otherwise(0.01)
+    b = o.select(k.alias("box"), (F.col("o_custkey") * 37 % 360).cast("double").alias("x0"), (k * 11 % 180).cast("double").alias("y0"), side.alias("s"))
+    b = b.withColumns({"x1": F.col("x0") + F.col("s"), "y1": F.col("y0") + F.col("s")})
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), (F.col("c_acctbal") / 30.0).cast("double").alias("x"), ((F.col("c_custkey") * 7 % 180).cast("double") + 0.005).alias("y"))
+    return SP.box_join(p, b, "x", "y", ("x0", "y0", "x1", "y1"), strict=False).groupBy("point").agg(F.count(F.lit(1)).alias("boxes"), F.min("box").alias("first"))
 
 
 @query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - to_years(CAST(k AS INTEGER)) AS DATE) AS day, CAST(year(o_orderdate) - k AS BIGINT) AS effective_year, CAST(k AS BIGINT) AS "offset" FROM orders, (SELECT unnest(generate_series(1, 10)) AS k)""")

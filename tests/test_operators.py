@@ -9,6 +9,7 @@ from tessera.operators import joins as J
 from tessera.operators import labels as L
 from tessera.operators import placement as P
 from tessera.operators import places as PL
+from tessera.operators import spatial as SP
 from tessera.operators import stats as S
 from tessera.operators import wellness as H
 from tessera.operators import windows as W
@@ -86,9 +87,9 @@ def test_small_upserts(spark):
 def test_box_and_nearest(spark):
     p = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 0.5), (3, 9.0, 9.0)], "id int, x double, y double")
     b = spark.createDataFrame([("A", 0.0, 0.0, 1.0, 1.0)], "box string, x0 double, y0 double, x1 double, y1 double")
-    assert {r.id: r.box for r in J.first_box(p, b, "id", "x", "y", ("x0", "y0", "x1", "y1"), 0.7, "box").collect()} == {1: "A", 2: None, 3: None}
+    assert {r.id: r.box for r in SP.first_box(p, b, "id", "x", "y", ("x0", "y0", "x1", "y1"), "box").collect()} == {1: "A", 2: None, 3: None}
     s = spark.createDataFrame([("A", 0.0, 0.0), ("B", 10.0, 10.0)], "site string, sx double, sy double")
-    assert [r.nearest for r in J.nearest_site(p, s, "x", "y", "site", "sx", "sy").orderBy("id").collect()] == ["A", "A", "B"]
+    assert [r.nearest for r in SP.nearest_site(p, s, "x", "y", "site", "sx", "sy").orderBy("id").collect()] == ["A", "A", "B"]
 
 
 def test_events_and_as_of(spark):
@@ -167,4 +168,50 @@ def test_places(spark, one):
     assert one(PL.sparkline(F.array(F.lit(1.0), F.lit(None).cast("double"), F.lit(3.0)), 10.0, 4.0)) == "0.0,4.0 10.0,0.0"
     cells = spark.createDataFrame([(1.0, 1.0, D0, 5.0), (50.0, 50.0, D0, 9.0)], "lon double, lat double, date date, q double")
     far = spark.createDataFrame([("A", 0.0, 0.0, 4.0, 2.0, 2.0, 1.0), ("B", 60.0, 60.0, 61.0, 61.0, 60.5, 60.5)], "region string, lon_min double, lat_min double, lon_max double, lat_max double, centroid_lon double, centroid_lat double")
-    assert {x.region: x.q for x in PL.grid_means(cells, far, "q", 1.0).collect()} == {"A": 5.0, "B": 9.0}
+    assert {x.region: x.q for x in PL.grid_means(cells, far, "q").collect()} == {"A": 5.0, "B": 9.0}
+
+
+def test_boxes_of_every_size_lie_in_few_cells(spark):
+    rng = random.Random(9)
+    sides = [0.0, 0.01, 0.3, 1.0, 2.0, 17.0, 180.0]
+    boxes = [(i, x, y, x + rng.choice(sides), y + rng.choice(sides)) for i in range(300) for x, y in [(rng.choice([-180.0, rng.uniform(-180, 180)]), rng.uniform(-90, 90))]]
+    boxes += [(900, 5.0, 5.0, 4.0, 6.0), (901, None, 0.0, 1.0, 1.0)]
+    points = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(200)] + [(500 + b[0], b[1], b[2]) for b in boxes[:40]] + [(999, None, 1.0)]
+    p, b = spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(boxes, "b long, x0 double, y0 double, x1 double, y1 double")
+    bounds = ("x0", "y0", "x1", "y1")
+    for strict in (True, False):
+        inside = lambda v, lo, hi: lo < v < hi if strict else lo <= v <= hi  # noqa: E731, B023
+        want = {(i, k) for i, x, y in points if x is not None for k, *c in boxes if c[0] is not None and inside(x, c[0], c[2]) and inside(y, c[1], c[3])}
+        got = [(r.p, r.b) for r in SP.box_join(p, b, "x", "y", bounds, strict).select("p", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert SP.box_cells(b, bounds).groupBy("b").count().agg(F.max("count")).first()[0] <= 4
+
+
+@pytest.mark.parametrize("leaf", [1, 32])
+def test_nearest_site_equals_brute_force(spark, monkeypatch, leaf):
+    """Even and clustered sites, far points, ties, points on sites, one place with many sites, odd coordinates."""
+    monkeypatch.setattr(SP, "LEAF_SITES", leaf)
+    rng = random.Random(leaf)
+    spots = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(300)] + [(50 + rng.gauss(0, 1e-4), 20 + rng.gauss(0, 1e-4)) for _ in range(600)] + [(float(a), float(b)) for a in range(8) for b in range(8)] + [(3.0, 3.0)] * 40
+    sites = [(f"s{i:04d}", x, y) for i, (x, y) in enumerate(spots)] + [("nan", float("nan"), 0.0), (None, 1.0, 1.0), ("null", None, 1.0)]
+    points = [(i, rng.uniform(-300, 300), rng.uniform(-200, 200)) for i in range(150)] + [(200 + i, 3.5, float(i % 9) + 0.5) for i in range(20)] + [(300 + i, *spots[i]) for i in range(0, 900, 45)] + [(9999, None, 1.0), (9998, float("nan"), 1.0)]
+    p, s = spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(sites, "site string, sx double, sy double")
+    got = {r.p: (r.distance2, r.nearest) for r in SP.nearest_site(p, s, "x", "y", "site", "sx", "sy").collect()}
+    known = [(k, x, y) for k, x, y in sites if k not in (None, "nan", "null")]
+    want = {i: min(((x - a) * (x - a) + (y - b) * (y - b), k) for k, a, b in known) if x == x and x is not None else (None, None) for i, x, y in points}
+    assert got == want
+    none = SP.nearest_site(p, s.limit(0), "x", "y", "site", "sx", "sy")
+    assert {r.nearest for r in none.collect()} == {None} and none.count() == len(points)
+
+
+def test_a_million_sites(spark):
+    """A sample of points against all sites, half of them in one place's neighbourhood."""
+    i = F.col("id")
+    spread = lambda c, m: F.pmod(F.xxhash64(i, F.lit(c)), F.lit(m)) / m
+    near = i % 2 == 0
+    s = spark.range(1_000_000).select(i.alias("site"), F.when(near, 10 + spread(1, 10_007) / 100).otherwise(spread(2, 1_000_003) * 360).alias("sx"), F.when(near, 5 + spread(3, 10_009) / 100).otherwise(spread(4, 1_000_033) * 180).alias("sy"))
+    p = spark.range(40).select(i.alias("p"), (spread(5, 997) * 360).alias("x"), (spread(6, 991) * 180).alias("y")).unionByName(spark.range(10).select((i + 100).alias("p"), F.lit(10.005).alias("x"), (5 + i / 500).alias("y")))
+    got = {r.p: r.nearest for r in SP.nearest_site(p, s, "x", "y", "site", "sx", "sy").collect()}
+    d = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+    want = {r.p: r.b.site for r in s.join(F.broadcast(p)).groupBy("p").agg(F.min(F.struct(d.alias("d"), "site")).alias("b")).collect()}
+    assert got == want and len(got) == 50
