@@ -18,6 +18,7 @@ from tessera.operators import windows as W
 from tessera.operators.joins import full_combine
 
 from .registry import query, table
+from .streams import _folder
 
 ENTITY = ["bird", "arrival_year", "location_name"]
 DAILY = ["daily_mean", "rainfall_intensity", "sunshine_duration_minutes", "aligned_wind"]
@@ -314,7 +315,14 @@ class Marts:
         return year_features(self.extended_confirmed)
 
 
-def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> Marts:
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: executors may be lost, and nothing stays in their storage."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> Marts:
     return Marts(sightings, seed, weather, keep)
 
 
@@ -322,15 +330,16 @@ def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Calla
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Return flags as species at four sites each, their sightings by year, and weather from ship days."""
+    """Return flags as species at four sites each, their sightings by year, and weather of the sites from ship days, the same for all species."""
     x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     # Whole numbers, so that means of means end on the same digits in any order of adding.
     whole = lambda c, scale, unit: F.floor(F.sum(F.round(F.col(c) * scale).cast("long")) / F.count(F.lit(1)) / unit).cast("double")
-    day = x.groupBy("flag", "date").agg(whole("l_quantity", 1, 1).alias("q"), whole("l_extendedprice", 100, 10_000).alias("p"), whole("l_discount", 100, 1).alias("d"), whole("l_tax", 100, 1).alias("t"))
+    day = x.groupBy("date").agg(whole("l_quantity", 1, 1).alias("q"), whole("l_extendedprice", 100, 10_000).alias("p"), whole("l_discount", 100, 1).alias("d"), whole("l_tax", 100, 1).alias("t"))
     sites = spark.range(1, 5).select(F.col("id").cast("int").alias("n"))
     bird = F.concat(F.lit("Bird "), F.col("flag"))
     key = F.lower(F.replace(bird, F.lit(" "), F.lit("_")))
-    weather = day.join(F.broadcast(sites)).select(
+    flags = x.select("flag").distinct()  # a row for each of three flags
+    weather = day.join(F.broadcast(sites)).join(F.broadcast(flags)).select(
         key.alias("bird"), F.concat(F.lit("site_"), F.col("n")).alias("location_name"), "date", (F.col("q") / 2 + F.col("n")).alias("temperature_2m_mean"), (F.col("q") / 2 - 3).alias("temperature_2m_min"),
         (F.col("q") / 2 + 6).alias("temperature_2m_max"), F.col("d").alias("precipitation_sum"), (F.col("n") * 2.0).alias("precipitation_hours"), (F.col("p") * 60).alias("sunshine_duration"),
         (F.col("t") + F.col("n") + 0.0003).alias("wind_speed_10m_max"), (F.col("p") * 5).alias("wind_direction_10m_dominant"), (F.col("p") / 4).alias("shortwave_radiation_sum"),
@@ -348,11 +357,11 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def _sql_inputs() -> str:
-    return """day AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS date, floor(CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) / 1) AS q,
-floor(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10000) AS p, floor(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS d, floor(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS t FROM lineitem GROUP BY 1, 2),
-sites AS (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS n), weather AS (SELECT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, date, (q / 2 - 3 + q / 2 + 6) / 2 AS daily_mean, coalesce(d / nullif(n * 2.0, 0), 0) AS rain, p AS sun, t + n + 0.0003 AS speed, p * 5 AS direction, d >= 10 AS rain10 FROM day, sites),
-legs AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, n * 5 + 20 AS a, CASE WHEN n = 2 THEN n * 5 + 20 - 11 + 1 ELSE n * 5 END AS b, n * 5 + 34 AS i, n * 40 AS h FROM day, sites UNION ALL SELECT DISTINCT lower(concat('bird_', flag)), 'site_2', 30 - 11, 10, NULL, 10 FROM day),
-seen AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, y AS arrival_year, make_date(y, 5, 1) + CAST(ascii(flag) % 20 + y % 7 AS INTEGER) AS obs FROM day, (SELECT unnest([1999, 2000, 2001]) AS y)),
+    return """flags AS (SELECT DISTINCT l_returnflag AS flag FROM lineitem), day AS (SELECT CAST(l_shipdate AS DATE) AS date, floor(CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) / 1) AS q,
+floor(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10000) AS p, floor(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS d, floor(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS t FROM lineitem GROUP BY 1),
+sites AS (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS n), weather AS (SELECT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, date, (q / 2 - 3 + q / 2 + 6) / 2 AS daily_mean, coalesce(d / nullif(n * 2.0, 0), 0) AS rain, p AS sun, t + n + 0.0003 AS speed, p * 5 AS direction, d >= 10 AS rain10, q / 2 + n AS tmean, q / 2 - 3 AS tmin, q / 2 + 6 AS tmax, d AS precip, p / 4 AS srad FROM day, sites, flags),
+legs AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, n * 5 + 20 AS a, CASE WHEN n = 2 THEN n * 5 + 20 - 11 + 1 ELSE n * 5 END AS b, n * 5 + 34 AS i, n * 40 AS h FROM flags, sites UNION ALL SELECT DISTINCT lower(concat('bird_', flag)), 'site_2', 30 - 11, 10, NULL, 10 FROM flags),
+seen AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, y AS arrival_year, make_date(y, 5, 1) + CAST(ascii(flag) % 20 + y % 7 AS INTEGER) AS obs FROM flags, (SELECT unnest([1999, 2000, 2001]) AS y)),
 al AS (SELECT *, CAST(unnest(generate_series(obs - CAST(coalesce(i, a) AS INTEGER), obs - CAST(b AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS wd, obs - CAST(a AS INTEGER) AS ws FROM seen JOIN legs USING (bird)),
 nm AS (SELECT *, wd < ws AS ins, row_number() OVER (PARTITION BY bird, arrival_year, location_name, wd < ws ORDER BY wd) AS rn, count(*) OVER (PARTITION BY bird, arrival_year, location_name, wd < ws) AS n FROM al),
 per AS (SELECT bird, arrival_year, location_name, h, wd, ins, concat_ws('_', bird, arrival_year, location_name, CASE WHEN ins THEN 'insect' ELSE 'weather' END, CAST(CASE WHEN n <= 4 THEN 1 ELSE ceil(rn / ceil(n / CASE WHEN n % 3 = 1 THEN (n - 1) / 3.0 ELSE ceil(n / 3.0) END)) END AS BIGINT)) AS chunk_id FROM nm),
@@ -386,19 +395,6 @@ def migration_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("bird", F.col("arrival_year").cast("long").alias("arrival_year"), "location_name", "weather_date", "insect_relevant_date", "chunk_id")
 
 
-@query()
-def migration_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain: one row per species and year with thirty-two features."""
-    return build(*inputs(spark, sf_dir))["features_all"]
-
-
-@query()
-def migration_daily_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flags_of(build(*inputs(spark, sf_dir))["comparison_daily"])
-
-
-
-
 @query(
     f"""WITH {_sql_inputs()}, np AS ({_PERIOD.format(ey=', chunk_id', t='nb')}), hy AS ({_PERIOD.format(ey=', chunk_id, ey', t='hb')}),
 hp AS (SELECT chunk_id, {', '.join(f'avg({m}) AS {m}_a, stddev_samp({m}) AS {m}_s' for _, m in _OUT)} FROM hy GROUP BY ALL)
@@ -431,3 +427,100 @@ def migration_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily grain: three-day means and shares against the same place in the window of the ten years before."""
     d = build(*inputs(spark, sf_dir))["comparison_daily"]
     return d.select("chunk_id", F.col("day_idx").cast("long").alias("day_idx"), "weather_date", *_deltas([n for n, _ in _ROLLED], 6))
+
+
+# --- the marts that join the grains --------------------------------------------------------------------
+
+
+def _flag_sql(x: str, mean: str, sd: str) -> str:
+    z = f"(({x} - {mean}) / nullif({sd}, 0))"
+    return f"CASE WHEN {sd} IS NULL THEN NULL WHEN {sd} = 0 THEN 0.0 WHEN abs({z}) >= 2 THEN 2.0 * sign({z}) WHEN abs({z}) >= 1 THEN sign({z}) ELSE 0.0 END"
+
+
+def _half_peak_sql(f: str) -> str:
+    return f"0.5 * avg({f}) + 0.5 * sum(exp(0.7 * abs({f})) * {f}) / nullif(sum(exp(0.7 * abs({f}))), 0)"
+
+
+def _flags_sql(name: str, now: str, past: str, keys: Sequence[str], metrics: Sequence[str]) -> str:
+    """`<name>`: the flags of a grain; past has the keys and a year."""
+    on = ", ".join(keys)
+    over = ", ".join(f"avg({m}) AS {m}_a, stddev_samp({m}) AS {m}_s" for m in metrics)
+    return f"{name} AS (SELECT {', '.join(f'n.{k}' for k in keys)}, {', '.join(_flag_sql(f'n.{m}', f'{m}_a', f'{m}_s') + f' AS {m}' for m in metrics)} FROM {now} n JOIN (SELECT {on}, {over} FROM {past} GROUP BY {on}) USING ({on}))"
+
+
+_SEVEN, _ENTITY = [m for _, m in _OUT], "bird, arrival_year, location_name"
+_CONDENSED = ",\n".join(
+    [
+        _sql_inputs(), f"pn AS ({_PERIOD.format(ey='', t='nb')})", f"py AS ({_PERIOD.format(ey=', ey', t='hb')})", _flags_sql("pf", "pn", "py", ENTITY, _SEVEN),
+        f"cn AS ({_PERIOD.format(ey=', chunk_id', t='nb')})", f"cy AS ({_PERIOD.format(ey=', chunk_id, ey', t='hb')})", _flags_sql("cf", "cn", "cy", ["chunk_id"], _SEVEN),
+        f"dn AS ({_DAY.format(ey='', t='nb')})", f"dy AS ({_DAY.format(ey=', ey', t='hb')})", _flags_sql("df", "dn", "dy", [*ENTITY, "chunk_id", "di"], _SEVEN),
+        f"d AS (SELECT {_ENTITY}, {', '.join(f'{_half_peak_sql(m)} AS d_{m}' for m in _SEVEN)} FROM df GROUP BY ALL)",
+        f"c AS (SELECT {_ENTITY}, {', '.join(f'{_half_peak_sql(f'cf.{m}')} AS c_{m}' for m in _SEVEN)} FROM df JOIN cf USING (chunk_id) GROUP BY ALL)",
+        f"p AS (SELECT {_ENTITY}, {', '.join(f'avg({m}) AS p_{m}' for m in _SEVEN)} FROM pf GROUP BY ALL)",
+        f"con AS (SELECT {_ENTITY}, " + ", ".join(
+            f"({' + '.join(f'{w} * {sign} * {g}_{dict(_OUT)[m]}' for w, g in zip(WEIGHTS[kind], 'pcd', strict=True))}) / {sum(WEIGHTS[kind])} AS {score}" for score, (m, sign, kind) in SCORES.items()
+        ) + f" FROM d FULL JOIN c USING ({_ENTITY}) FULL JOIN p USING ({_ENTITY}))",
+    ]
+)
+
+
+@query(f"WITH {_CONDENSED} SELECT bird, CAST(arrival_year AS BIGINT) AS arrival_year, location_name, {', '.join(f'round({s}, 6) AS {s}' for s in SCORES)} FROM con")
+def migration_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven scores of each stop and year, from the flags of its period, chunks and days."""
+    c = build(*inputs(spark, sf_dir))["condensed"]
+    return c.select("bird", F.col("arrival_year").cast("long").alias("arrival_year"), "location_name", *[F.round(s, 6).alias(s) for s in SCORES])
+
+
+def _insect_sql(name: str, rows: str, year: str) -> str:
+    """`<name>`: warm, anomalous and optimal days with their three-row means."""
+    keys = f"{_ENTITY}{year}"
+    rolled = [f"avg({m}) OVER w AS r_{m}" for m in INSECT] + [f"count(CASE WHEN {m} THEN 1 END) OVER w / 3.0::DOUBLE AS r_{m}" for m in WARM]
+    return f"""{name}_q AS (SELECT {keys}, quantile_disc(srad, 0.75) AS q FROM {rows} WHERE srad IS NOT NULL GROUP BY ALL),
+{name}_b AS (SELECT *, tmean >= 10 AS warm10, tmean >= 15 AS warm15, tmean >= 20 AS warm20, tmean >= avg(tmean) OVER k + stddev_samp(tmean) OVER k AS warm_anomaly,
+tmean BETWEEN 15 AND 25 AND precip < 2 AND srad >= greatest(5, coalesce(q, 5)) AS optimal_insect_day FROM {rows} LEFT JOIN {name}_q USING ({keys}) WINDOW k AS (PARTITION BY {keys})),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys}, chunk_id ORDER BY wd) AS di, {', '.join(rolled)} FROM {name}_b WINDOW w AS (PARTITION BY {keys}, chunk_id ORDER BY wd ROWS 2 PRECEDING))"""
+
+
+def _insect_chunks_sql(name: str, rows: str, keys: str) -> str:
+    means = ", ".join(f"avg({m}) AS {m}_avg" for m in INSECT if m != "precip")
+    return f"{name} AS (SELECT {keys}, {means}, sum(precip) AS precip_total, {', '.join(f'count(CASE WHEN {m} THEN 1 END)::DOUBLE AS {m.replace("_day", "")}_days' for m in WARM)} FROM {rows} GROUP BY {keys})"
+
+
+_TEN = list(INSECT_CHUNK)
+_DAILY_NAME = {m: f"r_{'optimal_insect_day' if m == 'optimal' else m}" for m in _TEN}
+_SQL_LOGISTIC = "(1 / (1 + exp(-1.1 * ({}))))"
+_INSECTS = ",\n".join(
+    [
+        "ni AS (SELECT p.bird, p.arrival_year, p.location_name, p.wd, p.chunk_id, tmean, tmin, tmax, precip, srad FROM per p LEFT JOIN weather w ON p.wd = w.date AND p.location_name = w.location_name)",
+        "hi AS (SELECT p.bird, p.arrival_year, p.location_name, p.wd, p.chunk_id, ey, tmean, tmin, tmax, precip, srad FROM hist p LEFT JOIN weather w ON p.wd = w.date AND p.location_name = w.location_name AND p.bird = w.bird)",
+        _insect_sql("ir", "ni", ""), _insect_sql("hr", "hi", ", ey"), _flags_sql("idf", "ir", "hr", [*ENTITY, "chunk_id", "di"], list(_DAILY_NAME.values())),
+        _insect_chunks_sql("icn", "ir", "chunk_id"), _insect_chunks_sql("icy", "hr", "chunk_id, ey"), _flags_sql("icf", "icn", "icy", ["chunk_id"], list(INSECT_CHUNK.values())),
+        f"idd AS (SELECT {_ENTITY}, {', '.join(f'{_half_peak_sql(_DAILY_NAME[m])} AS d_{m}' for m in _TEN)} FROM idf GROUP BY ALL)",
+        f"icc AS (SELECT {_ENTITY}, {', '.join(f'{_half_peak_sql(f'icf.{c}')} AS c_{m}' for m, c in INSECT_CHUNK.items())} FROM idf JOIN icf USING (chunk_id) GROUP BY ALL)",
+        f"iss AS (SELECT {_ENTITY}, {', '.join(f'{a} * c_{m} + {b} * d_{m} AS {m}' for m, (a, b) in INSECT_WEIGHTS.items())} FROM idd FULL JOIN icc USING ({_ENTITY}))",
+        "ist AS (SELECT *, 0.40 * -ln(exp(-tmin) + exp(-tmean)) + CASE WHEN tmax IS NULL THEN NULL ELSE 0.15 * least(tmax, 1.5) END + " + " + ".join(f"CASE WHEN {m} IS NULL THEN NULL ELSE {k} * greatest({m}, 0) END" for m, k in (("warm10", 0.10), ("warm15", 0.15), ("warm20", 0.10))) + " + 0.10 * warm_anomaly AS thermal FROM iss)",
+        f"isp AS (SELECT *, CASE WHEN thermal IS NULL OR srad IS NULL OR precip IS NULL THEN NULL ELSE 4 * (0.6 * pow(greatest(1e-6, {_SQL_LOGISTIC.format('thermal')} * {_SQL_LOGISTIC.format('srad')} * exp(-pow((precip - 0.5) / 1.1, 2))), 1.0 / 3) + 0.4 * {_SQL_LOGISTIC.format('optimal')} - 0.5) END AS insect_presence_score FROM ist)",
+    ]
+)
+
+
+@query(f"WITH {_sql_inputs()},\n{_INSECTS} SELECT bird, CAST(arrival_year AS BIGINT) AS arrival_year, location_name, {', '.join(f'round({m}, 6) AS {m}' for m in [*_TEN, 'insect_presence_score'])} FROM isp")
+def migration_insects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten insect scores of each stop and year and the presence score, from the flags of chunks and days."""
+    i = build(*inputs(spark, sf_dir))["insect_scores"]
+    return i.select("bird", F.col("arrival_year").cast("long").alias("arrival_year"), "location_name", *[F.round(m, 6).alias(m) for m in [*_TEN, "insect_presence_score"]])
+
+
+_YEARS = ", ".join(f"round(max(CASE WHEN n = {n} THEN {f} END), 6) AS {s}_{f.replace('presence_', '')}" for n, s in SITES.items() for f in FEATURES)
+
+
+@query(
+    f"""WITH {_CONDENSED},\n{_INSECTS}, u AS (SELECT con.*, insect_presence_score, CAST(split_part(location_name, '_', 2) AS INTEGER) AS n FROM con LEFT JOIN isp USING ({_ENTITY})),
+f AS (SELECT bird, arrival_year, dayofyear(obs) AS doy FROM seen), m AS (SELECT bird, quantile_disc(doy, 0.5) AS median, stddev_samp(doy) AS sd FROM f GROUP BY 1)
+SELECT bird, CAST(arrival_year AS BIGINT) AS arrival_year, round(max(CASE WHEN sd > 0 THEN (doy - median) / sd END), 6) AS arrival_z_score, {_YEARS} FROM u JOIN f USING (bird, arrival_year) JOIN m USING (bird) GROUP BY 1, 2"""
+)
+def migration_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: one row per species and year with thirty-two features."""
+    f = build(*inputs(spark, sf_dir))["features_all"]
+    names = [c for c in f.columns if c not in ("bird", "arrival_year")]
+    return f.select("bird", F.col("arrival_year").cast("long").alias("arrival_year"), *[F.round(c, 6).alias(c) for c in names])
