@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -117,14 +115,16 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.csv(spark, out, "c_custkey long, c_name string, c_acctbal double")
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation""")
+@query("""SELECT c_custkey AS id, c_name AS name FROM customer""")
 def csv_preamble_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV whose header comes after some lines."""
-    out = _folder(spark)
-    rows = table(spark, sf_dir, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("line"))
-    lines = rows.agg(F.array_sort(F.collect_list("line")).alias("lines"))  # one small export
-    lines.select(F.concat_ws("\n", F.lit("Grants of all years"), F.lit(""), F.lit("id,name"), F.concat_ws("\n", "lines")).alias("value")).coalesce(1).write.text(out)
-    return readers.csv_after(spark, out, "id,", "id long, name string")
+    """CSV exports, one for each nation, whose header comes after some lines."""
+    out, c = _folder(spark), table(spark, sf_dir, "customer")
+    rows = c.select("c_nationkey", F.col("c_custkey").alias("place"), F.concat_ws(",", "c_custkey", "c_name").alias("value"))
+    first = F.posexplode(F.array(F.lit("Grants of all years"), F.lit(""), F.lit("id,name"))).alias("place", "value")
+    head = c.select("c_nationkey").distinct().select("c_nationkey", first).withColumn("place", (F.col("place") - 3).cast("long"))
+    lines = head.unionByName(rows).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "place")
+    lines.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(out)
+    return readers.csv_after(spark, out, "id,", "id long, name string").select("id", "name")
 
 
 @query("""SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 10""")
@@ -153,37 +153,38 @@ def rss_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.rss_items(feeds, "xml").select("feed", "title", "link")
 
 
-@query("""SELECT * FROM (VALUES ('location.acceptable_hire_regions', 'EU,Canada'), ('location.allow_unspecified_location', 'true'), ('limit', '5'), ('weights.role', '0.4')) t(name, value)""")
+@query("""SELECT c_custkey AS id, 'location.acceptable_hire_regions' AS name, 'N' || c_nationkey || ',' || c_mktsegment AS value FROM customer
+UNION ALL SELECT c_custkey, 'location.allow_unspecified_location', CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END FROM customer
+UNION ALL SELECT c_custkey, 'limit', CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 'weights.role', '0.' || (c_nationkey + 1) || '5' FROM customer""")
 def preferences_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small tree of preferences, read on the driver."""
-    with tempfile.NamedTemporaryFile("w", suffix=".yaml", encoding="utf-8") as f:
-        f.write("# who\nlocation:\n  acceptable_hire_regions:\n    - EU\n    - Canada\n  allow_unspecified_location: true\nlimit: 5\nweights:\n  role: 0.4\n")
-        f.flush()
-        tree = readers.preferences(f.name)
-
-    def leaves(node: dict, path: str = "") -> Iterator[tuple[str, str]]:
-        for key, value in node.items():
-            if isinstance(value, dict):
-                yield from leaves(value, f"{path}{key}.")
-            else:
-                yield path + key, ",".join(map(str, value)) if isinstance(value, list) else str(value).lower()
+    """A small tree of preferences for each customer, as name and value."""
+    c = table(spark, sf_dir, "customer")
+    text = F.concat(
+        F.lit("# who\nlocation:\n  acceptable_hire_regions:\n    - N"), F.col("c_nationkey"), F.lit("\n    - "), F.col("c_mktsegment"), F.lit("\n  allow_unspecified_location: "), F.when(F.col("c_acctbal") > 0, "true").otherwise("false"),
+        F.lit("\nlimit: "), F.col("c_custkey"), F.lit("\n\nweights:\n  role: 0."), F.col("c_nationkey") + 1, F.lit("5\n"),
+    )
+    return readers.preference_rows(c.select(F.col("c_custkey").alias("id"), text.alias("text")), "id", "text")
 
-    return spark.createDataFrame(list(leaves(tree)), "name string, value string")
 
+def order_pages(stream: str, cursor: int | None) -> tuple[list[tuple], int | None]:
+    """A collection of the orders of one status: a page for each row group of the table, from the last one on."""
+    import pyarrow.dataset as ds
 
-def pages_of(stream: str, cursor: int | None) -> tuple[list[tuple], int | None]:
-    """A collection of 25 cards of each stream, ten to a page, newest first."""
-    top = 25 if cursor is None else cursor
-    rows = [(stream, i) for i in range(top, max(0, top - 10), -1)]
-    return rows, top - 10 if top > 10 else None
+    path, _, status = stream.partition("|")
+    groups = [(f, g.id) for f in ds.dataset(path.removeprefix("file://")).get_fragments() for g in f.row_groups]
+    at = len(groups) - 1 if cursor is None else cursor
+    fragment, group = groups[at]
+    page = fragment.subset(row_group_ids=[group]).to_table(columns=["o_orderkey"], filter=ds.field("o_orderstatus") == status)
+    return [(status, key) for key in page.column(0).to_pylist()], at - 1 if at else None
 
 
-@query("""SELECT s AS stream, CAST(unnest(generate_series(1, 25)) AS BIGINT) AS card FROM (VALUES ('cards'), ('wellness')) t(s)""")
+@query("""SELECT o_orderstatus AS stream, o_orderkey AS card FROM orders""")
 def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A paged collection as a data source: one partition per stream of pages."""
+    """A paged collection as a data source: one partition per stream of pages, here the orders of a status."""
     spark.dataSource.register(readers.PagedSource)
-    reader = spark.read.format("paged").option("ddl", "stream string, card long").option("streams", "cards,wellness")
-    return reader.option("pages", "tessera.plans.connectors:pages_of").load()
+    streams = ",".join(f"{sf_dir}/orders.parquet|{status}" for status in "FOP")
+    reader = spark.read.format("paged").option("ddl", "stream string, card long").option("streams", streams)
+    return reader.option("pages", "tessera.plans.connectors:order_pages").load()
 
 
 @query("""SELECT page_id, 'P' || page_id AS name, page_id % 3 AS kind FROM pages""")
@@ -313,25 +314,29 @@ def sink_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('at once', 1, 0.0::DOUBLE), ('third', 3, 3.0), ('quota', 2, 60.0), ('never', 0, 3.0)) t(name, attempts, waited)""")
+@query("""SELECT o_orderkey, o_custkey, 2 AS attempts FROM orders""")
 def sink_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential waits, longer on quota errors; the last error is raised."""
-
-    def attempt(failures: int, message: str, tries: int) -> tuple[int, float]:
-        left, waits = [failures], []
+    """Orders sent to a store that refuses each batch once: after the retry every row is there once."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
 
-        def write() -> None:
-            if left[0]:
-                left[0] -= 1
-                raise OSError(message)
-
-        try:
-            return sinks.with_retry(write, tries, 1.0, 60.0, waits.append), float(sum(waits))
-        except OSError:
-            return 0, float(sum(waits))
+    out = _folder(spark)
 
-    cases = {"at once": (0, "", 3), "third": (2, "reset", 5), "quota": (1, "Quota exceeded", 5), "never": (9, "reset", 3)}
-    return spark.createDataFrame([(name, *attempt(*c)) for name, c in cases.items()], "name string, attempts int, waited double")
+    def send(name: str, batch) -> None:
+        store, root = fs.FileSystem.from_uri(out)
+        store.create_dir(f"{root}/tried", recursive=True)
+        store.create_dir(f"{root}/data", recursive=True)
+        if store.get_file_info(f"{root}/tried/{name}").type == fs.FileType.NotFound:
+            store.open_output_stream(f"{root}/tried/{name}").close()
+            raise OSError("Quota exceeded")
+        with store.open_output_stream(f"{root}/data/{name}.parquet") as f:
+            pq.write_table(pa.Table.from_batches([batch]), f)
+
+    sent = sinks.send_batches(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), send, tries=3, sleep=lambda seconds: None)
+    found = sent.agg(F.min("attempts").alias("low"), F.max("attempts").alias("attempts")).first()
+    if found["low"] != found["attempts"]:
+        raise AssertionError("every batch is refused once")
+    return spark.read.parquet(f"{out}/data").withColumn("attempts", F.lit(found["attempts"]))
 
 
 _BOARDS = """CASE s_suppkey % 5 WHEN 0 THEN 'https://boards.greenhouse.io/acme' || s_suppkey WHEN 1 THEN 'https://jobs.lever.co/acme' || s_suppkey || '/1' WHEN 2 THEN 'https://acme' || s_suppkey || '.recruitee.com/o/x'

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -72,11 +73,36 @@ def script_json(html: Column, script_id: str, schema: str) -> Column:
 
 
 def preferences(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return preferences_of(f.read())
+
+
+def leaves(node: dict, path: str = "") -> Iterator[tuple[str, str]]:
+    """(dotted name, text) of each value of a tree; lists are comma-joined."""
+    for key, value in node.items():
+        if isinstance(value, dict):
+            yield from leaves(value, f"{path}{key}.")
+        else:
+            yield path + key, ",".join(map(str, value)) if isinstance(value, list) else str(value).lower() if isinstance(value, bool) or value is None else str(value)
+
+
+def preference_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, name, value) of each document of preferences in a column; NULL and blank ones have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(i, *leaf) for i, text in zip(pdf["_id"], pdf["_text"], strict=True) for leaf in leaves(preferences_of(text or ""))]
+            yield pd.DataFrame(found, columns=["_id", "name", "value"])
+
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInPandas(run, f"_id {dict(rows.dtypes)['_id']}, name string, value string").withColumnRenamed("_id", id_col)
+
+
+def preferences_of(text: str) -> dict:
     """A small `key: value` tree with lists, by indentation; no other part of YAML."""
     root: dict = {}
     stack: list[tuple[int, dict | list]] = [(-1, root)]
-    with open(path, encoding="utf-8") as f:
-        rows = [line.rstrip() for line in f if line.strip() and not line.lstrip().startswith("#")]
+    rows = [line.rstrip() for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
     value = lambda s: {"true": True, "false": False, "null": None, "": None}.get(s, float(s) if s.replace(".", "", 1).lstrip("-").isdigit() and "." in s else int(s) if s.lstrip("-").isdigit() else s.strip("\"'"))
     for i, row in enumerate(rows):
         depth, text = len(row) - len(row.lstrip()), row.strip()

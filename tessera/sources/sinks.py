@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,22 @@ def with_retry(write: Callable[[], None], tries: int = 5, first_wait: float = 1.
     return tries
 
 
+def send_batches(df: DataFrame, send: Callable[[str, pa.RecordBatch], None], tries: int = 5, first_wait: float = 1.0, quota_wait: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Sends rows to a sink outside Spark, batch by batch from the tasks, each with its own retries: (batch, rows, attempts).
+
+    A batch has the same name whenever its task runs again, so a sink that replaces by name holds each row once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, b in enumerate(batches):
+            name = f"{part:05d}-{number:05d}"
+            attempts = with_retry(lambda b=b, name=name: send(name, b), tries, first_wait, quota_wait, sleep)
+            yield pa.RecordBatch.from_pydict({"batch": [name], "rows": pa.array([len(b)], pa.int64()), "attempts": pa.array([attempts], pa.int32())})
+
+    return df.mapInArrow(run, "batch string, rows long, attempts int")
+
+
 def archive_payloads(df: DataFrame, path: str) -> None:
     """Raw payloads with batch id and HTTP facts, by day of fetching."""
     save_clustered(conform(df, "payloads"), path, "fetched_at", ["ats_type", "ats_slug"])
