@@ -16,9 +16,9 @@ from tessera.functions import kernels as K
 from tessera.functions.text import slug
 from tessera.operators import windows as W
 from tessera.operators.joins import full_combine
+from tessera.sources.scratch import stored
 
 from .registry import query, table
-from .streams import _folder
 
 ENTITY = ["bird", "arrival_year", "location_name"]
 DAILY = ["daily_mean", "rainfall_intensity", "sunshine_duration_minutes", "aligned_wind"]
@@ -315,13 +315,6 @@ class Marts:
         return year_features(self.extended_confirmed)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: executors may be lost, and nothing stays in their storage."""
-    path = _folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> Marts:
     return Marts(sightings, seed, weather, keep)
 

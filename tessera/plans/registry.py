@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["climatology", "timeseries", "relational", "records", "risk", "wellness", "postings", "migration", "streams", "connectors", "detectors", "models", "incremental"]
+MODULES = ["climatology", "timeseries", "relational", "records", "risk", "wellness", "postings", "migration", "streams", "connectors", "detectors", "models", "incremental", "documents"]
 
 
 def query(sql: str | None = None, name: str | None = None):
