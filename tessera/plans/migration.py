@@ -322,12 +322,16 @@ def build(sightings: DataFrame, seed: DataFrame, weather: DataFrame, keep: Calla
 # --- over the driver's tables --------------------------------------------------------------------------
 
 
+#: Temperature, sunshine, rain and wind of a day from its sales: divisor, modulus and unit.
+SPREAD = {"q": (1, 30_011, 997), "p": (7, 50_021, 991), "d": (11, 12_007, 983), "t": (13, 8_009, 977)}
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Return flags as species at four sites each, their sightings by year, and weather of the sites from ship days, the same for all species."""
-    x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    # Whole numbers, so that means of means end on the same digits in any order of adding.
-    whole = lambda c, scale, unit: F.floor(F.sum(F.round(F.col(c) * scale).cast("long")) / F.count(F.lit(1)) / unit).cast("double")
-    day = x.groupBy("date").agg(whole("l_quantity", 1, 1).alias("q"), whole("l_extendedprice", 100, 10_000).alias("p"), whole("l_discount", 100, 1).alias("d"), whole("l_tax", 100, 1).alias("t"))
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("date"), "l_extendedprice")
+    # Remainders of a day's sales, spread by primes: no value lies on a threshold, on a whole deviation or on the edge of rounding.
+    cents = x.groupBy("date").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c"))
+    day = cents.select("date", *[(F.expr(f"c div {step} % {most}").cast("double") / unit).alias(name) for name, (step, most, unit) in SPREAD.items()])
     sites = spark.range(1, 5).select(F.col("id").cast("int").alias("n"))
     bird = F.concat(F.lit("Bird "), F.col("flag"))
     key = F.lower(F.replace(bird, F.lit(" "), F.lit("_")))
@@ -350,8 +354,8 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def _sql_inputs() -> str:
-    return """flags AS (SELECT DISTINCT l_returnflag AS flag FROM lineitem), day AS (SELECT CAST(l_shipdate AS DATE) AS date, floor(CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) / 1) AS q,
-floor(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10000) AS p, floor(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS d, floor(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1) AS t FROM lineitem GROUP BY 1),
+    return f"""flags AS (SELECT DISTINCT l_returnflag AS flag FROM lineitem), cents AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS c FROM lineitem GROUP BY 1),
+day AS (SELECT date, {', '.join(f"CAST(c // {step} % {most} AS DOUBLE) / {unit} AS {name}" for name, (step, most, unit) in SPREAD.items())} FROM cents),
 sites AS (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS n), weather AS (SELECT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, date, (q / 2 - 3 + q / 2 + 6) / 2 AS daily_mean, coalesce(d / nullif(n * 2.0, 0), 0) AS rain, p AS sun, t + n + 0.0003 AS speed, p * 5 AS direction, d >= 10 AS rain10, q / 2 + n AS tmean, q / 2 - 3 AS tmin, q / 2 + 6 AS tmax, d AS precip, p / 4 AS srad FROM day, sites, flags),
 legs AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, concat('site_', n) AS location_name, n * 5 + 20 AS a, CASE WHEN n = 2 THEN n * 5 + 20 - 11 + 1 ELSE n * 5 END AS b, n * 5 + 34 AS i, n * 40 AS h FROM flags, sites UNION ALL SELECT DISTINCT lower(concat('bird_', flag)), 'site_2', 30 - 11, 10, NULL, 10 FROM flags),
 seen AS (SELECT DISTINCT lower(concat('bird_', flag)) AS bird, y AS arrival_year, make_date(y, 5, 1) + CAST(ascii(flag) % 20 + y % 7 AS INTEGER) AS obs FROM flags, (SELECT unnest([1999, 2000, 2001]) AS y)),
