@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BINS = 1024
 STEPS = 12
+#: Decimal digits of a multiplier.
+DIGITS = 9
 
 
 def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -78,7 +80,8 @@ def solve_multipliers(histogram: DataFrame, targets: DataFrame, most: int = MOST
         state = state.select("_key", "target", "_mean", F.when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2).alias("m"), "lo", "hi")
         if step % 4 == 3:
             state = written(state, "multipliers")
-    return state.select("_key", "_mean", F.col("m").alias("_multiplier"))
+    # Sums of doubles may differ in their last digits from run to run; the rates must not.
+    return state.select("_key", "_mean", F.round("m", DIGITS).alias("_multiplier"))
 
 
 def mix(df: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -85,6 +85,33 @@ def test_mixing(spark, documents):
     assert sorted((r._hash, r.copies) for r in mixed) == sorted((r._hash, r.copies) for r in mixing.mix(documents).collect())
 
 
+def test_rates_and_copies_equal_a_plain_solver(spark):
+    """The tilted rates of each source against bisection, the copies against the rounding rule row by row."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join("w" * int(n)), "abcd"[i % 4] if i % 9 else None) for i, n in enumerate(rng.integers(1, 60, 400))] + [(900, "w " * 900, "a"), (901, None, "b")]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    for source in {r._source for r in mixed}:
+        own = [r for r in mixed if r._source == source]
+        sizes, target = np.array([r.size for r in own], float), own[0].target
+        mean = sizes.mean()
+        rate = lambda m: np.minimum(3.0, np.exp(np.minimum(m * sizes / mean, 50)))  # noqa: E731, B023
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (sizes * rate(mid)).sum() <= target else (low, mid)
+        full = target >= 3 * sizes.sum()
+        want = np.full(len(own), 3.0) if full else rate(low)
+        assert [r.rate for r in own] == pytest.approx(want, rel=1e-6)
+        base = np.floor([r.rate for r in own])
+        u = np.array([((r._hash % (1 << 40)) + 0.5) / (1 << 40) for r in own])
+        turn = [(u[i] / (r.rate - base[i]), i) for i, r in enumerate(own) if r.rate < 3 and r.size > 0]
+        extra = [own[i].copies - base[i] for _, i in sorted(turn)]
+        assert extra == sorted(extra, reverse=True) and set(extra) <= {0, 1}  # a prefix in the order of turns
+        taken, n = sum(r.copies * r.size for r in own), int(sum(extra))
+        beside = [own[sorted(turn)[k][1]].size for k in (n - 1, n) if 0 <= k < len(turn)]
+        assert full or abs(taken - target) <= max(beside) / 2 + 1e-6
+
+
 def test_mixing_edges(spark, edge, edge_rows, nothing):
     rows = {r._id: r for r in mixing.mix(edge).collect()}
     assert {i: r.size for i, r in rows.items()} == {i: len(R.WORD.findall(t or "")) for i, t in edge_rows}
