@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each an operator of tessera.llm, each on all its predecessor kept."""
+"""The corpus pipeline: five stages, each an operator of tessera.llm, each on all its predecessor kept.
+
+Defined results: a null text counts as empty and stays one document; rows that repeat an id
+are documents of their own; without labels, or with labels of one class, no document is
+rejected; texts of any length are handled whole; extra columns ride along until packing; an
+empty table gives no rows.
+"""
 
 from __future__ import annotations
 
