@@ -295,23 +295,20 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score_summary(_scored(spark, sf_dir), "score", 60, "c_custkey")
 
 
-_ITEMS = """SELECT p_brand AS company_name, p_name AS title, p_retailprice AS score, 'https://x.example/' || p_partkey AS url, p_size FROM part ORDER BY p_partkey LIMIT 7"""
 
 
-@query(f"""WITH i AS ({_ITEMS}), l AS (SELECT '- **' || title || '** at ' || company_name || ' (' || printf('%.1f', score) || ') ' || url AS line, p_size FROM i),
-a AS (SELECT line FROM l WHERE p_size % 2 = 0), b AS (SELECT line FROM l WHERE p_size % 2 = 1)
-SELECT line, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT '# Digest 2026-08-01' UNION ALL SELECT unnest(['', '', '', ''])
-UNION ALL SELECT '## Curated (' || (SELECT count(*) FROM a) || ')' UNION ALL SELECT '## Boards (' || (SELECT count(*) FROM b) || ')'
-UNION ALL SELECT '_Fetched ' || (SELECT sum(r_regionkey) FROM region) || ', passed ' || (SELECT count(*) FROM region) || '; check: ' || (SELECT string_agg(r_name, ', ' ORDER BY r_name) FROM region WHERE r_regionkey > 2) || '_') GROUP BY line""")
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size % 2 ORDER BY p_size DESC, p_partkey) AS rn, '- **' || p_name || '** at ' || p_type || ' (' || p_size || '.0) https://x.example/' || p_partkey AS line FROM part),
+t AS (SELECT p_brand AS reader, count(*) FILTER (p_size % 2 = 0) AS na, string_agg(line, chr(10) ORDER BY rn) FILTER (p_size % 2 = 0) AS a, count(*) FILTER (p_size % 2 = 1) AS nb, string_agg(line, chr(10) ORDER BY rn) FILTER (p_size % 2 = 1) AS b FROM r WHERE rn <= 20 GROUP BY 1)
+SELECT reader, '# Digest 2026-08-01' || chr(10) || chr(10) || '## Curated (' || na || ')' || coalesce(chr(10) || a, '') || chr(10) || chr(10) || '## Boards (' || nb || ')' || coalesce(chr(10) || b, '') || chr(10) || chr(10) || '_Fetched '
+|| (SELECT sum(r_regionkey) FROM region) || ', passed ' || (SELECT count(*) FROM region) || '; check: ' || (SELECT string_agg(r_name, ', ' ORDER BY r_name) FROM region WHERE r_regionkey > 2) || '_' || chr(10) AS text FROM t""")
 def sink_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sections of postings and a footer, as lines of text with their number."""
-    p = table(spark, sf_dir, "part").orderBy("p_partkey").limit(7)
-    i = p.select(F.col("p_brand").alias("company_name"), F.col("p_name").alias("title"), F.col("p_retailprice").cast("double").alias("score"), F.concat(F.lit("https://x.example/"), F.col("p_partkey")).alias("url"), "p_size")
-    r = table(spark, sf_dir, "region")
-    stats = r.select(F.col("r_regionkey").cast("long").alias("fetched"), F.lit(1).alias("passed"), F.when(F.col("r_regionkey") > 2, "bad").otherwise("ok").alias("health"), F.col("r_name").alias("source"))
-    text = sinks.markdown_digest(i.filter("p_size % 2 = 0"), i.filter("p_size % 2 = 1"), stats, "2026-08-01")
-    lines = spark.createDataFrame([(x,) for x in text.split("\n")], "line string")
-    return lines.groupBy("line").agg(F.count("*").alias("n"))
+    """A digest of parts for each brand: two sections of at most twenty and a footer."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("reader"), F.when(F.col("p_size") % 2 == 0, "Curated").otherwise("Boards").alias("section"), F.col("p_name").alias("title"), F.col("p_type").alias("company_name"),
+        F.col("p_size").cast("double").alias("score"), F.concat(F.lit("https://x.example/"), F.col("p_partkey")).alias("url"), "p_partkey",
+    )
+    stats = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("fetched"), F.lit(1).alias("passed"), F.when(F.col("r_regionkey") > 2, "bad").otherwise("ok").alias("health"), F.col("r_name").alias("source"))
+    return sinks.markdown_digests(p, stats, "2026-08-01", "reader", "section", ["Curated", "Boards"], [F.desc("score"), F.asc("p_partkey")], 20)
 
 
 @query("""SELECT o_orderkey, o_custkey, 2 AS attempts FROM orders""")

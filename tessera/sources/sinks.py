@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schemas import conform
@@ -85,11 +85,22 @@ def audit_csv(df: DataFrame, path: str, columns: Sequence[str], score: str, leas
     df.select(*columns, F.when(s >= least, "yes").otherwise("no").alias("approved")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown_digest(curated: DataFrame, boards: DataFrame, stats: DataFrame, day: str, most: int = 50) -> str:
-    """Two bounded sections of postings and a health footer, as text."""
-    out = [f"# Digest {day}"]
-    for title, df in (("Curated", curated), ("Boards", boards)):
-        rows = df.limit(most).collect()
-        out += ["", f"## {title} ({len(rows)})"] + [f"- **{r['title']}** at {r['company_name']} ({r['score']:.1f}) {r['url']}" for r in rows]
-    s = stats.agg(F.sum("fetched").alias("fetched"), F.sum("passed").alias("passed"), F.array_sort(F.collect_list(F.when(F.col("health") != "ok", F.col("source")))).alias("bad")).first()
-    return "\n".join([*out, "", f"_Fetched {s['fetched'] or 0}, passed {s['passed'] or 0}; check: {', '.join(s['bad']) or 'none'}_", ""])
+def markdown_digests(postings: DataFrame, stats: DataFrame, day: str, reader: str, section: str, sections: Sequence[str], order: Sequence[Column], most: int = 50) -> DataFrame:
+    """(reader, text): a digest for each reader, with its best `most` postings of each section and a footer on the health of the sources.
+
+    postings: reader, section, title, company_name, score, url. stats: fetched, passed, health, source, a row for each source.
+    Only the rows that a digest shows are gathered; all digests are made in one job.
+    """
+    place = F.row_number().over(Window.partitionBy(reader, section).orderBy(*order))
+    line = F.concat(F.lit("- **"), F.col("title"), F.lit("** at "), F.col("company_name"), F.lit(" ("), F.format_string("%.1f", F.col("score").cast("double")), F.lit(") "), F.col("url"))
+    best = postings.withColumn("_p", place).filter(F.col("_p") <= most).withColumn("_line", line)
+    lists = [F.array_sort(F.collect_list(F.when(F.col(section) == s, F.struct("_p", "_line")))).alias(f"_s{i}") for i, s in enumerate(sections)]
+    held = best.groupBy(reader).agg(*lists)
+    bad = F.array_join(F.array_sort(F.collect_list(F.when(F.col("health") != "ok", F.col("source")))), ", ")
+    foot = stats.agg(F.coalesce(F.sum("fetched"), F.lit(0)).alias("_fetched"), F.coalesce(F.sum("passed"), F.lit(0)).alias("_passed"), F.when(bad == "", "none").otherwise(bad).alias("_bad"))
+    parts = [F.lit(f"# Digest {day}")]
+    for i, s in enumerate(sections):
+        shown = F.transform(f"_s{i}", lambda x: x["_line"])
+        parts += [F.concat(F.lit(f"\n\n## {s} ("), F.size(shown), F.lit(")")), F.when(F.size(shown) > 0, F.concat(F.lit("\n"), F.array_join(shown, "\n"))).otherwise("")]
+    parts.append(F.concat(F.lit("\n\n_Fetched "), F.col("_fetched"), F.lit(", passed "), F.col("_passed"), F.lit("; check: "), F.col("_bad"), F.lit("_\n")))
+    return held.join(F.broadcast(foot), how="cross").select(reader, F.concat(*parts).alias("text"))  # one row of totals

@@ -74,8 +74,10 @@ def test_sinks(spark, tmp_path):
     sinks.line_json(a, f"{path}-j", ["k", "v"])
     assert spark.read.json(f"{path}-j").count() == 2
     stats = spark.createDataFrame([("x", 3, 1, "ok"), ("y", 0, 0, "broken")], "source string, fetched int, passed int, health string")
-    posts = spark.createDataFrame([("T", "Acme", 8.25, "https://x")], "title string, company_name string, score double, url string")
-    assert "check: y" in sinks.markdown_digest(posts, posts, stats, "2026-07-12")
+    posts = spark.createDataFrame([("me", "Curated", "T", "Acme", 8.25, "https://x"), ("me", "Curated", "U", "Acme", 9.0, "https://y"), ("you", "Boards", "V", "B", 1.0, "https://z")], "who string, part string, title string, company_name string, score double, url string")
+    made = {r.who: r.text for r in sinks.markdown_digests(posts, stats, "2026-07-12", "who", "part", ["Curated", "Boards"], [F.desc("score")], 1).collect()}
+    assert made["me"] == "# Digest 2026-07-12\n\n## Curated (1)\n- **U** at Acme (9.0) https://y\n\n## Boards (0)\n\n_Fetched 3, passed 1; check: y_\n"
+    assert "## Curated (0)\n\n## Boards (1)\n- **V**" in made["you"]
 
 
 def pages(stream, cursor):
