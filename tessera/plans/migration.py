@@ -206,19 +206,25 @@ def early_arrivals(sightings: DataFrame, earlier: DataFrame) -> DataFrame:
     earlier: (species_code, submission_id, observation_date); those in the month before count, per sighting.
     """
     day = F.dayofyear(F.make_date(F.lit(2000), F.month("observation_date"), F.day("observation_date")))
-    s = sightings.withColumn("_doy", day)
+    # Equal sightings are one row, and each of them meets the earlier ones.
+    s = sightings.groupBy(*sightings.columns).agg(F.count(F.lit(1)).alias("_times")).withColumns({"_doy": day, "_first": F.to_date("observation_date")})
     median = s.select("common_name", "_doy").distinct().groupBy("common_name").agg(F.percentile("_doy", 0.5).alias("_median"))
-    before = earlier.select(F.col("species_code").alias("_c"), F.col("submission_id").alias("_s"), F.to_date("observation_date").alias("_d"))
-    first = F.to_date("observation_date")
-    near = (F.col("_d") < first) & (F.col("_d") >= F.add_months(first, -1))
-    j = s.join(median, "common_name").join(before, (F.col("species_code") == F.col("_c")) & near, "left")
-    g = j.groupBy(*sightings.columns, "_doy", "_median").agg(F.count("_s").alias("_n"), F.count_if(F.col("_s") == F.col("submission_id")).alias("_own"))
+    before = earlier.filter("submission_id is not null").select("species_code", "submission_id", F.to_date("observation_date").alias("_d"))
+    month = F.explode(F.sequence(F.add_months("_first", -1), F.date_sub("_first", 1))).alias("_d")
+    # A sighting meets the days of its month with their counts, and the earlier rows of its own submission only.
+    daily = before.groupBy("species_code", "_d").agg(F.count(F.lit(1)).alias("_k"))
+    counts = s.select("species_code", "_first").distinct().select("*", month).join(daily, ["species_code", "_d"]).groupBy("species_code", "_first").agg(F.sum("_k").alias("_k"))
+    own = ["species_code", "submission_id", "_first"]
+    near = (F.col("_d") < F.col("_first")) & (F.col("_d") >= F.add_months("_first", -1))
+    same = s.select(*own).distinct().join(before.distinct(), ["species_code", "submission_id"]).filter(near).select(*own).distinct().withColumn("_own", F.lit(1))
+    g = s.join(median, "common_name").join(counts, ["species_code", "_first"], "left").join(same, own, "left")
+    g = g.withColumns({"_n": F.coalesce(F.col("_k") * F.col("_times"), F.lit(0)), "_own": F.coalesce("_own", F.lit(0))})
     enough = F.col("count") >= F.when(F.col("common_name") == "white_stork", 2).otherwise(5)
     status = (
         F.when(F.col("_doy") >= F.col("_median") - 30, "normal").when((F.col("_n") == 0) & F.col("is_reviewed") & enough, "confirmed_early").when(F.col("_n") == 0, "possible_early")
         .when((F.col("_own") > 0) & (F.col("_n") > 1), "probable_overwintering").when(F.col("_own") > 0, "possible_overwintering").otherwise(F.col("status"))
     )
-    return g.withColumn("status", status).drop("_doy", "_median", "_n", "_own")
+    return g.withColumn("status", status).select(*sightings.columns)
 
 
 class Marts:

@@ -1,5 +1,8 @@
 import json
-from datetime import date
+import random
+import statistics
+from collections import Counter
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -103,6 +106,33 @@ def test_early_arrivals(spark):
     assert {r.submission_id: r.status for r in migration.early_arrivals(s, before).collect()}["early"] == "probable_overwintering"
 
 
+def test_early_arrivals_meet_days_instead_of_rows(spark):
+    """Against brute force: equal sightings, missing values, edges of the month; no join of a species' rows by a range of days."""
+    rng = random.Random(4)
+    days = [date(2004, 1, 5), date(2004, 2, 29), date(2004, 3, 31), date(2004, 6, 1), date(2004, 7, 30)]
+    rows = [(rng.choice("ab"), rng.choice(days), "unknown", rng.choice(["x", "y", "z"]), f"s{rng.randrange(12)}", rng.randrange(9), rng.random() < 0.5) for _ in range(120)]
+    rows += [("a", None, "unknown", "x", "s1", 3, True), ("a", days[0], "unknown", None, "s2", 7, True), ("b", days[0], "unknown", "x", None, 2, None), (None, days[0], "unknown", "x", "s1", 1, True)]
+    rows += rows[:40]
+    before = [(rng.choice(["x", "y"]), f"s{rng.randrange(12)}", rng.choice(days) - timedelta(rng.choice([0, 1, 5, 28, 29, 30, 31, 32]))) for _ in range(25)] + [("x", None, date(2004, 1, 4)), (None, "s2", date(2004, 1, 4)), ("x", "s3", None)]
+    s = spark.createDataFrame(rows, "common_name string, observation_date date, status string, species_code string, submission_id string, count int, is_reviewed boolean")
+    b = spark.createDataFrame(before, "species_code string, submission_id string, observation_date date")
+    out = migration.early_arrivals(s, b)
+    doy = lambda d: d and date(2000, d.month, d.day).timetuple().tm_yday
+    back = lambda d: date(d.year - (d.month == 1), (d.month - 2) % 12 + 1, min(d.day, [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][(d.month - 2) % 12]))
+    median = {n: statistics.median({doy(r[1]) for r in rows if r[0] == n and r[1]}) for n in "ab"}
+    want = []
+    for r, times in Counter(r for r in rows if r[0]).items():
+        hits = [x for x in before if r[1] and r[3] == x[0] and r[3] and x[1] and x[2] and back(r[1]) <= x[2] < r[1]] * times
+        own = [x for x in hits if x[1] == r[4]]
+        late = r[1] is not None and doy(r[1]) >= median[r[0]] - 30
+        status = "normal" if late else ("confirmed_early" if r[6] and r[5] >= 5 else "possible_early") if not hits else ("probable_overwintering" if len(hits) > 1 else "possible_overwintering") if own else r[2]
+        want.append((*r[:2], status, *r[3:]))
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in out.collect())
+    assert {w[2] for w in want} >= {"normal", "confirmed_early", "possible_early", "probable_overwintering", "unknown"}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not [x for x in joins if "add_months" in x and "submission_id" not in x]
+
+
 def test_migration_chain(spark, sf_dir):
     marts = migration.build(*migration.inputs(spark, sf_dir))
     flags = migration.flags_of(marts["comparison_daily"])
