@@ -213,7 +213,7 @@ def trajectory(df: DataFrame, keys: Sequence[str], day: str, score: str, higher_
     df = rolling_slope(df.withColumn("delta_2d", F.col(score) - before), score, "slope_7d", keys, day, 7, 3)
     w = Window.partitionBy(*keys)
     cuts = F.percentile(score, F.array(F.lit(0.33), F.lit(0.66))).over(w)
-    s = F.col("slope_7d") * (1 if higher_is_better else -1)
+    s = F.round(F.col("slope_7d") * (1 if higher_is_better else -1), 9)  # no slope of half a point passes by its last digit
     band = F.when(F.col(score) <= cuts[0], "low").when(F.col(score) >= cuts[1], "high").otherwise("middle")
     return df.withColumns({"band": band, "direction": F.when(s > 0.5, "improving").when(s < -0.5, "declining").otherwise("steady")})
 

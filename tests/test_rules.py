@@ -99,3 +99,13 @@ def test_career_links(spark):
     html = '<a href="/careers/">Jobs</a> <a href="https://jobs.lever.co/acme">x</a> <a href="mailto:a@b.c">m</a> <a href="https://other.example/x">o</a><a href="#t">t</a>'
     p = spark.createDataFrame([(1, "https://www.acme.org/home", html)], "page_id long, url string, html string")
     assert [(r.link, r.score) for r in R.career_links(p).orderBy(F.desc("score")).collect()] == [("https://jobs.lever.co/acme", 100 + 40), ("https://www.acme.org/careers", 50)]
+
+
+def test_direction_of_a_slope_of_half_a_point(spark):
+    """The last seven rise by exactly 0.5 a row, but for the last digit of the computed slope."""
+    v = [60.89, 104.04, 195.28, 40.92, 186.64, 63.04, 20.42, 97.12, 147.4, 270.09, 303.38, 93.37, 7.22, 146.57, 30.39, 34.18, 48.51, 140.76, 9.72]
+    last = H.trajectory(days(spark, v=v), ["k"], "day", "v").orderBy(F.desc("day")).first()
+    assert last.slope_7d == pytest.approx(0.5) and last.slope_7d != 0.5
+    assert last.direction == "steady"
+
+
