@@ -193,13 +193,23 @@ def health_state(c: dict[str, Column], ctl_floor: float = 30) -> Column:
     return F.when(red & softened, "yellow").when(red, "red").when(yellow, "yellow").otherwise("green")
 
 
-def stress_day(samples: DataFrame, keys: Sequence[str], ts: str, level: str, bands: dict[str, tuple[int, int]], every_minutes: int = 2, least: int = 6) -> DataFrame:
-    """One row per day: mean of each band of hours, peak hour window, its mean, high minutes and rest share."""
+def stress_day(samples: DataFrame, keys: Sequence[str], ts: str, level: str, bands: dict[str, tuple[int, int]], every_minutes: int = 2, least: int = 6, order: str | None = None) -> DataFrame:
+    """One row per day: mean of each band of hours, peak hour window, its mean, high minutes and rest share.
+
+    Levels are added in the order of a unique column (`ts` by default), so that a sum's last digit does not
+    depend on how the rows are dealt; a mean is scaled before it is rounded, so that such a digit decides no tie.
+    """
+    order = order or ts
     s = samples.filter(F.col(level) >= 0).withColumn("_h", F.hour(ts))
-    hours = s.groupBy(*keys, "_h").agg(F.avg(level).alias("_m"))
+    last = lambda keys: ordered(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = {name: F.when(K.in_band(F.col("_h"), a, b), F.col(level)) for name, (a, b) in bands.items()}
+    s = s.withColumns({f"_{name}": F.sum(v).over(last(keys)) for name, v in inside.items()}).withColumn("_s", F.sum(level).over(last([*keys, "_h"])))
+    hours = s.groupBy(*keys, "_h").agg((F.max_by("_s", order) / F.count(F.lit(1))).alias("_m"))
     peak = hours.groupBy(*keys).agg(F.max(F.struct("_m", (-F.col("_h")).alias("n"))).alias("p"))
-    means = [F.round(F.avg(F.when(K.in_band(F.col("_h"), a, b), F.col(level))), 1).alias(name) for name, (a, b) in bands.items()]
-    base = s.groupBy(*keys).agg(*means, (F.count_if(F.col(level) >= 50) * every_minutes).alias("high_minutes"), F.round(F.avg((F.col(level) <= 25).cast("int")) * 100, 1).alias("rest_pct"), F.count(F.lit(1)).alias("_n"))
+    tenth = lambda v: F.round(v * 10) / 10
+    means = [tenth(F.max(F.struct(order, f"_{name}"))[f"_{name}"] / F.nullif(F.count(v), F.lit(0))).alias(name) for name, v in inside.items()]
+    rest = tenth(F.avg(F.when(F.col(level) <= 25, 100.0).otherwise(0.0)))
+    base = s.groupBy(*keys).agg(*means, (F.count_if(F.col(level) >= 50) * every_minutes).alias("high_minutes"), rest.alias("rest_pct"), F.count(F.lit(1)).alias("_n"))
     hour = -F.col("p.n")
     window = F.format_string("%02d:00–%02d:00", hour, (hour + 3) % 24)
     return base.filter(F.col("_n") >= least).join(peak, list(keys)).select(*keys, *bands, window.alias("peak_window"), F.round("p._m").cast("long").alias("peak_value"), "high_minutes", "rest_pct")

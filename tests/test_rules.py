@@ -109,3 +109,11 @@ def test_direction_of_a_slope_of_half_a_point(spark):
     assert last.direction == "steady"
 
 
+def test_stress_means_at_a_tie(spark):
+    """Means of 30.85 and 48.95 but for the last digit of their sums, which depends on the order; rows dealt in three ways."""
+    at = "timestamp'2024-01-01 09:00:00' + make_interval(0, 0, 0, 0, 0, cast(n as int))"
+    for v, mean in [([18.45, 2.4, 28.94, 89.72, 28.52, 17.07], 30.9), ([11.19, 76.49, 99.18, 25.18, 51.42, 30.24], 49.0), ([30.24, 51.42, 25.18, 99.18, 76.49, 11.19], 48.9)]:
+        rows = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "k string, n int, v double").withColumn("ts", F.expr(at))
+        for dealt in (rows, rows.orderBy(F.desc("n")), rows.repartition(5, "v")):
+            r = H.stress_day(dealt, ["k"], "ts", "v", {"work": (9, 17), "night": (22, 6)}).first()
+            assert (r.work, r.night, r.peak_window, r.peak_value) == (mean, None, "09:00–12:00", round(sum(v) / 6))
