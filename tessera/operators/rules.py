@@ -99,14 +99,14 @@ def is_hard_day(tss: Column, effort: Column, minutes: Column) -> Column:
     return (K.effective_tss(t, e) > 100) | (m >= 60)
 
 
-def training_week(acts: DataFrame, keys: Sequence[str], day: str, target: Column, digits: int = 1) -> DataFrame:
+def training_week(acts: DataFrame, keys: Sequence[str], day: str, target: Column, digits: int = 1, effort_alone: bool = True) -> DataFrame:
     """Seven days in one row: minutes, stress, sport mix, hardest session, hard days, days since rest and since a hard day.
 
-    acts: day, minutes, tss, effort, sport, name.
+    acts: day, minutes, tss, effort, sport, name. Without `effort_alone` a day without stress is not hard.
     """
     a = acts.filter((F.col(day) > F.date_sub(target, 7)) & (F.col(day) <= target))
     sports = a.groupBy(*keys, "sport").agg(F.round(F.sum("minutes"), digits).alias("m")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sport", "m")))).alias("sport_mix"))
-    daily = a.groupBy(*keys, day).agg(F.sum("tss").alias("t"), F.max("effort").alias("e")).withColumn("hard", is_hard_day(F.col("t"), F.col("e"), F.lit(0.0)))
+    daily = a.groupBy(*keys, day).agg(F.sum("tss").alias("t"), F.max("effort").alias("e")).withColumn("hard", is_hard_day(F.col("t"), F.col("e"), F.lit(0.0)) & (F.lit(effort_alone) | (F.coalesce("t", F.lit(0.0)) > 0)))
     hard = daily.groupBy(*keys).agg(F.count_if("hard").alias("hard_days"), F.datediff(target, F.max(F.when(F.col("hard"), F.col(day)))).alias("days_since_hard"))
     total = a.groupBy(*keys).agg(F.round(F.sum("minutes"), digits).alias("total_minutes"), F.round(F.sum("tss"), digits).alias("total_tss"), F.max_by("name", F.struct("tss", "name")).alias("hardest"))
     return total.join(sports, list(keys)).join(hard, list(keys)).join(days_since_rest(acts, keys, day, target), list(keys), "left").na.fill(0, ["days_since_rest"])

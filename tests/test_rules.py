@@ -1,10 +1,16 @@
+import sys
 from datetime import date, timedelta
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+import __spark_entry__ as entry
 from tessera.operators import rules as R
 from tessera.operators import wellness as H
+from tools.compare import rows_of
 
 D0 = date(2024, 1, 1)
 
@@ -117,3 +123,18 @@ def test_stress_means_at_a_tie(spark):
         for dealt in (rows, rows.orderBy(F.desc("n")), rows.repartition(5, "v")):
             r = H.stress_day(dealt, ["k"], "ts", "v", {"work": (9, 17), "night": (22, 6)}).first()
             assert (r.work, r.night, r.peak_window, r.peak_value) == (mean, None, "09:00–12:00", round(sum(v) / 6))
+
+
+def test_training_week_of_days_without_stress(spark, tmp_path):
+    """Events of no value and great effort: the query says what its SQL says, the operator's rule stays the default."""
+    rows = [(109, 1, "2024-01-28 10:00:00", 0.0), (239, 1, "2024-01-29 10:00:00", 90.0), (105, 2, "2024-01-30 10:00:00", 0.0), (106, 2, "2024-01-30 11:00:00", 0.5), (110, 3, "2024-01-27 11:00:00", 0.0)]
+    e = spark.createDataFrame([(*r, "run") for r in rows], "event_id long, user_id long, ts string, value double, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    df = entry.queries()["training_week"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur = db.execute(entry.oracle_sql()["training_week"])
+    assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
+    assert {r.user_id: r.hard_days for r in df.collect()} == {1: 1, 2: 0, 3: 0}
+    acts = e.select("user_id", F.to_date("ts").alias("day"), F.col("value").alias("minutes"), (F.col("value") * 1.2).alias("tss"), (F.col("event_id") % 130).cast("double").alias("effort"), F.lit("run").alias("sport"), F.lit("n").alias("name"))
+    assert {r.user_id: r.hard_days for r in R.training_week(acts, ["user_id"], "day", F.lit("2024-01-30").cast("date")).collect()} == {1: 2, 2: 0, 3: 1}
