@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 FINEST = 30
 #: Sites in a cell that is not divided further.
 LEAF_SITES = 32
+#: Boxes in one cell above which the points of its level are dealt to so many parts, each with all boxes of the cell.
+CROWDED, PARTS = 256, 64
 
 
 def _cell(v: Column, level: Column | int) -> Column:
@@ -38,14 +40,19 @@ def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str, bounds: tuple[
 
     A box lies in the few cells of its own level, a point probes one cell of each level that
     occurs (at most one for each power of two between the smallest and the largest box).
+    Wide boxes share a few cells; there the points of a cell go to many tasks.
     """
     grid = box_cells(boxes, bounds)
-    levels = sorted(r[0] for r in grid.select("_l").distinct().collect())  # one for each size, some tens
+    most = grid.groupBy("_l", "_cx", "_cy").count().groupBy("_l").agg(F.max("count")).collect()  # one row for each size, some tens
+    levels, crowded = sorted(r[0] for r in most), [r[0] for r in most if r[1] > CROWDED]
+    parts = F.when(F.col("_l").isin(crowded), PARTS).otherwise(1)
     x0, y0, x1, y1 = (F.col(c) for c in bounds)
     inside = (F.col(x) > x0) & (F.col(x) < x1) & (F.col(y) > y0) & (F.col(y) < y1) if strict else F.col(x).between(x0, x1) & F.col(y).between(y0, y1)
     placed = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     placed = placed.withColumns({"_cx": _cell(F.col(x).cast("double"), F.col("_l")), "_cy": _cell(F.col(y).cast("double"), F.col("_l"))})
-    return placed.join(grid, ["_l", "_cx", "_cy"]).filter(inside).drop("_l", "_cx", "_cy")
+    placed = placed.withColumn("_p", F.pmod(F.xxhash64(x, y), parts).cast("int"))
+    grid = grid.withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return placed.join(grid, ["_l", "_cx", "_cy", "_p"]).filter(inside).drop("_l", "_cx", "_cy", "_p")
 
 
 def first_box(points: DataFrame, boxes: DataFrame, point_id: str, x: str, y: str, bounds: tuple[str, str, str, str], box_id: str) -> DataFrame:

@@ -187,6 +187,23 @@ def test_boxes_of_every_size_lie_in_few_cells(spark):
     assert SP.box_cells(b, bounds).groupBy("b").count().agg(F.max("count")).first()[0] <= 4
 
 
+def test_points_of_a_crowded_cell_go_to_many_tasks(spark):
+    """600 boxes and 200 points in one cell, joined without a broadcast: every pair, from more than one task."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        p = spark.range(200).select(F.col("id").alias("p"), (F.col("id") / 2).alias("x"), F.lit(60.0).alias("y"))
+        b = spark.range(600).select(F.col("id").alias("b"), F.lit(1.0).alias("x0"), F.lit(1.0).alias("y0"), F.lit(91.0).alias("x1"), (F.col("id") % 30 + 40.0).alias("y1"))
+        got = SP.box_join(p, b, "x", "y", ("x0", "y0", "x1", "y1"), False).select("p", "b", F.spark_partition_id().alias("task")).collect()
+        want = {(i, k) for i in range(200) for k in range(600) if 1 <= i / 2 <= 91 and 60 <= k % 30 + 40}
+        assert len(got) == len(want) and {(r.p, r.b) for r in got} == want
+        assert len({r.task for r in got}) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("leaf", [1, 32])
 def test_nearest_site_equals_brute_force(spark, monkeypatch, leaf):
     """Even and clustered sites, far points, ties, points on sites, one place with many sites, odd coordinates."""
