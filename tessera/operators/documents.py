@@ -1,4 +1,4 @@
-"""Nested documents as VARIANT values: reference decoding by iterated joins, and validation of generated reports."""
+"""Nested documents as VARIANT values: reference decoding in rounds, and validation of generated reports."""
 
 from __future__ import annotations
 
@@ -15,16 +15,85 @@ def kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def dereference(df: DataFrame, id_col: str, json_col: str, max_depth: int = 64) -> DataFrame:
+#: Fixed value: a document that comes apart into more pieces than this is resolved by joins.
+PIECES = 65_536
+#: Rounds between two looks at which documents are done.
+ROUNDS = 6
+
+
+def _opened(p: Column, slots: Column) -> Column:
+    """The pieces that stand for one: a list or object becomes its entries between brackets, with references followed one step; anything else is final."""
+    piece = lambda before, text, seen, depth: F.struct(before.alias("before"), text.alias("text"), seen.alias("seen"), depth.alias("depth"))
+    final = lambda before, text: F.array(piece(before, text, F.lit(None).cast("array<long>"), p["depth"]))
+    text, value = p["text"], F.try_parse_json(p["text"])
+    whole = lambda t: F.when(t.rlike("^-?[0-9]{1,19}$"), t.try_cast("long"))
+    start = lambda i, bracket: F.when(i == 0, F.concat(p["before"], F.lit(bracket))).otherwise(",")
+    quoted = lambda key: F.regexp_extract(F.to_json(F.array(key)), r"(?s)^\[(.*)\]$", 1)
+
+    # One struct after the other names what is used more than once, so that it is made once.
+    def looked_up(entries: Column) -> Column:
+        entries = F.transform(entries, lambda e: F.struct(e["lead"].alias("lead"), e["text"].alias("text"), whole(e["text"]).alias("to")))
+        there = lambda e: (e["to"] >= 0) & (e["to"] < F.size(slots)) & ~F.array_contains(p["seen"], e["to"])
+        return F.transform(entries, lambda e: F.struct(e["lead"].alias("lead"), e["text"].alias("text"), e["to"].alias("to"), F.when(there(e), e["to"]).alias("at")))
+
+    def placed(before: Column, e: Column, depth: Column) -> Column:
+        to, at = e["to"], e["at"]
+        found = F.when(to.isNull(), e["text"]).when(at.isNull(), "null").otherwise(F.coalesce(F.get(slots, at.cast("int")), F.lit("null")))
+        return piece(before, found, F.when(at.isNull(), p["seen"]).otherwise(F.array_append(p["seen"], at)), depth + F.when(to.isNull(), 0).otherwise(1))
+
+    named = lambda v: F.coalesce(F.to_json(v), F.lit("null")).alias("text")
+    texts = F.transform(F.variant_get(value, "$", "array<variant>"), lambda e: F.struct(F.lit("").alias("lead"), named(e)))
+    items = F.transform(looked_up(texts), lambda e, i: placed(start(i, "["), e, p["depth"] + 1))
+    entries = F.sort_array(F.transform(F.map_entries(F.variant_get(value, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("lead"), named(e["value"]))))
+    members = F.transform(looked_up(entries), lambda e, i: placed(F.concat(start(i, "{"), quoted(e["lead"]), F.lit(":")), e, p["depth"] + 1))
+    alone = F.transform(looked_up(F.array(F.struct(F.lit("").alias("lead"), text.alias("text")))), lambda e: placed(p["before"], e, p["depth"]))
+    return (
+        F.when(text.isin("[]", "{}"), final(p["before"], text))
+        .when(text.startswith("["), F.concat(items, final(F.lit(""), F.lit("]"))))
+        .when(text.startswith("{"), F.concat(members, final(F.lit(""), F.lit("}"))))
+        .when(whole(text).isNull(), final(p["before"], text))
+        .otherwise(alone)
+    )
+
+
+def dereference(df: DataFrame, id_col: str, json_col: str, max_depth: int = 64, pieces: int = PIECES) -> DataFrame:
     """(id, value): index-referenced JSON as nested JSON text.
 
     A document is an array of slots; every whole number in it stands for the slot of that
     index, and the document is what slot 0 becomes. An index that is not there, or that is
-    being resolved already (a cycle), is null. Each round joins the references of all
-    documents with their slots and opens what they found; then values are put together
-    from the deepest places up, in their order. Beyond `max_depth` rounds it raises. Ids are
-    unique; documents that are no JSON array have no row.
+    being resolved already (a cycle), is null. A document is a list of pieces of text, and
+    each round puts in place of its references and containers what they hold; rows need no
+    shuffle. Documents of more than `pieces` pieces are resolved by joins of all their
+    references, so that no row grows with them. Beyond `max_depth` steps, each a reference
+    or a container, it raises. Ids are unique; documents that are no JSON array have no row.
     """
+    slots = F.transform(F.try_variant_get(F.try_parse_json(json_col), "$", "array<variant>"), lambda v: F.to_json(v))
+    first = F.array(F.struct(F.lit("").alias("before"), F.lit("0").alias("text"), F.array().cast("array<long>").alias("seen"), F.lit(0).alias("depth")))
+    front = df.select(F.col(id_col), F.col(json_col).alias("_json"), slots.alias("_slots")).withColumn("_parts", F.when(F.col("_slots").isNotNull(), first))
+    more, fits, deep = F.exists("_parts", lambda p: p["seen"].isNotNull()), F.size("_parts") <= pieces, F.exists("_parts", lambda p: p["depth"] >= max_depth - 1)
+    opened = F.flatten(F.transform("_parts", lambda p: F.when(p["seen"].isNull(), F.array(p)).otherwise(_opened(p, F.col("_slots")))))
+    text = F.array_join(F.transform("_parts", lambda p: F.concat(p["before"], p["text"])), "")
+    done, rest = [], []
+    while True:
+        for _ in range(ROUNDS):
+            front = front.withColumn("_parts", F.when(fits, opened).otherwise(F.col("_parts")))
+        front = front.withColumn("_more", more)  # null for what is no array; filters come after the table, since they would be inlined round by round
+        kept = [F.when(F.col("_more"), F.col(c)).alias(c) for c in ("_json", "_slots", "_parts")]
+        front = stored(front.select(id_col, "_more", fits.alias("_fits"), deep.alias("_deep"), F.when(~F.col("_more"), text).alias("value"), *kept))
+        if front.filter("_deep").limit(1).count():
+            raise ValueError(f"references nest deeper than {max_depth}")
+        done.append(front.filter("not _more").select(id_col, "value"))
+        rest.append(front.filter("_more and not _fits").select(id_col, "_json"))
+        front = front.filter("_more and _fits").select(id_col, "_json", "_slots", "_parts")
+        if not front.limit(1).count():
+            break
+    value, large = reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, rest)
+    return value.unionByName(_joined(large, id_col, "_json", max_depth)) if large.limit(1).count() else value
+
+
+def _joined(df: DataFrame, id_col: str, json_col: str, max_depth: int) -> DataFrame:
+    """`dereference` of large documents: each round joins the references of all documents with their slots and opens
+    what they found; then values are put together from the deepest places up, in their order."""
     parsed = df.select(F.col(id_col).alias("_id"), F.try_variant_get(F.try_parse_json(json_col), "$", "array<variant>").alias("_slots")).filter("_slots is not null")
     slots = stored(parsed.select("_id", F.posexplode("_slots").alias("_slot", "_v")).withColumn("_v", F.to_json("_v")))  # text: the form that files keep
     value = F.try_parse_json("_text")

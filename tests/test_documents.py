@@ -40,6 +40,52 @@ def test_depth_is_bounded(spark):
     assert documents.dereference(chain.limit(0), "i", "j").count() == 0
 
 
+def test_small_documents_are_one_table_without_a_shuffle(spark, monkeypatch):
+    tables, stored = [], documents.stored
+    monkeypatch.setattr(documents, "stored", lambda df: (tables.append(df._jdf.queryExecution().executedPlan().toString()), stored(df))[1])
+    docs = {i: [{"a": 1}, [2, 2, 3], {"b": 3}, "x"] for i in range(40)}
+    df = spark.range(40).selectExpr("id as i", f"'{json.dumps(docs[0])}' as j")
+    assert {r.i: json.loads(r.value) for r in documents.dereference(df, "i", "j").collect()} == {i: _plain(d) for i, d in docs.items()}
+    assert len(tables) == 1
+    assert "Exchange" not in tables[0]
+
+
+def test_large_documents_are_joined(spark):
+    rng = random.Random(5)
+    docs = {i: _slots(rng) for i in range(80)} | {500: [list(range(1, 60)), *[{"k": 60, "l": "t"} for _ in range(59)], "w"], 501: [[1] * 6, [2] * 6, [3] * 6, "w"]}
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs.items()] + [(900, "broken["), (901, None)], "i long, j string")
+    got = documents.dereference(df, "i", "j", pieces=12).collect()
+    assert len(got) == len(docs)
+    assert {r.i: json.loads(r.value) for r in got} == {i: _plain(d) for i, d in docs.items()}
+
+
+def test_both_ways_give_the_same_text(spark):
+    texts = [
+        "[]", "[null]", "[1.0,7]", "[[1,1e2,-0,0.10],1.0]", "[[99999999999999999999,9223372036854775807,9223372036854775808,-9223372036854775809,-1]]",
+        '[{"":1,"b\\"\\n":2,"a]":2},[[],{},[[]]],{"z":{"y":[3]}},"[1]"]', '[{"a":1,"a":2},3]', '["{}"]', "[3,[0],2,1]", '[1,2,3,{"é":[0,1,4]},"1"]',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, j string")
+    rows = [{r.i: r.value for r in documents.dereference(df, "i", "j", pieces=n).collect()} for n in (0, documents.PIECES)]
+    assert rows[0] == rows[1]
+    assert len(rows[0]) == len(texts) - 1  # a key that comes twice is no JSON
+
+
+def _depth(slots, value=0, seen=(), deep=0):
+    if isinstance(value, int):
+        return deep + 1 if value in seen or not 0 <= value < len(slots) else _depth(slots, slots[value], (*seen, value), deep + 1)
+    inside = value if isinstance(value, list) else value.values() if isinstance(value, dict) else []
+    return max([deep, *[_depth(slots, v, seen, deep + 1) for v in inside]])
+
+
+@pytest.mark.parametrize(("slots", "pieces"), [([[i + 1] for i in range(4)], documents.PIECES), ([[i + 1] for i in range(4)], 0), ([[[{"a": [[1]]}]], {"b": [{}]}], documents.PIECES), ([*range(1, 9), "x"], documents.PIECES)])
+def test_both_ways_end_at_the_same_depth(spark, slots, pieces):
+    df = spark.createDataFrame([(1, json.dumps(slots))], "i long, j string")
+    least = _depth(slots) + 2
+    assert json.loads(documents.dereference(df, "i", "j", max_depth=least, pieces=pieces).first().value) == _plain(slots)
+    with pytest.raises(ValueError, match=f"deeper than {least - 1}"):
+        documents.dereference(df, "i", "j", max_depth=least - 1, pieces=pieces)
+
+
 def test_report_items(spark):
     facts = {"insights": [{"id": "a"}], "load": {"ctl": 12}, "today_wellness": {"rhr": {"magnitude": "mild", "direction": "negative"}, "hrv_proxy_nocturnal": {"magnitude": "mild"}, "flat": 3}}
     signal = lambda field, **k: {"area": "sleep", "direction": "positive", "magnitude": "strong", "evidence_field": field} | k
